@@ -1,2 +1,468 @@
-"""I/O queries of the catalog (scans, sinks, ledger, memory files, streams)."""
+"""I/O side of the catalog: statement text, scans, sinks, ledger, memory and rules.
+
+Queries that need files write data derived from the test tables into the shared scratch
+folder (``spark.checkpoint.dir``) and read it back, so their work grows with the tables.
+"""
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spendlake.functions import text as X
+from spendlake.functions import values as V
+from spendlake.operators import memory as M
+from spendlake.operators import rules as R
+from spendlake.plans import oracle as O
+from spendlake.plans.catalog import _KW_L_SQL, _keyword_labeled, query
+from spendlake.plans.views import MEMORY_P_SQL_SRC, TXN_E_SQL, TXN_L_SQL, memory_from_part, table, txn_e, txn_l
+from spendlake.session import scratch_path
+from spendlake.sources import ingest as I
+from spendlake.sources import ledger as L
+from spendlake.sources import lines as LN
+from spendlake.sources import sink as K
+
+DATE_RE = LN.DATE_RE
+AMOUNT_RE = LN.AMOUNT_RE
+
+# --------------------------------------------------------------------- statement text
+
+_LINES_SQL = (
+    "SELECT o_orderkey, 1 AS variant, strftime(o_orderdate, '%Y-%m-%d') || ' ' || o_orderpriority || ' ' || printf('%.2f', o_totalprice) AS value FROM orders "
+    "UNION ALL SELECT o_orderkey, 2, strftime(o_orderdate, '%m/%d/%Y') || ' | ' || o_orderstatus || ' | -$' || format('{:,.2f}', o_totalprice) FROM orders "
+    "UNION ALL SELECT o_orderkey, 3, '  ' || strftime(o_orderdate, '%d-%b-%y') || ' REF ' || CAST(o_custkey AS VARCHAR) || ', ' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || '  ' FROM orders "
+    "UNION ALL SELECT o_orderkey, 4, 'Statement for ' || CAST(o_custkey AS VARCHAR) || ' ' || o_orderpriority FROM orders "
+    "UNION ALL SELECT o_orderkey, 5, '   ' FROM orders "
+    "UNION ALL SELECT o_orderkey, 6, 'Statement date ' || strftime(o_orderdate, '%Y-%m-%d') FROM orders")
+
+
+def _lines(spark, sf):
+    o = table(spark, sf, "orders")
+    shapes = [
+        (1, F.concat_ws(" ", F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderpriority",
+                        F.format_string("%.2f", "o_totalprice"))),
+        (2, F.concat(F.date_format("o_orderdate", "MM/dd/yyyy"), F.lit(" | "), "o_orderstatus",
+                     F.lit(" | -$"), F.format_number("o_totalprice", 2))),
+        (3, F.concat(F.lit("  "), F.date_format("o_orderdate", "dd-MMM-yy"), F.lit(" REF "),
+                     F.col("o_custkey").cast("string"), F.lit(", "), F.floor("o_totalprice").cast("long").cast("string"),
+                     F.lit("  "))),
+        (4, F.concat(F.lit("Statement for "), F.col("o_custkey").cast("string"), F.lit(" "), "o_orderpriority")),
+        (5, F.lit("   ")),
+        (6, F.concat(F.lit("Statement date "), F.date_format("o_orderdate", "yyyy-MM-dd"))),
+    ]
+    out = None
+    for v, e in shapes:
+        part = o.select("o_orderkey", F.lit(v).alias("variant"), e.alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("statement_lines", (
+    "WITH l AS (SELECT o_orderkey, variant, trim(value) AS line FROM (" + _LINES_SQL + ") _l), "
+    f"m AS (SELECT *, regexp_extract(line, '{DATE_RE}', 0) AS date_text, regexp_extract(line, '{AMOUNT_RE}', 0) AS aall, "
+    f"regexp_extract(line, '{AMOUNT_RE}', 1) AS amount_text FROM l WHERE line <> '') "
+    "SELECT o_orderkey, variant, date_text, trim(CASE WHEN length(line) - length(aall) + 1 > instr(line, date_text) + length(date_text) "
+    "THEN substring(line, instr(line, date_text) + length(date_text), length(line) - length(aall) + 1 - instr(line, date_text) - length(date_text)) "
+    "ELSE '' END, ' -|,') AS description, amount_text, TRY_CAST(replace(amount_text, ',', '') AS DOUBLE) AS amount "
+    "FROM m WHERE date_text <> '' AND aall <> ''"))
+def statement_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Statement rows from text lines (the PDF text branch)."""
+    return LN.parse_lines(_lines(spark, sf), "value").drop("value")
+
+
+def _cells(spark, sf):
+    o = table(spark, sf, "orders")
+    date_txt = F.when(F.col("o_orderstatus") == "O", F.date_format("o_orderdate", "dd-MMM-yy")) \
+        .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    cells = F.array(date_txt, F.col("o_orderpriority"),
+                    F.when(F.col("o_orderstatus") != "P", F.concat(F.lit(" cust "), F.col("o_custkey").cast("string"))),
+                    F.concat(F.lit(" "), F.format_number("o_totalprice", 2), F.lit(" ")))
+    return o.select("o_orderkey", cells.alias("cells"))
+
+
+_CELLS_SQL = (
+    "SELECT o_orderkey, [CASE WHEN o_orderstatus = 'O' THEN strftime(o_orderdate, '%d-%b-%y') ELSE strftime(o_orderdate, '%Y-%m-%d') END, "
+    "o_orderpriority, CASE WHEN o_orderstatus <> 'P' THEN ' cust ' || CAST(o_custkey AS VARCHAR) END, "
+    "' ' || format('{:,.2f}', o_totalprice) || ' '] AS cells FROM orders")
+
+
+@query("statement_cells", (
+    "WITH c AS (SELECT o_orderkey, list_transform(cells, lambda x: coalesce(trim(x), '')) AS cs FROM (" + _CELLS_SQL + ") _c), "
+    "j AS (SELECT *, array_to_string(cs, ' | ') AS joined FROM c), "
+    f"m AS (SELECT *, regexp_extract(joined, '{DATE_RE}', 0) AS date_text, regexp_extract(joined, '{AMOUNT_RE}', 1) AS amount_text, "
+    f"regexp_extract(joined, '{AMOUNT_RE}', 0) AS aall FROM j) "
+    "SELECT o_orderkey, date_text, trim(array_to_string(list_filter(cs, lambda x: x <> '' AND x <> date_text AND x <> amount_text), ' ')) AS description, "
+    "amount_text, TRY_CAST(replace(amount_text, ',', '') AS DOUBLE) AS amount FROM m WHERE date_text <> '' AND aall <> ''"))
+def statement_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Statement rows from table cells (the PDF table branch)."""
+    return LN.parse_cells(_cells(spark, sf), "cells").drop("cells")
+
+
+# --------------------------------------------------------------------- tables and headers
+
+def _bank_table(spark, sf):
+    o = table(spark, sf, "orders")
+    amt = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("$"), F.format_number("o_totalprice", 2))) \
+        .otherwise(F.format_string("%.2f", "o_totalprice"))
+    return o.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("Date"),
+                    F.concat(F.col("o_orderpriority"), F.lit(" #"), F.col("o_custkey").cast("string")).alias("Merchant Name"),
+                    amt.alias("Amount CAD"), F.col("o_orderstatus").alias("Notes"))
+
+
+_BANK_SQL = ("SELECT strftime(o_orderdate, '%Y-%m-%d') AS d, o_orderpriority || ' #' || CAST(o_custkey AS VARCHAR) AS m, "
+             "CASE WHEN o_orderstatus = 'F' THEN '$' || format('{:,.2f}', o_totalprice) ELSE printf('%.2f', o_totalprice) END AS a FROM orders")
+_NUMERIC = "'^\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*$'"
+_BANK_TXN = (f"SELECT CAST(try_strptime(d, '%Y-%m-%d') AS DATE) AS date, {O.f2('m')} AS description, "
+             f"coalesce(CASE WHEN regexp_matches(a, {_NUMERIC}) THEN TRY_CAST(trim(a) AS DOUBLE) END, 0.0) AS amount, "
+             f"'chequing' AS account FROM ({_BANK_SQL}) _b")
+
+
+@query("normalize_table", (
+    "SELECT date, description, amount, account, " + O.txn_id("date", "merchant", "amount", "account")
+    + " AS transaction_id FROM (" + O.merchant_select(_BANK_TXN, "description") + ") _q"))
+def normalize_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A bank-like table (spreadsheet branch: no currency stripping) -> Txn."""
+    return I.normalize_table(_bank_table(spark, sf), "chequing", strip_currency=False)
+
+
+def _headers(spark, sf):
+    n = table(spark, sf, "nation")
+    r = table(spark, sf, "region")
+    j = n.join(r, n.n_regionkey == r.r_regionkey)
+    a = F.array(F.concat(F.lit("Posted Date ("), F.col("n_name"), F.lit(")")),
+                F.concat(F.col("r_name"), F.lit("  Payee")),
+                F.concat(F.lit("Total "), F.col("n_name"), F.lit(" CAD$")), F.lit("Reference-No."))
+    b = F.array(F.lit("Transaction Type"), F.concat(F.col("n_name"), F.lit(" Merchant")),
+                F.lit("USD$ Amount"), F.concat(F.lit("Date of "), F.col("r_name")))
+    return j.select("n_nationkey", F.when(F.col("r_name").isin("AFRICA", "ASIA"), a).otherwise(b).alias("raw"))
+
+
+_HEADERS_SQL = (
+    "SELECT n_nationkey, CASE WHEN r_name IN ('AFRICA', 'ASIA') THEN ['Posted Date (' || n_name || ')', r_name || '  Payee', "
+    "'Total ' || n_name || ' CAD$', 'Reference-No.'] ELSE ['Transaction Type', n_name || ' Merchant', 'USD$ Amount', "
+    "'Date of ' || r_name] END AS raw FROM nation JOIN region ON n_regionkey = r_regionkey")
+
+
+def _f3_sql(x):
+    return (f"trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '[\\s\\-]+', '_', 'g'), "
+            f"'[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '_')")
+
+
+def _pos_sql(names, pats):
+    rx = "|".join(pats)
+    return f"CAST(coalesce(list_position(list_transform({names}, lambda n: regexp_matches(n, '{rx}')), true), 0) AS INTEGER)"
+
+
+@query("normalize_headers", (
+    "WITH h AS (SELECT n_nationkey, list_transform(raw, lambda x: " + _f3_sql("x") + ") AS names FROM (" + _HEADERS_SQL + ") _h) "
+    "SELECT n_nationkey, names, " + _pos_sql("names", I.DATE_PATTERNS) + " AS date_idx, "
+    + _pos_sql("names", I.DESCRIPTION_PATTERNS) + " AS desc_idx, " + _pos_sql("names", I.AMOUNT_PATTERNS)
+    + " AS amount_idx FROM h"))
+def normalize_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """Header names normalized and column roles picked (reference rules)."""
+    h = _headers(spark, sf).select("n_nationkey", F.transform("raw", X.column_name).alias("names"))
+    roles = I.header_roles(F.col("names"), compat=True)
+    return h.select("n_nationkey", "names", roles.date_idx.cast("int").alias("date_idx"),
+                    roles.desc_idx.cast("int").alias("desc_idx"), roles.amount_idx.cast("int").alias("amount_idx"))
+
+
+# --------------------------------------------------------------------- records and export
+
+_IDS_L = ("SELECT *, " + O.txn_id("date", "merchant", "amount", "account") + " AS transaction_id FROM ("
+          + O.merchant_select(_KW_L_SQL, "description") + ") _q")
+
+
+@query("to_transactions", (
+    "SELECT date, description AS name, category, account AS spent_from, amount, '' AS notes, transaction_id "
+    f"FROM ({_IDS_L}) _i"))
+def to_transactions(spark: SparkSession, sf: str) -> DataFrame:
+    """Labeled transactions -> target records."""
+    return K.to_transactions(V.add_transaction_id(_keyword_labeled(spark, sf)))
+
+
+@query("export_projection", (
+    "SELECT date AS \"Date\", description AS \"Description\", amount AS \"Amount\", category AS \"Category\", "
+    "account AS \"Account\", '' AS \"Notes\", transaction_id AS \"Transaction ID\" "
+    f"FROM ({_IDS_L}) _i"))
+def export_projection(spark: SparkSession, sf: str) -> DataFrame:
+    """P5/S14 columns: records renamed to the CSV export headings."""
+    return K.export_projection(K.to_transactions(V.add_transaction_id(_keyword_labeled(spark, sf))))
+
+
+# --------------------------------------------------------------------- memory and rules
+
+_UPSERT_PAIRS = O.merchant_select("SELECT p_name, p_type, p_partkey FROM part", "p_name")
+_MEMP = ("SELECT merchant, 'Hardware ' || max(p_brand) AS category FROM ("
+         + O.merchant_select(MEMORY_P_SQL_SRC, "p_name") + ") _mp GROUP BY merchant")
+_UPSERT_SQL = (f"WITH n AS (SELECT merchant, arg_max(p_type, p_partkey) AS category FROM ({_UPSERT_PAIRS}) _u "
+               f"WHERE merchant <> '' AND merchant NOT LIKE '%t' GROUP BY merchant) "
+               f"SELECT merchant, category FROM ({_MEMP}) _o WHERE merchant NOT IN (SELECT merchant FROM n) "
+               "UNION ALL SELECT merchant, category FROM n")
+
+
+def _upserted(spark, sf):
+    part = table(spark, sf, "part")
+    pairs = part.select(F.col("p_name").alias("merchant"), F.col("p_type").alias("category"), "p_partkey")
+    pairs = pairs.where(~X.merchant_name("merchant").endswith("t"))
+    return M.learn_batch(memory_from_part(spark, sf), pairs, version="p_partkey")
+
+
+@query("memory_upsert", _UPSERT_SQL)
+def memory_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Learn a batch of (part name -> type) pairs into a memory; the latest pair
+    (highest part key) wins per merchant; existing entries not in the batch stay."""
+    return _upserted(spark, sf)
+
+
+@query("memory_lookup", (
+    "SELECT description FROM (" + O.merchant_select(f"SELECT DISTINCT description FROM ({TXN_L_SQL}) _l", "description")
+    + f") _q WHERE merchant IN (SELECT merchant FROM ({_MEMP}) _m)"))
+def memory_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Which transaction descriptions are known merchants (semi join)."""
+    d = txn_l(spark, sf).select("description").distinct()
+    return M.has_merchant(memory_from_part(spark, sf), d, "description")
+
+
+@query("memory_roundtrip", _UPSERT_SQL)
+def memory_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Save the memory as the JSON object file and load it back."""
+    path = scratch_path(spark, "memory-json")
+    M.save(_upserted(spark, sf), path, fmt="json")
+    return M.load(spark, path, fmt="json")
+
+
+def _rules_from_part(spark, sf):
+    part = table(spark, sf, "part")
+    pairs = part.select(F.col("p_type").alias("category"), F.col("p_name").alias("keyword")).distinct()
+    # distinct (type, name) pairs: a small table, ordered once
+    from pyspark.sql import Window
+    w = Window.orderBy("category", "keyword")
+    return pairs.select((F.row_number().over(w) - 1).cast("int").alias("ord"), "category", "keyword")
+
+
+_RULES_PART_SQL = ("SELECT CAST(row_number() OVER (ORDER BY category, keyword) - 1 AS INTEGER) AS ord, category, keyword "
+                   "FROM (SELECT DISTINCT p_type AS category, p_name AS keyword FROM part) _d")
+_EXT = [("SMALL", ["small ring", "tiny ring", "small ring"]), ("Custom", ["gizmo", "doohickey"])]
+
+
+def _ext_sql(base: str, cat: str, kws: list[str]) -> str:
+    kws = list(dict.fromkeys(kws))
+    vals = ", ".join(f"({i}, '{k}')" for i, k in enumerate(kws))
+    return (f"WITH b AS ({base}), cp AS (SELECT category, min(ord) AS co FROM b GROUP BY category), "
+            f"mx AS (SELECT coalesce(max(ord), -1) AS mx FROM b), "
+            f"a AS (SELECT v.pos, '{cat}' AS category, v.keyword FROM (VALUES {vals}) v(pos, keyword) "
+            f"WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.category = '{cat}' AND b.keyword = v.keyword)), "
+            "u AS (SELECT cp.co AS co, 0 AS grp, b.ord AS pos, b.category, b.keyword FROM b JOIN cp ON b.category = cp.category "
+            "UNION ALL SELECT coalesce((SELECT co FROM cp WHERE cp.category = a.category), (SELECT mx FROM mx) + 1), 1, a.pos, a.category, a.keyword FROM a) "
+            "SELECT CAST(row_number() OVER (ORDER BY co, grp, pos) - 1 AS INTEGER) AS ord, category, keyword FROM u")
+
+
+_RULES_EXT_SQL = _RULES_PART_SQL
+for _c, _k in _EXT:
+    _RULES_EXT_SQL = _ext_sql(_RULES_EXT_SQL, _c, _k)
+
+
+@query("rules_extend", _RULES_EXT_SQL)
+def rules_extend(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules derived from part (type -> names), then keywords added to an existing
+    category and a new category appended."""
+    rules = _rules_from_part(spark, sf)
+    for cat, kws in _EXT:
+        rules = R.extend_rules(rules, cat, kws)
+    return rules
+
+
+# --------------------------------------------------------------------- ids, append
+
+@query("existing_ids", f"SELECT DISTINCT transaction_id FROM ({_IDS_L}) _i")
+def existing_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct ids of a target that has an id column."""
+    records = K.to_transactions(V.add_transaction_id(_keyword_labeled(spark, sf)))
+    target = records.toDF("Date", "Transaction Name", "Category", "Spent From", "Amount", "Notes", "Transaction ID")
+    return K.existing_ids(target)
+
+
+@query("existing_ids_recomputed", f"SELECT DISTINCT transaction_id FROM ({_IDS_L}) _i")
+def existing_ids_recomputed(spark: SparkSession, sf: str) -> DataFrame:
+    """A target without an id column: ids recomputed from date/name/amount/account."""
+    records = K.to_transactions(V.add_transaction_id(_keyword_labeled(spark, sf)))
+    target = records.drop("transaction_id").toDF("Date", "Transaction Name", "Category", "Spent From", "Amount", "Notes")
+    return K.existing_ids(target)
+
+
+_IDS_E = ("SELECT event_id, date, merchant, amount, account, " + O.txn_id("date", "merchant", "amount", "account")
+          + " AS transaction_id FROM (" + O.merchant_select(TXN_E_SQL, "description") + ") _q")
+_CUTOFF = "2024-01-10"
+
+
+def _ids_e(spark, sf):
+    return V.add_transaction_id(txn_e(spark, sf))
+
+
+@query("append_new", (
+    f"WITH b AS ({_IDS_E}) SELECT event_id, transaction_id FROM b WHERE transaction_id NOT IN "
+    f"(SELECT transaction_id FROM b WHERE date <= DATE '{_CUTOFF}')"))
+def append_new(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the batch whose id is not in the target yet (the target holds
+    the events up to the cutoff day)."""
+    b = _ids_e(spark, sf)
+    target = b.where(F.col("date") <= F.lit(_CUTOFF).cast("date"))
+    return K.new_rows(b, K.existing_ids(target)).select("event_id", "transaction_id")
+
+
+@query("append_multi_file", (
+    f"WITH b AS ({_IDS_E}), n AS (SELECT * FROM b WHERE transaction_id NOT IN "
+    f"(SELECT transaction_id FROM b WHERE date <= DATE '{_CUTOFF}')) "
+    "SELECT event_id, transaction_id FROM n QUALIFY date = min(date) OVER (PARTITION BY transaction_id)"))
+def append_multi_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The batch is one file per day loaded in day order: an id already seen in an
+    earlier file is dropped, repeats inside one file are kept."""
+    b = _ids_e(spark, sf)
+    target = b.where(F.col("date") <= F.lit(_CUTOFF).cast("date"))
+    return K.new_rows(b, K.existing_ids(target), file_order="date").select("event_id", "transaction_id")
+
+
+@query("run_counters", (
+    f"WITH b AS ({_IDS_E}), s AS (SELECT CASE WHEN transaction_id IN (SELECT transaction_id FROM b WHERE date <= DATE '{_CUTOFF}') "
+    "THEN 'already_loaded' WHEN row_number() OVER (PARTITION BY transaction_id ORDER BY event_id) > 1 THEN 'duplicate' "
+    "ELSE 'new' END AS status FROM b) SELECT status, count(*) AS n_rows FROM s GROUP BY status"))
+def run_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows per outcome of a load: already loaded, duplicate within the batch, new."""
+    from spendlake.operators import summaries as S
+    b = _ids_e(spark, sf)
+    target = K.existing_ids(b.where(F.col("date") <= F.lit(_CUTOFF).cast("date")))
+    first = b.groupBy("transaction_id").agg(F.min("event_id").alias("_first"))
+    s = (b.join(target.withColumn("_old", F.lit(True)), "transaction_id", "left")
+         .join(first, "transaction_id", "left")
+         .select(F.when(F.col("_old"), "already_loaded").when(F.col("event_id") > F.col("_first"), "duplicate")
+                 .otherwise("new").alias("status")))
+    return S.run_counters(s)
+
+
+# --------------------------------------------------------------------- ledger
+
+def _ledger_entries(spark, sf):
+    o = table(spark, sf, "orders")
+    per = o.groupBy("o_orderdate", "o_orderstatus").agg(F.count("*").alias("n"),
+                                                        F.sum(F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0)).alias("u"))
+    offset = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3)
+    return per.select(
+        F.concat(F.lit("/stmts/"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(".csv")).alias("file_path"),
+        (F.col("o_orderdate") + F.make_interval(hours=offset)).alias("processed_at"),
+        (F.col("n") * 100).cast("long").alias("file_size"),
+        F.sha2(F.concat_ws("|", F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderstatus"), 256).alias("file_hash"),
+        F.col("n").cast("long").alias("row_count"), F.col("o_orderstatus").alias("account"),
+        F.col("u").cast("long").alias("transactions_added"))
+
+
+_LEDGER_ENTRIES_SQL = (
+    "SELECT '/stmts/' || strftime(o_orderdate, '%Y-%m-%d') || '.csv' AS file_path, "
+    "CAST(o_orderdate + to_hours(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END) AS TIMESTAMP) AS processed_at, "
+    "CAST(count(*) * 100 AS BIGINT) AS file_size, sha256(strftime(o_orderdate, '%Y-%m-%d') || '|' || o_orderstatus) AS file_hash, "
+    "CAST(count(*) AS BIGINT) AS row_count, o_orderstatus AS account, "
+    "CAST(sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS BIGINT) AS transactions_added "
+    "FROM orders GROUP BY o_orderdate, o_orderstatus")
+_LEDGER_SQL = (f"SELECT file_path, arg_max(processed_at, processed_at) AS processed_at, arg_max(file_size, processed_at) AS file_size, "
+               "arg_max(file_hash, processed_at) AS file_hash, arg_max(row_count, processed_at) AS row_count, "
+               "arg_max(account, processed_at) AS account, arg_max(transactions_added, processed_at) AS transactions_added "
+               f"FROM ({_LEDGER_ENTRIES_SQL}) _e GROUP BY file_path")
+
+
+def _ledger(spark, sf):
+    entries = _ledger_entries(spark, sf)
+    return L.upsert(entries.limit(0), entries)
+
+
+@query("ledger_upsert", _LEDGER_SQL)
+def ledger_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Marks for every statement day, several per file; the latest wins."""
+    return _ledger(spark, sf)
+
+
+_LISTING_SQL = ("SELECT DISTINCT '/stmts/' || strftime(o_orderdate, '%Y-%m-%d') || CASE o_orderpriority WHEN '1-URGENT' THEN '.csv' "
+                "WHEN '2-HIGH' THEN '.PDF' WHEN '3-MEDIUM' THEN '.xlsx' WHEN '4-NOT SPECIFIED' THEN '.txt' ELSE '.xls' END AS file_path FROM orders")
+
+
+def _listing(spark, sf):
+    o = table(spark, sf, "orders")
+    ext = (F.when(F.col("o_orderpriority") == "1-URGENT", ".csv").when(F.col("o_orderpriority") == "2-HIGH", ".PDF")
+           .when(F.col("o_orderpriority") == "3-MEDIUM", ".xlsx").when(F.col("o_orderpriority") == "4-NOT SPECIFIED", ".txt")
+           .otherwise(".xls"))
+    return o.select(F.concat(F.lit("/stmts/"), F.date_format("o_orderdate", "yyyy-MM-dd"), ext).alias("file_path")).distinct()
+
+
+@query("ledger_pending", (
+    f"SELECT file_path FROM ({_LISTING_SQL}) _l WHERE lower(regexp_extract(file_path, '(\\.[^.]*)$', 1)) IN ('.csv', '.pdf', '.xlsx', '.xls') "
+    f"AND file_path NOT IN (SELECT file_path FROM ({_LEDGER_SQL}) _g)"))
+def ledger_pending(spark: SparkSession, sf: str) -> DataFrame:
+    """Supported statement files not processed yet."""
+    return L.pending(_listing(spark, sf), _ledger(spark, sf))
+
+
+@query("ledger_unmark", (
+    f"SELECT * FROM ({_LEDGER_SQL}) _g WHERE file_path NOT IN (SELECT '/stmts/' || strftime(o_orderdate, '%Y-%m-%d') || '.csv' "
+    "FROM orders WHERE o_orderpriority = '5-LOW' AND o_orderstatus = 'P')"))
+def ledger_unmark(spark: SparkSession, sf: str) -> DataFrame:
+    """Unmark the statement days that had a low-priority pending order."""
+    o = table(spark, sf, "orders").where((F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderstatus") == "P"))
+    paths = o.select(F.concat(F.lit("/stmts/"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(".csv")).alias("file_path"))
+    return L.unmark(_ledger(spark, sf), paths)
+
+
+@query("ledger_summary", (
+    f"SELECT count(*) AS total_files, CAST(coalesce(sum(coalesce(row_count, 0)), 0) AS BIGINT) AS total_rows, "
+    f"CAST(coalesce(sum(coalesce(transactions_added, 0)), 0) AS BIGINT) AS total_transactions FROM ({_LEDGER_SQL}) _g"))
+def ledger_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """A2: files, rows and appended transactions in the ledger."""
+    return L.summary(_ledger(spark, sf))
+
+
+# --------------------------------------------------------------------- files on disk
+
+@query("classify_files")
+def classify_files(spark: SparkSession, sf: str) -> DataFrame:
+    """S3 (rows-only): orders written as CSV, JSON and %PDF-headed text; counted by type."""
+    root = scratch_path(spark, "classify")
+    o = table(spark, sf, "orders")
+    o.write.option("header", True).csv(f"{root}/csv")
+    o.write.json(f"{root}/json")
+    o.select(F.concat(F.lit("%PDF-1.4 "), F.col("o_orderkey").cast("string")).alias("value")) \
+        .coalesce(1).write.text(f"{root}/pdf")
+    files = I.classify_files(spark, root).where(~F.col("file_path").rlike(r"/(_SUCCESS|\.[^/]*\.crc)$"))
+    return files.groupBy("file_type").agg(F.count("*").alias("n_files"))
+
+
+def _statement_files(spark, sf) -> str:
+    """Orders exported as two bank CSV layouts (by order status) into the scratch folder."""
+    root = scratch_path(spark, "statements")
+    o = table(spark, sf, "orders")
+    a = o.where(F.col("o_orderstatus") == "F").select(
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("Date"),
+        F.concat(F.col("o_orderpriority"), F.lit(" #"), F.col("o_custkey").cast("string")).alias("Description"),
+        F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("CAD$"),
+        F.col("o_orderstatus").alias("Notes"))
+    b = o.where(F.col("o_orderstatus") != "F").select(
+        F.date_format("o_orderdate", "M/d/yyyy").alias("Posted Date"),
+        F.when(F.col("o_orderpriority") == "5-LOW", F.lit("N/A"))
+         .otherwise(F.concat(F.lit("ORDER "), F.col("o_orderkey").cast("string"), F.lit(" "), "o_orderpriority")).alias("Payee"),
+        F.format_string("%.2f", "o_totalprice").alias("Amount"),
+        F.col("o_custkey").cast("string").alias("Ref No"))
+    a.write.option("header", True).csv(f"{root}/layout_a")
+    b.write.option("header", True).csv(f"{root}/layout_b")
+    return root
+
+
+_INGEST_SRC = ("SELECT CAST(o_orderdate AS DATE) AS date, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority || ' #' || CAST(o_custkey AS VARCHAR) "
+               "WHEN o_orderpriority = '5-LOW' THEN NULL ELSE 'ORDER ' || CAST(o_orderkey AS VARCHAR) || ' ' || o_orderpriority END AS raw, "
+               "o_totalprice AS amount, CASE WHEN o_orderstatus = 'F' THEN 'chequing' ELSE 'savings' END AS account FROM orders")
+_INGEST_TXN = f"SELECT date, {O.f2('raw')} AS description, amount, account FROM ({_INGEST_SRC}) _s"
+
+
+@query("ingest_csv", (
+    "SELECT date, description, amount, account, " + O.txn_id("date", "merchant", "amount", "account")
+    + " AS transaction_id FROM (" + O.merchant_select(_INGEST_TXN, "description") + ") _q"))
+def ingest_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """CSV statements in two header layouts read in one scan."""
+    root = _statement_files(spark, sf)
+    acct = F.when(F.col("file_path").contains("/layout_a/"), F.lit("chequing")).otherwise(F.lit("savings"))
+    t = I.read_statements(spark, [f"{root}/layout_a", f"{root}/layout_b"], account=acct)
+    return t.select("date", "description", "amount", "account", "transaction_id")

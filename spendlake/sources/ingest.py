@@ -108,7 +108,7 @@ def read_statements(spark: SparkSession, paths: str | Sequence[str], account="un
     roles = _file_roles(rows, compat)
     ok = roles.where((F.col("r.date_idx") > 0) & (F.col("r.desc_idx") > 0) & (F.col("r.amount_idx") > 0))
     data = rows.join(ok, "file_path").where(F.col("_mid") != F.col("_hid"))
-    cell = lambda idx: F.element_at(F.col("_cells"), idx)
+    cell = lambda idx: F.element_at(F.col("_cells"), idx.cast("int"))
     acct = account if isinstance(account, Column) else F.lit(account)
     out = data.select("file_path",
                       F.struct("file_path", "_blk", "_mid").alias("row_seq"),

@@ -34,10 +34,10 @@ def parse_lines(df: DataFrame, col: str = "value", keep_sign: bool = False) -> D
     line = F.regexp_replace(F.col(col), r"(?U)^\s+|\s+$", "")
     d = df.withColumn("_line", line).where(F.col("_line") != "")          # W5
     dt = F.regexp_extract("_line", DATE_RE, 0)
-    ds = F.regexp_instr("_line", DATE_RE)
+    ds = F.regexp_instr("_line", F.lit(DATE_RE))
     a_all = F.regexp_extract("_line", AMOUNT_RE, 0)
     a1 = F.regexp_extract("_line", AMOUNT_RE, 1)
-    a_start = F.regexp_instr("_line", AMOUNT_RE)
+    a_start = F.regexp_instr("_line", F.lit(AMOUNT_RE))
     d = d.select("*", dt.alias("date_text"), ds.alias("_ds"), a_all.alias("_aall"),
                  a1.alias("amount_text"), a_start.alias("_as"))
     d = d.where((F.col("_ds") > 0) & (F.col("_as") > 0))                    # W3
@@ -56,7 +56,7 @@ def parse_cells(df: DataFrame, col: str = "cells", keep_sign: bool = False) -> D
     cells = F.transform(F.col(col), lambda c: F.coalesce(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""),
                                                          F.lit("")))
     d = df.withColumn("_cells", cells).withColumn("_joined", F.array_join("_cells", " | "))
-    d = d.where((F.regexp_instr("_joined", DATE_RE) > 0) & (F.regexp_instr("_joined", AMOUNT_RE) > 0))
+    d = d.where((F.regexp_instr("_joined", F.lit(DATE_RE)) > 0) & (F.regexp_instr("_joined", F.lit(AMOUNT_RE)) > 0))
     dt = F.regexp_extract("_joined", DATE_RE, 0)
     a1 = F.regexp_extract("_joined", AMOUNT_RE, 1)
     d = d.select("*", dt.alias("date_text"), a1.alias("amount_text"),
