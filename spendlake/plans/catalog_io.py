@@ -13,7 +13,8 @@ from spendlake.functions import values as V
 from spendlake.operators import memory as M
 from spendlake.operators import rules as R
 from spendlake.plans import oracle as O
-from spendlake.plans.catalog import _KW_L_SQL, _keyword_labeled, query
+from spendlake.plans.catalog import _KW_L_SQL, _LEARN_SQL, _keyword_labeled, query
+from spendlake.plans.views import RULES_E as RULES_E_MAP
 from spendlake.plans.views import MEMORY_P_SQL_SRC, TXN_E_SQL, TXN_L_SQL, memory_from_part, table, txn_e, txn_l
 from spendlake.session import scratch_path
 from spendlake.sources import ingest as I
@@ -466,3 +467,47 @@ def ingest_csv(spark: SparkSession, sf: str) -> DataFrame:
     acct = F.when(F.col("file_path").contains("/layout_a/"), F.lit("chequing")).otherwise(F.lit("savings"))
     t = I.read_statements(spark, [f"{root}/layout_a", f"{root}/layout_b"], account=acct)
     return t.select("date", "description", "amount", "account", "transaction_id")
+
+
+# --------------------------------------------------------------------- streams
+
+_EVENT_CSV_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double"
+
+
+def _event_files(spark, sf) -> str:
+    root = scratch_path(spark, "events-csv")
+    table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value") \
+        .write.option("header", True).csv(root)
+    return root
+
+
+def _event_txn(df: DataFrame) -> DataFrame:
+    return df.select("event_id", F.to_date("ts").alias("date"),
+                     F.concat(F.upper("event_type"), F.lit(" STORE "), F.col("user_id").cast("string")).alias("description"),
+                     F.col("value").alias("amount"), F.col("user_id").cast("string").alias("account"))
+
+
+@query("stream_ingest_append", (
+    f"SELECT DISTINCT transaction_id, date, amount, account FROM ({_IDS_E}) _i"))
+def stream_ingest_append(spark: SparkSession, sf: str) -> DataFrame:
+    """Events exported as CSV, read as a file stream (availableNow), appended
+    through an idempotent foreachBatch with id anti join; the target read back."""
+    from spendlake.streaming import stream as ST
+    src = _event_files(spark, sf)
+    target = scratch_path(spark, "stream-target")
+    s = ST.statement_stream(spark, src, _EVENT_CSV_SCHEMA, lambda d: V.add_transaction_id(_event_txn(d)))
+    ST.run_available(s, ST.append_batch(target, order="event_id"), scratch_path(spark, "stream-ckpt"))
+    return spark.read.parquet(target).select("transaction_id", "date", "amount", "account")
+
+
+@query("stream_learn", _LEARN_SQL)
+def stream_learn(spark: SparkSession, sf: str) -> DataFrame:
+    """T4: categorization with learning over a file stream (memory carried by snapshots)."""
+    from spendlake.streaming import stream as ST
+    src = _event_files(spark, sf)
+    labels, mem = scratch_path(spark, "stream-labels"), scratch_path(spark, "stream-memory")
+    s = ST.statement_stream(spark, src, _EVENT_CSV_SCHEMA, _event_txn)
+    ST.run_available(s, ST.learn_batch(labels, mem, "event_id", RULES_E_MAP, 80),
+                     scratch_path(spark, "stream-ckpt"))
+    out = spark.read.parquet(labels)
+    return out.select("event_id", F.round("confidence", 6).alias("confidence"), "category", "matched_by")
