@@ -12,13 +12,12 @@ The LCS is the bit-parallel algorithm (Allison-Dix / Crochemore et al. 2001 / Hy
 written as an ``aggregate`` over the characters of one string with a 64-bit state, so it
 runs inside the JVM. Character masks of the pattern are computed once per keyword
 (``pattern_masks``), the small side of every join. Patterns longer than 62 characters go
-through an Arrow pandas UDF (dynamic programming).
+through a native dynamic-programming ``aggregate`` (no Python in the plan).
 """
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 MAX_BITS = 62  # pattern length that fits a signed 64-bit state without overflow
 
@@ -69,19 +68,20 @@ def lcs_bits(text, masks, m) -> Column:
     return _col(m) - F.bit_count(v)
 
 
-@F.pandas_udf(T.IntegerType())
-def _lcs_dp(a, b):  # pragma: no cover - executed on executors
-    def one(x, y):
-        if x is None or y is None:
-            return 0
-        prev = [0] * (len(y) + 1)
-        for ch in x:
-            cur = [0]
-            for j, cy in enumerate(y):
-                cur.append(prev[j] + 1 if ch == cy else max(prev[j + 1], cur[j]))
-            prev = cur
-        return prev[-1]
-    return a.combine(b, one)
+def lcs_dp(x, y) -> Column:
+    """LCS length by dynamic programming, row by row, as nested ``aggregate`` calls (any
+    length, O(|x|*|y|)); used only for patterns too long for one 64-bit word."""
+    x, y = _col(x), _col(y)
+    m = F.length(y)
+
+    def next_row(prev, ch):
+        def cell(acc, j):
+            v = F.when(F.substring(y, j, 1) == ch, F.element_at(prev, j) + 1).otherwise(
+                F.greatest(F.element_at(prev, j + 1), F.element_at(acc, j)))
+            return F.concat(acc, F.array(v))
+        return F.aggregate(F.sequence(F.lit(1), m), F.array(F.lit(0)), cell)
+    start = F.array_repeat(F.lit(0), m + 1)
+    return F.element_at(F.aggregate(chars(x), start, next_row), m + 1)
 
 
 def lcs(x, y, y_masks=None) -> Column:
@@ -91,7 +91,7 @@ def lcs(x, y, y_masks=None) -> Column:
     masks = y_masks if y_masks is not None else pattern_masks(y)
     return (F.when(ly <= MAX_BITS, lcs_bits(x, masks, ly))
             .when(lx <= MAX_BITS, lcs_bits(y, pattern_masks(x), lx))
-            .otherwise(_lcs_dp(x, y)))
+            .otherwise(lcs_dp(x, y)))
 
 
 def token_set_ratio_parts(a_tokens, b_tokens, b_joined=None, b_masks=None) -> Column:
@@ -124,6 +124,42 @@ def token_set_ratio_parts(a_tokens, b_tokens, b_joined=None, b_masks=None) -> Co
             .otherwise(F.greatest(r1, r_ab, r_ba)))
 
 
+def score_pairs(pairs, a_tokens: str, b_tokens: str, b_joined: str | None = None,
+                b_masks: str | None = None, out: str = "score"):
+    """DataFrame form of ``token_set_ratio_parts``: the same score computed in staged
+    projections (set parts, then LCS, then the ratio), so each intermediate is evaluated
+    once per pair and the plan stays small."""
+    a, b = F.col(a_tokens), F.col(b_tokens)
+    p = pairs.withColumns({"_inter": F.array_intersect(a, b), "_xa": F.array_except(a, b),
+                           "_yb": F.array_except(b, a)})
+    p = p.withColumns({"_x": F.array_join("_xa", " "), "_y": F.array_join("_yb", " "),
+                       "_s": F.length(F.array_join("_inter", " ")),
+                       "_na": F.size(a), "_nb": F.size(b), "_ni": F.size("_inter"),
+                       "_nx": F.size("_xa"), "_ny": F.size("_yb")})
+    lx, ly = F.length("_x"), F.length("_y")
+    if b_joined is not None and b_masks is not None:
+        fast = (F.col("_ni") == 0) & (F.length(b_joined) <= MAX_BITS)
+        lcs_len = F.when(fast, lcs_bits(F.col("_x"), F.col(b_masks), F.length(b_joined))) \
+            .otherwise(lcs(F.col("_x"), F.col("_y")))
+    else:
+        lcs_len = lcs(F.col("_x"), F.col("_y"))
+    need = (F.col("_na") > 0) & (F.col("_nb") > 0) & ~((F.col("_ni") > 0) & ((F.col("_nx") == 0) | (F.col("_ny") == 0)))
+    p = p.withColumns({"_lcs": F.when(need, lcs_len), "_lx": lx, "_ly": ly,
+                       "_sep": F.when(F.col("_s") > 0, 1).otherwise(0)})
+    s_, sep, lx, ly = F.col("_s"), F.col("_sep"), F.col("_lx"), F.col("_ly")
+    la, lb = s_ + sep + lx, s_ + sep + ly
+    r1 = F.lit(100.0) - F.lit(100.0) * (lx + ly - 2 * F.col("_lcs")) / (la + lb)
+    r_ab = F.lit(100.0) - F.lit(100.0) * (sep + lx) / (s_ + la)
+    r_ba = F.lit(100.0) - F.lit(100.0) * (sep + ly) / (s_ + lb)
+    score = (F.when((F.col("_na") == 0) | (F.col("_nb") == 0), F.lit(0.0))
+             .when((F.col("_ni") > 0) & ((F.col("_nx") == 0) | (F.col("_ny") == 0)), F.lit(100.0))
+             .when(s_ == 0, r1)
+             .otherwise(F.greatest(r1, r_ab, r_ba)))
+    tmp = ["_inter", "_xa", "_yb", "_x", "_y", "_s", "_na", "_nb", "_ni", "_nx", "_ny", "_lcs", "_lx",
+           "_ly", "_sep"]
+    return p.withColumn(out, score).drop(*tmp)
+
+
 def token_set_ratio(a, b) -> Column:
     """F9 on two string Columns (0..100, case-sensitive, no preprocessing)."""
     return token_set_ratio_parts(token_set(a), token_set(b))

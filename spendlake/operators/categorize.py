@@ -1,12 +1,12 @@
 """Categorization (C0-C5): memory lookup -> fuzzy argmax -> first keyword rule -> default.
 
 Plan shape (per call):
-  rows -> project keys (merchant F1, description key F2, memory key F1(F1))
-       -> distinct (merchant, dkey) pairs            [partial + final hash aggregate]
+  rows -> distinct descriptions                       [partial + final hash aggregate]
+       -> keys (merchant F1, description key F2, memory key F1(F1)) per description
        -> memory (equi join), fuzzy best per merchant (broadcast rules, prefiltered theta
           join, max(struct) argmax), first keyword per dkey (broadcast rules, instr theta
-          join, min_by) -> one small resolution table
-       -> joined back to the rows once on (merchant, dkey).
+          join, min_by) -> one resolution table, one row per distinct description
+       -> joined back to the rows once on the description.
 Rows never meet the rules directly; the per-pair work is done once per distinct value.
 AQE turns the join back into a broadcast when the resolution table is small, and splits
 hot keys (skew join) when it is not.
@@ -19,17 +19,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlake.functions.similarity import (
-    MAX_BITS, may_reach, pattern_masks, token_set, token_set_ratio_parts,
+    MAX_BITS, may_reach, pattern_masks, score_pairs, token_set,
 )
 from spendlake.functions.text import description_key, merchant_name
 from spendlake.operators.rules import MAX_INLINE_KEYWORDS, keyword_table, rules_frame
 from spendlake.schema import CONFIDENCE_KEYWORD, CONFIDENCE_MEMORY, DEFAULT_CATEGORY, FUZZY_THRESHOLD
 
 
-def _rules_df(df: DataFrame, rules) -> DataFrame:
+def _rules_df(df: DataFrame, rules) -> tuple[DataFrame, int]:
+    """(rule table, its row count): the count is known without a job for a mapping."""
     if rules is None or isinstance(rules, Mapping):
-        return rules_frame(df.sparkSession, rules)
-    return rules
+        from spendlake.operators.rules import rule_rows
+        return rules_frame(df.sparkSession, rules), len(rule_rows(rules))
+    return rules, rules.count()
 
 
 def add_keys(df: DataFrame, description: str = "description") -> DataFrame:
@@ -50,7 +52,8 @@ def prepared_keywords(rules: DataFrame, case_insensitive: bool = False) -> DataF
 
 
 def fuzzy_best(merchants: DataFrame, rules: DataFrame, threshold: int = FUZZY_THRESHOLD,
-               case_insensitive: bool = False, merchant: str = "_merchant") -> DataFrame:
+               case_insensitive: bool = False, merchant: str = "_merchant",
+               n_keywords: int | None = None) -> DataFrame:
     """C2 on distinct merchants: best keyword by token-set ratio, earliest keyword on ties,
     accepted when ratio >= threshold (and > 0). Returns (merchant, fuzzy_category,
     fuzzy_confidence) for accepted merchants only."""
@@ -59,15 +62,17 @@ def fuzzy_best(merchants: DataFrame, rules: DataFrame, threshold: int = FUZZY_TH
          .withColumn("m_tokens", token_set(text))
          .withColumn("m_len", F.length(F.array_join("m_tokens", " "))))
     kw = prepared_keywords(rules, case_insensitive)
-    if threshold > 0 and rules.count() > MAX_INLINE_KEYWORDS:
+    n_keywords = rules.count() if n_keywords is None else n_keywords
+    if threshold > 0 and n_keywords > MAX_INLINE_KEYWORDS:
         pairs = _candidate_pairs_equi(m, kw, threshold, merchant)
     else:
         # keyword table size is checked above: broadcast it, prefilter inside the join
         cond = may_reach(F.col("m_len"), F.col("k_len"), F.col("m_tokens"), F.col("k_tokens"),
                          threshold)
         pairs = m.join(F.broadcast(kw), cond, "inner")
-    score = token_set_ratio_parts("m_tokens", "k_tokens", F.col("k_join"), F.col("k_masks"))
-    conf = score / 100.0
+    pairs = score_pairs(pairs.select(merchant, "ord", "category", "m_tokens", "k_tokens", "k_join",
+                                     "k_masks"), "m_tokens", "k_tokens", "k_join", "k_masks")
+    conf = F.col("score") / 100.0
     scored = (pairs.select(merchant, "ord", "category", conf.alias("conf"))
               .where((F.col("conf") > 0) & (F.col("conf") * 100 >= threshold)))
     best = scored.groupBy(merchant).agg(
@@ -93,10 +98,12 @@ def _candidate_pairs_equi(m: DataFrame, kw: DataFrame, threshold: int, merchant:
     return band.unionByName(extra)
 
 
-def keyword_first(dkeys: DataFrame, rules: DataFrame, dkey: str = "_dkey") -> DataFrame:
+def keyword_first(dkeys: DataFrame, rules: DataFrame, dkey: str = "_dkey",
+                  n_keywords: int | None = None) -> DataFrame:
     """C3 on distinct description keys: category of the first rule (in order) whose keyword
     is a substring. Returns (dkey, keyword_category) for matched keys only."""
-    if rules.count() > MAX_BROADCAST_KEYWORDS:
+    n_keywords = rules.count() if n_keywords is None else n_keywords
+    if n_keywords > MAX_BROADCAST_KEYWORDS:
         raise ValueError(f"keyword rule table over {MAX_BROADCAST_KEYWORDS} rows")
     r = rules.select(F.col("ord").alias("k_ord"), F.col("category").alias("k_cat"), "keyword")
     # rule table size is checked above: broadcast; each distinct key meets every keyword once
@@ -130,21 +137,28 @@ def _memory_hits(memory: DataFrame | None, spark) -> DataFrame:
             .agg(F.max("category").alias("memory_category")))
 
 
-def resolve(keyed: DataFrame, rules: DataFrame, memory: DataFrame | None,
-            threshold: int, case_insensitive: bool) -> DataFrame:
-    """Resolution table over distinct (merchant, dkey): memory, fuzzy, keyword results."""
-    spark = keyed.sparkSession
-    pairs = keyed.select("_merchant", "_dkey", "_mkey").distinct()
+def resolve(descs: DataFrame, rules: DataFrame, memory: DataFrame | None,
+            threshold: int, case_insensitive: bool, description: str = "description",
+            n_keywords: int | None = None) -> DataFrame:
+    """Resolution table over distinct descriptions: keys, memory, fuzzy and keyword
+    results. Every per-text cost (F1/F2, similarity, substring rules) is paid once per
+    distinct description, never per row."""
+    spark = descs.sparkSession
+    # Barrier: without it Catalyst folds "distinct merchants of distinct descriptions" into
+    # one aggregate over the rows (RemoveRedundantAggregates) and evaluates F1 per row.
+    # The shuffle moves only the distinct-description table.
+    keyed = add_keys(descs.repartition(description), description)
     mem = _memory_hits(memory, spark)
-    pairs = pairs.join(mem, "_mkey", "left")
-    # short-circuit: only merchants without a memory hit are scored
-    todo = pairs.where(F.col("memory_category").isNull()).select("_merchant").distinct()
-    fz = fuzzy_best(todo, rules, threshold, case_insensitive)
-    kw = keyword_first(pairs.where(F.col("memory_category").isNull()).select("_dkey").distinct(), rules)
-    return pairs.join(fz, "_merchant", "left").join(kw, "_dkey", "left")
+    keyed = keyed.join(mem, "_mkey", "left")
+    # short-circuit: only merchants / keys without a memory hit are scored
+    open_ = keyed.where(F.col("memory_category").isNull())
+    fz = fuzzy_best(open_.select("_merchant").distinct(), rules, threshold, case_insensitive,
+                    n_keywords=n_keywords)
+    kw = keyword_first(open_.select("_dkey").distinct(), rules, n_keywords=n_keywords)
+    return keyed.join(fz, "_merchant", "left").join(kw, "_dkey", "left")
 
 
-def _label_columns(own_first: bool = True):
+def _label_columns():
     category = (F.when(F.col("memory_category").isNotNull(), F.col("memory_category"))
                 .when(F.col("fuzzy_category").isNotNull(), F.col("fuzzy_category"))
                 .when(F.col("keyword_category").isNotNull(), F.col("keyword_category"))
@@ -167,18 +181,21 @@ def categorize(df: DataFrame, rules=None, memory: DataFrame | None = None,
 
     ``rules``: None (defaults), a mapping category -> keywords, or an (ord, category,
     keyword) DataFrame. ``memory``: (merchant, category) DataFrame of learned merchants.
+    Plan: distinct descriptions (partial + final hash aggregate) -> resolution -> one
+    join back on the description.
     """
-    rules = _rules_df(df, rules)
-    keyed = add_keys(df, description)
-    res = resolve(keyed, rules, memory, threshold, case_insensitive)
-    out = keyed.join(res.drop("_mkey"), ["_merchant", "_dkey"], "left")
+    rules, n_kw = _rules_df(df, rules)
+    descs = df.select(description).where(F.col(description).isNotNull()).distinct()
+    res = resolve(descs, rules, memory, threshold, case_insensitive, description, n_kw)
     category, confidence, matched = _label_columns()
+    res = res.select(description, category.alias("category"), confidence.alias("confidence"),
+                     matched.alias("matched_by"))
+    out = df.join(res, description, "left")
     guard = F.coalesce(F.col(description), F.lit("")) == ""
-    out = out.select(*df.columns,
-                     F.when(guard, F.lit(DEFAULT_CATEGORY)).otherwise(category).alias("category"),
-                     F.when(guard, F.lit(0.0)).otherwise(confidence).alias("confidence"),
-                     F.when(guard, F.lit("default")).otherwise(matched).alias("matched_by"))
-    return out
+    return out.select(*df.columns,
+                      F.when(guard, F.lit(DEFAULT_CATEGORY)).otherwise(F.col("category")).alias("category"),
+                      F.when(guard, F.lit(0.0)).otherwise(F.col("confidence")).alias("confidence"),
+                      F.when(guard, F.lit("default")).otherwise(F.col("matched_by")).alias("matched_by"))
 
 
 def categorize_learn(df: DataFrame, order: str, rules=None, memory: DataFrame | None = None,
@@ -187,32 +204,37 @@ def categorize_learn(df: DataFrame, order: str, rules=None, memory: DataFrame |
     """Categorize with learning, as if rows were processed one by one in ``order``.
 
     After a fuzzy/keyword hit the merchant is remembered, so every later row with the same
-    memory key is a memory hit (0.95) with the first row's category. Set-based form: the
-    first hit per key is a min(struct(order, category)) aggregate (partial aggregation, no
-    per-key window), joined back. Returns (labeled rows, new memory).
+    memory key is a memory hit (0.95) with the first row's category. Set-based form:
+      rows -> per description: min(order)             [one hash aggregate over the rows]
+      descriptions -> resolution -> own result (fuzzy or keyword, when no memory hit)
+      per memory key: the (min order, own) of its earliest description   [small]
+      rows join back on description; a row is a learned hit when the key's first order
+      is before its own order.
+    No per-key window: a merchant holding a third of all rows is combined map-side.
+    Returns (labeled rows, new memory).
     """
-    rules = _rules_df(df, rules)
-    keyed = add_keys(df, description)
-    res = resolve(keyed, rules, memory, threshold, case_insensitive)
-    lab = keyed.join(res, ["_merchant", "_dkey", "_mkey"], "left")
-    own = (F.when(F.col("fuzzy_category").isNotNull(), F.col("fuzzy_category"))
-           .when(F.col("keyword_category").isNotNull(), F.col("keyword_category")))
-    guard = F.coalesce(F.col(description), F.lit("")) == ""
-    lab = lab.withColumn("_own", F.when(~guard & F.col("memory_category").isNull(), own))
-    first = (lab.where(F.col("_own").isNotNull() & (F.col("_mkey") != ""))
+    rules, n_kw = _rules_df(df, rules)
+    descs = (df.where(F.col(description).isNotNull() & (F.col(description) != ""))
+             .groupBy(description).agg(F.min(order).alias("_first_seq")))
+    res = resolve(descs, rules, memory, threshold, case_insensitive, description, n_kw)
+    own = (F.when(F.col("memory_category").isNull(),
+                  F.coalesce(F.col("fuzzy_category"), F.col("keyword_category"))))
+    res = res.withColumn("_own", own)
+    first = (res.where(F.col("_own").isNotNull() & (F.col("_mkey") != ""))
              .groupBy("_mkey")
-             .agg(F.min(F.struct(F.col(order).alias("seq"), F.col("_own").alias("cat"))).alias("f")))
-    lab = lab.join(first, "_mkey", "left")
-    learned = F.col("f.seq") < F.col(order)
+             .agg(F.min(F.struct(F.col("_first_seq").alias("seq"), F.col("_own").alias("cat"))).alias("f")))
     category, confidence, matched = _label_columns()
+    res = (res.join(first, "_mkey", "left")
+           .select(description, category.alias("_c"), confidence.alias("_p"), matched.alias("_m"),
+                   F.col("f.seq").alias("_fseq"), F.col("f.cat").alias("_fcat")))
+    lab = df.join(res, description, "left")
+    learned = F.col("_fseq") < F.col(order)
+    guard = F.coalesce(F.col(description), F.lit("")) == ""
     out = lab.select(
         *df.columns,
-        F.when(guard, F.lit(DEFAULT_CATEGORY)).when(learned, F.col("f.cat"))
-         .otherwise(category).alias("category"),
-        F.when(guard, F.lit(0.0)).when(learned, F.lit(CONFIDENCE_MEMORY))
-         .otherwise(confidence).alias("confidence"),
-        F.when(guard, F.lit("default")).when(learned, F.lit("memory"))
-         .otherwise(matched).alias("matched_by"))
+        F.when(guard, F.lit(DEFAULT_CATEGORY)).when(learned, F.col("_fcat")).otherwise(F.col("_c")).alias("category"),
+        F.when(guard, F.lit(0.0)).when(learned, F.lit(CONFIDENCE_MEMORY)).otherwise(F.col("_p")).alias("confidence"),
+        F.when(guard, F.lit("default")).when(learned, F.lit("memory")).otherwise(F.col("_m")).alias("matched_by"))
     new_mem = first.select(F.col("_mkey").alias("merchant"), F.col("f.cat").alias("category"))
     if memory is not None:
         kept = memory.join(new_mem.select("merchant"), "merchant", "left_anti")

@@ -51,8 +51,14 @@ def rule_rows(rules: Mapping[str, Sequence[str]]) -> list[tuple[int, str, str]]:
 
 
 def rules_frame(spark: SparkSession, rules: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """The rule table as a DataFrame (a few hundred rows at most)."""
-    return spark.createDataFrame(rule_rows(rules or DEFAULT_RULES), RULES)
+    """The rule table as a DataFrame (a few hundred rows at most), built as a JVM-local
+    relation (no Python RDD job when it is scanned)."""
+    rows = rule_rows(rules or DEFAULT_RULES)
+    if not rows:
+        return spark.createDataFrame([], RULES)
+    structs = [F.struct(F.lit(o).cast("int").alias("ord"), F.lit(c).alias("category"),
+                        F.lit(k).alias("keyword")) for o, c, k in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
 
 
 def keyword_table(rules: DataFrame) -> DataFrame:

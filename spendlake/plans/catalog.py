@@ -186,7 +186,7 @@ def keyword_category_join(spark: SparkSession, sf: str) -> DataFrame:
     """C3 through the rules-table form: distinct description keys x broadcast rules."""
     t = txn_l(spark, sf).withColumn("_dkey", X.description_key("description"))
     rules = R.rules_frame(spark, RULES_P)
-    kw = C.keyword_first(t.select("_dkey").distinct(), rules)
+    kw = C.keyword_first(t.select("_dkey").distinct(), rules, n_keywords=len(ROWS_P))
     out = t.join(kw, "_dkey", "left")
     return out.select("l_orderkey", "l_linenumber", "description",
                       F.coalesce("keyword_category", F.lit("Uncategorized")).alias("category"))
@@ -216,8 +216,9 @@ _MERCH_L_SQL = O.merchant_select(f"SELECT DISTINCT description FROM ({TXN_L_SQL}
     f"LEFT JOIN ({O.fuzzy_best(_MERCH_L_SQL, ROWS_P, 80)}) f ON m.merchant = f.merchant"))
 def fuzzy_category(spark: SparkSession, sf: str) -> DataFrame:
     """Best keyword by token-set ratio for every distinct merchant."""
-    m = txn_l(spark, sf).select(X.merchant_name("description").alias("_merchant")).distinct()
-    best = C.fuzzy_best(m, R.rules_frame(spark, RULES_P), 80)
+    d = txn_l(spark, sf).select("description").distinct().repartition("description")  # see resolve()
+    m = d.select(X.merchant_name("description").alias("_merchant")).distinct()
+    best = C.fuzzy_best(m, R.rules_frame(spark, RULES_P), 80, n_keywords=len(ROWS_P))
     out = m.join(best, "_merchant", "left")
     return out.select(F.col("_merchant").alias("merchant"),
                       F.coalesce("fuzzy_category", F.lit("Uncategorized")).alias("category"),
