@@ -34,7 +34,7 @@ def _bit(j) -> Column:
 def token_set(c) -> Column:
     """Sorted distinct whitespace tokens (``sorted(set(s.split()))``)."""
     toks = F.split(F.coalesce(_col(c), F.lit("")), r"(?U)\s+")
-    return F.array_sort(F.array_distinct(F.filter(toks, lambda t: t != "")))
+    return F.sort_array(F.array_distinct(F.filter(toks, lambda t: t != "")))
 
 
 def chars(c) -> Column:

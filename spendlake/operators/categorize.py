@@ -72,11 +72,13 @@ def fuzzy_best(merchants: DataFrame, rules: DataFrame, threshold: int = FUZZY_TH
         pairs = m.join(F.broadcast(kw), cond, "inner")
     pairs = score_pairs(pairs.select(merchant, "ord", "category", "m_tokens", "k_tokens", "k_join",
                                      "k_masks"), "m_tokens", "k_tokens", "k_join", "k_masks")
-    conf = F.col("score") / 100.0
-    scored = (pairs.select(merchant, "ord", "category", conf.alias("conf"))
-              .where((F.col("conf") > 0) & (F.col("conf") * 100 >= threshold)))
+    # argmax first, threshold after: acceptance depends only on the best score, so this is
+    # the same result, and a filter on the aggregate cannot be pushed into the join (where
+    # Catalyst would evaluate the whole score for every pair before the cheap prefilter)
+    scored = pairs.select(merchant, "ord", "category", (F.col("score") / 100.0).alias("conf"))
     best = scored.groupBy(merchant).agg(
         F.max(F.struct("conf", (-F.col("ord")).alias("neg_ord"), "category")).alias("b"))
+    best = best.where((F.col("b.conf") > 0) & (F.col("b.conf") * 100 >= threshold))
     return best.select(merchant, F.col("b.category").alias("fuzzy_category"),
                        F.col("b.conf").alias("fuzzy_confidence"))
 

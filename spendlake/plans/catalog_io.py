@@ -13,7 +13,7 @@ from spendlake.functions import values as V
 from spendlake.operators import memory as M
 from spendlake.operators import rules as R
 from spendlake.plans import oracle as O
-from spendlake.plans.catalog import _KW_L_SQL, _LEARN_SQL, _keyword_labeled, query
+from spendlake.plans.catalog import _KW_L_SQL, _LEARN_SQL, _categorize_sql, _keyword_labeled, _label_sql, query
 from spendlake.plans.views import RULES_E as RULES_E_MAP
 from spendlake.plans.views import MEMORY_P_SQL_SRC, TXN_E_SQL, TXN_L_SQL, memory_from_part, table, txn_e, txn_l
 from spendlake.session import scratch_path
@@ -511,3 +511,33 @@ def stream_learn(spark: SparkSession, sf: str) -> DataFrame:
                      scratch_path(spark, "stream-ckpt"))
     out = spark.read.parquet(labels)
     return out.select("event_id", F.round("confidence", 6).alias("confidence"), "category", "matched_by")
+
+
+# --------------------------------------------------------------------- end to end
+
+_PIPE_SRC = _INGEST_SRC.replace("CASE WHEN o_orderstatus = 'F' THEN 'chequing' ELSE 'savings' END AS account",
+                                "'chequing' AS account")
+_PIPE_TXN = f"SELECT date, {O.f2('raw')} AS description, amount, account FROM ({_PIPE_SRC}) _s"
+_PIPE_IDS = ("SELECT date, description, amount, account, " + O.txn_id("date", "merchant", "amount", "account")
+             + " AS transaction_id FROM (" + O.merchant_select(_PIPE_TXN, "description") + ") _q")
+_PIPE_SQL = _label_sql(_categorize_sql(_PIPE_IDS, R.rule_rows(R.DEFAULT_RULES), 80, None,
+                                       "k.date, k.description, k.amount, k.account, k.transaction_id"),
+                       "date, description, amount, account, transaction_id")
+_PIPE_OUT = ("SELECT date, description AS name, category, account AS spent_from, amount, '' AS notes, transaction_id "
+             f"FROM ({_PIPE_SQL}) _p")
+
+
+@query("pipeline_end_to_end", _PIPE_OUT)
+def pipeline_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
+    """Statements (two header layouts, one folder) -> scan -> categorize (default
+    rules) -> append to a new target; the target read back."""
+    from spendlake.plans.pipeline import run_pipeline
+    root = _statement_files(spark, sf)
+    folder = scratch_path(spark, "pipeline-in")
+    for layout in ("layout_a", "layout_b"):
+        spark.read.option("header", True).csv(f"{root}/{layout}").write.mode("append") \
+            .option("header", True).csv(folder)
+    target = scratch_path(spark, "pipeline-target")
+    run_pipeline(spark, folder, target, scratch_path(spark, "pipeline-ledger"),
+                 scratch_path(spark, "pipeline-memory"), account="chequing", learn=False)
+    return spark.read.parquet(target).drop("month")

@@ -18,7 +18,7 @@ from spendlake.schema import CSV_HEADINGS, TARGET, require_columns
 PARTITION = "month"
 
 
-def to_transactions(df: DataFrame) -> DataFrame:
+def to_transactions(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The record projection (date, name, category, spent_from, amount, notes, id).
     Requires date, description, category, account, amount, transaction_id; notes is
     optional (""), nulls stay null."""
@@ -31,7 +31,7 @@ def to_transactions(df: DataFrame) -> DataFrame:
                      F.col("account").cast("string").alias("spent_from"),
                      F.col("amount").cast("double").alias("amount"),
                      notes.alias("notes"),
-                     F.col("transaction_id").cast("string").alias("transaction_id"))
+                     F.col("transaction_id").cast("string").alias("transaction_id"), *keep)
 
 
 def export_projection(records: DataFrame) -> DataFrame:

@@ -119,3 +119,37 @@ def test_stream_append_replay_safe_and_learning_across_batches(spark, tmp_path):
     out = {r.event_id: (r.category, r.matched_by) for r in spark.read.parquet(labels).collect()}
     assert out[1] == ("Fun", "fuzzy") and out[2] == ("Fun", "memory") and out[3] == ("Fun", "memory")
     assert out[4] == ("Look", "keyword")
+
+
+def test_pipeline_end_to_end_idempotent(spark, tmp_path):
+    from spendlake.plans.pipeline import run_pipeline
+    from spendlake.sources import snapshots as SN
+    d = tmp_path / "stmts"
+    write(d / "2024-01.csv", "Date,Description,Amount\n2024-01-15,STARBUCKS COFFEE #12,5.50\n"
+                              "2024-01-16,TIM HORTONS #1,2.00\n2024-01-17,STARBUCKS COFFEE #99,7.00\n")
+    write(d / "2024-02.csv", "Date,Description,Amount\n2024-01-15,STARBUCKS COFFEE #12,5.50\n"
+                              "2024-02-01,PAYROLL DEPOSIT,1000\n")
+    write(d / "notes.pdf", "%PDF-1.4")
+    write(d / "readme.md", "x")
+    paths = dict(target_path=str(tmp_path / "t"), ledger_root=str(tmp_path / "l"), memory_root=str(tmp_path / "m"))
+    r1 = run_pipeline(spark, str(d), account="chequing", **paths)
+    assert (r1.files_processed, r1.files_skipped, r1.rows_parsed, r1.rows_appended) == (2, 1, 5, 4)
+    t = spark.read.parquet(paths["target_path"])
+    cats = {r.name: (r.category) for r in t.collect()}
+    assert cats["payroll deposit"] == "Salary" and cats["tim hortons 1"] == "Dining"
+    led = SN.load_latest(spark, paths["ledger_root"]).orderBy("file_path").collect()
+    assert [(r.row_count, r.transactions_added) for r in led] == [(3, 3), (2, 1)]
+    assert SN.load_latest(spark, paths["memory_root"]).count() >= 2
+    r2 = run_pipeline(spark, str(d), account="chequing", **paths)
+    assert (r2.files_processed, r2.rows_appended) == (0, 0)
+    assert spark.read.parquet(paths["target_path"]).count() == 4
+
+
+def test_probe_roles_and_dedupe_stream(spark):
+    df = spark.createDataFrame([(["transaction_date", "description", "merchant", "cad"],)], "names array<string>")
+    r = df.select(I.probe_roles(F.col("names")).alias("r")).first().r
+    assert (r.date_idx, r.amount_idx, list(r.descriptions)) == (1, 4, ["description", "merchant"])
+    s = spark.readStream.format("rate").option("rowsPerSecond", 5).load()
+    s = s.select(F.col("timestamp").alias("ts"), (F.col("value") % 3).cast("string").alias("transaction_id"))
+    out = ST.dedupe_stream(s, "ts", "1 hour")
+    assert out.isStreaming and "transaction_id" in out.columns
