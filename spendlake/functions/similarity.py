@@ -57,14 +57,15 @@ def pattern_masks(c) -> Column:
     return F.map_from_arrays(cs, F.transform(cs, mask))
 
 
-def lcs_bits(text, masks, m) -> Column:
-    """LCS length of ``text`` and a pattern of length ``m`` (<= 62) given its masks."""
+def lcs_bits(text, masks, m, text_chars=None) -> Column:
+    """LCS length of ``text`` and a pattern of length ``m`` (<= 62) given its masks
+    (``text_chars``: the text already split into characters, if at hand)."""
     full = _bit(m) - 1
 
     def step(v, ch):
         u = v.bitwiseAND(F.coalesce(F.try_element_at(masks, ch), F.lit(0).cast("long")))
         return (v + u).bitwiseOR(v - u).bitwiseAND(full)
-    v = F.aggregate(chars(text), full, step)
+    v = F.aggregate(chars(text) if text_chars is None else _col(text_chars), full, step)
     return _col(m) - F.bit_count(v)
 
 
@@ -125,7 +126,7 @@ def token_set_ratio_parts(a_tokens, b_tokens, b_joined=None, b_masks=None) -> Co
 
 
 def score_pairs(pairs, a_tokens: str, b_tokens: str, b_joined: str | None = None,
-                b_masks: str | None = None, out: str = "score"):
+                b_masks: str | None = None, out: str = "score", a_chars: str | None = None):
     """DataFrame form of ``token_set_ratio_parts``: the same score computed in staged
     projections (set parts, then LCS, then the ratio), so each intermediate is evaluated
     once per pair and the plan stays small."""
@@ -139,7 +140,8 @@ def score_pairs(pairs, a_tokens: str, b_tokens: str, b_joined: str | None = None
     lx, ly = F.length("_x"), F.length("_y")
     if b_joined is not None and b_masks is not None:
         fast = (F.col("_ni") == 0) & (F.length(b_joined) <= MAX_BITS)
-        lcs_len = F.when(fast, lcs_bits(F.col("_x"), F.col(b_masks), F.length(b_joined))) \
+        lcs_len = F.when(fast, lcs_bits(F.col("_x"), F.col(b_masks), F.length(b_joined),
+                                        text_chars=a_chars)) \
             .otherwise(lcs(F.col("_x"), F.col("_y")))
     else:
         lcs_len = lcs(F.col("_x"), F.col("_y"))

@@ -32,7 +32,10 @@ def parse_amount(c, strip_currency: bool = True) -> Column:
 def parse_date(c) -> Column:
     """first format that parses, per row; otherwise null. Returns DATE."""
     s = F.trim(_col(c).cast("string"))
-    tries = [F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATE_FORMATS]
+    # each format is only tried on text of a shape it can parse (a necessary condition, so
+    # the first-format-that-parses result is unchanged; failed parses are the slow path)
+    shapes = {"yyyy-MM-dd": r"^\d{4}-", "yyyy-MM-dd HH:mm:ss": r"^\d{4}-.*:", "M/d/yyyy": "/"}
+    tries = [F.when(s.rlike(shapes[fmt]), F.try_to_timestamp(s, F.lit(fmt))) for fmt in DATE_FORMATS]
     # Two-digit years: pivot like strptime's %y, then parse with a 4-digit year.
     yy = F.regexp_extract(s, DMY2, 3)
     year = F.when(yy.cast("int") < YY_PIVOT, F.lit(2000)).otherwise(F.lit(1900)) + yy.cast("int")

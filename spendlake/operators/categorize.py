@@ -19,10 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlake.functions.similarity import (
-    MAX_BITS, may_reach, pattern_masks, score_pairs, token_set,
+    MAX_BITS, chars, may_reach, pattern_masks, score_pairs, token_set,
 )
 from spendlake.functions.text import description_key, merchant_name
 from spendlake.operators.rules import MAX_INLINE_KEYWORDS, keyword_table, rules_frame
+from spendlake.session import spread
 from spendlake.schema import CONFIDENCE_KEYWORD, CONFIDENCE_MEMORY, DEFAULT_CATEGORY, FUZZY_THRESHOLD
 
 
@@ -58,20 +59,28 @@ def fuzzy_best(merchants: DataFrame, rules: DataFrame, threshold: int = FUZZY_TH
     accepted when ratio >= threshold (and > 0). Returns (merchant, fuzzy_category,
     fuzzy_confidence) for accepted merchants only."""
     text = F.lower(merchant) if case_insensitive else F.col(merchant)
-    m = (merchants.select(merchant).where(F.col(merchant) != "")
+    # (no filter on empty merchants here: it would be pushed below the aggregates to the
+    # scan; an empty merchant has no tokens, scores 0 and is never accepted)
+    m = (spread(merchants.select(merchant))
          .withColumn("m_tokens", token_set(text))
-         .withColumn("m_len", F.length(F.array_join("m_tokens", " "))))
+         .withColumn("m_join", F.array_join("m_tokens", " ")))
+    # characters of the token string, split once per merchant (the LCS text whenever the
+    # merchant and keyword share no token)
+    m = m.select("*", F.length("m_join").alias("m_len"), chars("m_join").alias("m_chars")).drop("m_join")
     kw = prepared_keywords(rules, case_insensitive)
     n_keywords = rules.count() if n_keywords is None else n_keywords
-    if threshold > 0 and n_keywords > MAX_INLINE_KEYWORDS:
-        pairs = _candidate_pairs_equi(m, kw, threshold, merchant)
+    if threshold > 0:
+        # exact candidate pairs by equi-joins (length band, shared token): no nested loop
+        pairs = _candidate_pairs_equi(m, kw, threshold, merchant, broadcast=n_keywords <= MAX_INLINE_KEYWORDS)
     else:
-        # keyword table size is checked above: broadcast it, prefilter inside the join
-        cond = may_reach(F.col("m_len"), F.col("k_len"), F.col("m_tokens"), F.col("k_tokens"),
-                         threshold)
-        pairs = m.join(F.broadcast(kw), cond, "inner")
-    pairs = score_pairs(pairs.select(merchant, "ord", "category", "m_tokens", "k_tokens", "k_join",
-                                     "k_masks"), "m_tokens", "k_tokens", "k_join", "k_masks")
+        # threshold 0 accepts any positive score: every pair is a candidate; the keyword
+        # table is small (checked above) and broadcast
+        if n_keywords > MAX_INLINE_KEYWORDS:
+            raise ValueError("threshold 0 needs every merchant x keyword pair; rule set too large")
+        pairs = m.crossJoin(F.broadcast(kw))
+    pairs = score_pairs(pairs.select(merchant, "ord", "category", "m_tokens", "m_chars", "k_tokens",
+                                     "k_join", "k_masks"), "m_tokens", "k_tokens", "k_join", "k_masks",
+                        a_chars="m_chars")
     # argmax first, threshold after: acceptance depends only on the best score, so this is
     # the same result, and a filter on the aggregate cannot be pushed into the join (where
     # Catalyst would evaluate the whole score for every pair before the cheap prefilter)
@@ -83,21 +92,28 @@ def fuzzy_best(merchants: DataFrame, rules: DataFrame, threshold: int = FUZZY_TH
                        F.col("b.conf").alias("fuzzy_confidence"))
 
 
-def _candidate_pairs_equi(m: DataFrame, kw: DataFrame, threshold: int, merchant: str) -> DataFrame:
-    """Candidate (merchant, keyword) pairs for large rule sets without a nested loop:
-    equi-join on every merchant length inside the keyword's reachable length band, plus
-    equi-join on shared tokens. Same candidates as ``may_reach`` (lossless)."""
+def _candidate_pairs_equi(m: DataFrame, kw: DataFrame, threshold: int, merchant: str,
+                          broadcast: bool = True) -> DataFrame:
+    """Candidate (merchant, keyword) pairs without a nested loop, same set as ``may_reach``,
+    from one equi-join on probe keys: a merchant probes with its token-string length and
+    each of its tokens; a keyword is listed under every length inside its reachable band
+    [k*t/(2-t), k*(2-t)/t] and under each of its tokens (a shared token is the only way to
+    score high outside the band). A pair found twice is scored twice; the per-merchant max
+    does not care. The keyword side (keywords x (band width + tokens) rows) is bounded and
+    broadcast when the rule set is small; merchants are read once."""
     t = threshold / 100.0
     lo = F.ceil(F.col("k_len") * t / (2.0 - t) - 1e-9).cast("int")
     hi = F.floor(F.col("k_len") * (2.0 - t) / t + 1e-9).cast("int")
-    by_len = kw.withColumn("m_len", F.explode(F.sequence(F.greatest(lo, F.lit(0)), hi)))
-    band = m.join(by_len, "m_len")
-    mt = m.select(merchant, F.explode("m_tokens").alias("tok"))
-    kt = kw.select("ord", F.explode("k_tokens").alias("tok"))
-    shared = mt.join(kt, "tok").select(merchant, "ord").distinct()
-    extra = (shared.join(band.select(merchant, "ord"), [merchant, "ord"], "left_anti")
-             .join(m, merchant).join(kw, "ord"))
-    return band.unionByName(extra)
+    lens = F.transform(F.sequence(F.greatest(lo, F.lit(1)), F.greatest(hi, F.lit(1))),
+                       lambda n: F.concat(F.lit("L"), n.cast("string")))
+    toks = F.transform("k_tokens", lambda x: F.concat(F.lit("T"), x))
+    side = kw.withColumn("_probe", F.explode(F.array_distinct(F.concat(lens, toks))))
+    if broadcast:
+        side = F.broadcast(side)
+    probes = F.concat(F.array(F.concat(F.lit("L"), F.col("m_len").cast("string"))),
+                      F.transform("m_tokens", lambda x: F.concat(F.lit("T"), x)))
+    return (m.withColumn("_probe", F.explode(F.array_distinct(probes)))
+            .join(side, "_probe").drop("_probe"))
 
 
 def keyword_first(dkeys: DataFrame, rules: DataFrame, dkey: str = "_dkey",
@@ -109,7 +125,7 @@ def keyword_first(dkeys: DataFrame, rules: DataFrame, dkey: str = "_dkey",
         raise ValueError(f"keyword rule table over {MAX_BROADCAST_KEYWORDS} rows")
     r = rules.select(F.col("ord").alias("k_ord"), F.col("category").alias("k_cat"), "keyword")
     # rule table size is checked above: broadcast; each distinct key meets every keyword once
-    hits = dkeys.select(dkey).join(F.broadcast(r), F.instr(F.col(dkey), F.col("keyword")) > 0)
+    hits = spread(dkeys.select(dkey)).join(F.broadcast(r), F.instr(F.col(dkey), F.col("keyword")) > 0)
     return hits.groupBy(dkey).agg(F.min_by("k_cat", "k_ord").alias("keyword_category"))
 
 
@@ -146,10 +162,10 @@ def resolve(descs: DataFrame, rules: DataFrame, memory: DataFrame | None,
     results. Every per-text cost (F1/F2, similarity, substring rules) is paid once per
     distinct description, never per row."""
     spark = descs.sparkSession
-    # Barrier: without it Catalyst folds "distinct merchants of distinct descriptions" into
-    # one aggregate over the rows (RemoveRedundantAggregates) and evaluates F1 per row.
-    # The shuffle moves only the distinct-description table.
-    keyed = add_keys(descs.repartition(description), description)
+    # Spread + barrier: without the repartition Catalyst folds "distinct merchants of
+    # distinct descriptions" into one aggregate over the rows (RemoveRedundantAggregates)
+    # and evaluates F1 per row; the shuffle moves only the distinct-description table.
+    keyed = add_keys(spread(descs), description)
     mem = _memory_hits(memory, spark)
     keyed = keyed.join(mem, "_mkey", "left")
     # short-circuit: only merchants / keys without a memory hit are scored

@@ -21,6 +21,8 @@ from spendlake.plans.views import (
     txn_e, txn_l,
 )
 
+from spendlake.session import spread  # noqa: E402
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 ROWS_P = R.rule_rows(RULES_P)
@@ -216,7 +218,7 @@ _MERCH_L_SQL = O.merchant_select(f"SELECT DISTINCT description FROM ({TXN_L_SQL}
     f"LEFT JOIN ({O.fuzzy_best(_MERCH_L_SQL, ROWS_P, 80)}) f ON m.merchant = f.merchant"))
 def fuzzy_category(spark: SparkSession, sf: str) -> DataFrame:
     """Best keyword by token-set ratio for every distinct merchant."""
-    d = txn_l(spark, sf).select("description").distinct().repartition("description")  # see resolve()
+    d = spread(txn_l(spark, sf).select("description").distinct())  # see resolve()
     m = d.select(X.merchant_name("description").alias("_merchant")).distinct()
     best = C.fuzzy_best(m, R.rules_frame(spark, RULES_P), 80, n_keywords=len(ROWS_P))
     out = m.join(best, "_merchant", "left")

@@ -14,7 +14,23 @@ from spendlake.functions.text import merchant_name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A test table. The generated files hold one row group each, so a scan is one task;
+    such inputs are spread over the cores (large inputs with many splits are left alone)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores and _file_bytes(spark, sf_dir, name) > SPREAD_MIN_BYTES:
+        return df.repartition(cores)
+    return df
+
+
+SPREAD_MIN_BYTES = 4 << 20
+
+
+def _file_bytes(spark: SparkSession, sf_dir: str, name: str) -> int:
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(path).getLength())
 
 
 def txn_l(spark: SparkSession, sf_dir: str) -> DataFrame:

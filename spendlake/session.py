@@ -60,3 +60,18 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never-reused sub-path of the shared scratch folder."""
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cpu_parallelism(spark: SparkSession) -> int:
+    """Task count for CPU-heavy work on small tables: the cluster's cores (or the shuffle
+    partition setting, if larger)."""
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(spark.sparkContext.defaultParallelism, min(shuffle, 4 * spark.sparkContext.defaultParallelism))
+
+
+def spread(df):
+    """Round-robin ``df`` over ``cpu_parallelism`` tasks. Used on distinct-value tables that
+    feed per-row CPU-heavy expressions (similarity, title case): AQE would otherwise merge
+    their small post-shuffle partitions into a few tasks, since it sizes by bytes, not by
+    CPU. A user repartition by number is kept as is, and is also an optimizer barrier."""
+    return df.repartition(cpu_parallelism(df.sparkSession))

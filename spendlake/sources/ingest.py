@@ -29,7 +29,7 @@ PROBE_DATE_PATTERNS = ("transaction date", "date", "posted date")
 PROBE_AMOUNT_PATTERNS = ("cad$", "usd$", "amount", "transaction amount")
 NULL_MARKERS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
                 "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
-MAX_COLUMNS = 64
+MAX_COLUMNS = 32
 
 
 def _any_of(pats: Sequence[str]) -> str:
@@ -105,15 +105,15 @@ def read_statements(spark: SparkSession, paths: str | Sequence[str], account="un
     with a null id.
     """
     rows = _scan(spark, paths, max_columns)
-    roles = _file_roles(rows, compat)
-    ok = roles.where((F.col("r.date_idx") > 0) & (F.col("r.desc_idx") > 0) & (F.col("r.amount_idx") > 0))
+    roles = _file_roles(rows, compat, max_columns)
+    ok = roles.where((F.col("date_idx") > 0) & (F.col("desc_idx") > 0) & (F.col("amount_idx") > 0))
+    # one row per file: joined to the rows (AQE broadcasts it when small)
     data = rows.join(ok, "file_path").where(F.col("_mid") != F.col("_hid"))
-    cell = lambda idx: F.element_at(F.col("_cells"), idx.cast("int"))
     acct = account if isinstance(account, Column) else F.lit(account)
     out = data.select("file_path",
                       F.struct("file_path", "_blk", "_mid").alias("row_seq"),
-                      *txn_columns(cell(F.col("r.date_idx")), cell(F.col("r.desc_idx")),
-                                   cell(F.col("r.amount_idx")), acct))
+                      *txn_columns(_pick(F.col("date_idx"), max_columns), _pick(F.col("desc_idx"), max_columns),
+                                   _pick(F.col("amount_idx"), max_columns), acct))
     if bad_dates == "quarantine":
         return out.where(F.col("date").isNotNull())
     if bad_dates == "fail_file":
@@ -127,29 +127,45 @@ def read_statements(spark: SparkSession, paths: str | Sequence[str], account="un
 def statement_rejects(spark: SparkSession, paths, compat: bool = True,
                       max_columns: int = MAX_COLUMNS) -> DataFrame:
     """Files skipped by ``read_statements`` and why (missing role)."""
-    roles = _file_roles(_scan(spark, paths, max_columns), compat)
-    reason = (F.when(F.col("r.desc_idx") == 0, "Cannot find description column in CSV")
-              .when(F.col("r.amount_idx") == 0, "Cannot find amount column in CSV")
-              .when(F.col("r.date_idx") == 0, "Cannot find date column in CSV"))
+    roles = _file_roles(_scan(spark, paths, max_columns), compat, max_columns)
+    reason = (F.when(F.col("desc_idx") == 0, "Cannot find description column in CSV")
+              .when(F.col("amount_idx") == 0, "Cannot find amount column in CSV")
+              .when(F.col("date_idx") == 0, "Cannot find date column in CSV"))
     return roles.select("file_path", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
+def _pick(idx: Column, n: int) -> Column:
+    """Cell ``idx`` (1-based) of a row as a generated CASE over the cell columns."""
+    out = None
+    for i in range(n):
+        out = (F.when(idx == i + 1, F.col(f"_c{i}")) if out is None
+               else out.when(idx == i + 1, F.col(f"_c{i}")))
+    return out
+
+
 def _scan(spark: SparkSession, paths, max_columns: int) -> DataFrame:
+    """All files, headerless, as string cells _c0.._cN plus file, block and row id."""
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(max_columns)])
     raw = (spark.read.schema(schema).option("header", False).option("mode", "PERMISSIVE")
            .option("enforceSchema", True).csv(paths if isinstance(paths, str) else list(paths)))
-    return raw.select(F.array(*[F.col(f"_c{i}") for i in range(max_columns)]).alias("_cells"),
-                      F.col("_metadata.file_path").alias("file_path"),
+    return raw.select("*", F.col("_metadata.file_path").alias("file_path"),
                       F.col("_metadata.file_block_start").alias("_blk"),
                       F.monotonically_increasing_id().alias("_mid"))
 
 
-def _file_roles(rows: DataFrame, compat: bool) -> DataFrame:
-    """One row per file: header row id and column roles (O5: the header probe)."""
-    heads = (rows.where(F.col("_blk") == 0).groupBy("file_path")
-             .agg(F.min_by("_cells", "_mid").alias("_header"), F.min("_mid").alias("_hid")))
+def _file_roles(rows: DataFrame, compat: bool, max_columns: int) -> DataFrame:
+    """One row per file: header row id and column roles (O5: the header probe).
+    The header is the first row of the file's first block: min(row id) there, then only
+    those rows are turned into arrays of names."""
+    first = (rows.where(F.col("_blk") == 0).groupBy(F.col("file_path").alias("_fp"))
+             .agg(F.min("_mid").alias("_hid")))
+    heads = rows.join(first, (F.col("file_path") == F.col("_fp")) & (F.col("_mid") == F.col("_hid")), "inner")
+    heads = heads.select("file_path", "_hid",
+                         F.array(*[F.col(f"_c{i}") for i in range(max_columns)]).alias("_header"))
     names = F.transform(F.filter("_header", lambda n: n.isNotNull()), column_name)
-    return heads.select("file_path", "_hid", header_roles(names, compat).alias("r"))
+    r = header_roles(names, compat)
+    return heads.select("file_path", "_hid", r.date_idx.alias("date_idx"), r.desc_idx.alias("desc_idx"),
+                        r.amount_idx.alias("amount_idx"))
 
 
 def classify_files(spark: SparkSession, paths, recursive: bool = True) -> DataFrame:
