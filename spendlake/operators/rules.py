@@ -75,21 +75,27 @@ def replace_rules(spark: SparkSession, rules: Mapping[str, Sequence[str]]) -> Da
 
 def extend_rules(rules: DataFrame, category: str, keywords: Iterable[str]) -> DataFrame:
     """Add keywords to ``category`` (a new category goes last); keywords already listed
-    for that category are skipped; ``ord`` is renumbered densely."""
+    for that category are skipped; ``ord`` is renumbered densely.
+
+    The input is referenced once (one union, then windows), so chained extensions grow the
+    plan linearly. Rule tables are small by construction; the renumbering window without a
+    partition runs over that small table only."""
     spark = rules.sparkSession
     kws = list(dict.fromkeys(keywords))
-    add = spark.createDataFrame([(i, category, k) for i, k in enumerate(kws)],
-                                "pos int, category string, keyword string")
-    # position of the category: its first rule, or after everything for a new one
-    cat_pos = rules.groupBy("category").agg(F.min("ord").alias("cat_ord"))
-    last = rules.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("mx"))
-    add = (add.join(rules.select("category", "keyword"), ["category", "keyword"], "left_anti")
-           .join(cat_pos, "category", "left").crossJoin(F.broadcast(last))
-           .select(F.coalesce("cat_ord", F.col("mx") + 1).alias("cat_ord"),
-                   F.lit(1).alias("grp"), "pos", "category", "keyword"))
-    base = (rules.join(cat_pos, "category")
-            .select("cat_ord", F.lit(0).alias("grp"), F.col("ord").alias("pos"), "category", "keyword"))
-    # a small table (rules): one-partition window is fine here
-    w = Window.orderBy("cat_ord", "grp", "pos")
-    return (base.unionByName(add)
-            .select((F.row_number().over(w) - 1).cast("int").alias("ord"), "category", "keyword"))
+    if not kws:
+        return rules
+    add = spark.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(None).cast("int").alias("ord"), F.lit(category).alias("category"),
+                 F.lit(k).alias("keyword"), F.lit(1).alias("grp"), F.lit(i).alias("pos"))
+        for i, k in enumerate(kws)])))
+    u = rules.select("ord", "category", "keyword", F.lit(0).alias("grp"), F.col("ord").alias("pos")) \
+        .unionByName(add)
+    by_cat = Window.partitionBy("category")
+    by_kw = Window.partitionBy("category", "keyword")
+    everything = Window.partitionBy()
+    u = (u.withColumn("_listed", F.max(F.when(F.col("grp") == 0, 1)).over(by_kw))
+          .where((F.col("grp") == 0) | F.col("_listed").isNull())
+          .withColumn("_cat_ord", F.coalesce(F.min("ord").over(by_cat),
+                                              F.coalesce(F.max("ord").over(everything), F.lit(-1)) + 1)))
+    w = Window.orderBy("_cat_ord", "grp", "pos")
+    return u.select((F.row_number().over(w) - 1).cast("int").alias("ord"), "category", "keyword")
