@@ -15,6 +15,14 @@ from spendlake.functions.text import extract_merchant
 MONEY = "decimal(18,2)"
 
 
+def summary_frame(records: DataFrame) -> DataFrame:
+    """Target records -> the (date, description, amount, category, account) frame the
+    reports read."""
+    return records.select(F.col("date").cast("date").alias("date"), F.col("name").alias("description"),
+                          F.col("amount").cast("double").alias("amount"), "category",
+                          F.col("spent_from").alias("account"))
+
+
 def _money_sum(c: str = "amount"):
     return F.sum(F.col(c).cast(MONEY))
 

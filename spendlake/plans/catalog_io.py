@@ -541,3 +541,89 @@ def pipeline_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     run_pipeline(spark, folder, target, scratch_path(spark, "pipeline-ledger"),
                  scratch_path(spark, "pipeline-memory"), account="chequing", learn=False)
     return spark.read.parquet(target).drop("month")
+
+
+# --------------------------------------------------------------------- more sources / sinks
+
+def _probe_sql_pos(names, pats):
+    rx = "|".join(p.replace("$", "\\$") for p in pats)
+    return f"CAST(coalesce(list_position(list_transform({names}, lambda n: regexp_matches(n, '{rx}')), true), 0) AS INTEGER)"
+
+
+@query("header_probe", (
+    "WITH h AS (SELECT n_nationkey, list_transform(raw, lambda x: " + _f3_sql("x") + ") AS names FROM (" + _HEADERS_SQL + ") _h) "
+    "SELECT n_nationkey, " + _probe_sql_pos("names", I.PROBE_DATE_PATTERNS) + " AS date_idx, "
+    + _probe_sql_pos("names", ("cad", "usd", "amount", "transaction_amount")) + " AS amount_idx, "
+    "list_filter(names, lambda n: regexp_matches(n, '" + "|".join(I.DESCRIPTION_PATTERNS) + "')) AS descriptions FROM h"))
+def header_probe(spark: SparkSession, sf: str) -> DataFrame:
+    """The header probe (date, amount, every description-like column)."""
+    h = _headers(spark, sf).select("n_nationkey", F.transform("raw", X.column_name).alias("names"))
+    r = I.probe_roles(F.col("names"))
+    return h.select("n_nationkey", r.date_idx.cast("int").alias("date_idx"),
+                    r.amount_idx.cast("int").alias("amount_idx"), r.descriptions.alias("descriptions"))
+
+
+@query("ledger_lookup", (
+    f"SELECT l.file_path, g.processed_at, g.row_count, g.transactions_added FROM ({_LISTING_SQL}) l "
+    f"LEFT JOIN ({_LEDGER_SQL}) g ON l.file_path = g.file_path"))
+def ledger_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Processed-file info for every listed file (null when never processed)."""
+    info = L.processed_info(_listing(spark, sf), _ledger(spark, sf))
+    return info.select("file_path", "processed_at", "row_count", "transactions_added")
+
+
+@query("export_csv_roundtrip", (
+    "SELECT CAST(date AS VARCHAR) AS \"Date\", description AS \"Description\", CAST(amount AS VARCHAR) AS \"Amount\", "
+    "category AS \"Category\", account AS \"Account\", NULL::VARCHAR AS \"Notes\", transaction_id AS \"Transaction ID\" "
+    f"FROM ({_IDS_L}) _i"))
+def export_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Records exported as CSV (overwrite, export headings) and read back as text."""
+    path = scratch_path(spark, "export-csv")
+    K.write_csv(K.to_transactions(V.add_transaction_id(_keyword_labeled(spark, sf))), path)
+    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+
+
+@query("summary_input", (
+    "SELECT date, description, amount, category, account FROM (" + _KW_L_SQL + ") _k"))
+def summary_input(spark: SparkSession, sf: str) -> DataFrame:
+    """Target records -> the report input frame."""
+    from spendlake.operators import summaries as S
+    recs = K.to_transactions(V.add_transaction_id(_keyword_labeled(spark, sf)))
+    return S.summary_frame(recs)
+
+
+_NET_SQL = ("SELECT l.l_orderkey, l.l_linenumber, CAST(l.l_shipdate AS DATE) AS date, p.p_name || ' #' || CAST(l.l_suppkey AS VARCHAR) AS description, "
+            "l.l_extendedprice * (1 - l.l_discount) AS amount, l.l_returnflag AS account FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey")
+
+
+@query("transaction_id_exact", (
+    "SELECT l_orderkey, l_linenumber, " + O.txn_id("date", "merchant", "amount", "account") + " AS transaction_id FROM ("
+    + O.merchant_select(_NET_SQL, "description") + ") _q"))
+def transaction_id_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """F7 with Python-exact cent rounding on net prices (many decimals): rows with more than
+    two decimals take the Arrow UDF, the rest stay in generated code."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount",
+                                               "l_extendedprice", "l_returnflag", "l_shipdate")
+    part = table(spark, sf, "part").select("p_partkey", "p_name")
+    net = li.join(part, li.l_partkey == part.p_partkey).select(
+        "l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("date"),
+        F.concat(F.col("p_name"), F.lit(" #"), F.col("l_suppkey").cast("string")).alias("description"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("amount"),
+        F.col("l_returnflag").alias("account"))
+    return V.add_transaction_id(net, exact_rounding=True).select("l_orderkey", "l_linenumber", "transaction_id")
+
+
+@query("stream_dedupe", f"SELECT DISTINCT transaction_id, date, amount, account FROM ({_IDS_E}) _i")
+def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    """File stream deduplicated by id within a watermark horizon (30 days covers the
+    whole event month), written through foreachBatch and read back."""
+    from spendlake.streaming import stream as ST
+    src = _event_files(spark, sf)
+    out = scratch_path(spark, "stream-dedupe")
+    s = ST.statement_stream(spark, src, _EVENT_CSV_SCHEMA, lambda d: V.add_transaction_id(_event_txn(d)))
+    s = ST.dedupe_stream(s, "date", "30 days")
+
+    def write(df, batch_id):
+        df.drop("_event_ts").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+    ST.run_available(s, write, scratch_path(spark, "stream-ckpt"))
+    return spark.read.parquet(out).select("transaction_id", "date", "amount", "account")
