@@ -21,7 +21,7 @@ from spendlake.plans.views import (
     txn_e, txn_l,
 )
 
-from spendlake.session import spread  # noqa: E402
+from spendlake.session import spread, spread_few_splits  # noqa: E402
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -64,7 +64,7 @@ def normalize_merchant(spark: SparkSession, sf: str) -> DataFrame:
     + O.merchant_select("SELECT doc_id, text FROM documents", "text") + ") _q"))
 def normalize_merchant_docs(spark: SparkSession, sf: str) -> DataFrame:
     """F1 over whole document texts (accents, punctuation, newlines, long inputs)."""
-    d = table(spark, sf, "documents")
+    d = spread_few_splits(table(spark, sf, "documents"))
     return d.select("doc_id", X.merchant_name("text").alias("merchant"))
 
 
@@ -72,7 +72,7 @@ def normalize_merchant_docs(spark: SparkSession, sf: str) -> DataFrame:
        f"SELECT doc_id, {O.f2('text')} AS description FROM documents")
 def normalize_description(spark: SparkSession, sf: str) -> DataFrame:
     """F2 over whole document texts."""
-    d = table(spark, sf, "documents")
+    d = spread_few_splits(table(spark, sf, "documents"))
     return d.select("doc_id", X.description_key("text").alias("description"))
 
 

@@ -75,3 +75,11 @@ def spread(df):
     their small post-shuffle partitions into a few tasks, since it sizes by bytes, not by
     CPU. A user repartition by number is kept as is, and is also an optimizer barrier."""
     return df.repartition(cpu_parallelism(df.sparkSession))
+
+
+def spread_few_splits(df):
+    """``spread`` only when the input has fewer partitions than cores (e.g. a file with
+    one row group): for per-row CPU-heavy work on whole texts. Inputs with many splits
+    (any large table) are returned unchanged, so this never adds a shuffle at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
