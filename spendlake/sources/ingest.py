@@ -155,13 +155,13 @@ def _scan(spark: SparkSession, paths, max_columns: int) -> DataFrame:
 
 def _file_roles(rows: DataFrame, compat: bool, max_columns: int) -> DataFrame:
     """One row per file: header row id and column roles (O5: the header probe).
-    The header is the first row of the file's first block: min(row id) there, then only
-    those rows are turned into arrays of names."""
-    first = (rows.where(F.col("_blk") == 0).groupBy(F.col("file_path").alias("_fp"))
-             .agg(F.min("_mid").alias("_hid")))
-    heads = rows.join(first, (F.col("file_path") == F.col("_fp")) & (F.col("_mid") == F.col("_hid")), "inner")
+    The header is the first row of the file's first block: one aggregation over the
+    first-block rows, ``min_by(cells, row id)`` (no self join)."""
+    cells = F.struct(*[F.col(f"_c{i}") for i in range(max_columns)])
+    heads = (rows.where(F.col("_blk") == 0).groupBy("file_path")
+             .agg(F.min("_mid").alias("_hid"), F.min_by(cells, F.col("_mid")).alias("_h")))
     heads = heads.select("file_path", "_hid",
-                         F.array(*[F.col(f"_c{i}") for i in range(max_columns)]).alias("_header"))
+                         F.array(*[F.col(f"_h._c{i}") for i in range(max_columns)]).alias("_header"))
     names = F.transform(F.filter("_header", lambda n: n.isNotNull()), column_name)
     r = header_roles(names, compat)
     return heads.select("file_path", "_hid", r.date_idx.alias("date_idx"), r.desc_idx.alias("desc_idx"),
