@@ -74,6 +74,7 @@ def run_pipeline(spark: SparkSession, statements_dir: str, target_path: str, led
     if new_memory is not None:
         SN.save_next(new_memory, memory_root)
     totals = counts.agg(F.sum("row_count").alias("p"), F.sum("transactions_added").alias("a")).first()
+    appended.unpersist()
     txns.unpersist()
     return RunReport(len(csv_paths), skipped, int(totals.p or 0), int(totals.a or 0))
 

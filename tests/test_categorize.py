@@ -145,3 +145,36 @@ def test_learning_matches_sequential_model(spark):
     got = [(r.category, round(r.confidence, 7)) for r in out.orderBy("seq").collect()]
     assert got == expected
     assert dict((r.merchant, r.category) for r in mem.collect()) == memory
+
+
+def test_equi_candidates_equal_prefilter_and_brute_force(spark):
+    """The equi-join candidate set equals the pairs allowed by the length/token bound, and
+    the fuzzy argmax over candidates equals the argmax over every pair."""
+    rnd = random.Random(9)
+    words = ["cafe", "Cafe", "pizza", "Pizza", "hut", "gas", "station", "x", "7", "shop"]
+    merchants = sorted({" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 4))) for _ in range(300)})
+    rules = {"A": ["cafe", "pizza hut", "gas station"], "B": ["7 shop", "x"], "C": ["pizza", "station"]}
+    m = spark.createDataFrame([(x,) for x in merchants], "_merchant string")
+    kw = C.prepared_keywords(R.rules_frame(spark, rules))
+    mm = m.withColumn("m_tokens", S.token_set("_merchant")).withColumn(
+        "m_len", F.length(F.array_join("m_tokens", " ")))
+    for thr in (50, 80, 95):
+        equi = {(r._merchant, r.ord) for r in C._candidate_pairs_equi(mm, kw, thr, "_merchant").collect()}
+        cond = S.may_reach(F.col("m_len"), F.col("k_len"), F.col("m_tokens"), F.col("k_tokens"), thr)
+        allowed = {(r._merchant, r.ord) for r in mm.crossJoin(kw).where(cond).collect()}
+        assert equi == allowed
+        got = {r._merchant: (r.fuzzy_category, round(r.fuzzy_confidence, 9))
+               for r in C.fuzzy_best(m, R.rules_frame(spark, rules), thr).collect()}
+        kws = {}
+        for o, c, k in R.rule_rows(rules):
+            kws.setdefault(k, [o, c])[1] = c
+        want = {}
+        for x in merchants:
+            best, cat = 0.0, None
+            for k, (o, c) in sorted(kws.items(), key=lambda kv: kv[1][0]):
+                sc = py_token_set_ratio(x, k) / 100.0
+                if sc > best:
+                    best, cat = sc, c
+            if cat is not None and best * 100 >= thr:
+                want[x] = (cat, round(best, 9))
+        assert got == want
