@@ -57,6 +57,39 @@ def pattern_masks(c) -> Column:
     return F.map_from_arrays(cs, F.transform(cs, mask))
 
 
+ASCII = r"^[\x00-\x7F]*$"
+
+
+def pattern_code_masks(c) -> Column:
+    """For an ASCII pattern: array of 128 bigints, entry ``code + 1`` = positions of that
+    character (an O(1) lookup per step instead of a map scan). Null for other patterns."""
+    s = _col(c)
+    n = F.length(s)
+
+    def mask(code):
+        return F.aggregate(
+            F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), F.lit(0).cast("long"),
+            lambda acc, j: acc.bitwiseOR(F.when(F.ascii(F.substring(s, j + 1, 1)) == code, _bit(j))
+                                         .otherwise(F.lit(0).cast("long"))))
+    return F.when(s.rlike(ASCII), F.transform(F.sequence(F.lit(0), F.lit(127)), mask))
+
+
+def char_codes(c) -> Column:
+    """Code points of the characters of a string (input to ``lcs_bits_codes``)."""
+    return F.transform(chars(c), lambda ch: F.ascii(ch))
+
+
+def lcs_bits_codes(codes, code_masks, m) -> Column:
+    """``lcs_bits`` over character codes with an ASCII pattern's code-indexed masks."""
+    full = _bit(m) - 1
+    zero = F.lit(0).cast("long")
+
+    def step(v, code):
+        u = v.bitwiseAND(F.when(code < 128, F.element_at(_col(code_masks), code + 1)).otherwise(zero))
+        return (v + u).bitwiseOR(v - u).bitwiseAND(full)
+    return _col(m) - F.bit_count(F.aggregate(_col(codes), full, step))
+
+
 def lcs_bits(text, masks, m, text_chars=None) -> Column:
     """LCS length of ``text`` and a pattern of length ``m`` (<= 62) given its masks
     (``text_chars``: the text already split into characters, if at hand)."""
@@ -126,7 +159,8 @@ def token_set_ratio_parts(a_tokens, b_tokens, b_joined=None, b_masks=None) -> Co
 
 
 def score_pairs(pairs, a_tokens: str, b_tokens: str, b_joined: str | None = None,
-                b_masks: str | None = None, out: str = "score", a_chars: str | None = None):
+                b_masks: str | None = None, out: str = "score", a_chars: str | None = None,
+                a_codes: str | None = None, b_code_masks: str | None = None):
     """DataFrame form of ``token_set_ratio_parts``: the same score computed in staged
     projections (set parts, then LCS, then the ratio), so each intermediate is evaluated
     once per pair and the plan stays small."""
@@ -141,8 +175,13 @@ def score_pairs(pairs, a_tokens: str, b_tokens: str, b_joined: str | None = None
     if b_joined is not None and b_masks is not None:
         fast = (F.col("_ni") == 0) & (F.length(b_joined) <= MAX_BITS)
         lcs_len = F.when(fast, lcs_bits(F.col("_x"), F.col(b_masks), F.length(b_joined),
-                                        text_chars=a_chars)) \
-            .otherwise(lcs(F.col("_x"), F.col("_y")))
+                                        text_chars=a_chars))
+        if a_codes is not None and b_code_masks is not None:
+            fastest = fast & F.col(b_code_masks).isNotNull()
+            lcs_len = F.when(fastest, lcs_bits_codes(F.col(a_codes), F.col(b_code_masks),
+                                                     F.length(b_joined))).when(
+                fast, lcs_bits(F.col("_x"), F.col(b_masks), F.length(b_joined), text_chars=a_chars))
+        lcs_len = lcs_len.otherwise(lcs(F.col("_x"), F.col("_y")))
     else:
         lcs_len = lcs(F.col("_x"), F.col("_y"))
     need = (F.col("_na") > 0) & (F.col("_nb") > 0) & ~((F.col("_ni") > 0) & ((F.col("_nx") == 0) | (F.col("_ny") == 0)))

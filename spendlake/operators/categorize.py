@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlake.functions.similarity import (
-    MAX_BITS, chars, may_reach, pattern_masks, score_pairs, token_set,
+    MAX_BITS, chars, may_reach, pattern_code_masks, pattern_masks, score_pairs, token_set,
 )
 from spendlake.functions.text import description_key, merchant_name
 from spendlake.operators.rules import MAX_INLINE_KEYWORDS, keyword_table, rules_frame
@@ -49,7 +49,8 @@ def prepared_keywords(rules: DataFrame, case_insensitive: bool = False) -> DataF
     return (kw.withColumn("k_tokens", token_set(text))
               .withColumn("k_join", F.array_join("k_tokens", " "))
               .withColumn("k_len", F.length("k_join"))
-              .withColumn("k_masks", F.when(F.col("k_len") <= MAX_BITS, pattern_masks("k_join"))))
+              .withColumn("k_masks", F.when(F.col("k_len") <= MAX_BITS, pattern_masks("k_join")))
+              .withColumn("k_codes", F.when(F.col("k_len") <= MAX_BITS, pattern_code_masks("k_join"))))
 
 
 def fuzzy_best(merchants: DataFrame, rules: DataFrame, threshold: int = FUZZY_THRESHOLD,
@@ -67,6 +68,7 @@ def fuzzy_best(merchants: DataFrame, rules: DataFrame, threshold: int = FUZZY_TH
     # characters of the token string, split once per merchant (the LCS text whenever the
     # merchant and keyword share no token)
     m = m.select("*", F.length("m_join").alias("m_len"), chars("m_join").alias("m_chars")).drop("m_join")
+    m = m.withColumn("m_codes", F.transform("m_chars", lambda ch: F.ascii(ch)))
     kw = prepared_keywords(rules, case_insensitive)
     n_keywords = rules.count() if n_keywords is None else n_keywords
     if threshold > 0:
@@ -78,9 +80,10 @@ def fuzzy_best(merchants: DataFrame, rules: DataFrame, threshold: int = FUZZY_TH
         if n_keywords > MAX_INLINE_KEYWORDS:
             raise ValueError("threshold 0 needs every merchant x keyword pair; rule set too large")
         pairs = m.crossJoin(F.broadcast(kw))
-    pairs = score_pairs(pairs.select(merchant, "ord", "category", "m_tokens", "m_chars", "k_tokens",
-                                     "k_join", "k_masks"), "m_tokens", "k_tokens", "k_join", "k_masks",
-                        a_chars="m_chars")
+    pairs = score_pairs(pairs.select(merchant, "ord", "category", "m_tokens", "m_chars", "m_codes",
+                                     "k_tokens", "k_join", "k_masks", "k_codes"),
+                        "m_tokens", "k_tokens", "k_join", "k_masks", a_chars="m_chars",
+                        a_codes="m_codes", b_code_masks="k_codes")
     # argmax first, threshold after: acceptance depends only on the best score, so this is
     # the same result, and a filter on the aggregate cannot be pushed into the join (where
     # Catalyst would evaluate the whole score for every pair before the cheap prefilter)
