@@ -46,17 +46,26 @@ def size(memory: DataFrame) -> int:
     return memory.count()
 
 
+MAX_JSON_OBJECT_ENTRIES = 1_000_000
+
+
 def save(memory: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write a snapshot. ``fmt="json"`` writes one JSON object {merchant: category}
-    (only sensible for small memories: it is built in one task)."""
+    """Write a snapshot. ``parquet`` (default) and ``json`` (one record per line) are
+    written in parallel. ``json_object`` is the reference's single JSON object
+    {merchant: category}: it is built in one task, so it is refused above
+    ``MAX_JSON_OBJECT_ENTRIES`` entries."""
     if fmt == "parquet":
         memory.write.mode("overwrite").parquet(path)
     elif fmt == "json":
+        memory.select("merchant", "category").write.mode("overwrite").json(path)
+    elif fmt == "json_object":
+        if memory.limit(MAX_JSON_OBJECT_ENTRIES + 1).count() > MAX_JSON_OBJECT_ENTRIES:
+            raise ValueError("memory too large for a single JSON object; use parquet or json")
         obj = memory.agg(F.to_json(F.map_from_entries(F.collect_list(
             F.struct("merchant", "category")))).alias("value"))
         obj.coalesce(1).write.mode("overwrite").text(path)
     else:
-        raise ValueError("fmt must be 'parquet' or 'json'")
+        raise ValueError("fmt must be 'parquet', 'json' or 'json_object'")
 
 
 def load(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -64,8 +73,9 @@ def load(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     try:
         if fmt == "parquet":
             return spark.read.parquet(path).select("merchant", "category")
+        if fmt == "json":
+            return spark.read.schema("merchant string, category string").json(path)
         raw = spark.read.text(path, wholetext=True)
-        m = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("merchant", "category"))
-        return m
+        return raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("merchant", "category"))
     except Exception:
         return empty_memory(spark)

@@ -225,7 +225,8 @@ def memory_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("memory_roundtrip", _UPSERT_SQL)
 def memory_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Save the memory as the JSON object file and load it back."""
+    """Save the memory as JSON (one record per line, written in parallel) and load it
+    back; the reference's single-object file is ``fmt="json_object"`` (tested)."""
     path = scratch_path(spark, "memory-json")
     M.save(_upserted(spark, sf), path, fmt="json")
     return M.load(spark, path, fmt="json")

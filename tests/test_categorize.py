@@ -67,7 +67,7 @@ def test_memory_size_membership_roundtrip(spark, tmp_path):
     assert M.size(mem) == 1 and mem.first().category == "Coffee"
     probe = spark.createDataFrame([("Tim Hortons",), ("Other",)], "merchant string")
     assert [r.merchant for r in M.has_merchant(mem, probe).collect()] == ["Tim Hortons"]
-    for fmt in ("json", "parquet"):
+    for fmt in ("json", "json_object", "parquet"):
         p = str(tmp_path / fmt)
         M.save(mem, p, fmt)
         assert sorted(map(tuple, M.load(spark, p, fmt).collect())) == [("Tim Hortons", "Coffee")]
