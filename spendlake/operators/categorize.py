@@ -23,7 +23,7 @@ from spendlake.functions.similarity import (
 )
 from spendlake.functions.text import description_key, merchant_name
 from spendlake.operators.rules import MAX_INLINE_KEYWORDS, keyword_table, rules_frame
-from spendlake.session import spread
+from spendlake.session import distinct_spread, spread
 from spendlake.schema import CONFIDENCE_KEYWORD, CONFIDENCE_MEMORY, DEFAULT_CATEGORY, FUZZY_THRESHOLD
 
 
@@ -55,15 +55,15 @@ def prepared_keywords(rules: DataFrame, case_insensitive: bool = False) -> DataF
 
 def fuzzy_best(merchants: DataFrame, rules: DataFrame, threshold: int = FUZZY_THRESHOLD,
                case_insensitive: bool = False, merchant: str = "_merchant",
-               n_keywords: int | None = None) -> DataFrame:
+               n_keywords: int | None = None, spread_input: bool = True) -> DataFrame:
     """C2 on distinct merchants: best keyword by token-set ratio, earliest keyword on ties,
     accepted when ratio >= threshold (and > 0). Returns (merchant, fuzzy_category,
     fuzzy_confidence) for accepted merchants only."""
     text = F.lower(merchant) if case_insensitive else F.col(merchant)
     # (no filter on empty merchants here: it would be pushed below the aggregates to the
     # scan; an empty merchant has no tokens, scores 0 and is never accepted)
-    m = (spread(merchants.select(merchant))
-         .withColumn("m_tokens", token_set(text))
+    m = merchants.select(merchant)
+    m = ((spread(m) if spread_input else m).withColumn("m_tokens", token_set(text))
          .withColumn("m_join", F.array_join("m_tokens", " ")))
     # characters of the token string, split once per merchant (the LCS text whenever the
     # merchant and keyword share no token)
@@ -120,7 +120,7 @@ def _candidate_pairs_equi(m: DataFrame, kw: DataFrame, threshold: int, merchant:
 
 
 def keyword_first(dkeys: DataFrame, rules: DataFrame, dkey: str = "_dkey",
-                  n_keywords: int | None = None) -> DataFrame:
+                  n_keywords: int | None = None, spread_input: bool = True) -> DataFrame:
     """C3 on distinct description keys: category of the first rule (in order) whose keyword
     is a substring. Returns (dkey, keyword_category) for matched keys only."""
     n_keywords = rules.count() if n_keywords is None else n_keywords
@@ -128,7 +128,8 @@ def keyword_first(dkeys: DataFrame, rules: DataFrame, dkey: str = "_dkey",
         raise ValueError(f"keyword rule table over {MAX_BROADCAST_KEYWORDS} rows")
     r = rules.select(F.col("ord").alias("k_ord"), F.col("category").alias("k_cat"), "keyword")
     # rule table size is checked above: broadcast; each distinct key meets every keyword once
-    hits = spread(dkeys.select(dkey)).join(F.broadcast(r), F.instr(F.col(dkey), F.col("keyword")) > 0)
+    d = dkeys.select(dkey)
+    hits = (spread(d) if spread_input else d).join(F.broadcast(r), F.instr(F.col(dkey), F.col("keyword")) > 0)
     return hits.groupBy(dkey).agg(F.min_by("k_cat", "k_ord").alias("keyword_category"))
 
 
@@ -173,9 +174,9 @@ def resolve(descs: DataFrame, rules: DataFrame, memory: DataFrame | None,
     keyed = keyed.join(mem, "_mkey", "left")
     # short-circuit: only merchants / keys without a memory hit are scored
     open_ = keyed.where(F.col("memory_category").isNull())
-    fz = fuzzy_best(open_.select("_merchant").distinct(), rules, threshold, case_insensitive,
-                    n_keywords=n_keywords)
-    kw = keyword_first(open_.select("_dkey").distinct(), rules, n_keywords=n_keywords)
+    fz = fuzzy_best(distinct_spread(open_, "_merchant"), rules, threshold, case_insensitive,
+                    n_keywords=n_keywords, spread_input=False)
+    kw = keyword_first(distinct_spread(open_, "_dkey"), rules, n_keywords=n_keywords, spread_input=False)
     return keyed.join(fz, "_merchant", "left").join(kw, "_dkey", "left")
 
 

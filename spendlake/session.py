@@ -83,3 +83,12 @@ def spread_few_splits(df):
     (any large table) are returned unchanged, so this never adds a shuffle at scale."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def distinct_spread(df, col: str):
+    """Distinct values of ``col`` spread over ``cpu_parallelism`` tasks in one exchange:
+    hash-repartition by the value (a fixed partition count AQE keeps), then drop duplicates
+    inside each partition. For inputs that are already nearly distinct (derived from a
+    distinct table), where map-side pre-aggregation would gain nothing."""
+    n = cpu_parallelism(df.sparkSession)
+    return df.select(col).repartition(n, col).dropDuplicates([col])
