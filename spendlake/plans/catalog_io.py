@@ -155,14 +155,14 @@ def _pos_sql(names, pats):
 
 @query("normalize_headers", (
     "WITH h AS (SELECT n_nationkey, list_transform(raw, lambda x: " + _f3_sql("x") + ") AS names FROM (" + _HEADERS_SQL + ") _h) "
-    "SELECT n_nationkey, names, " + _pos_sql("names", I.DATE_PATTERNS) + " AS date_idx, "
+    "SELECT n_nationkey, array_to_string(names, '|') AS names, " + _pos_sql("names", I.DATE_PATTERNS) + " AS date_idx, "
     + _pos_sql("names", I.DESCRIPTION_PATTERNS) + " AS desc_idx, " + _pos_sql("names", I.AMOUNT_PATTERNS)
     + " AS amount_idx FROM h"))
 def normalize_headers(spark: SparkSession, sf: str) -> DataFrame:
     """Header names normalized and column roles picked (reference rules)."""
     h = _headers(spark, sf).select("n_nationkey", F.transform("raw", X.column_name).alias("names"))
     roles = I.header_roles(F.col("names"), compat=True)
-    return h.select("n_nationkey", "names", roles.date_idx.cast("int").alias("date_idx"),
+    return h.select("n_nationkey", F.array_join("names", "|").alias("names"), roles.date_idx.cast("int").alias("date_idx"),
                     roles.desc_idx.cast("int").alias("desc_idx"), roles.amount_idx.cast("int").alias("amount_idx"))
 
 
@@ -555,13 +555,13 @@ def _probe_sql_pos(names, pats):
     "WITH h AS (SELECT n_nationkey, list_transform(raw, lambda x: " + _f3_sql("x") + ") AS names FROM (" + _HEADERS_SQL + ") _h) "
     "SELECT n_nationkey, " + _probe_sql_pos("names", I.PROBE_DATE_PATTERNS) + " AS date_idx, "
     + _probe_sql_pos("names", ("cad", "usd", "amount", "transaction_amount")) + " AS amount_idx, "
-    "list_filter(names, lambda n: regexp_matches(n, '" + "|".join(I.DESCRIPTION_PATTERNS) + "')) AS descriptions FROM h"))
+    "array_to_string(list_filter(names, lambda n: regexp_matches(n, '" + "|".join(I.DESCRIPTION_PATTERNS) + "')), '|') AS descriptions FROM h"))
 def header_probe(spark: SparkSession, sf: str) -> DataFrame:
     """The header probe (date, amount, every description-like column)."""
     h = _headers(spark, sf).select("n_nationkey", F.transform("raw", X.column_name).alias("names"))
     r = I.probe_roles(F.col("names"))
     return h.select("n_nationkey", r.date_idx.cast("int").alias("date_idx"),
-                    r.amount_idx.cast("int").alias("amount_idx"), r.descriptions.alias("descriptions"))
+                    r.amount_idx.cast("int").alias("amount_idx"), F.array_join(r.descriptions, "|").alias("descriptions"))
 
 
 @query("ledger_lookup", (
