@@ -546,22 +546,21 @@ def pipeline_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
 
 # --------------------------------------------------------------------- more sources / sinks
 
-def _probe_sql_pos(names, pats):
-    rx = "|".join(p.replace("$", "\\$") for p in pats)
-    return f"CAST(coalesce(list_position(list_transform({names}, lambda n: regexp_matches(n, '{rx}')), true), 0) AS INTEGER)"
+def _probe_sql_any(pats):
+    return " OR ".join(f"contains(lower(n), '{p}')" for p in pats)
 
 
 @query("header_probe", (
-    "WITH h AS (SELECT n_nationkey, list_transform(raw, lambda x: " + _f3_sql("x") + ") AS names FROM (" + _HEADERS_SQL + ") _h) "
-    "SELECT n_nationkey, " + _probe_sql_pos("names", I.PROBE_DATE_PATTERNS) + " AS date_idx, "
-    + _probe_sql_pos("names", ("cad", "usd", "amount", "transaction_amount")) + " AS amount_idx, "
-    "array_to_string(list_filter(names, lambda n: regexp_matches(n, '" + "|".join(I.DESCRIPTION_PATTERNS) + "')), '|') AS descriptions FROM h"))
+    "SELECT n_nationkey, list_filter(raw, lambda n: " + _probe_sql_any(I.PROBE_DATE_PATTERNS) + ")[1] AS date_col, "
+    "list_filter(raw, lambda n: " + _probe_sql_any(I.PROBE_AMOUNT_PATTERNS_FIXED) + ")[1] AS amount_col, "
+    "array_to_string(list_filter(raw, lambda n: " + _probe_sql_any(I.DESCRIPTION_PATTERNS) + "), '|') AS descriptions "
+    "FROM (" + _HEADERS_SQL + ") _h"))
 def header_probe(spark: SparkSession, sf: str) -> DataFrame:
-    """The header probe (date, amount, every description-like column)."""
-    h = _headers(spark, sf).select("n_nationkey", F.transform("raw", X.column_name).alias("names"))
-    r = I.probe_roles(F.col("names"))
-    return h.select("n_nationkey", r.date_idx.cast("int").alias("date_idx"),
-                    r.amount_idx.cast("int").alias("amount_idx"), F.array_join(r.descriptions, "|").alias("descriptions"))
+    """The header probe on raw header names (date, amount, every description-like
+    column), with the D2 currency patterns."""
+    r = I.probe_roles(F.col("raw"))
+    return _headers(spark, sf).select("n_nationkey", r.date.alias("date_col"), r.amount.alias("amount_col"),
+                                      F.array_join(r.descriptions, "|").alias("descriptions"))
 
 
 @query("ledger_lookup", (

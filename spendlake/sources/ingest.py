@@ -26,7 +26,8 @@ DESCRIPTION_PATTERNS = ("description", "merchant", "payee", "reference")
 AMOUNT_PATTERNS = ("amount", "cad", "usd", "transaction", "total")
 DATE_PATTERNS = ("date", "posted", "transaction")
 PROBE_DATE_PATTERNS = ("transaction date", "date", "posted date")
-PROBE_AMOUNT_PATTERNS = ("cad$", "usd$", "amount", "transaction amount")
+PROBE_AMOUNT_PATTERNS = ("cad\\$", "usd\\$", "amount", "transaction amount")  # as written (Q2)
+PROBE_AMOUNT_PATTERNS_FIXED = ("cad$", "usd$", "amount", "transaction amount")     # D2
 NULL_MARKERS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
                 "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 MAX_COLUMNS = 32
@@ -64,15 +65,26 @@ def header_roles(names: Column, compat: bool = True) -> Column:
                     amount_idx.alias("amount_idx"))
 
 
-def probe_roles(names: Column) -> Column:
-    """S2b (the header probe): date / amount = first match of the probe patterns, and the
-    list of every description-like column. The reference's patterns "cad\\$"/"usd\\$" are
-    literal text, so they never match; here "$" is removed by F3 and they are plain
-    ``cad``/``usd`` (D2)."""
-    d = _first_index(names, PROBE_DATE_PATTERNS)
-    a = _first_index(names, ("cad", "usd", "amount", "transaction_amount"))
-    descs = F.filter(names, lambda n: n.rlike(_any_of(DESCRIPTION_PATTERNS)))
-    return F.struct(d.alias("date_idx"), a.alias("amount_idx"), descs.alias("descriptions"))
+def _contains_any(n: Column, pats: Sequence[str]) -> Column:
+    out = None
+    for p in pats:
+        c = F.instr(F.lower(n), F.lit(p)) > 0
+        out = c if out is None else out | c
+    return F.coalesce(out, F.lit(False))
+
+
+def probe_roles(raw_names: Column, compat: bool = False) -> Column:
+    """S2b, the header probe, on the raw header names (lower-cased substring tests):
+    struct(date = first date-like name, descriptions = every description-like name,
+    amount = first amount-like name); a missing role is null. The written amount
+    patterns "cad\\$"/"usd\\$" contain a literal backslash and never match (Q2);
+    ``compat=False`` (D2) matches "cad$"/"usd$"."""
+    amounts = PROBE_AMOUNT_PATTERNS if compat else PROBE_AMOUNT_PATTERNS_FIXED
+    first = lambda pats: F.try_element_at(
+        F.filter(raw_names, lambda n: _contains_any(n, pats)), F.lit(1))
+    return F.struct(first(PROBE_DATE_PATTERNS).alias("date"),
+                    F.filter(raw_names, lambda n: _contains_any(n, DESCRIPTION_PATTERNS)).alias("descriptions"),
+                    first(amounts).alias("amount"))
 
 
 def _nullify(c: Column) -> Column:
