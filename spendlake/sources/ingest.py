@@ -158,8 +158,11 @@ def _pick(idx: Column, n: int) -> Column:
 def _scan(spark: SparkSession, paths, max_columns: int) -> DataFrame:
     """All files, headerless, as string cells _c0.._cN plus file, block and row id."""
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(max_columns)])
+    # RFC 4180 quoting (a quote inside a quoted field is doubled), as pandas reads it;
+    # records stay one per line so large files split across tasks
     raw = (spark.read.schema(schema).option("header", False).option("mode", "PERMISSIVE")
-           .option("enforceSchema", True).csv(paths if isinstance(paths, str) else list(paths)))
+           .option("enforceSchema", True).option("escape", '"')
+           .csv(paths if isinstance(paths, str) else list(paths)))
     return raw.select("*", F.col("_metadata.file_path").alias("file_path"),
                       F.col("_metadata.file_block_start").alias("_blk"),
                       F.monotonically_increasing_id().alias("_mid"))

@@ -36,12 +36,14 @@ def write(path, text):
 def test_read_statements_two_layouts(spark, tmp_path):
     write(tmp_path / "a" / "jan.csv", "Date,Description,CAD$\n2024-01-15,STARBUCKS COFFEE #12,\"$1,005.50\"\n"
                                       "2024-01-16,NA,3\nbad-date,X,1\n")
-    write(tmp_path / "b" / "feb.csv", "Posted Date,Payee,Amount,Ref\n2/1/2024,Tim Hortons,5.25,r1\n")
+    write(tmp_path / "b" / "feb.csv", "Posted Date,Payee,Amount,Ref\n2/1/2024,Tim Hortons,5.25,r1\n"
+                                      '2/2/2024,"JOE\'S ""BEST"" CAFE, INC",1.00,r2\n')
     write(tmp_path / "c" / "odd.csv", "Foo,Bar\n1,2\n")
     t = I.read_statements(spark, [str(tmp_path / d) for d in "abc"], account="chequing")
     rows = sorted((r.date, r.description, r.amount) for r in t.collect())
     assert rows == [(datetime.date(2024, 1, 15), "starbucks coffee 12", 1005.5),
-                    (datetime.date(2024, 1, 16), "", 3.0), (datetime.date(2024, 2, 1), "tim hortons", 5.25)]
+                    (datetime.date(2024, 1, 16), "", 3.0), (datetime.date(2024, 2, 1), "tim hortons", 5.25),
+                    (datetime.date(2024, 2, 2), "joe s best cafe inc", 1.0)]
     assert I.read_statements(spark, str(tmp_path / "a"), bad_dates="fail_file").count() == 0
     rej = I.statement_rejects(spark, [str(tmp_path / d) for d in "abc"]).collect()
     assert len(rej) == 1 and rej[0].file_path.endswith("odd.csv")
