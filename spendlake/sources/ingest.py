@@ -222,3 +222,37 @@ def normalize_table(df: DataFrame, account="unknown", strip_currency: bool = Fal
     acct = account if isinstance(account, Column) else F.lit(account)
     return t.select(*txn_columns(F.col(date_c).cast("string"), F.col(desc_c).cast("string"),
                                  F.col(amt_c).cast("string"), acct, strip_currency))
+
+
+def parse_statements(spark: SparkSession, paths, account="unknown", keep_sign: bool = False) -> DataFrame:
+    """S7, the dispatch: CSV statements through ``read_statements`` (one scan), text files
+    holding extracted statement lines (``.txt``, or a PDF's extracted text) through
+    ``lines.parse_lines``; both as Txn rows with ``file_path``. The file list is listing
+    metadata (``binaryFile`` without contents); binary PDF / spreadsheet decoding is not
+    part of the engine, such files are returned by ``classify_files`` as skipped work."""
+    from spendlake.sources.lines import parse_lines
+    listing = classify_files(spark, paths)
+    ext = F.lower(F.regexp_extract("file_path", r"(\.[^./]*)$", 1))
+    groups = {r.kind: r.files for r in listing.select(
+        F.when(F.col("file_type") == "csv", "csv").when(ext == ".txt", "text").alias("kind"), "file_path")
+        .where(F.col("kind").isNotNull()).groupBy("kind").agg(F.collect_list("file_path").alias("files")).collect()}
+    acct = account if isinstance(account, Column) else F.lit(account)
+    parts = []
+    if groups.get("csv"):
+        parts.append(read_statements(spark, groups["csv"], account=acct).drop("row_seq"))
+    if groups.get("text"):
+        text = spark.read.text(groups["text"]).withColumn("file_path", F.col("_metadata.file_path"))
+        rows = parse_lines(text, "value", keep_sign=keep_sign)
+        d = parse_date(F.col("date_text"))
+        amt = F.coalesce(F.col("amount"), F.lit(0.0))
+        parts.append(rows.select("file_path", d.alias("date"), F.col("description"), amt.alias("amount"),
+                                 acct.alias("account"),
+                                 F.when(d.isNotNull(), transaction_hash(d, F.col("description"), amt, acct))
+                                 .alias("transaction_id")).where(F.col("date").isNotNull()))
+    if not parts:
+        return spark.createDataFrame([], "file_path string, date date, description string, amount double, "
+                                         "account string, transaction_id string")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -157,3 +157,12 @@ def test_probe_roles_and_dedupe_stream(spark):
     s = s.select(F.col("timestamp").alias("ts"), (F.col("value") % 3).cast("string").alias("transaction_id"))
     out = ST.dedupe_stream(s, "ts", "1 hour")
     assert out.isStreaming and "transaction_id" in out.columns
+
+
+def test_parse_statements_dispatch(spark, tmp_path):
+    write(tmp_path / "a.csv", "Date,Description,Amount\n2024-01-15,STARBUCKS COFFEE #12,5.50\n")
+    write(tmp_path / "b.txt", "2024-01-16 TIM HORTONS #3 2.00\nnot a row\n")
+    write(tmp_path / "c.xlsx", "binary")
+    out = I.parse_statements(spark, str(tmp_path), account="chq")
+    got = sorted((r.date.isoformat(), r.description, r.amount) for r in out.collect())
+    assert got == [("2024-01-15", "starbucks coffee 12", 5.5), ("2024-01-16", "TIM HORTONS #3", 2.0)]
