@@ -41,18 +41,39 @@ def _earlier_batches(spark: SparkSession, path: str, batch_id: int) -> DataFrame
     return t.where(F.col("batch_id") < batch_id)
 
 
+def _batch_ids(spark: SparkSession, path: str) -> list[int]:
+    """Committed ``batch_id=<n>`` directories under ``path`` (those with _SUCCESS)."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    out = []
+    for st in fs.listStatus(root):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("batch_id=") and fs.exists(
+                jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            out.append(int(name.split("=", 1)[1]))
+    return sorted(out)
+
+
 def append_batch(target_path: str, dedupe_within_batch: bool = True, order: str | None = None):
-    """The ``foreachBatch`` function of an idempotent append to ``target_path``."""
+    """The ``foreachBatch`` function of an idempotent append to ``target_path``
+    (layout ``batch_id=<n>/month=<yyyy-MM>``). Ids are compared only with earlier batches'
+    rows of the months present in this batch (ids hash the date, so equal ids share a
+    month): partition pruning keeps the anti join proportional to the batch."""
     def run(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
         rows = df
         if dedupe_within_batch:
             keep = F.min_by(F.struct(*rows.columns), F.col(order)) if order else F.first(F.struct(*rows.columns))
             rows = rows.groupBy("transaction_id").agg(keep.alias("_r")).select("_r.*")
+        rows = rows.withColumn("month", F.date_format("date", "yyyy-MM"))
         prev = _earlier_batches(spark, target_path, batch_id)
         if prev is not None:
-            rows = new_rows(rows, prev.select("transaction_id"))
-        rows.write.mode("overwrite").parquet(f"{target_path}/batch_id={batch_id}")
+            months = rows.select("month").distinct()
+            rows = new_rows(rows, prev.join(months, "month", "left_semi").select("transaction_id"))
+        rows.write.mode("overwrite").partitionBy("month").parquet(f"{target_path}/batch_id={batch_id}")
     return run
 
 
@@ -61,11 +82,10 @@ def learn_batch(labels_path: str, memory_path: str, order: str, rules=None,
     """T4: the ``foreachBatch`` function of categorization with learning across batches."""
     def run(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        prev = _earlier_batches(spark, memory_path, batch_id)
-        memory = None
-        if prev is not None:
-            last = prev.agg(F.max("batch_id").alias("b"))
-            memory = prev.join(last, prev.batch_id == last.b, "left_semi").select("merchant", "category")
+        # the snapshot of the latest earlier batch, found by listing (no data scanned)
+        earlier = [b for b in _batch_ids(spark, memory_path) if b < batch_id]
+        memory = (spark.read.parquet(f"{memory_path}/batch_id={earlier[-1]}").select("merchant", "category")
+                  if earlier else None)
         labeled, new_mem = categorize_learn(df, order, rules, memory, threshold, description)
         labeled.write.mode("overwrite").parquet(f"{labels_path}/batch_id={batch_id}")
         new_mem.write.mode("overwrite").parquet(f"{memory_path}/batch_id={batch_id}")
