@@ -27,12 +27,13 @@ from spendlake.session import distinct_spread, spread
 from spendlake.schema import CONFIDENCE_KEYWORD, CONFIDENCE_MEMORY, DEFAULT_CATEGORY, FUZZY_THRESHOLD
 
 
-def _rules_df(df: DataFrame, rules) -> tuple[DataFrame, int]:
-    """(rule table, its row count): the count is known without a job for a mapping."""
+def _rules_df(df: DataFrame, rules) -> tuple[DataFrame, int, Mapping | None]:
+    """(rule table, its row count, the mapping when rules were given inline): the count is
+    known without a job for a mapping."""
     if rules is None or isinstance(rules, Mapping):
-        from spendlake.operators.rules import rule_rows
-        return rules_frame(df.sparkSession, rules), len(rule_rows(rules))
-    return rules, rules.count()
+        from spendlake.operators.rules import DEFAULT_RULES, rule_rows
+        return rules_frame(df.sparkSession, rules), len(rule_rows(rules)), (rules or DEFAULT_RULES)
+    return rules, rules.count(), None
 
 
 def add_keys(df: DataFrame, description: str = "description") -> DataFrame:
@@ -161,7 +162,7 @@ def _memory_hits(memory: DataFrame | None, spark) -> DataFrame:
 
 def resolve(descs: DataFrame, rules: DataFrame, memory: DataFrame | None,
             threshold: int, case_insensitive: bool, description: str = "description",
-            n_keywords: int | None = None) -> DataFrame:
+            n_keywords: int | None = None, rules_map: Mapping | None = None) -> DataFrame:
     """Resolution table over distinct descriptions: keys, memory, fuzzy and keyword
     results. Every per-text cost (F1/F2, similarity, substring rules) is paid once per
     distinct description, never per row."""
@@ -176,8 +177,13 @@ def resolve(descs: DataFrame, rules: DataFrame, memory: DataFrame | None,
     open_ = keyed.where(F.col("memory_category").isNull())
     fz = fuzzy_best(distinct_spread(open_, "_merchant"), rules, threshold, case_insensitive,
                     n_keywords=n_keywords, spread_input=False)
+    out = keyed.join(fz, "_merchant", "left")
+    if rules_map is not None and n_keywords is not None and n_keywords <= MAX_INLINE_KEYWORDS:
+        # inline rules: one generated CASE on the (already distinct) descriptions, no join
+        return out.withColumn("keyword_category", F.when(F.col("memory_category").isNull(),
+                                                         keyword_case("_dkey", rules_map)))
     kw = keyword_first(distinct_spread(open_, "_dkey"), rules, n_keywords=n_keywords, spread_input=False)
-    return keyed.join(fz, "_merchant", "left").join(kw, "_dkey", "left")
+    return out.join(kw, "_dkey", "left")
 
 
 def _label_columns():
@@ -206,9 +212,9 @@ def categorize(df: DataFrame, rules=None, memory: DataFrame | None = None,
     Plan: distinct descriptions (partial + final hash aggregate) -> resolution -> one
     join back on the description.
     """
-    rules, n_kw = _rules_df(df, rules)
+    rules, n_kw, rules_map = _rules_df(df, rules)
     descs = df.select(description).where(F.col(description).isNotNull()).distinct()
-    res = resolve(descs, rules, memory, threshold, case_insensitive, description, n_kw)
+    res = resolve(descs, rules, memory, threshold, case_insensitive, description, n_kw, rules_map)
     category, confidence, matched = _label_columns()
     res = res.select(description, category.alias("category"), confidence.alias("confidence"),
                      matched.alias("matched_by"))
@@ -235,10 +241,10 @@ def categorize_learn(df: DataFrame, order: str, rules=None, memory: DataFrame |
     No per-key window: a merchant holding a third of all rows is combined map-side.
     Returns (labeled rows, new memory).
     """
-    rules, n_kw = _rules_df(df, rules)
+    rules, n_kw, rules_map = _rules_df(df, rules)
     descs = (df.where(F.col(description).isNotNull() & (F.col(description) != ""))
              .groupBy(description).agg(F.min(order).alias("_first_seq")))
-    res = resolve(descs, rules, memory, threshold, case_insensitive, description, n_kw)
+    res = resolve(descs, rules, memory, threshold, case_insensitive, description, n_kw, rules_map)
     own = (F.when(F.col("memory_category").isNull(),
                   F.coalesce(F.col("fuzzy_category"), F.col("keyword_category"))))
     res = res.withColumn("_own", own)
