@@ -27,10 +27,33 @@ def _money_sum(c: str = "amount"):
     return F.sum(F.col(c).cast(MONEY))
 
 
+def _partials(df: DataFrame, keys) -> DataFrame:
+    """(keys, _t = exact money sum, _n = row count). Accepts rows (with ``amount``) or
+    partials already aggregated at a finer grain (with ``_t``/``_n``)."""
+    if "_t" in df.columns and "_n" in df.columns:
+        return df.groupBy(*keys).agg(F.sum("_t").alias("_t"), F.sum("_n").alias("_n"))
+    return df.groupBy(*keys).agg(_money_sum().alias("_t"), F.count("*").alias("_n"))
+
+
+def labeled_partials(df: DataFrame, label, keys=(), description: str = "description") -> DataFrame:
+    """Aggregate first, label after: money partials per (description, keys), then
+    ``label(description)`` evaluated once per distinct description instead of once per row
+    (labels depend on the description only). Every report accepts the result in place of
+    labeled rows, with identical output."""
+    key_cols = [F.col(k) if isinstance(k, str) else k for k in keys]
+    p = _partials(df, [F.col(description), *key_cols])
+    return p.withColumn("category", label(F.col(description)))
+
+
+def with_period(df: DataFrame, unit: str, name: str) -> DataFrame:
+    """Adds the truncated period of ``date`` (a DATE) as ``name``."""
+    return df.withColumn(name, F.to_date(F.date_trunc(unit, F.col("date"))))
+
+
 def category_summary(df: DataFrame) -> DataFrame:
     """A3: total, count, average and percent of the grand total per category.
     The grand total is a window over the per-category aggregate (one row per category)."""
-    per = df.groupBy("category").agg(_money_sum().alias("_t"), F.count("*").alias("n_txn"))
+    per = _partials(df, ["category"]).withColumnRenamed("_n", "n_txn")
     return (per.withColumn("_g", F.sum("_t").over(Window.partitionBy()))
             .select("category",
                     F.col("_t").cast("double").alias("total"),
@@ -43,9 +66,9 @@ def category_summary(df: DataFrame) -> DataFrame:
 def monthly_summary(df: DataFrame) -> DataFrame:
     """A4: per (month, category) total and count, previous month's total of the category
     and the change (null for a category's first month)."""
-    per = (df.withColumn("month", F.to_date(F.date_trunc("month", F.col("date"))))
-           .groupBy("month", "category")
-           .agg(_money_sum().alias("_t"), F.count("*").alias("n_txn")))
+    if "month" not in df.columns:
+        df = with_period(df, "month", "month")
+    per = _partials(df, ["month", "category"]).withColumnRenamed("_n", "n_txn")
     w = Window.partitionBy("category").orderBy("month")
     prev = F.lag("_t").over(w)
     return per.select("month", "category", F.col("_t").cast("double").alias("total"), "n_txn",
@@ -55,10 +78,11 @@ def monthly_summary(df: DataFrame) -> DataFrame:
 
 def merchant_summary(df: DataFrame, top: int | None = 10) -> DataFrame:
     """A5: total and frequency per merchant (F4 of the description); the top ``top`` by
-    total, ties by merchant name. ``top=None`` returns every merchant."""
-    per = (df.withColumn("merchant", extract_merchant("description"))
-           .groupBy("merchant").agg(_money_sum().alias("_t"), F.count("*").alias("n_txn")))
-    per = per.select("merchant", F.col("_t").cast("double").alias("total"), "n_txn")
+    total, ties by merchant name. ``top=None`` returns every merchant. Money is summed per
+    description first, so F4 runs once per distinct description, not per row."""
+    per_desc = _partials(df, ["description"]).withColumn("merchant", extract_merchant("description"))
+    per = _partials(per_desc, ["merchant"])
+    per = per.select("merchant", F.col("_t").cast("double").alias("total"), F.col("_n").alias("n_txn"))
     if top is None:
         return per
     return per.orderBy(F.col("total").desc(), F.col("merchant")).limit(top)
@@ -73,7 +97,7 @@ def account_summary(df: DataFrame) -> DataFrame:
 def budget_vs_actual(df: DataFrame, budgets: DataFrame) -> DataFrame:
     """Actual per category against a (category, budget) table, full outer join:
     categories without spending and spending without a budget both appear."""
-    actual = df.groupBy("category").agg(_money_sum().alias("_t"))
+    actual = _partials(df, ["category"]).drop("_n")
     b = budgets.select("category", F.col("budget").cast(MONEY).alias("_b"))
     j = actual.join(b, "category", "full_outer")
     return j.select(
@@ -87,8 +111,9 @@ def budget_vs_actual(df: DataFrame, budgets: DataFrame) -> DataFrame:
 
 def period_over_period(df: DataFrame, period: str = "year") -> DataFrame:
     """Per (period, category) total against the same category's previous period."""
-    per = (df.withColumn("period", F.to_date(F.date_trunc(period, F.col("date"))))
-           .groupBy("period", "category").agg(_money_sum().alias("_t")))
+    if "period" not in df.columns:
+        df = with_period(df, period, "period")
+    per = _partials(df, ["period", "category"]).drop("_n")
     w = Window.partitionBy("category").orderBy("period")
     prev = F.lag("_t").over(w)
     return per.select(

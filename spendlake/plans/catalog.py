@@ -201,10 +201,15 @@ _CATSUM_SQL = (
     "FROM per CROSS JOIN (SELECT sum(t) AS g FROM per) _g")
 
 
+def _rules_p_label(d):
+    return F.coalesce(C.keyword_case(X.description_key(d), RULES_P), F.lit("Uncategorized"))
+
+
 @query("category_summary", _CATSUM_SQL)
 def category_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Flagship: transactions -> keyword categories -> total/count/average/share."""
-    return S.category_summary(_keyword_labeled(spark, sf))
+    """Flagship: transactions -> keyword categories -> total/count/average/share.
+    Money is aggregated per description first; each distinct description is labeled once."""
+    return S.category_summary(S.labeled_partials(txn_l(spark, sf), _rules_p_label))
 
 
 _MERCH_L_SQL = O.merchant_select(f"SELECT DISTINCT description FROM ({TXN_L_SQL}) _d", "description",
@@ -362,7 +367,8 @@ def _money(x):
     "CAST(t - lag(t) OVER (PARTITION BY category ORDER BY month) AS DOUBLE) AS change FROM per"))
 def monthly_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Monthly totals per category with month-over-month change."""
-    return S.monthly_summary(_keyword_labeled(spark, sf))
+    t = S.with_period(txn_l(spark, sf), "month", "month")
+    return S.monthly_summary(S.labeled_partials(t, _rules_p_label, ["month"]))
 
 
 _F4_L = O.merchant_select(
@@ -399,7 +405,7 @@ _BUDGET_SQL = "(SELECT * FROM (VALUES " + ", ".join(
 def budget_vs_actual(spark: SparkSession, sf: str) -> DataFrame:
     """Actual vs budget per category (full outer join)."""
     budgets = spark.createDataFrame(list(BUDGETS.items()), "category string, budget double")
-    return S.budget_vs_actual(_keyword_labeled(spark, sf), budgets)
+    return S.budget_vs_actual(S.labeled_partials(txn_l(spark, sf), _rules_p_label), budgets)
 
 
 @query("period_over_period", (
@@ -409,4 +415,5 @@ def budget_vs_actual(spark: SparkSession, sf: str) -> DataFrame:
     "round(CASE WHEN p <> 0 THEN CAST(t - p AS DOUBLE) * 100 / CAST(p AS DOUBLE) END, 6) AS pct_change FROM l"))
 def period_over_period(spark: SparkSession, sf: str) -> DataFrame:
     """Yearly totals per category against the previous year."""
-    return S.period_over_period(_keyword_labeled(spark, sf), "year")
+    t = S.with_period(txn_l(spark, sf), "year", "period")
+    return S.period_over_period(S.labeled_partials(t, _rules_p_label, ["period"]), "year")
