@@ -136,10 +136,15 @@ def keyword_first(dkeys: DataFrame, rules: DataFrame, dkey: str = "_dkey",
 
 def keyword_case(dkey, rules: Mapping[str, Sequence[str]] | None = None) -> Column:
     """C3 for an inline rule mapping as one generated CASE chain (no join, no shuffle)."""
-    from spendlake.operators.rules import rule_rows
+    from spendlake.operators.rules import rule_rows, sql_string
     rows = rule_rows(rules)
     if len(rows) > MAX_INLINE_KEYWORDS:
         raise ValueError("rule set too large to inline; use keyword_first")
+    if isinstance(dkey, str) and rows:
+        # one SQL CASE parsed in the JVM (the column is referenced by name)
+        col = "`" + dkey.replace("`", "``") + "`"
+        whens = " ".join(f"WHEN instr({col}, {sql_string(kw)}) > 0 THEN {sql_string(cat)}" for _, cat, kw in rows)
+        return F.expr(f"CASE {whens} END")
     d = F.col(dkey) if isinstance(dkey, str) else dkey
     expr = None
     for _, cat, kw in rows:
@@ -154,7 +159,8 @@ MAX_BROADCAST_KEYWORDS = 200_000   # a few MB of keywords at most
 def _memory_hits(memory: DataFrame | None, spark) -> DataFrame:
     """Valid memory entries (non-empty category), one per key."""
     if memory is None:
-        return spark.createDataFrame([], "_mkey string, memory_category string")
+        return spark.range(0).select(F.lit(None).cast("string").alias("_mkey"),
+                                     F.lit(None).cast("string").alias("memory_category"))
     return (memory.where(F.col("category").isNotNull() & (F.col("category") != ""))
             .groupBy(F.col("merchant").alias("_mkey"))
             .agg(F.max("category").alias("memory_category")))

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlake.functions.text import merchant_name
-from spendlake.schema import MEMORY
+from spendlake.schema import MEMORY, empty_frame
 
 
 def empty_memory(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], MEMORY)
+    return empty_frame(spark, MEMORY)
 
 
 def learn_batch(memory: DataFrame, pairs: DataFrame, version: str | None = None) -> DataFrame:

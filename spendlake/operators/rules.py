@@ -56,9 +56,15 @@ def rules_frame(spark: SparkSession, rules: Mapping[str, Sequence[str]] | None =
     rows = rule_rows(rules or DEFAULT_RULES)
     if not rows:
         return spark.createDataFrame([], RULES)
-    structs = [F.struct(F.lit(o).cast("int").alias("ord"), F.lit(c).alias("category"),
-                        F.lit(k).alias("keyword")) for o, c, k in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    structs = ", ".join(f"named_struct('ord', CAST({o} AS INT), 'category', {sql_string(c)}, "
+                        f"'keyword', {sql_string(k)})" for o, c, k in rows)
+    # one SQL expression parsed in the JVM instead of hundreds of Column calls
+    return spark.range(1).select(F.expr(f"inline(array({structs}))"))
+
+
+def sql_string(s: str) -> str:
+    """A Spark SQL string literal for ``s`` (backslash and quote escaped)."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def keyword_table(rules: DataFrame) -> DataFrame:

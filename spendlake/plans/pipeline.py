@@ -44,11 +44,11 @@ def run_pipeline(spark: SparkSession, statements_dir: str, target_path: str, led
     if ledger is None:
         ledger = L.empty_ledger(spark)
     todo = L.pending(listing, ledger)
-    csv = todo.where(L.extension("file_path") == ".csv")
     # the pending file list is listing metadata (one path per file), as Spark's own file
     # index holds it; no file contents pass through the driver
-    csv_paths = [r.file_path for r in csv.select("file_path").orderBy("file_path").collect()]
-    skipped = todo.where(L.extension("file_path") != ".csv").count()
+    pend = todo.select("file_path", (L.extension("file_path") == ".csv").alias("csv")).collect()
+    csv_paths = sorted(r.file_path for r in pend if r.csv)
+    skipped = sum(1 for r in pend if not r.csv)
     if not csv_paths:
         return RunReport(0, skipped, 0, 0)
 
@@ -86,7 +86,7 @@ def _append_with_counts(records: DataFrame, target_path: str) -> DataFrame:
     with_month = records.withColumn(K.PARTITION, F.date_format("date", "yyyy-MM"))
     target = K.read_target(spark, target_path)
     if target is None:
-        existing = spark.createDataFrame([], "transaction_id string")
+        existing = spark.range(0).select(F.lit(None).cast("string").alias("transaction_id"))
     else:
         months = with_month.select(K.PARTITION).distinct()
         existing = target.join(months, K.PARTITION, "left_semi").select("transaction_id")

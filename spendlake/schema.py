@@ -63,3 +63,9 @@ def require_columns(df: DataFrame, cols: Iterable[str], message: str | None = No
     missing = [c for c in cols if c not in df.columns]
     if missing:
         raise ValueError(message or f"missing required columns: {missing}")
+
+
+def empty_frame(spark, schema: T.StructType):
+    """An empty DataFrame of ``schema`` planned in the JVM (no Python RDD behind it)."""
+    from pyspark.sql import functions as F
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])

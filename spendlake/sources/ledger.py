@@ -11,11 +11,11 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.schema import LEDGER, SUPPORTED_EXTENSIONS
+from spendlake.schema import LEDGER, SUPPORTED_EXTENSIONS, empty_frame
 
 
 def empty_ledger(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], LEDGER)
+    return empty_frame(spark, LEDGER)
 
 
 def upsert(ledger: DataFrame, entries: DataFrame) -> DataFrame:

@@ -107,7 +107,7 @@ def append_new(batch: DataFrame, target_path: str, file_order: str | None = None
     with_month = batch.withColumn(PARTITION, F.date_format("date", "yyyy-MM"))
     target = read_target(spark, target_path)
     if target is None:
-        existing = spark.createDataFrame([], "transaction_id string")
+        existing = spark.range(0).select(F.lit(None).cast("string").alias("transaction_id"))
     else:
         months = with_month.select(PARTITION).distinct()
         existing = target.join(months, PARTITION, "left_semi").select("transaction_id")

@@ -178,3 +178,13 @@ def test_equi_candidates_equal_prefilter_and_brute_force(spark):
             if cat is not None and best * 100 >= thr:
                 want[x] = (cat, round(best, 9))
         assert got == want
+
+
+def test_rule_text_with_quotes_and_backslashes(spark):
+    rules = {"It's \\ odd": ["joe's", "a\\b", "100%"], "Plain": ["x"]}
+    got = [tuple(r) for r in R.rules_frame(spark, rules).orderBy("ord").collect()]
+    assert got == R.rule_rows(rules)
+    df = spark.createDataFrame([("JOE'S",), ("a\\b c",), ("100% sure",)], "d string")
+    df = df.withColumn("k", F.lower("d"))
+    cats = [r.c for r in df.select(C.keyword_case("k", rules).alias("c")).collect()]
+    assert cats == ["It's \\ odd"] * 3
