@@ -124,8 +124,8 @@ def read_statements(spark: SparkSession, paths: str | Sequence[str], account="un
     acct = account if isinstance(account, Column) else F.lit(account)
     out = data.select("file_path",
                       F.struct("file_path", "_blk", "_mid").alias("row_seq"),
-                      *txn_columns(_pick(F.col("date_idx"), max_columns), _pick(F.col("desc_idx"), max_columns),
-                                   _pick(F.col("amount_idx"), max_columns), acct))
+                      *txn_columns(_pick("date_idx", max_columns), _pick("desc_idx", max_columns),
+                                   _pick("amount_idx", max_columns), acct))
     if bad_dates == "quarantine":
         return out.where(F.col("date").isNotNull())
     if bad_dates == "fail_file":
@@ -146,13 +146,10 @@ def statement_rejects(spark: SparkSession, paths, compat: bool = True,
     return roles.select("file_path", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
-def _pick(idx: Column, n: int) -> Column:
-    """Cell ``idx`` (1-based) of a row as a generated CASE over the cell columns."""
-    out = None
-    for i in range(n):
-        out = (F.when(idx == i + 1, F.col(f"_c{i}")) if out is None
-               else out.when(idx == i + 1, F.col(f"_c{i}")))
-    return out
+def _pick(idx: str, n: int) -> Column:
+    """Cell ``idx`` (1-based, a column name) of a row as a generated CASE over the cells."""
+    whens = " ".join(f"WHEN {i + 1} THEN _c{i}" for i in range(n))
+    return F.expr(f"CASE {idx} {whens} END")
 
 
 def _scan(spark: SparkSession, paths, max_columns: int) -> DataFrame:
