@@ -103,21 +103,26 @@ def _candidate_pairs_equi(m: DataFrame, kw: DataFrame, threshold: int, merchant:
     each of its tokens; a keyword is listed under every length inside its reachable band
     [k*t/(2-t), k*(2-t)/t] and under each of its tokens (a shared token is the only way to
     score high outside the band). A pair found twice is scored twice; the per-merchant max
-    does not care. The keyword side (keywords x (band width + tokens) rows) is bounded and
-    broadcast when the rule set is small; merchants are read once."""
+    does not care. Broadcasts (when the rule set is small): the (probe, keyword id) table
+    and one attribute row per keyword; merchants are read once."""
     t = threshold / 100.0
     lo = F.ceil(F.col("k_len") * t / (2.0 - t) - 1e-9).cast("int")
     hi = F.floor(F.col("k_len") * (2.0 - t) / t + 1e-9).cast("int")
     lens = F.transform(F.sequence(F.greatest(lo, F.lit(1)), F.greatest(hi, F.lit(1))),
                        lambda n: F.concat(F.lit("L"), n.cast("string")))
     toks = F.transform("k_tokens", lambda x: F.concat(F.lit("T"), x))
-    side = kw.withColumn("_probe", F.explode(F.array_distinct(F.concat(lens, toks))))
+    # probe table: (probe key, keyword id) only, a few bytes per row; the keyword attributes
+    # (tokens, masks) are attached afterwards from one row per keyword, so each broadcast is
+    # bounded by the (checked) number of keywords
+    probes_kw = kw.select(F.explode(F.array_distinct(F.concat(lens, toks))).alias("_probe"), "ord")
+    attrs = kw
     if broadcast:
-        side = F.broadcast(side)
+        probes_kw, attrs = F.broadcast(probes_kw), F.broadcast(attrs)
     probes = F.concat(F.array(F.concat(F.lit("L"), F.col("m_len").cast("string"))),
                       F.transform("m_tokens", lambda x: F.concat(F.lit("T"), x)))
     return (m.withColumn("_probe", F.explode(F.array_distinct(probes)))
-            .join(side, "_probe").drop("_probe"))
+            .join(probes_kw, "_probe").drop("_probe")
+            .join(attrs, "ord"))
 
 
 def keyword_first(dkeys: DataFrame, rules: DataFrame, dkey: str = "_dkey",
