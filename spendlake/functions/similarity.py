@@ -74,11 +74,6 @@ def pattern_code_masks(c) -> Column:
     return F.when(s.rlike(ASCII), F.transform(F.sequence(F.lit(0), F.lit(127)), mask))
 
 
-def char_codes(c) -> Column:
-    """Code points of the characters of a string (input to ``lcs_bits_codes``)."""
-    return F.transform(chars(c), lambda ch: F.ascii(ch))
-
-
 def lcs_bits_codes(codes, code_masks, m) -> Column:
     """``lcs_bits`` over character codes with an ASCII pattern's code-indexed masks."""
     full = _bit(m) - 1

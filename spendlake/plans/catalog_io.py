@@ -279,8 +279,7 @@ def rules_extend(spark: SparkSession, sf: str) -> DataFrame:
 def existing_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct ids of a target that has an id column."""
     records = K.to_transactions(V.add_transaction_id(_keyword_labeled(spark, sf)))
-    target = records.toDF("Date", "Transaction Name", "Category", "Spent From", "Amount", "Notes", "Transaction ID")
-    return K.existing_ids(target)
+    return K.existing_ids(K.workbook_projection(records))
 
 
 @query("existing_ids_recomputed", f"SELECT DISTINCT transaction_id FROM ({_IDS_L}) _i")

@@ -26,6 +26,7 @@ from spendlake.sources import ingest as I
 from spendlake.sources import ledger as L
 from spendlake.sources import sink as K
 from spendlake.sources import snapshots as SN
+from spendlake.schema import DEFAULT_ACCOUNT
 
 
 @dataclass
@@ -37,7 +38,7 @@ class RunReport:
 
 
 def run_pipeline(spark: SparkSession, statements_dir: str, target_path: str, ledger_root: str,
-                 memory_root: str, account: str = "unknown", rules=None, threshold: int = 80,
+                 memory_root: str, account: str = DEFAULT_ACCOUNT, rules=None, threshold: int = 80,
                  dedupe: bool = False, learn: bool = True) -> RunReport:
     listing = L.list_files(spark, statements_dir)
     ledger = SN.load_latest(spark, ledger_root)

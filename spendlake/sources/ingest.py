@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from spendlake.functions.text import column_name, description_key, normalize_column_name
 from spendlake.functions.values import parse_amount, parse_date, transaction_hash
+from spendlake.schema import DEFAULT_ACCOUNT, TXN, empty_frame
 
 # Header patterns per role (substring tests on normalized names, first
 # column in file order wins), and the text pandas' CSV reader turns into nulls.
@@ -103,7 +104,7 @@ def txn_columns(date: Column, desc: Column, amount: Column, account: Column,
             account.alias("account"), tid.alias("transaction_id")]
 
 
-def read_statements(spark: SparkSession, paths: str | Sequence[str], account="unknown",
+def read_statements(spark: SparkSession, paths: str | Sequence[str], account=DEFAULT_ACCOUNT,
                     compat: bool = True, bad_dates: str = "quarantine",
                     max_columns: int = MAX_COLUMNS) -> DataFrame:
     """Every CSV statement under ``paths`` as one Txn DataFrame.
@@ -193,7 +194,7 @@ def classify_files(spark: SparkSession, paths, recursive: bool = True) -> DataFr
                      F.coalesce(by_ext, magic, F.lit("unknown")).alias("file_type"))
 
 
-def normalize_table(df: DataFrame, account="unknown", strip_currency: bool = False,
+def normalize_table(df: DataFrame, account=DEFAULT_ACCOUNT, strip_currency: bool = False,
                     compat: bool = True) -> DataFrame:
     """A table that is already tabular (e.g. a decoded spreadsheet) -> Txn. Header
     names are normalized (P1, collisions get a position suffix) and roles picked like
@@ -221,7 +222,7 @@ def normalize_table(df: DataFrame, account="unknown", strip_currency: bool = Fal
                                  F.col(amt_c).cast("string"), acct, strip_currency))
 
 
-def parse_statements(spark: SparkSession, paths, account="unknown", keep_sign: bool = False) -> DataFrame:
+def parse_statements(spark: SparkSession, paths, account=DEFAULT_ACCOUNT, keep_sign: bool = False) -> DataFrame:
     """S7, the dispatch: CSV statements through ``read_statements`` (one scan), text files
     holding extracted statement lines (``.txt``, or a PDF's extracted text) through
     ``lines.parse_lines``; both as Txn rows with ``file_path``. The file list is listing
@@ -247,8 +248,7 @@ def parse_statements(spark: SparkSession, paths, account="unknown", keep_sign: b
                                  F.when(d.isNotNull(), transaction_hash(d, F.col("description"), amt, acct))
                                  .alias("transaction_id")).where(F.col("date").isNotNull()))
     if not parts:
-        return spark.createDataFrame([], "file_path string, date date, description string, amount double, "
-                                         "account string, transaction_id string")
+        return empty_frame(spark, T.StructType([T.StructField("file_path", T.StringType()), *TXN.fields]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -10,10 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from spendlake.functions.values import transaction_hash
-from spendlake.schema import CSV_HEADINGS, TARGET, require_columns
+from spendlake.schema import CSV_HEADINGS, TARGET, TARGET_HEADINGS, require_columns
 
 PARTITION = "month"
 
@@ -128,4 +127,6 @@ def read_target(spark: SparkSession, target_path: str) -> DataFrame | None:
         return None
 
 
-EMPTY_TARGET = T.StructType(TARGET.fields + [T.StructField(PARTITION, T.StringType())])
+def workbook_projection(records: DataFrame) -> DataFrame:
+    """S12 column layout: records renamed to the workbook headings."""
+    return records.select(*[F.col(c).alias(h) for c, h in zip([f.name for f in TARGET.fields], TARGET_HEADINGS)])

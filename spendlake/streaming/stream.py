@@ -18,7 +18,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.functions.values import add_transaction_id
 from spendlake.operators.categorize import categorize_learn
 from spendlake.schema import FUZZY_THRESHOLD
 from spendlake.sources.sink import new_rows
@@ -106,6 +105,3 @@ def dedupe_stream(df: DataFrame, event_time: str | Column, horizon: str = "7 day
             .withWatermark("_event_ts", horizon)
             .dropDuplicatesWithinWatermark(["transaction_id"]))
 
-
-def with_ids(df: DataFrame) -> DataFrame:
-    return add_transaction_id(df)

@@ -88,6 +88,8 @@ def test_ledger_upsert_pending_unmark_summary(spark):
     assert (s.total_files, s.total_rows, s.total_transactions) == (2, 6, 2)
     gone = L.unmark(led, spark.createDataFrame([("/s/a.csv",)], "file_path string"))
     assert [r.file_path for r in gone.collect()] == ["/s/b.pdf"]
+    assert sorted(r.file_path for r in L.is_processed(files, led).collect()) == ["/s/a.csv", "/s/b.pdf"]
+    assert L.clear_all(led).count() == 0
 
 
 def test_stream_append_replay_safe_and_learning_across_batches(spark, tmp_path):
