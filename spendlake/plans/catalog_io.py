@@ -432,8 +432,9 @@ def classify_files(spark: SparkSession, sf: str) -> DataFrame:
     return files.groupBy("file_type").agg(F.count("*").alias("n_files"))
 
 
-def _statement_files(spark, sf) -> str:
-    """Orders exported as two bank CSV layouts (by order status) into the scratch folder."""
+def _statement_files(spark, sf, one_folder: bool = False) -> str:
+    """Orders exported as two bank CSV layouts (by order status) into the scratch folder:
+    ``layout_a`` / ``layout_b`` sub-folders, or both appended into one folder."""
     root = scratch_path(spark, "statements")
     o = table(spark, sf, "orders")
     a = o.where(F.col("o_orderstatus") == "F").select(
@@ -447,8 +448,12 @@ def _statement_files(spark, sf) -> str:
          .otherwise(F.concat(F.lit("ORDER "), F.col("o_orderkey").cast("string"), F.lit(" "), "o_orderpriority")).alias("Payee"),
         F.format_string("%.2f", "o_totalprice").alias("Amount"),
         F.col("o_custkey").cast("string").alias("Ref No"))
-    a.write.option("header", True).csv(f"{root}/layout_a")
-    b.write.option("header", True).csv(f"{root}/layout_b")
+    if one_folder:
+        a.write.option("header", True).csv(root)
+        b.write.mode("append").option("header", True).csv(root)
+    else:
+        a.write.option("header", True).csv(f"{root}/layout_a")
+        b.write.option("header", True).csv(f"{root}/layout_b")
     return root
 
 
@@ -532,11 +537,7 @@ def pipeline_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     """Statements (two header layouts, one folder) -> scan -> categorize (default
     rules) -> append to a new target; the target read back."""
     from spendlake.plans.pipeline import run_pipeline
-    root = _statement_files(spark, sf)
-    folder = scratch_path(spark, "pipeline-in")
-    for layout in ("layout_a", "layout_b"):
-        spark.read.option("header", True).csv(f"{root}/{layout}").write.mode("append") \
-            .option("header", True).csv(folder)
+    folder = _statement_files(spark, sf, one_folder=True)
     target = scratch_path(spark, "pipeline-target")
     run_pipeline(spark, folder, target, scratch_path(spark, "pipeline-ledger"),
                  scratch_path(spark, "pipeline-memory"), account="chequing", learn=False)
