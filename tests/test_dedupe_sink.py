@@ -118,3 +118,10 @@ def test_shuffled_input_same_result(spark):
     a = sorted(map(tuple, D.remove_duplicates(df, "first").collect()))
     b = sorted(map(tuple, D.remove_duplicates(df.repartition(13).orderBy(F.rand(1)), "first").collect()))
     assert a == b
+
+
+def test_find_duplicates_sorted_by_date_and_description(spark):
+    df = spark.createDataFrame([(D2, "B", 1.0), (D1, "Z", 2.0), (D2, "B", 3.0), (D1, "Z", 4.0), (D1, "A", 5.0)],
+                               "date date, description string, amount double")
+    got = [(r.date, r.description) for r in D.find_duplicates(df).collect()]
+    assert got == [(D1, "Z"), (D1, "Z"), (D2, "B"), (D2, "B")]

@@ -168,3 +168,20 @@ def test_parse_statements_dispatch(spark, tmp_path):
     out = I.parse_statements(spark, str(tmp_path), account="chq")
     got = sorted((r.date.isoformat(), r.description, r.amount) for r in out.collect())
     assert got == [("2024-01-15", "starbucks coffee 12", 5.5), ("2024-01-16", "TIM HORTONS #3", 2.0)]
+
+
+def test_fixed_roles_read_and_table_options(spark, tmp_path):
+    # Q1: "Transaction Date" also matches the amount patterns; D1 picks CAD$ instead
+    write(tmp_path / "q1" / "s.csv", "Transaction Date,Description,CAD$\n2024-03-01,COFFEE,\"$1,250.00\"\n")
+    ref = I.read_statements(spark, str(tmp_path / "q1")).first()
+    fixed = I.read_statements(spark, str(tmp_path / "q1"), compat=False).first()
+    assert (ref.amount, fixed.amount) == (0.0, 1250.0)
+    t = spark.createDataFrame([("2024-03-01", "Coffee Shop", "$1,250.00")], "Date string, Payee string, Amount string")
+    assert I.normalize_table(t, "chq").first().amount == 0.0                      # spreadsheet branch (Q16)
+    assert I.normalize_table(t, "chq", strip_currency=True).first().amount == 1250.0
+
+
+def test_cells_keep_sign(spark):
+    df = spark.createDataFrame([(["2024-01-15", "REFUND", "-$12.50"],)], "cells array<string>")
+    assert LN.parse_cells(df).first().amount == 12.5
+    assert LN.parse_cells(df, keep_sign=True).first().amount == -12.5
