@@ -159,6 +159,7 @@ def keyword_case(dkey, rules: Mapping[str, Sequence[str]] | None = None) -> Colu
 
 
 MAX_BROADCAST_KEYWORDS = 200_000   # a few MB of keywords at most
+LABELS = ("category", "confidence", "matched_by")
 
 
 def _memory_hits(memory: DataFrame | None, spark) -> DataFrame:
@@ -224,6 +225,7 @@ def categorize(df: DataFrame, rules=None, memory: DataFrame | None = None,
     join back on the description.
     """
     rules, n_kw, rules_map = _rules_df(df, rules)
+    df = df.drop(*LABELS)  # re-labeling replaces earlier labels
     descs = df.select(description).where(F.col(description).isNotNull()).distinct()
     res = resolve(descs, rules, memory, threshold, case_insensitive, description, n_kw, rules_map)
     category, confidence, matched = _label_columns()
@@ -253,6 +255,7 @@ def categorize_learn(df: DataFrame, order: str, rules=None, memory: DataFrame |
     Returns (labeled rows, new memory).
     """
     rules, n_kw, rules_map = _rules_df(df, rules)
+    df = df.drop(*LABELS)  # re-labeling replaces earlier labels
     descs = (df.where(F.col(description).isNotNull() & (F.col(description) != ""))
              .groupBy(description).agg(F.min(order).alias("_first_seq")))
     res = resolve(descs, rules, memory, threshold, case_insensitive, description, n_kw, rules_map)

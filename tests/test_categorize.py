@@ -188,3 +188,11 @@ def test_rule_text_with_quotes_and_backslashes(spark):
     df = df.withColumn("k", F.lower("d"))
     cats = [r.c for r in df.select(C.keyword_case("k", rules).alias("c")).collect()]
     assert cats == ["It's \\ odd"] * 3
+
+
+def test_relabeling_replaces_labels(spark):
+    df = spark.createDataFrame([(1, "STARBUCKS")], "id long, description string")
+    once = C.categorize(df)
+    twice = C.categorize(once, {"Coffee": ["starbucks"]})
+    assert twice.columns == ["id", "description", "category", "confidence", "matched_by"]
+    assert twice.first().category == "Coffee"
