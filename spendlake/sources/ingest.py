@@ -32,6 +32,7 @@ PROBE_AMOUNT_PATTERNS_FIXED = ("cad$", "usd$", "amount", "transaction amount")
 NULL_MARKERS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
                 "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 MAX_COLUMNS = 32
+MAX_BROADCAST_FILES = 500_000   # roles rows are ~200 bytes: at most ~100 MB broadcast
 
 
 def _any_of(pats: Sequence[str]) -> str:
@@ -120,7 +121,11 @@ def read_statements(spark: SparkSession, paths: str | Sequence[str], account=DEF
     rows = _scan(spark, paths, max_columns)
     roles = _file_roles(rows, compat, max_columns)
     ok = roles.where((F.col("date_idx") > 0) & (F.col("desc_idx") > 0) & (F.col("amount_idx") > 0))
-    # one row per file: joined to the rows (AQE broadcasts it when small)
+    # one small row per file: its size is bounded by the file count, which the file index
+    # already knows (metadata, no scan) -> broadcast under that bound, so the statement rows
+    # are never shuffled for this join; beyond it AQE decides
+    if len(rows.inputFiles()) <= MAX_BROADCAST_FILES:
+        ok = F.broadcast(ok)
     data = rows.join(ok, "file_path").where(F.col("_mid") != F.col("_hid"))
     acct = account if isinstance(account, Column) else F.lit(account)
     out = data.select("file_path",
