@@ -42,7 +42,12 @@ def labeled_partials(df: DataFrame, label, keys=(), description: str = "descript
     labeled rows, with identical output."""
     key_cols = [F.col(k) if isinstance(k, str) else k for k in keys]
     p = _partials(df, [F.col(description), *key_cols])
-    return p.withColumn("category", label(F.col(description)))
+    if not key_cols:
+        return p.withColumn("category", label(F.col(description)))
+    # with extra keys (month, year) there are several partial rows per description: label
+    # each distinct description once and join the small label table back
+    labels = p.select(description).distinct().withColumn("category", label(F.col(description)))
+    return p.join(labels, description)
 
 
 def with_period(df: DataFrame, unit: str, name: str) -> DataFrame:
