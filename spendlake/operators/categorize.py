@@ -72,15 +72,19 @@ def fuzzy_best(merchants: DataFrame, rules: DataFrame, threshold: int = FUZZY_TH
     m = m.withColumn("m_codes", F.transform("m_chars", lambda ch: F.ascii(ch)))
     kw = prepared_keywords(rules, case_insensitive)
     n_keywords = rules.count() if n_keywords is None else n_keywords
+    broadcast = n_keywords <= MAX_INLINE_KEYWORDS
     if threshold > 0:
         # exact candidate pairs by equi-joins (length band, shared token): no nested loop
-        pairs = _candidate_pairs_equi(m, kw, threshold, merchant, broadcast=n_keywords <= MAX_INLINE_KEYWORDS)
+        pairs = _candidate_pairs_equi(m, kw, threshold, merchant, broadcast=broadcast)
     else:
-        # threshold 0 accepts any positive score: every pair is a candidate; the keyword
-        # table is small (checked above) and broadcast
-        if n_keywords > MAX_INLINE_KEYWORDS:
-            raise ValueError("threshold 0 needs every merchant x keyword pair; rule set too large")
-        pairs = m.crossJoin(F.broadcast(kw))
+        # threshold 0 accepts any positive score, which needs at least one shared character
+        # (LCS >= 1): candidates are the pairs sharing a character, by equi-join on it
+        kw_chars = kw.select(F.explode(F.array_distinct(chars("k_join"))).alias("_ch"), "ord")
+        attrs = kw
+        if broadcast:
+            kw_chars, attrs = F.broadcast(kw_chars), F.broadcast(attrs)
+        pairs = (m.withColumn("_ch", F.explode(F.array_distinct("m_chars"))).join(kw_chars, "_ch")
+                 .drop("_ch").dropDuplicates([merchant, "ord"]).join(attrs, "ord"))
     pairs = score_pairs(pairs.select(merchant, "ord", "category", "m_tokens", "m_chars", "m_codes",
                                      "k_tokens", "k_join", "k_masks", "k_codes"),
                         "m_tokens", "k_tokens", "k_join", "k_masks", a_chars="m_chars",

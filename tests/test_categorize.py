@@ -196,3 +196,20 @@ def test_relabeling_replaces_labels(spark):
     twice = C.categorize(once, {"Coffee": ["starbucks"]})
     assert twice.columns == ["id", "description", "category", "confidence", "matched_by"]
     assert twice.first().category == "Coffee"
+
+
+def test_threshold_zero_matches_brute_force(spark):
+    merchants = ["Cafe", "Zzz", "Pizza Hut", "Qq", "Gas"]
+    rules = {"A": ["cafe", "pizza hut"], "B": ["gas"]}
+    m = spark.createDataFrame([(x,) for x in merchants], "_merchant string")
+    got = {r._merchant: r.fuzzy_category for r in C.fuzzy_best(m, R.rules_frame(spark, rules), 0).collect()}
+    want = {}
+    for x in merchants:
+        best, cat = 0.0, None
+        for o, c, k in R.rule_rows(rules):
+            sc = py_token_set_ratio(x, k)
+            if sc > best:
+                best, cat = sc, c
+        if cat is not None:
+            want[x] = cat
+    assert got == want
