@@ -68,12 +68,20 @@ def category_summary(df: DataFrame) -> DataFrame:
                                    / F.col("_g").cast("double")), 6).alias("percent")))
 
 
-def monthly_summary(df: DataFrame) -> DataFrame:
+def monthly_summary(df: DataFrame, dense: bool = False) -> DataFrame:
     """A4: per (month, category) total and count, previous month's total of the category
-    and the change (null for a category's first month)."""
+    and the change (null for a category's first month). ``dense=True`` also lists the
+    months without rows between a category's first and last month (total 0)."""
     if "month" not in df.columns:
         df = with_period(df, "month", "month")
     per = _partials(df, ["month", "category"]).withColumnRenamed("_n", "n_txn")
+    if dense:
+        span = per.groupBy("category").agg(F.min("month").alias("_lo"), F.max("month").alias("_hi"))
+        grid = span.select("category", F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 MONTH")))
+                           .alias("month"))
+        per = (grid.join(per, ["category", "month"], "left")
+               .select("month", "category", F.coalesce("_t", F.lit(0).cast(MONEY)).alias("_t"),
+                       F.coalesce("n_txn", F.lit(0).cast("long")).alias("n_txn")))
     w = Window.partitionBy("category").orderBy("month")
     prev = F.lag("_t").over(w)
     return per.select("month", "category", F.col("_t").cast("double").alias("total"), "n_txn",

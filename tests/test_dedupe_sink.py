@@ -125,3 +125,14 @@ def test_find_duplicates_sorted_by_date_and_description(spark):
                                "date date, description string, amount double")
     got = [(r.date, r.description) for r in D.find_duplicates(df).collect()]
     assert got == [(D1, "Z"), (D1, "Z"), (D2, "B"), (D2, "B")]
+
+
+def test_monthly_summary_dense(spark):
+    from spendlake.operators import summaries as S
+    df = spark.createDataFrame([(datetime.date(2024, 1, 5), "A", 10.0), (datetime.date(2024, 3, 7), "A", 5.0)],
+                               "date date, category string, amount double")
+    sparse = S.monthly_summary(df).orderBy("month").collect()
+    assert [(r.month.month, r.total, r.prev_total) for r in sparse] == [(1, 10.0, None), (3, 5.0, 10.0)]
+    dense = S.monthly_summary(df, dense=True).orderBy("month").collect()
+    assert [(r.month.month, r.total, r.n_txn, r.prev_total) for r in dense] == [
+        (1, 10.0, 1, None), (2, 0.0, 0, 10.0), (3, 5.0, 1, 0.0)]
