@@ -11,7 +11,7 @@ from spendlake.schema import require_columns
 # What counts as a number (pandas.to_numeric), and the date shapes the
 # statement readers meet (ISO, US slashes, day-month-abbreviation-2-digit-year).
 NUMERIC_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "M/d/yyyy")
+DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "M/d/yyyy", "d/M/yyyy")
 DMY2 = r"^\s*(\d{1,2})-([A-Za-z]{3})-(\d{2})\s*$"   # 15-Jan-24
 YY_PIVOT = 69                                          # 00-68 -> 20xx, 69-99 -> 19xx
 HASH_ALGORITHMS = ("sha1", "md5", "sha256")
@@ -29,16 +29,21 @@ def parse_amount(c, strip_currency: bool = True) -> Column:
     return F.coalesce(F.when(s.rlike(NUMERIC_TEXT), F.trim(s).try_cast("double")), F.lit(0.0))
 
 
-def parse_date(c) -> Column:
-    """first format that parses, per row; otherwise null. Returns DATE."""
+def parse_date(c, yy_pivot: int = YY_PIVOT) -> Column:
+    """first format that parses, per row; otherwise null. Returns DATE.
+
+    Two-digit years below ``yy_pivot`` are 20yy, the others 19yy (strptime's fixed rule,
+    deterministic). pandas' fallback parser slides the window with the current year
+    instead (in 2026: 00-75 -> 20yy); pass ``yy_pivot`` to reproduce a given year's window."""
     s = F.trim(_col(c).cast("string"))
     # each format is only tried on text of a shape it can parse (a necessary condition, so
     # the first-format-that-parses result is unchanged; failed parses are the slow path)
-    shapes = {"yyyy-MM-dd": r"^\d{4}-", "yyyy-MM-dd HH:mm:ss": r"^\d{4}-.*:", "M/d/yyyy": "/"}
+    shapes = {"yyyy-MM-dd": r"^\d{4}-", "yyyy-MM-dd HH:mm:ss": r"^\d{4}-.*:", "M/d/yyyy": "/",
+              "d/M/yyyy": "/"}
     tries = [F.when(s.rlike(shapes[fmt]), F.try_to_timestamp(s, F.lit(fmt))) for fmt in DATE_FORMATS]
     # Two-digit years: pivot like strptime's %y, then parse with a 4-digit year.
     yy = F.regexp_extract(s, DMY2, 3)
-    year = F.when(yy.cast("int") < YY_PIVOT, F.lit(2000)).otherwise(F.lit(1900)) + yy.cast("int")
+    year = F.when(yy.cast("int") < yy_pivot, F.lit(2000)).otherwise(F.lit(1900)) + yy.cast("int")
     mon = F.initcap(F.lower(F.regexp_extract(s, DMY2, 2)))
     dmy = F.when(s.rlike(DMY2), F.concat_ws("-", F.lpad(F.regexp_extract(s, DMY2, 1), 2, "0"),
                                            mon, year.cast("string")))

@@ -139,6 +139,7 @@ _DATE_TEXTS_SQL = (
 @query("parse_date", (
     "SELECT o_orderkey, variant, txt, CAST(coalesce(try_strptime(trim(txt), '%Y-%m-%d'), "
     "try_strptime(trim(txt), '%Y-%m-%d %H:%M:%S'), try_strptime(trim(txt), '%m/%d/%Y'), "
+    "try_strptime(trim(txt), '%d/%m/%Y'), "
     "try_strptime(trim(txt), '%d-%b-%y')) AS DATE) AS date "
     f"FROM ({_DATE_TEXTS_SQL}) _d"))
 def parse_date(spark: SparkSession, sf: str) -> DataFrame:
