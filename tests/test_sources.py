@@ -185,3 +185,38 @@ def test_cells_keep_sign(spark):
     df = spark.createDataFrame([(["2024-01-15", "REFUND", "-$12.50"],)], "cells array<string>")
     assert LN.parse_cells(df).first().amount == 12.5
     assert LN.parse_cells(df, keep_sign=True).first().amount == -12.5
+
+
+def test_stream_learning_equals_batch_over_many_micro_batches(spark, tmp_path):
+    import os
+
+    from spendlake.operators.categorize import categorize_learn
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(
+        "event_id", "ts", "user_id", "event_type", "value").toPandas()
+    ev = ev.sort_values("event_id")
+    assert ev["ts"].is_monotonic_increasing  # event order = time order = file order below
+    src = tmp_path / "days"
+    src.mkdir()
+    days = sorted(ev["ts"].dt.date.unique())
+    chunk = {d: i * 6 // len(days) for i, d in enumerate(days)}   # 6 files of consecutive days
+    for i, part in ev.groupby(ev["ts"].dt.date.map(chunk), sort=True):
+        p = src / f"part{i}.csv"
+        part.assign(ts=part["ts"].dt.strftime("%Y-%m-%d %H:%M:%S")).to_csv(p, index=False)
+        os.utime(p, (1_700_000_000 + i * 10, 1_700_000_000 + i * 10))
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double"
+
+    def txn(d):
+        return d.select("event_id", F.concat(F.upper("event_type"), F.lit(" STORE "),
+                                             F.col("user_id").cast("string")).alias("description"))
+    rules = {"Engagement": ["click", "view"], "Revenue": ["purchase"], "Ops": ["error", "1 error store"]}
+    labels, mem = str(tmp_path / "l"), str(tmp_path / "m")
+    s = ST.statement_stream(spark, str(src), schema, txn, max_files_per_trigger=1)
+    ST.run_available(s, ST.learn_batch(labels, mem, "event_id", rules), str(tmp_path / "ck"))
+    streamed = spark.read.parquet(labels)
+    assert streamed.select("batch_id").distinct().count() == 6
+    batch_df = spark.createDataFrame(ev[["event_id", "user_id", "event_type"]]).transform(
+        lambda d: d.select("event_id", F.concat(F.upper("event_type"), F.lit(" STORE "),
+                                                F.col("user_id").cast("string")).alias("description")))
+    batch, _ = categorize_learn(batch_df, "event_id", rules)
+    key = lambda r: (r.event_id, r.category, round(r.confidence, 9), r.matched_by)
+    assert sorted(map(key, streamed.collect())) == sorted(map(key, batch.collect()))
