@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlake.functions.similarity import (
-    MAX_BITS, chars, may_reach, pattern_code_masks, pattern_masks, score_pairs, token_set,
+    MAX_BITS, chars, pattern_code_masks, pattern_masks, score_pairs, token_set,
 )
 from spendlake.functions.text import description_key, merchant_name
 from spendlake.operators.rules import MAX_INLINE_KEYWORDS, keyword_table, rules_frame
