@@ -65,8 +65,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def cpu_parallelism(spark: SparkSession) -> int:
     """Task count for CPU-heavy work on small tables: the cluster's cores (or the shuffle
     partition setting, if larger)."""
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(spark.sparkContext.defaultParallelism, min(shuffle, 4 * spark.sparkContext.defaultParallelism))
+    cores = spark.sparkContext.defaultParallelism
+    try:
+        shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    except ValueError:  # a non-numeric setting (some platforms allow "auto")
+        shuffle = cores
+    return max(cores, min(shuffle, 4 * cores))
 
 
 def spread(df):
