@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from spendlake.plans import catalog
 from tools.check_oracle import TABLES, canon
 
 SF = "/root/testdata/sf0.001"
@@ -19,10 +20,10 @@ def con():
 
 def test_every_query_has_an_oracle_or_is_rows_only():
     assert set(E.oracle_sql()) <= set(E.queries())
-    assert set(E.queries()) - set(E.oracle_sql()) == {"classify_files"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLE) == {"classify_files"}
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     a, ac = canon(df.columns, [tuple(r) for r in df.collect()])
