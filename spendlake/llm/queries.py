@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.llm import bpe, quality, token_counts
+from spendlake.llm import bpe, html_blocks, line_dedup, quality, token_counts
 from spendlake.llm.common import held_out, small_batches, table
 
 QUERIES: dict = {}
@@ -50,3 +50,29 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (quality.score(docs, model, drop=("text",))
             .select("doc_id", held_out(QUALITY_FOLDS).alias("held_out"), "score",
                     F.when(F.col("score") >= QUALITY_THRESHOLD, 1).otherwise(0).alias("predicted")))
+
+
+LINE_MIN_DOCS, LINE_MIN_CHARS = 10, 1
+
+
+@query("op5_line_dedup", r"""
+WITH lines AS (
+  SELECT doc_id, i, l, translate(trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+frequent AS (SELECT k FROM lines WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(f.k) AS n_dropped,
+       sha256(coalesce(string_agg(CASE WHEN f.k IS NULL THEN l END, chr(10) ORDER BY i), '')) AS kept_sha256
+FROM lines LEFT JOIN frequent f ON lines.k = f.k GROUP BY doc_id""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_frequent(table(spark, sf_dir, "documents").select("doc_id", "text"), LINE_MIN_DOCS, LINE_MIN_CHARS)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query("op2_html_extraction")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return (html_blocks.extract(pages, html_blocks.fit(pages), drop=("html",))
+            .withColumn("n_chars", F.length("text").cast("long")))
