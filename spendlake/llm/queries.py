@@ -5,8 +5,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.llm import bpe, html_blocks, line_dedup, quality, token_counts
-from spendlake.llm.common import held_out, small_batches, table
+from spendlake.llm import bpe, html_blocks, line_dedup, pii, quality, token_counts
+from spendlake.llm.common import held_out, small_batches, table, text_or_empty
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -76,3 +76,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return (html_blocks.extract(pages, html_blocks.fit(pages), drop=("html",))
             .withColumn("n_chars", F.length("text").cast("long")))
+
+
+@query("op9_pii")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text"))
+    found = pii.detect(docs, pii.train(docs))
+    counts = [pii.count(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        pii.listed(F.col("spans")).alias("spans"))
