@@ -5,8 +5,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.llm import bpe, html_blocks, line_dedup, pii, quality, token_counts
-from spendlake.llm.common import held_out, small_batches, table, text_or_empty
+from spendlake.llm import bpe, fingerprints, html_blocks, line_dedup, pii, quality, token_counts
+from spendlake.llm.common import apply_steps, held_out, small_batches, table, text_or_empty
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -85,3 +85,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [pii.count(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                         pii.listed(F.col("spans")).alias("spans"))
+
+
+@query("op10_document_fingerprints")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text"))
+    rank = fingerprints.rarity_rank(fingerprints.rarity(docs))
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = (fingerprints.with_next(docs, "doc_id", "text", "following", parts)
+             .withColumn("edited", fingerprints.edited(F.col("text"), F.col("following")))
+             .withColumn("n_chars", F.length("text").cast("long"))
+             .withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)))
+    steps = [fingerprints.digest_step({"text": "fingerprint", "edited": "edited_fingerprint", "following": "_next"}, rank),
+             fingerprints.likeness_step({"near_edited": ("fingerprint", "edited_fingerprint"), "near_next": ("fingerprint", "_next")})]
+    return apply_steps(pairs, steps, drop=("text", "edited", "following", "_next"))
