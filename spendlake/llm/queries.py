@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.llm import bpe, fingerprints, html_blocks, line_dedup, pii, quality, token_counts
+from spendlake.llm import bpe, decontaminate, fingerprints, html_blocks, line_dedup, pii, quality, token_counts
 from spendlake.llm.common import apply_steps, held_out, small_batches, table, text_or_empty
 
 QUERIES: dict = {}
@@ -100,3 +100,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = [fingerprints.digest_step({"text": "fingerprint", "edited": "edited_fingerprint", "following": "_next"}, rank),
              fingerprints.likeness_step({"near_edited": ("fingerprint", "edited_fingerprint"), "near_next": ("fingerprint", "_next")})]
     return apply_steps(pairs, steps, drop=("text", "edited", "following", "_next"))
+
+
+@query("op7_benchmark_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
