@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.llm import bpe, decontaminate, fingerprints, html_blocks, line_dedup, pii, pitman_yor, quality, token_counts
+from spendlake.llm import bpe, decontaminate, fingerprints, html_blocks, line_dedup, ngram_join, pii, pitman_yor, quality, token_counts
 from spendlake.llm.common import apply_steps, held_out, small_batches, table, text_or_empty
 
 QUERIES: dict = {}
@@ -118,3 +118,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores, model = pitman_yor.score_texts(docs, docs.filter(~held_out(LM_FOLDS)))
     return scores.select("doc_id", held_out(LM_FOLDS).alias("held_out"), "n_tokens", "n_known",
                          F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@query("op3_ngram_jaccard_join")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return ngram_join.join(table(spark, sf_dir, "documents"))
