@@ -6,12 +6,13 @@ one shingle, without words the set is empty and links with nothing. Two document
 ``100 * intersection >= percent * union``. The join is exact on these sets:
 
 1. Documents with equal sets form a class, represented by its smallest id.
-2. Rows and columns that can meet are found first. Under any one order of all shingles, two
-   sets that link share one of the first ``n - ceil(percent * n / 100) + 1`` of each. The order is rare
-   shingles first; rarity comes from a table of ``CELLS`` counters over all shingles of the corpus, so
-   passages that many documents share come last. Sets with a common first shingle are
-   joined to its smallest set (a star, never all pairs), and the connected groups of these stars
-   are the diagonal blocks of the incidence matrix outside of which no two sets can link.
+2. Rows and columns that can meet are found first. In the order of the hashes, two sets that
+   link share at least ``l`` of the first ``n - ceil(percent * n / 100) + l`` shingles of each, ``l``
+   being a tenth of the smaller set. A set in whose beginning fewer shingles occur in other
+   sets of like size than that has no links; this drops documents that only share passages. It is
+   asked again among the rest, then sets with a common first shingle and like size are
+   joined to the smallest of them (a star, never all pairs). The connected groups of these stars are
+   the diagonal blocks of the incidence matrix outside of which no two sets can link.
 3. A group is cut into bands of set sizes, so wide that linked sets lie in the same or in
    neighbouring bands, and bands into blocks of about ``BLOCK`` shingles. For every pair of
    blocks of a group in the same or neighbouring bands one product of the documents-by-shingles matrix
@@ -32,14 +33,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlake.llm.common import texts_of, words_of, written
 from spendlake.llm.components import components
 
 WIDTH, PERCENT = 4, 85
-CELLS, CELL_BLOCK, SUM_PARTS = 1 << 19, 1 << 13, 16
 #: Shingles of a block.
 BLOCK = 300_000
 
@@ -85,71 +85,70 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - (percent * n + 99) // 100 + 1
+    return min(n, n - (percent * n + 99) // 100 + max(1, n // 10))
 
 
 def documents_of(docs: DataFrame, width: int) -> DataFrame:
-    """One row per document (``doc_id, n, s1, s2``) and, per task, the counters of its shingles
-    (``cells``, block ``n``): one pass over the texts."""
+    """``doc_id, n, s1, s2`` of every document: size and signature of its set."""
     def run(batches):
-        cells = np.zeros(CELLS, np.uint32)
         for b in batches:
             sets = [shingles(t, width) for t in texts_of(b.column("text"))]
-            if sets:
-                cells += np.bincount((np.concatenate(sets) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.uint32)
             sig = [signature(s) for s in sets]
-            n = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in sig], pa.int64()),
-                 pa.array([c for _, c in sig], pa.int64()), pa.nulls(n, pa.binary())], names=["doc_id", "n", "s1", "s2", "cells"])
-        at = [i for i in range(CELLS // CELL_BLOCK) if cells[i * CELL_BLOCK:(i + 1) * CELL_BLOCK].any()]
-        none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [none, pa.array(at, pa.int64()), pa.array(np.random.default_rng().integers(0, SUM_PARTS, len(at))), none,
-             pa.array([cells[i * CELL_BLOCK:(i + 1) * CELL_BLOCK].tobytes() for i in at], pa.binary())], names=["doc_id", "n", "s1", "s2", "cells"])
-
-    return written(docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, cells binary"), "shingle-sets")
-
-
-def rarity(counters: DataFrame) -> np.ndarray:
-    """Sum of the tasks' counters as levels (quarters of doublings): CELLS bytes, whatever the
-    corpus. Added in two steps, so no task holds the counters of all tasks."""
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(CELL_BLOCK, np.uint64)
-        for c in frame["cells"]:
-            total += np.frombuffer(c, np.uint32 if len(c) == 4 * CELL_BLOCK else np.uint64)
-        return pd.DataFrame({"n": [frame["n"].iloc[0]], "s1": [0], "cells": [total.tobytes()]})
-
-    schema = "n long, s1 long, cells binary"
-    sums = counters.select("n", "s1", "cells").groupBy("n", "s1").applyInPandas(add, schema).groupBy("n").applyInPandas(add, schema).collect()
-    total = np.zeros(CELLS, np.uint64)
-    for r in sums:
-        total[r["n"] * CELL_BLOCK:(r["n"] + 1) * CELL_BLOCK] = np.frombuffer(r["cells"], np.uint64)
-    return np.minimum(255, 4 * np.log2(total.astype(np.float64) + 1)).astype(np.uint8)
-
-
-def first_shingles(docs: DataFrame, level: np.ndarray, width: int, percent: int) -> DataFrame:
-    """``h, s``: the first shingles of every set in rarity order."""
-    packed = level.tobytes()
+                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in sig], pa.int64()),
+                 pa.array([y for _, y in sig], pa.int64())], names=["doc_id", "n", "s1", "s2"])
+
+    return written(docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long"), "shingle-sets")
+
 
+def first_shingles(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``h, s``: the first shingles (smallest hashes) of every set."""
     def run(batches):
-        rank = np.frombuffer(packed, np.uint8)
         for b in batches:
             hs, ss, counts = [], [], []
             for t in texts_of(b.column("text")):
                 s = shingles(t, width)
                 if len(s):
                     k = prefix_length(len(s), percent)
-                    order = np.lexsort((s, rank[(s % np.uint64(CELLS)).astype(np.int64)]))
-                    hs.append(s[order[:k]])
+                    hs.append(s[:k])
                     ss.append(signature(s)[0])
                     counts.append(k)
             if hs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).astype(np.int64)), pa.array(np.repeat(np.array(ss, np.int64), counts))],
                                                  names=["h", "s"])
 
-    return written(docs.select("text").mapInArrow(run, "h long, s long").distinct(), "first-shingles")
+    return docs.select("text").mapInArrow(run, "h long, s long")
+
+
+def _shared(entries: DataFrame, key: list[str]) -> DataFrame:
+    """The entries whose shingle occurs in two sets or more, with the smallest set of the list."""
+    lists = entries.groupBy(*key).agg(F.min("s").alias("least"), F.max("s").alias("most")).filter("least <> most").select(*key, "least")
+    return entries.join(lists, key)
+
+
+def stars_of(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """``a, b``: sets (by their first hash) joined to the smallest set that they share a first
+    shingle and like size with."""
+    sizes = classes.select(F.col("s1").alias("s"), "n").distinct()
+    found = written(_shared(first_shingles(docs, width, percent), ["h"]).select("h", "s").distinct(), "first-shingles")
+    need = F.greatest(F.lit(1), F.floor(F.floor((F.lit(percent) * F.col("n") + 99) / 100) / 10))
+    for _ in range(2):
+        enough = (found.groupBy("s").agg(F.countDistinct("h").alias("k")).join(sizes, "s").filter(F.col("k") >= need)
+                  .select("s", size_band(percent).alias("band")).distinct())
+        # a set of band b meets others in the lists of (b - 1, b) and (b, b + 1)
+        near = written(found.select("h", "s").distinct().join(enough, "s")
+                       .select("h", "s", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band")), "near-sizes")
+        found = written(_shared(near, ["h", "band"]), "first-shingles")
+    return found.filter("s <> least").select(F.col("s").alias("a"), F.col("least").alias("b")).distinct()
+
+
+def size_band(percent: int) -> Column:
+    """Bands of set sizes ``n``: linked sets are at most one band apart (the margin is for rounding)."""
+    if percent >= 100:
+        return F.col("n").cast("int")
+    return F.floor(F.log(F.col("n")) / F.lit(float(np.log(100 / percent)) * (1 + 1e-9))).cast("int")
 
 
 def product(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -218,19 +217,13 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int
     """Per document (``doc_id, text``): ``doc_id, n_shingles, component_id`` (smallest id reachable by
     links, itself included), ``n_links`` (documents it links with)."""
     docs = docs.select("doc_id", "text").filter("doc_id is not null")
-    rows = documents_of(docs, width)
-    every = rows.filter("cells is null").drop("cells")
+    every = documents_of(docs, width)
     classes = written(every.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies")),
                       "set-classes")
-    firsts = first_shingles(docs, rarity(rows.filter("cells is not null")), width, percent)
-    lists = firsts.groupBy("h").agg(F.min("s").alias("least"), F.max("s").alias("most")).filter("least <> most").select("h", "least")
-    stars = firsts.join(lists, "h").filter("s <> least").select(F.col("s").alias("a"), F.col("least").alias("b"))
-    groups = components(stars)
+    groups = components(stars_of(docs, classes, width, percent))
     members = written(classes.join(groups, F.col("s1") == F.col("node")).select("rep", "s1", "s2", "n", "copies", F.col("label").alias("g")), "group-members")
 
-    # bands wide enough that linked sizes are at most one apart; the margin is for rounding
-    band = F.floor(F.log(F.col("n")) / F.lit(float(np.log(100 / percent)) * (1 + 1e-9))).cast("int") if percent < 100 else F.col("n").cast("int")
-    banded = members.withColumn("band", band)
+    banded = members.withColumn("band", size_band(percent))
     sizes = banded.groupBy("g", "band").agg(F.ceil(F.sum("n") / block).cast("int").alias("parts"))
     near = (sizes.join(sizes.select("g", (F.col("band") + 1).alias("band"), F.col("parts").alias("below")), ["g", "band"], "left")
             .join(sizes.select("g", (F.col("band") - 1).alias("band"), F.col("parts").alias("above")), ["g", "band"], "left"))
