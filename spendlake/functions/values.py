@@ -103,7 +103,7 @@ def transaction_hash(date, description, amount, account=None, algorithm: str = "
 def add_transaction_id(df: DataFrame, algorithm: str = "sha1", exact_rounding: bool = False) -> DataFrame:
     """F8: append ``transaction_id``; requires date, description, amount; account optional."""
     require_columns(df, ("date", "description", "amount"),
-                    "DataFrame must contain 'date', 'description', and 'amount' columns")
+                    "transaction ids need the columns date, description and amount")
     acct = "account" if "account" in df.columns else None
     return df.withColumn("transaction_id", transaction_hash(
         "date", "description", "amount", acct, algorithm, exact_rounding,

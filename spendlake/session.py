@@ -48,6 +48,8 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError(f"set {SCRATCH_CONF} to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spendlake-ckpt-")
         spark.conf.set(SCRATCH_CONF, root)
     try:

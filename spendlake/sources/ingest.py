@@ -146,9 +146,9 @@ def statement_rejects(spark: SparkSession, paths, compat: bool = True,
                       max_columns: int = MAX_COLUMNS) -> DataFrame:
     """Files skipped by ``read_statements`` and why (missing role)."""
     roles = _file_roles(_scan(spark, paths, max_columns), compat, max_columns)
-    reason = (F.when(F.col("desc_idx") == 0, "Cannot find description column in CSV")
-              .when(F.col("amount_idx") == 0, "Cannot find amount column in CSV")
-              .when(F.col("date_idx") == 0, "Cannot find date column in CSV"))
+    reason = (F.when(F.col("desc_idx") == 0, "no description column")
+              .when(F.col("amount_idx") == 0, "no amount column")
+              .when(F.col("date_idx") == 0, "no date column"))
     return roles.select("file_path", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
@@ -180,7 +180,8 @@ def _file_roles(rows: DataFrame, compat: bool, max_columns: int) -> DataFrame:
              .agg(F.min("_mid").alias("_hid"), F.min_by(cells, F.col("_mid")).alias("_h")))
     heads = heads.select("file_path", "_hid",
                          F.array(*[F.col(f"_h._c{i}") for i in range(max_columns)]).alias("_header"))
-    names = F.transform(F.filter("_header", lambda n: n.isNotNull()), column_name)
+    # a cell without a name keeps its place: positions are those of the row
+    names = F.transform(F.transform("_header", lambda n: F.coalesce(n, F.lit(""))), column_name)
     r = header_roles(names, compat)
     return heads.select("file_path", "_hid", r.date_idx.alias("date_idx"), r.desc_idx.alias("desc_idx"),
                         r.amount_idx.alias("amount_idx"))
@@ -221,7 +222,7 @@ def normalize_table(df: DataFrame, account=DEFAULT_ACCOUNT, strip_currency: bool
         first(("amount", "cad", "usd", "total"), date_c) or first(("transaction",), date_c))
     for role, c in (("description", desc_c), ("amount", amt_c), ("date", date_c)):
         if c is None:
-            raise ValueError(f"Cannot find {role} column")
+            raise ValueError(f"no {role} column")
     acct = account if isinstance(account, Column) else F.lit(account)
     return t.select(*txn_columns(F.col(date_c).cast("string"), F.col(desc_c).cast("string"),
                                  F.col(amt_c).cast("string"), acct, strip_currency))

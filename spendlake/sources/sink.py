@@ -8,6 +8,9 @@ turns into partition pruning).
 """
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,10 +49,22 @@ def export_projection(records: DataFrame) -> DataFrame:
 def write_csv(records: DataFrame, path: str) -> None:
     """Overwrite ``path`` with the CSV export; empty input raises ValueError."""
     if records.isEmpty():
-        raise ValueError("No transactions to export")
+        raise ValueError("nothing to write: the table has no rows")
     export_projection(records).write.mode("overwrite").option("header", True).csv(path)
 
 
+#: Words that mark a target's columns, and which of several marked ones counts.
+COLUMN_MARKS = {"date": ("first", "date"), "name": ("last", "transaction name|description|merchant"),
+                "amount": ("last", "amount"), "account": ("last", "spent|account")}
+
+
+def _marked_column(columns: dict[str, str], role: str) -> str | None:
+    """The column (lower-cased name: name) that the marks of ``role`` point to."""
+    which, marks = COLUMN_MARKS[role]
+    hits = [real for low, real in columns.items() if re.search(marks, low)]
+    return (hits[0] if which == "first" else hits[-1]) if hits else None
+
+
 def existing_ids(target: DataFrame) -> DataFrame:
     """Distinct non-empty ids of a target table. When the table has no id column,
     ids are recomputed (F7) from the date / name / amount / account columns found by
@@ -60,16 +75,7 @@ def existing_ids(target: DataFrame) -> DataFrame:
         ids = target.select(F.col(id_col).cast("string").alias("transaction_id"))
         return ids.where(F.col("transaction_id").isNotNull() & (F.col("transaction_id") != "")).distinct()
 
-    def find(*pats):
-        hit = None
-        for name in cols:
-            if any(p in name for p in pats):
-                hit = cols[name]
-        return hit
-    date_c = next((cols[n] for n in cols if "date" in n), None)
-    desc_c = find("transaction name", "description", "merchant")
-    amt_c = find("amount")
-    acct_c = find("spent", "account", "spent from")
+    date_c, desc_c, amt_c, acct_c = (_marked_column(cols, role) for role in COLUMN_MARKS)
     if date_c is None:
         return target.sparkSession.createDataFrame([], "transaction_id string")
     dtype = target.schema[date_c].dataType
@@ -102,7 +108,7 @@ def append_new(batch: DataFrame, target_path: str, file_order: str | None = None
     change. Empty input raises ValueError, like the reference."""
     spark = batch.sparkSession
     if batch.isEmpty():
-        raise ValueError("No transactions to export")
+        raise ValueError("nothing to append: the batch has no rows")
     with_month = batch.withColumn(PARTITION, F.date_format("date", "yyyy-MM"))
     target = read_target(spark, target_path)
     if target is None:
@@ -123,8 +129,15 @@ def read_target(spark: SparkSession, target_path: str) -> DataFrame | None:
     """The target table, or None when it does not exist yet."""
     try:
         return spark.read.parquet(target_path)
-    except Exception:  # AnalysisException: path does not exist
-        return None
+    except AnalysisException as e:
+        if path_is_missing(e):
+            return None
+        raise  # an unreadable target is not an empty one
+
+
+def path_is_missing(e: AnalysisException) -> bool:
+    """The path does not exist, or holds no data files yet."""
+    return e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
 def workbook_projection(records: DataFrame) -> DataFrame:

@@ -15,12 +15,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlake.operators.categorize import categorize_learn
 from spendlake.schema import FUZZY_THRESHOLD
-from spendlake.sources.sink import new_rows
+from spendlake.sources.sink import new_rows, path_is_missing
 
 
 def statement_stream(spark: SparkSession, folder: str, schema, to_txn: Callable[[DataFrame], DataFrame],
@@ -35,8 +36,10 @@ def statement_stream(spark: SparkSession, folder: str, schema, to_txn: Callable[
 def _earlier_batches(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
     try:
         t = spark.read.parquet(path)
-    except Exception:  # nothing written yet
-        return None
+    except AnalysisException as e:
+        if path_is_missing(e):  # nothing written yet
+            return None
+        raise
     return t.where(F.col("batch_id") < batch_id)
 
 
