@@ -85,7 +85,6 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     return min(n, n - (percent * n + 99) // 100 + max(1, n // 10))
 

@@ -1,5 +1,3 @@
-import datetime
-
 import pytest
 from pyspark.sql import types as T
 
@@ -35,6 +33,5 @@ def prose(seed: int, n: int) -> str:
 
 #: Nulls, empty and blank texts, ties and repeated rows, and a long text.
 def odd_rows():
-    del datetime
     return [(1, None), (2, ""), (3, " \n\t "), (4, prose(1, 60)), (4, prose(1, 60)), (5, prose(1, 60)), (6, "x" * 30_000),
             (7, prose(2, 5000)), (8, "é😀 ñ　日本"), (None, "some text here now"), (9, "<|endoftext|> a<|endoftext|>")]
