@@ -154,7 +154,7 @@ def product(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int
     """Sparse product of the incidence matrices of two blocks (``None``: of one with itself), a row
     at a time: for every row the columns that reach the bound; pairs within a block once."""
     cols = left if right is None else right
-    sizes = np.array([len(c) for c in cols])
+    sizes = np.array([len(c) for c in cols], np.int64)
     flat = np.concatenate(cols) if len(cols) else np.zeros(0, np.uint64)
     order = np.argsort(flat, kind="stable")
     owner = np.repeat(np.arange(len(cols)), sizes)[order]

@@ -25,7 +25,7 @@ exchangeable and drawn together. ``CHAINS`` chains run in Spark tasks of their o
 probabilities are averaged over the samples after burn-in of all chains.
 
 The corpus counts cover all training rows. What travels to every task is bounded: words with at
-least 1/``SENT`` of all tokens (at most ``SENT``) and the symbol table (at most (SYMBOLS + 2)^2
+least 1/``SENT`` of all tokens (at most ``SENT``), the end, and the symbol table (at most (SYMBOLS + 2)^2
 numbers). Other words of a text meet their counts in a join on a 64-bit hash; none of them is
 frequent, so no key is hot.
 
@@ -239,7 +239,7 @@ def fit(docs: DataFrame, vocab: DataFrame) -> Model:
     spark = docs.sparkSession
     tokens, types = vocab.agg(F.sum("n"), F.count("*")).first()
     tokens, types = tokens or 0, types or 0
-    sent = [(bytes(w), n) for w, n in vocab.filter(F.col("n") * SENT >= tokens).collect()]
+    sent = [(bytes(w), n) for w, n in vocab.filter((F.col("n") * SENT >= tokens) | (F.col("word") == F.lit(END))).collect()]
     model = Model(sorted(sent, key=lambda x: (-x[1], x[0])), tokens, types)
     counts = symbol_counts(docs, model.symbol)
     lone = vocab.filter((F.col("n") * SYMBOLS < tokens) & (F.col("word") != F.lit(END)))
@@ -315,7 +315,7 @@ def score(docs: DataFrame, vocab: DataFrame, model: Model) -> DataFrame:
     keep = lambda c, zero: F.when(own, F.col(c)).otherwise(zero).alias(c)
     rows = rows.select("uid", F.when(own, F.col("doc_id")).alias("doc_id"), F.col("e.h").alias("h"), F.col("e.k").alias("k"),
                        *(keep(c, F.lit(0)) for c in ("n_tokens", "n_known")), *(keep(c, F.lit(0.0)) for c in ("base", "model")))
-    others = vocab.filter(F.col("n") * SENT < model.tokens).select(F.xxhash64("word").alias("h"), "n")
+    others = vocab.filter((F.col("n") * SENT < model.tokens) & (F.col("word") != F.lit(END))).select(F.xxhash64("word").alias("h"), "n")
     met = rows.join(others, "h", "left")
     n = F.coalesce("n", F.lit(0))
     most = max([0, *model.mean_tables])

@@ -257,7 +257,11 @@ def base(text):
 
 def private_rows():
     r = random.Random(8)
-    card = lambda: next(c for c in (f"4{r.randrange(10**14):014d}{x}" for x in range(10)) if luhn(c))
+
+    def card():
+        stem = f"4{r.randrange(10**14):014d}"
+        return next(f"{stem}{x}" for x in range(10) if luhn(f"{stem}{x}"))
+
     make = (lambda: f"u{r.randrange(99)}.x@mail{r.randrange(9)}.example.com", lambda: ".".join(str(r.randrange(1, 300)) for _ in range(4)),
             card, lambda: f"+1 ({r.randrange(200, 999)}) 555-{r.randrange(10**4):04d}", lambda: str(r.randrange(10**r.randrange(1, 19))))
     rows = [(i, prose(i, 12) + " " + r.choice(make)() + " é😀 " + r.choice(make)() + (" " if i % 7 else ", ") + prose(i + 400, 5)) for i in range(400)]
