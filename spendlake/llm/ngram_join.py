@@ -13,8 +13,8 @@ one shingle, without words the set is empty and links with nothing. Two document
    asked again among the rest, then sets with a common first shingle and like size are
    joined to the smallest of them (a star, never all pairs). The connected groups of these stars are
    the diagonal blocks of the incidence matrix outside of which no two sets can link.
-3. A group is cut into bands of set sizes, so wide that linked sets lie in the same or in
-   neighbouring bands, and bands into blocks of about ``BLOCK`` shingles. For every pair of
+3. A group of more than ``BLOCK`` shingles is cut into bands of set sizes, so wide that linked sets
+   lie in the same or in neighbouring bands, and bands into blocks of about ``BLOCK`` shingles. For every pair of
    blocks of a group in the same or neighbouring bands one product of the documents-by-shingles matrix
    with the other's transpose accumulates the overlaps, and pairs below the bound that their sizes
    give are discarded. Blocks of one group are dealt over tasks.
@@ -41,7 +41,7 @@ from spendlake.llm.components import components
 
 WIDTH, PERCENT = 4, 85
 #: Shingles of a block.
-BLOCK = 300_000
+BLOCK = 2_000_000
 
 
 class _Hashes(dict):
@@ -152,27 +152,40 @@ def size_band(percent: int) -> Column:
 
 def product(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Sparse product of the incidence matrices of two blocks (``None``: of one with itself), a row
-    at a time: for every row the columns that reach the bound; pairs within a block once."""
-    cols = left if right is None else right
-    sizes = np.array([len(c) for c in cols], np.int64)
-    flat = np.concatenate(cols) if len(cols) else np.zeros(0, np.uint64)
-    order = np.argsort(flat, kind="stable")
-    owner = np.repeat(np.arange(len(cols)), sizes)[order]
-    keys, start = np.unique(flat[order], return_index=True)
-    end = np.append(start[1:], len(flat))
+    at a time: for every row the columns that reach the bound; pairs within a block once.
+
+    A shingle that more than half of the documents have is stored by the documents that lack it,
+    so near copies are compared by the few shingles in which they differ:
+    ``|A & B| = |A' & B'| + |A & M| + |B & M| - |M|`` for the majority's shingles ``M`` and ``A' = A ^ M``."""
+    every = left if right is None else left + right
+    if not left or not every[len(left) if right is not None else 0:]:
+        return [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(left)
+    sizes = np.array([len(x) for x in every], np.int64)
+    owner = np.repeat(np.arange(len(every)), sizes)
+    keys, column = np.unique(np.concatenate(every), return_inverse=True)
+    common = 2 * np.bincount(column, minlength=len(keys)) > len(every)
+    many = np.flatnonzero(common)
+    seen = common[column]
+    lacks = np.ones((len(every), len(many)), bool)  # at most twice as large as the sets together
+    lacks[owner[seen], np.searchsorted(many, column[seen])] = False
+    has = len(many) - lacks.sum(axis=1)
+    who, what = np.nonzero(lacks)
+    owner, column = np.concatenate([owner[~seen], who]), np.concatenate([column[~seen], many[what]])
+
+    by_row = np.argsort(owner, kind="stable")
+    row_start = np.searchsorted(owner[by_row], np.arange(len(every) + 1))
+    first = 0 if right is None else len(left)
+    by_column = np.flatnonzero(owner >= first)
+    by_column = by_column[np.argsort(column[by_column], kind="stable")]
+    start = np.searchsorted(column[by_column], np.arange(len(keys) + 1))
+    docs, width = owner[by_column] - first, len(every) - first
     out = []
-    for i, row in enumerate(left):
-        none = np.zeros(0, np.int64)
-        if not len(keys) or not len(row):
-            out.append((none, none))
-            continue
-        at = np.minimum(np.searchsorted(keys, row), len(keys) - 1)
-        at = at[keys[at] == row]
-        lens = end[at] - start[at]
-        where = np.repeat(start[at] - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())
-        overlap = np.bincount(owner[where], minlength=len(cols))
-        ok = 100 * overlap >= percent * (len(row) + sizes - overlap)
-        ok &= overlap > 0
+    for i in range(len(left)):
+        row = column[by_row[row_start[i]:row_start[i + 1]]]
+        lens = start[row + 1] - start[row]
+        where = np.repeat(start[row] - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())
+        overlap = np.bincount(docs[where], minlength=width) + has[i] + has[first:] - len(many)
+        ok = (100 * overlap >= percent * (sizes[i] + sizes[first:] - overlap)) & (overlap > 0)
         if right is None:
             ok[:i + 1] = False
         hits = np.flatnonzero(ok)
@@ -183,31 +196,24 @@ def product(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int
 def _links(percent: int):
     """Pandas function of one pair of blocks: ``doc, root, links`` per document with links."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("doc", kind="stable")  # the first of a group is its smallest
         docs, copies = frame["doc"].to_numpy(), frame["copies"].to_numpy()
         sets = [np.frombuffer(b, np.uint64) for b in frame["shingles"]]
         side = frame["side"].to_numpy()
-        a = np.flatnonzero(side == 0)
-        b = np.flatnonzero(side == 1)
-        own = bool((frame["same"]).iloc[0])
-        hits = product([sets[i] for i in a], None if own else [sets[i] for i in b], percent)
-        root, links = np.arange(len(docs)), np.zeros(len(docs), np.int64)
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for i, (found, _) in zip(a, hits):
-            for j in (a if own else b)[found]:
-                links[i] += copies[j]
-                links[j] += copies[i]
-                x, y = find(i), find(j)
-                if x != y:
-                    x, y = (x, y) if docs[x] < docs[y] else (y, x)
-                    root[y] = x
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        own = bool(frame["same"].iloc[0])
+        label, links = np.arange(len(docs)), np.zeros(len(docs), np.int64)
+        cols = a if own else b
+        for i, (hits, _) in zip(a, product([sets[k] for k in a], None if own else [sets[k] for k in b], percent)):
+            if len(hits):
+                found = cols[hits]
+                links[i] += copies[found].sum()
+                links[found] += copies[i]
+                met = np.unique(label[np.append(found, i)])
+                if len(met) > 1:
+                    label[np.isin(label, met)] = met[0]
         keep = np.flatnonzero(links > 0)
-        return pd.DataFrame({"doc": docs[keep], "root": docs[[find(i) for i in keep]] if len(keep) else docs[keep], "links": links[keep]})
+        return pd.DataFrame({"doc": docs[keep], "root": docs[label[keep]], "links": links[keep]})
 
     return run
 
@@ -223,11 +229,15 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int
     members = written(classes.join(groups, F.col("s1") == F.col("node")).select("rep", "s1", "s2", "n", "copies", F.col("label").alias("g")), "group-members")
 
     banded = members.withColumn("band", size_band(percent))
-    sizes = banded.groupBy("g", "band").agg(F.ceil(F.sum("n") / block).cast("int").alias("parts"))
+    sizes = banded.groupBy("g", "band").agg(F.sum("n").alias("held")).withColumn("parts", F.ceil(F.col("held") / block).cast("int"))
+    whole = sizes.groupBy("g").agg((F.sum("held") <= block).alias("whole"))
     near = (sizes.join(sizes.select("g", (F.col("band") + 1).alias("band"), F.col("parts").alias("below")), ["g", "band"], "left")
-            .join(sizes.select("g", (F.col("band") - 1).alias("band"), F.col("parts").alias("above")), ["g", "band"], "left"))
-    near = written(near.fillna(0, ["below", "above"]), "bands")
-    placed = banded.join(near, ["g", "band"]).withColumn("p", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+            .join(sizes.select("g", (F.col("band") - 1).alias("band"), F.col("parts").alias("above")), ["g", "band"], "left").join(whole, "g"))
+    near = written(near.fillna(0, ["below", "above"]).drop("held"), "bands")
+    # a group that fits into one block is one block, without bands
+    one = lambda c, n: F.when(F.col("whole"), F.lit(n)).otherwise(F.col(c)).alias(c)
+    placed = (banded.join(near, ["g", "band"]).select(*members.columns, one("band", 0), one("parts", 1), one("below", 0), one("above", 0))
+              .withColumn("p", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")))
     upto = lambda n: F.sequence(F.lit(0), n - 1)
     band, p = F.col("band"), F.col("p")
     none = F.array().cast("array<struct<low:int,same:boolean,i:int,j:int,side:int>>")
@@ -252,7 +262,8 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([x[k] for x in sig], pa.int64()) for k in (0, 1)),
                                               pa.array([s.tobytes() for s in found], pa.binary())], names=[*keys, "shingles"])
 
-    needed = docs.join(members.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
+    # the members grow with the documents: they are never broadcast, and the long side is not sorted
+    needed = docs.join(members.select("rep").hint("shuffle_hash"), F.col("doc_id") == F.col("rep"), "left_semi")
     content = written(needed.mapInArrow(sets, "rep long, s1 long, s2 long, shingles binary"), "group-sets").dropDuplicates(keys)
     blocks = dealt.join(content, keys).select(F.col("rep").alias("doc"), "g", "copies", "low", "i", "j", "side",
                                                (F.col("same") & (F.col("i") == F.col("j"))).alias("same"), F.col("same").alias("own_band"), "shingles")
