@@ -89,36 +89,19 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return min(n, n - (percent * n + 99) // 100 + max(1, n // 10))
 
 
-def documents_of(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n, s1, s2`` of every document: size and signature of its set."""
+def documents_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``doc_id, n, s1, s2, first`` of every document: size and signature of its set, and its first
+    shingles (smallest hashes). Written once; later steps read the columns that they need."""
     def run(batches):
         for b in batches:
             sets = [shingles(t, width) for t in texts_of(b.column("text"))]
             sig = [signature(s) for s in sets]
+            first = [s[:prefix_length(len(s), percent)].astype(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in sig], pa.int64()),
-                 pa.array([y for _, y in sig], pa.int64())], names=["doc_id", "n", "s1", "s2"])
+                 pa.array([y for _, y in sig], pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "n", "s1", "s2", "first"])
 
-    return written(docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long"), "shingle-sets")
-
-
-def first_shingles(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``h, s``: the first shingles (smallest hashes) of every set."""
-    def run(batches):
-        for b in batches:
-            hs, ss, counts = [], [], []
-            for t in texts_of(b.column("text")):
-                s = shingles(t, width)
-                if len(s):
-                    k = prefix_length(len(s), percent)
-                    hs.append(s[:k])
-                    ss.append(signature(s)[0])
-                    counts.append(k)
-            if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).astype(np.int64)), pa.array(np.repeat(np.array(ss, np.int64), counts))],
-                                                 names=["h", "s"])
-
-    return docs.select("text").mapInArrow(run, "h long, s long")
+    return written(docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, first array<long>"), "shingle-sets")
 
 
 def _shared(entries: DataFrame, key: list[str]) -> DataFrame:
@@ -127,11 +110,12 @@ def _shared(entries: DataFrame, key: list[str]) -> DataFrame:
     return entries.join(lists, key)
 
 
-def stars_of(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+def stars_of(every: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """``a, b``: sets (by their first hash) joined to the smallest set that they share a first
     shingle and like size with."""
     sizes = classes.select(F.col("s1").alias("s"), "n").distinct()
-    found = written(_shared(first_shingles(docs, width, percent), ["h"]).select("h", "s").distinct(), "first-shingles")
+    entries = every.select(F.explode("first").alias("h"), F.col("s1").alias("s"))
+    found = written(_shared(entries, ["h"]).select("h", "s").distinct(), "first-shingles")
     need = F.greatest(F.lit(1), F.floor(F.floor((F.lit(percent) * F.col("n") + 99) / 100) / 10))
     for _ in range(2):
         enough = (found.groupBy("s").agg(F.countDistinct("h").alias("k")).join(sizes, "s").filter(F.col("k") >= need)
@@ -222,10 +206,10 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int
     """Per document (``doc_id, text``): ``doc_id, n_shingles, component_id`` (smallest id reachable by
     links, itself included), ``n_links`` (documents it links with)."""
     docs = docs.select("doc_id", "text").filter("doc_id is not null")
-    every = documents_of(docs, width)
+    every = documents_of(docs, width, percent)
     classes = written(every.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies")),
                       "set-classes")
-    groups = components(stars_of(docs, classes, width, percent))
+    groups = components(stars_of(every, classes, percent))
     members = written(classes.join(groups, F.col("s1") == F.col("node")).select("rep", "s1", "s2", "n", "copies", F.col("label").alias("g")), "group-members")
 
     banded = members.withColumn("band", size_band(percent))
