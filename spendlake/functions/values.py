@@ -9,10 +9,11 @@ from spendlake.functions.text import merchant_name
 from spendlake.schema import require_columns
 
 # What counts as a number (pandas.to_numeric), and the date shapes the
-# statement readers meet (ISO, US slashes, day-month-abbreviation-2-digit-year).
+# statement readers meet: year first, slashes, day and month name in either order.
 NUMERIC_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "M/d/yyyy", "d/M/yyyy")
-DMY2 = r"^\s*(\d{1,2})-([A-Za-z]{3})-(\d{2})\s*$"   # 15-Jan-24
+TIME_OF_DAY = r"[T ] *(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d+)?)?(?: *[AaPp][Mm])?(?: *(?:Z|[+-]\d{2}:?\d{2}))?$"
+MONTH = ("(?=(?:jan|january|feb|february|mar|march|apr|april|may|jun|june|jul|july|aug|august|sep|sept|september|"
+         "oct|october|nov|november|dec|december)\\b)([a-z]{3})[a-z]*")
 YY_PIVOT = 69                                          # 00-68 -> 20xx, 69-99 -> 19xx
 HASH_ALGORITHMS = ("sha1", "md5", "sha256")
 
@@ -30,25 +31,29 @@ def parse_amount(c, strip_currency: bool = True) -> Column:
 
 
 def parse_date(c, yy_pivot: int = YY_PIVOT) -> Column:
-    """first format that parses, per row; otherwise null. Returns DATE.
+    """first shape that fits and parses, per row; otherwise null. Returns DATE.
+
+    Shapes: year first with ``-`` or ``/``; slashes with the month first, or the day when the
+    first number cannot be a month; day and month name in either order (``Jan 16, 2024``,
+    ``16-Jan-2024``, ``16-Jan-24``). A time of day may follow, with fractions of seconds and
+    an offset; the day is the written one. Eight bare digits are a number, not a date.
 
     Two-digit years below ``yy_pivot`` are 20yy, the others 19yy (strptime's fixed rule,
     deterministic). pandas' fallback parser slides the window with the current year
     instead (in 2026: 00-75 -> 20yy); pass ``yy_pivot`` to reproduce a given year's window."""
-    s = F.trim(_col(c).cast("string"))
-    # each format is only tried on text of a shape it can parse (a necessary condition, so
-    # the first-format-that-parses result is unchanged; failed parses are the slow path)
-    shapes = {"yyyy-MM-dd": r"^\d{4}-", "yyyy-MM-dd HH:mm:ss": r"^\d{4}-.*:", "M/d/yyyy": "/",
-              "d/M/yyyy": "/"}
-    tries = [F.when(s.rlike(shapes[fmt]), F.try_to_timestamp(s, F.lit(fmt))) for fmt in DATE_FORMATS]
-    # Two-digit years: pivot like strptime's %y, then parse with a 4-digit year.
-    yy = F.regexp_extract(s, DMY2, 3)
-    year = F.when(yy.cast("int") < yy_pivot, F.lit(2000)).otherwise(F.lit(1900)) + yy.cast("int")
-    mon = F.initcap(F.lower(F.regexp_extract(s, DMY2, 2)))
-    dmy = F.when(s.rlike(DMY2), F.concat_ws("-", F.lpad(F.regexp_extract(s, DMY2, 1), 2, "0"),
-                                           mon, year.cast("string")))
-    tries.append(F.try_to_timestamp(dmy, F.lit("dd-MMM-yyyy")))
-    return F.to_date(F.coalesce(*tries))
+    # each step rewrites one shape to year-month-day and names its input once, so that the
+    # expression stays small where Catalyst inlines it; the final parse rejects the rest
+    low = "|".join(f"{y:02d}" for y in range(yy_pivot)) or "(?!)"
+    day = F.regexp_replace(F.trim(_col(c).cast("string")), TIME_OF_DAY, "")
+    for shape, ymd in ((r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "$1-$2-$3"),
+                       (r"^(0?[1-9]|1[0-2])/(\d{1,2})/(\d{4})$", "$3-$1-$2"),
+                       (r"^(1[3-9]|2\d|3[01])/(\d{1,2})/(\d{4})$", "$3-$2-$1"),
+                       (rf"(?i)^{MONTH}\.? +(\d{{1,2}}),? +(\d{{4}})$", "$3-$1-$2"),
+                       (rf"(?i)^(\d{{1,2}})[ -]{MONTH}[ -](\d{{4}})$", "$3-$2-$1"),
+                       (rf"^(\d{{1,2}})-([A-Za-z]{{3}})-({low})$", "20$3-$2-$1"),
+                       (r"^(\d{1,2})-([A-Za-z]{3})-(\d{2})$", "19$3-$2-$1")):
+        day = F.regexp_replace(day, shape, ymd)
+    return F.to_date(F.try_to_timestamp(day, F.lit("yyyy-[MMM][M]-d")))
 
 
 def money_text(amount) -> Column:

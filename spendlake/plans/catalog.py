@@ -129,28 +129,25 @@ def parse_amount(spark: SparkSession, sf: str) -> DataFrame:
     return u.select("o_orderkey", "variant", "txt", V.parse_amount("txt").alias("amount"))
 
 
-_DATE_TEXTS_SQL = (
-    "SELECT o_orderkey, 1 AS variant, strftime(o_orderdate, '%Y-%m-%d') AS txt FROM orders "
-    "UNION ALL SELECT o_orderkey, 2, strftime(o_orderdate, '%-m/%-d/%Y') FROM orders "
-    "UNION ALL SELECT o_orderkey, 3, strftime(o_orderdate, '%d-%b-%y') FROM orders "
-    "UNION ALL SELECT o_orderkey, 4, strftime(o_orderdate, '%Y/%m/%d') FROM orders")
+_DATE_TEXTS = [  # variant, Spark format, DuckDB format
+    (1, "yyyy-MM-dd", "%Y-%m-%d"), (2, "M/d/yyyy", "%-m/%-d/%Y"), (3, "dd-MMM-yy", "%d-%b-%y"),
+    (4, "yyyy/MM/dd", "%Y/%m/%d"), (5, "MMM dd, yyyy", "%b %d, %Y"),
+    (6, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "%Y-%m-%dT%H:%M:%S.%gZ"), (7, "M/d/yyyy HH:mm", "%-m/%-d/%Y %H:%M"),
+    (8, "dd MMMM yyyy", "%d %B %Y"), (9, "yyyyMMdd", "%Y%m%d")]
+_DATE_TEXTS_SQL = " UNION ALL ".join(
+    f"SELECT o_orderkey, {v} AS variant, strftime(CAST(o_orderdate AS TIMESTAMP), '{fmt}') AS txt FROM orders" for v, _, fmt in _DATE_TEXTS)
 
 
 @query("parse_date", (
-    "SELECT o_orderkey, variant, txt, CAST(coalesce(try_strptime(trim(txt), '%Y-%m-%d'), "
-    "try_strptime(trim(txt), '%Y-%m-%d %H:%M:%S'), try_strptime(trim(txt), '%m/%d/%Y'), "
-    "try_strptime(trim(txt), '%d/%m/%Y'), "
-    "try_strptime(trim(txt), '%d-%b-%y')) AS DATE) AS date "
-    f"FROM ({_DATE_TEXTS_SQL}) _d"))
+    "SELECT o_orderkey, variant, txt, CAST(coalesce(try_strptime(trim(txt), '%Y-%m-%d'), try_strptime(trim(txt), '%m/%d/%Y'), "
+    "try_strptime(trim(txt), '%d-%b-%y'), try_strptime(trim(txt), '%Y/%m/%d'), try_strptime(trim(txt), '%b %d, %Y'), "
+    "try_strptime(trim(txt), '%Y-%m-%dT%H:%M:%S.%gZ'), try_strptime(trim(txt), '%m/%d/%Y %H:%M'), "
+    f"try_strptime(trim(txt), '%d %B %Y')) AS DATE) AS date FROM ({_DATE_TEXTS_SQL}) _d"))
 def parse_date(spark: SparkSession, sf: str) -> DataFrame:
-    """F6 over order dates rendered in the three statement shapes plus an unknown one."""
-    o = table(spark, sf, "orders")
-    variants = [(1, "yyyy-MM-dd"), (2, "M/d/yyyy"), (3, "dd-MMM-yy"), (4, "yyyy/MM/dd")]
-    parts = [o.select("o_orderkey", F.lit(v).alias("variant"),
-                      F.date_format("o_orderdate", fmt).alias("txt")) for v, fmt in variants]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
+    """F6 over order dates rendered in the shapes of statements, and as bare digits (no date)."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("t"))
+    texts = F.array(*[F.struct(F.lit(v).alias("variant"), F.date_format("t", fmt).alias("txt")) for v, fmt, _ in _DATE_TEXTS])
+    u = o.select("o_orderkey", F.explode(texts).alias("x")).select("o_orderkey", "x.variant", "x.txt")
     return u.select("o_orderkey", "variant", "txt", V.parse_date("txt").alias("date"))
 
 

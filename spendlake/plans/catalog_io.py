@@ -474,6 +474,65 @@ def ingest_csv(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("date", "description", "amount", "account", "transaction_id")
 
 
+def _messy_files(spark, sf) -> str:
+    """Orders as statements that are hard to read, by priority: 36 columns with the roles
+    last; a header cell without a name; descriptions that go on over two lines; no amount;
+    dates as bare digits."""
+    root = scratch_path(spark, "messy")
+    o = table(spark, sf, "orders")
+    day, amount = F.date_format("o_orderdate", "yyyy/MM/dd"), F.format_string("%.2f", "o_totalprice")
+    name = F.concat(F.lit("ORDER "), F.col("o_orderkey").cast("string"))
+    roles = [day.alias("Date"), name.alias("Description"), amount.alias("Amount")]
+    shapes = {"1-URGENT": [*[F.lit("x").alias(f"Extra {i}") for i in range(33)], *roles],
+              "2-HIGH": [F.col("o_custkey").alias(" "), *roles],
+              "3-MEDIUM": [day.alias("Date"), F.concat(F.lit("LINE\n"), name).alias("Payee"), amount.alias("Total")],
+              "4-NOT SPECIFIED": [day.alias("Date"), name.alias("Description")],
+              "5-LOW": [F.date_format("o_orderdate", "yyyyMMdd").alias("Date"), *roles[1:]]}
+    for n, (priority, cells) in enumerate(shapes.items()):
+        o.where(F.col("o_orderpriority") == priority).select(*cells).coalesce(1) \
+            .write.option("header", True).csv(f"{root}/shape_{n}")
+    return root
+
+
+_MESSY_SRC = ("SELECT CAST(o_orderdate AS DATE) AS date, CASE o_orderpriority WHEN '3-MEDIUM' THEN 'LINE ' ELSE '' END || 'ORDER ' "
+              "|| CAST(o_orderkey AS VARCHAR) AS raw, o_totalprice AS amount, 'unknown' AS account FROM orders "
+              "WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')")
+_MESSY_TXN = f"SELECT date, {O.f2('raw')} AS description, amount, account FROM ({_MESSY_SRC}) _s"
+
+
+@query("ingest_csv_messy", (
+    "SELECT date, description, amount, account, " + O.txn_id("date", "merchant", "amount", "account")
+    + " AS transaction_id FROM (" + O.merchant_select(_MESSY_TXN, "description") + ") _q"))
+def ingest_csv_messy(spark: SparkSession, sf: str) -> DataFrame:
+    """Wide files, unnamed header cells and quoted line breaks are read; a file
+    without an amount and rows with unreadable dates are left out."""
+    t = I.read_statements(spark, [f"{_messy_files(spark, sf)}/*"])
+    return t.select("date", "description", "amount", "account", "transaction_id")
+
+
+@query("ingest_rejects", (
+    "SELECT 'shape_4' AS folder, 'unreadable date' AS reason, strftime(o_orderdate, '%Y%m%d') AS date_text, "
+    "'order ' || CAST(o_orderkey AS VARCHAR) AS description, o_totalprice AS amount FROM orders WHERE o_orderpriority = '5-LOW' "
+    "UNION ALL SELECT 'shape_3', 'no amount column', NULL, NULL, NULL"))
+def ingest_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """What ``ingest_csv_messy`` leaves out: rows with their date text, and files."""
+    r = I.statement_rejects(spark, [f"{_messy_files(spark, sf)}/*"])
+    return r.select(F.regexp_extract("file_path", "shape_[0-9]", 0).alias("folder"), "reason", "date_text", "description", "amount")
+
+
+@query("append_sink", (
+    f"SELECT date, description AS name, category, account AS spent_from, amount, '' AS notes, transaction_id FROM ({_IDS_L}) _i"))
+def append_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Two appends to a real target, the second of all rows and no more than the
+    first left out; the target read back."""
+    target = scratch_path(spark, "append-target")
+    records = K.to_transactions(V.add_transaction_id(_keyword_labeled(spark, sf)))
+    early = records.where(F.month("date") <= 6)
+    K.append_new(early, target)
+    K.append_new(records, target)
+    return K.read_target(spark, target).drop(K.PARTITION)
+
+
 # --------------------------------------------------------------------- streams
 
 _EVENT_CSV_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double"

@@ -1,13 +1,15 @@
 """End-to-end batch run (E1): statements folder -> target table, as Spark jobs.
 
   list the folder (binaryFile listing, no contents) -> supported, unprocessed files
-  (anti join with the ledger) -> one CSV scan of all pending statements (per-file header
-  roles) -> optional per-file duplicate removal -> categorize with learning in file/row
+  (anti join with the ledger) -> header roles per file, then one CSV scan of all pending
+  statements -> optional per-file duplicate removal -> categorize with learning in file/row
   order -> append unseen ids to the month-partitioned target (J2 across files) ->
   new ledger and memory snapshots, written only after the append has committed.
 
 A crash between the append and the ledger write replays those files next time; their ids
-are already in the target, so nothing is appended twice. Statements that need a document
+are already in the target, so nothing is appended twice. A file that cannot be read (empty, a
+role missing from its header, an unreadable date under ``bad_dates="fail_file"``) counts as
+failed and stays out of the ledger, so that a later run tries it again. Statements that need a document
 decoder (PDF, spreadsheets) are reported as skipped: decoding binary documents is not
 part of this engine (see README); their extracted text goes through ``sources.lines``.
 """
@@ -27,6 +29,7 @@ from spendlake.sources import ledger as L
 from spendlake.sources import sink as K
 from spendlake.sources import snapshots as SN
 from spendlake.schema import DEFAULT_ACCOUNT
+from spendlake.session import scratch_path
 
 
 @dataclass
@@ -35,11 +38,20 @@ class RunReport:
     files_skipped: int
     rows_parsed: int
     rows_appended: int
+    files_failed: int = 0
+    rows_rejected: int = 0
 
 
 def run_pipeline(spark: SparkSession, statements_dir: str, target_path: str, ledger_root: str,
                  memory_root: str, account: str = DEFAULT_ACCOUNT, rules=None, threshold: int = 80,
-                 dedupe: bool = False, learn: bool = True) -> RunReport:
+                 dedupe: bool = False, learn: bool = True, compat: bool = True,
+                 bad_dates: str = "fail_file", multi_line: bool = True,
+                 rejects_path: str | None = None) -> RunReport:
+    """``bad_dates``: "fail_file" leaves a file with an unreadable date for a later run,
+    "quarantine" loads its other rows. What was not loaded, files and rows, is appended to
+    ``rejects_path`` when given (columns of ``ingest.statement_rejects``)."""
+    if bad_dates not in ("fail_file", "quarantine"):
+        raise ValueError("bad_dates must be 'fail_file' or 'quarantine'")
     listing = L.list_files(spark, statements_dir)
     ledger = SN.load_latest(spark, ledger_root)
     if ledger is None:
@@ -53,7 +65,17 @@ def run_pipeline(spark: SparkSession, statements_dir: str, target_path: str, led
     if not csv_paths:
         return RunReport(0, skipped, 0, 0)
 
-    txns = I.read_statements(spark, csv_paths, account=account)
+    roles = I.file_roles(spark, csv_paths, compat)
+    scanned = I.read_statements(spark, csv_paths, account, compat, "keep", multi_line, roles)
+    scanned = scanned.persist(StorageLevel.MEMORY_AND_DISK)
+    bad = scanned.where(F.col("date").isNull())
+    done = roles.where(F.col("reason").isNull()).select("file_path")
+    if bad_dates == "fail_file":
+        done = done.join(bad.select("file_path").distinct(), "file_path", "left_anti")
+    txns = scanned.where(F.col("date").isNotNull()).join(done, "file_path", "left_semi")
+    if rejects_path is not None:
+        I.statement_rejects(spark, csv_paths, compat, multi_line, roles).write.mode("append").parquet(rejects_path)
+    rejected = bad.count()
     if dedupe:
         txns = remove_duplicates(txns, "first", order="row_seq", scope=["file_path"])
     txns = txns.persist(StorageLevel.MEMORY_AND_DISK)
@@ -66,36 +88,29 @@ def run_pipeline(spark: SparkSession, statements_dir: str, target_path: str, led
 
     appended = _append_with_counts(records, target_path)
     parsed = txns.groupBy("file_path").agg(F.count("*").alias("row_count"))
-    counts = parsed.join(appended, "file_path", "left").select(
-        "file_path", "row_count", F.coalesce("transactions_added", F.lit(0)).alias("transactions_added"))
+    counts = done.join(parsed, "file_path", "left").join(appended, "file_path", "left").select(
+        "file_path", F.coalesce("row_count", F.lit(0)).alias("row_count"), F.coalesce("transactions_added", F.lit(0)).alias("transactions_added"))
     content = spark.read.format("binaryFile").load(csv_paths)
-    entries = L.entries_for(content, account, counts)
+    entries = L.entries_for(content, account, counts).join(done, "file_path", "left_semi")
     # ledger and memory after the append (replay-safe order)
     SN.save_next(L.upsert(ledger, entries), ledger_root)
     if new_memory is not None:
         SN.save_next(new_memory, memory_root)
-    totals = counts.agg(F.sum("row_count").alias("p"), F.sum("transactions_added").alias("a")).first()
-    appended.unpersist()
-    txns.unpersist()
-    return RunReport(len(csv_paths), skipped, int(totals.p or 0), int(totals.a or 0))
+    totals = counts.agg(F.count("*").alias("f"), F.sum("row_count").alias("p"), F.sum("transactions_added").alias("a")).first()
+    for cached in (txns, scanned):
+        cached.unpersist()
+    return RunReport(totals.f, skipped, int(totals.p or 0), int(totals.a or 0), len(csv_paths) - totals.f, rejected)
 
 
 def _append_with_counts(records: DataFrame, target_path: str) -> DataFrame:
     """Append unseen rows (J2 across files in name order) and return appended rows per
-    file, computed from the rows as written (one write, counts from the persisted rows)."""
+    file. The counts are written before the append: appending refreshes every cached plan
+    that reads the target, which would then find its own rows there."""
     spark = records.sparkSession
-    with_month = records.withColumn(K.PARTITION, F.date_format("date", "yyyy-MM"))
     target = K.read_target(spark, target_path)
-    if target is None:
-        existing = spark.range(0).select(F.lit(None).cast("string").alias("transaction_id"))
-    else:
-        months = with_month.select(K.PARTITION).distinct()
-        existing = target.join(months, K.PARTITION, "left_semi").select("transaction_id")
-    new = K.new_rows(with_month, existing, file_order="file_path").persist(StorageLevel.MEMORY_AND_DISK)
-    cols = [c for c in records.columns if c != "file_path"] + [K.PARTITION]
-    new.select(*cols).write.mode("append").partitionBy(K.PARTITION).parquet(target_path)
-    per_file = new.groupBy("file_path").agg(F.count("*").alias("transactions_added"))
-    per_file = per_file.persist(StorageLevel.MEMORY_AND_DISK)
-    per_file.count()
+    new = K.unseen(records, target, "file_path", prune_months=True).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = scratch_path(spark, "appended-per-file")
+    new.groupBy("file_path").agg(F.count("*").alias("transactions_added")).write.parquet(counts)
+    K.append_rows(new.drop("file_path"), target, target_path)
     new.unpersist()
-    return per_file
+    return spark.read.parquet(counts)

@@ -1,12 +1,12 @@
 """Statement scans (S1-S3, S6, S7, U1, O2, O5): many CSV files with differing headers
-into one Txn table, in one pass over the data.
-
-Plan: one headerless CSV scan of every file with a fixed, wide all-string schema, tagged
-with ``_metadata.file_path`` / ``file_block_start`` and a monotonically increasing id ->
-the header row of each file is the first row of its first block (a small hash aggregate,
-one row per file) -> column roles per file are computed from the header (F3 + substring
-patterns) -> rows are joined to their file's roles and projected with native expressions.
-Files never pass through the driver; the per-file table is tiny compared with the rows.
+into one Txn table.
+
+Plan: a text scan finds the header line of every file (first line of its first block; no
+CSV parsing, one row per file) -> column roles per file are computed from the header (F3 +
+substring patterns) and written to the shared scratch folder -> one CSV scan of the data,
+as wide as the last role column of any file, joined to the roles and projected with native
+expressions. Files never pass through the driver; the per-file table is tiny compared with
+the rows.
 """
 from __future__ import annotations
 
@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from spendlake.functions.text import column_name, description_key, normalize_column_name
 from spendlake.functions.values import parse_amount, parse_date, transaction_hash
 from spendlake.schema import DEFAULT_ACCOUNT, TXN, empty_frame
+from spendlake.session import scratch_path
 
 # Header patterns per role (substring tests on normalized names, first
 # column in file order wins), and the text pandas' CSV reader turns into nulls.
@@ -31,7 +32,8 @@ PROBE_AMOUNT_PATTERNS = ("cad\\$", "usd\\$", "amount", "transaction amount")  #
 PROBE_AMOUNT_PATTERNS_FIXED = ("cad$", "usd$", "amount", "transaction amount")     # D2
 NULL_MARKERS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
                 "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
-MAX_COLUMNS = 32
+HEADER_CELL = r',("[^"]*+(?:""[^"]*+)*+"|[^,]*)'
+ROLE_COLUMNS = ("date_idx", "desc_idx", "amount_idx")
 MAX_BROADCAST_FILES = 500_000   # roles rows are ~200 bytes: at most ~100 MB broadcast
 
 
@@ -105,33 +107,48 @@ def txn_columns(date: Column, desc: Column, amount: Column, account: Column,
             account.alias("account"), tid.alias("transaction_id")]
 
 
+def file_roles(spark: SparkSession, paths: str | Sequence[str], compat: bool = True) -> DataFrame:
+    """O5, the header probe: one row per non-empty file (file_path, date_idx, desc_idx,
+    amount_idx (1-based, 0 = missing), reason), written to the shared scratch folder.
+
+    The header is the file's first non-empty line. A cell without a name keeps its place.
+    ``reason`` is null when every role was found; a header record that goes on over several
+    lines has no roles and says so."""
+    lines = spark.read.text(paths if isinstance(paths, str) else list(paths)).select(
+        F.col("value"), F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("_blk"), F.monotonically_increasing_id().alias("_mid"))
+    heads = (lines.where((F.col("_blk") == 0) & (F.col("value") != "")).groupBy("file_path")
+             .agg(F.min_by("value", "_mid").alias("_line")))
+    whole = (F.length("_line") - F.length(F.replace(F.col("_line"), F.lit('"'), F.lit("")))) % 2 == 0
+    # every cell is a comma and what follows it; quoted cells may hold commas and doubled quotes
+    cells = F.regexp_extract_all(F.concat(F.lit(","), F.col("_line")), F.lit(HEADER_CELL), F.lit(1))
+    names = F.transform(F.when(whole, cells).otherwise(F.array()), column_name)
+    r = header_roles(names, compat)
+    reason = (F.when(~whole, "header record spans lines").when(r.desc_idx == 0, "no description column")
+              .when(r.amount_idx == 0, "no amount column").when(r.date_idx == 0, "no date column"))
+    path = scratch_path(spark, "file-roles")
+    heads.select("file_path", r.date_idx.alias("date_idx"), r.desc_idx.alias("desc_idx"),
+                 r.amount_idx.alias("amount_idx"), reason.alias("reason")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def read_statements(spark: SparkSession, paths: str | Sequence[str], account=DEFAULT_ACCOUNT,
-                    compat: bool = True, bad_dates: str = "quarantine",
-                    max_columns: int = MAX_COLUMNS) -> DataFrame:
+                    compat: bool = True, bad_dates: str = "quarantine", multi_line: bool = True,
+                    roles: DataFrame | None = None) -> DataFrame:
     """Every CSV statement under ``paths`` as one Txn DataFrame.
 
     ``account``: a literal, or a Column computed from ``file_path``. Output columns: Txn +
     ``file_path`` and ``row_seq`` (struct of file path, block start, row id: the file-name
     order of the reference's folder walk, then row order). Files whose header lacks a
-    role are skipped (per-file error isolation); see ``statement_rejects``.
-    ``bad_dates``: "quarantine" drops rows without a parsable date, "fail_file" drops
-    every row of a file that has one (the reference fails the file), "keep" keeps them
-    with a null id.
+    role are skipped (per-file error isolation). ``bad_dates``: "quarantine" drops rows
+    without a parsable date, "fail_file" drops every row of a file that has one, "keep"
+    keeps them with a null id. ``statement_rejects`` lists what is skipped or dropped.
+
+    ``multi_line``: a quoted cell may hold line breaks, a file is then read by one task;
+    without it large files are split between lines. ``roles``: the files' ``file_roles``,
+    when already there.
     """
-    rows = _scan(spark, paths, max_columns)
-    roles = _file_roles(rows, compat, max_columns)
-    ok = roles.where((F.col("date_idx") > 0) & (F.col("desc_idx") > 0) & (F.col("amount_idx") > 0))
-    # one small row per file: its size is bounded by the file count, which the file index
-    # already knows (metadata, no scan) -> broadcast under that bound, so the statement rows
-    # are never shuffled for this join; beyond it AQE decides
-    if len(rows.inputFiles()) <= MAX_BROADCAST_FILES:
-        ok = F.broadcast(ok)
-    data = rows.join(ok, "file_path").where(F.col("_mid") != F.col("_hid"))
-    acct = account if isinstance(account, Column) else F.lit(account)
-    out = data.select("file_path",
-                      F.struct("file_path", "_blk", "_mid").alias("row_seq"),
-                      *txn_columns(_pick("date_idx", max_columns), _pick("desc_idx", max_columns),
-                                   _pick("amount_idx", max_columns), acct))
+    out = _statement_rows(spark, paths, account, compat, multi_line, roles).drop("date_text")
     if bad_dates == "quarantine":
         return out.where(F.col("date").isNotNull())
     if bad_dates == "fail_file":
@@ -142,49 +159,51 @@ def read_statements(spark: SparkSession, paths: str | Sequence[str], account=DEF
     raise ValueError("bad_dates must be 'quarantine', 'fail_file' or 'keep'")
 
 
-def statement_rejects(spark: SparkSession, paths, compat: bool = True,
-                      max_columns: int = MAX_COLUMNS) -> DataFrame:
-    """Files skipped by ``read_statements`` and why (missing role)."""
-    roles = _file_roles(_scan(spark, paths, max_columns), compat, max_columns)
-    reason = (F.when(F.col("desc_idx") == 0, "no description column")
-              .when(F.col("amount_idx") == 0, "no amount column")
-              .when(F.col("date_idx") == 0, "no date column"))
-    return roles.select("file_path", reason.alias("reason")).where(F.col("reason").isNotNull())
-
-
-def _pick(idx: str, n: int) -> Column:
-    """Cell ``idx`` (1-based, a column name) of a row as a generated CASE over the cells."""
-    whens = " ".join(f"WHEN {i + 1} THEN _c{i}" for i in range(n))
-    return F.expr(f"CASE {idx} {whens} END")
-
-
-def _scan(spark: SparkSession, paths, max_columns: int) -> DataFrame:
-    """All files, headerless, as string cells _c0.._cN plus file, block and row id."""
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(max_columns)])
-    # RFC 4180 quoting (a quote inside a quoted field is doubled), as pandas reads it;
-    # records stay one per line so large files split across tasks
-    raw = (spark.read.schema(schema).option("header", False).option("mode", "PERMISSIVE")
-           .option("enforceSchema", True).option("escape", '"')
+def statement_rejects(spark: SparkSession, paths, compat: bool = True, multi_line: bool = True,
+                      roles: DataFrame | None = None) -> DataFrame:
+    """What ``read_statements`` skips or drops: (file_path, row_seq, reason, date_text,
+    description, amount). A file without roles is one row with a null ``row_seq``; a row
+    whose date cannot be read is one row, with the text of its date."""
+    roles = file_roles(spark, paths, compat) if roles is None else roles
+    rows = _statement_rows(spark, paths, DEFAULT_ACCOUNT, compat, multi_line, roles).where(F.col("date").isNull())
+    rows = rows.select("file_path", "row_seq", F.lit("unreadable date").alias("reason"), "date_text",
+                       "description", "amount")
+    files = roles.where(F.col("reason").isNotNull()).select("file_path", "reason")
+    return rows.unionByName(files, allowMissingColumns=True)
+
+
+def _statement_rows(spark: SparkSession, paths, account, compat: bool, multi_line: bool,
+                    roles: DataFrame | None) -> DataFrame:
+    """All rows of all files with every role: Txn + file_path, row_seq, date_text. A row
+    whose cells are blank up to the last role column is a blank line, not a row."""
+    roles = file_roles(spark, paths, compat) if roles is None else roles
+    ok = roles.where(F.col("reason").isNull()).drop("reason")
+    # the positions in use, per role: at most the number of columns of the widest header
+    used = ok.agg(F.count("*").alias("n"), *[F.collect_set(c).alias(c) for c in ROLE_COLUMNS]).first()
+    cells = [f"_c{i}" for i in range(max([1, *used.date_idx, *used.desc_idx, *used.amount_idx]))]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in cells])
+    # RFC 4180 quoting (a quote inside a quoted field is doubled), as pandas reads it
+    raw = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
+           .option("enforceSchema", True).option("escape", '"').option("multiLine", multi_line)
            .csv(paths if isinstance(paths, str) else list(paths)))
-    return raw.select("*", F.col("_metadata.file_path").alias("file_path"),
+    rows = raw.select("*", F.col("_metadata.file_path").alias("file_path"),
                       F.col("_metadata.file_block_start").alias("_blk"),
                       F.monotonically_increasing_id().alias("_mid"))
+    # one small row per file -> broadcast under a bound on the number of files, so the
+    # statement rows are never shuffled for this join; beyond it AQE decides
+    if used.n <= MAX_BROADCAST_FILES:
+        ok = F.broadcast(ok)
+    data = rows.join(ok, "file_path").where(F.trim(F.concat_ws("", *cells)) != "")
+    acct = account if isinstance(account, Column) else F.lit(account)
+    date_text, desc, amount = (_pick(c, used[c]) for c in ROLE_COLUMNS)
+    return data.select("file_path", F.struct("file_path", "_blk", "_mid").alias("row_seq"), date_text.alias("date_text"),
+                       *txn_columns(date_text, desc, amount, acct))
 
 
-def _file_roles(rows: DataFrame, compat: bool, max_columns: int) -> DataFrame:
-    """One row per file: header row id and column roles (O5: the header probe).
-    The header is the first row of the file's first block: one aggregation over the
-    first-block rows, ``min_by(cells, row id)`` (no self join)."""
-    cells = F.struct(*[F.col(f"_c{i}") for i in range(max_columns)])
-    heads = (rows.where(F.col("_blk") == 0).groupBy("file_path")
-             .agg(F.min("_mid").alias("_hid"), F.min_by(cells, F.col("_mid")).alias("_h")))
-    heads = heads.select("file_path", "_hid",
-                         F.array(*[F.col(f"_h._c{i}") for i in range(max_columns)]).alias("_header"))
-    # a cell without a name keeps its place: positions are those of the row
-    names = F.transform(F.transform("_header", lambda n: F.coalesce(n, F.lit(""))), column_name)
-    r = header_roles(names, compat)
-    return heads.select("file_path", "_hid", r.date_idx.alias("date_idx"), r.desc_idx.alias("desc_idx"),
-                        r.amount_idx.alias("amount_idx"))
+def _pick(idx: str, used: Sequence[int]) -> Column:
+    """Cell ``idx`` (1-based, a column name) of a row: a generated CASE over the positions in use."""
+    whens = " ".join(f"WHEN {i} THEN _c{i - 1}" for i in sorted(used))
+    return F.expr(f"CASE {idx} {whens} END" if whens else "CAST(NULL AS STRING)")
 
 
 def classify_files(spark: SparkSession, paths, recursive: bool = True) -> DataFrame:

@@ -1,10 +1,10 @@
 """Append-only target table, existing ids, CSV export and record projections
 (S12-S14, J2, W4, U2, U3, P4, P5).
 
-The target is a Parquet table partitioned by month of ``date``. Because the id hashes the
-date, equal ids always share a month, so the anti join against existing ids only needs
-the target months present in the batch (a semi join on the partition column, which Spark
-turns into partition pruning).
+A new target is a Parquet table partitioned by month of ``date``. A batch is compared with
+all ids of the target. Where every id was made by F7 from the row's own date, equal ids share
+a month, and the caller may ask to compare with the batch's months alone (``prune_months``: a
+semi join on the partition column, which Spark turns into partition pruning).
 """
 from __future__ import annotations
 
@@ -66,26 +66,23 @@ def _marked_column(columns: dict[str, str], role: str) -> str | None:
 
 
 def existing_ids(target: DataFrame) -> DataFrame:
-    """Distinct non-empty ids of a target table. When the table has no id column,
-    ids are recomputed (F7) from the date / name / amount / account columns found by
-    name; rows without a date are skipped, a null amount counts as 0.0."""
+    """Distinct ids of a target table. Rows without an id, or all rows of a table
+    without an id column, get the id recomputed (F7) from the date / name / amount / account
+    columns found by name; those without a date are skipped, a null amount counts as 0.0."""
     cols = {c.lower(): c for c in target.columns}
     id_col = next((c for c in target.columns if "transaction" in c.lower() and "id" in c.lower()), None)
-    if id_col is not None:
-        ids = target.select(F.col(id_col).cast("string").alias("transaction_id"))
-        return ids.where(F.col("transaction_id").isNotNull() & (F.col("transaction_id") != "")).distinct()
+    stored = F.nullif(F.col(id_col).cast("string"), F.lit("")) if id_col else F.lit(None).cast("string")
 
     date_c, desc_c, amt_c, acct_c = (_marked_column(cols, role) for role in COLUMN_MARKS)
-    if date_c is None:
-        return target.sparkSession.createDataFrame([], "transaction_id string")
-    dtype = target.schema[date_c].dataType
-    rows = target.where(F.col(date_c).isNotNull())
-    desc = F.col(desc_c) if desc_c else F.lit("")
-    amt = F.coalesce(F.col(amt_c).cast("double"), F.lit(0.0)) if amt_c else F.lit(0.0)
-    acct = F.coalesce(F.col(acct_c).cast("string"), F.lit("")) if acct_c else F.lit("")
-    return (rows.select(transaction_hash(F.col(date_c), desc, amt, acct,
-                                         date_type=dtype).alias("transaction_id"))
-            .distinct())
+    made = F.lit(None).cast("string")
+    if date_c is not None:
+        desc = F.col(desc_c) if desc_c else F.lit("")
+        amt = F.coalesce(F.col(amt_c).cast("double"), F.lit(0.0)) if amt_c else F.lit(0.0)
+        acct = F.coalesce(F.col(acct_c).cast("string"), F.lit("")) if acct_c else F.lit("")
+        made = F.when(F.col(date_c).isNotNull(), transaction_hash(F.col(date_c), desc, amt, acct,
+                                                                  date_type=target.schema[date_c].dataType))
+    return (target.select(F.coalesce(stored, made).alias("transaction_id"))
+            .where(F.col("transaction_id").isNotNull()).distinct())
 
 
 def new_rows(batch: DataFrame, existing: DataFrame, file_order: str | None = None) -> DataFrame:
@@ -102,33 +99,54 @@ def new_rows(batch: DataFrame, existing: DataFrame, file_order: str | None = Non
     return j.where(F.col("_first").isNull() | (F.col(file_order) == F.col("_first"))).drop("_first")
 
 
-def append_new(batch: DataFrame, target_path: str, file_order: str | None = None) -> int:
-    """Append unseen rows of ``batch`` (Target schema) to the month-partitioned
-    Parquet table at ``target_path``; returns the number appended. Existing rows never
-    change. Empty input raises ValueError, like the reference."""
+def append_new(batch: DataFrame, target_path: str, file_order: str | None = None,
+               prune_months: bool = False) -> int:
+    """Append unseen rows of ``batch`` (Target schema) to the Parquet table at
+    ``target_path``; returns the number appended. Existing rows never change. Empty input
+    raises ValueError, like the reference. Targets without an id column, or not partitioned
+    by month, keep their layout (see ``append_rows``); ``prune_months``: see ``unseen``."""
     spark = batch.sparkSession
     if batch.isEmpty():
         raise ValueError("nothing to append: the batch has no rows")
-    with_month = batch.withColumn(PARTITION, F.date_format("date", "yyyy-MM"))
     target = read_target(spark, target_path)
-    if target is None:
-        existing = spark.range(0).select(F.lit(None).cast("string").alias("transaction_id"))
-    else:
-        months = with_month.select(PARTITION).distinct()
-        existing = target.join(months, PARTITION, "left_semi").select("transaction_id")
-    out = new_rows(with_month, existing, file_order)
-    cols = [f.name for f in TARGET.fields] + [PARTITION]
     # one pass: the appended count is an observed metric of the write itself
     obs = Observation("appended")
-    out = out.select(*cols).observe(obs, F.count(F.lit(1)).alias("n"))
-    out.write.mode("append").partitionBy(PARTITION).parquet(target_path)
+    new = unseen(batch, target, file_order, prune_months).select(*[f.name for f in TARGET.fields])
+    append_rows(new.observe(obs, F.count(F.lit(1)).alias("n")), target, target_path)
     return int(obs.get["n"])
 
 
+def unseen(batch: DataFrame, target: DataFrame | None, file_order: str | None = None,
+           prune_months: bool = False) -> DataFrame:
+    """Rows of ``batch`` that a target (None: no target yet) does not hold, by id; see
+    ``new_rows``. Rows of the target without an id are known by the id that F7 gives them.
+    ``prune_months`` reads the target's months of the batch alone: exact only when every id
+    is F7 of the row's own date."""
+    if target is None:
+        ids = batch.sparkSession.createDataFrame([], "transaction_id string")
+    else:
+        if prune_months and PARTITION in target.columns:
+            months = batch.select(F.date_format("date", "yyyy-MM").alias(PARTITION)).distinct()
+            target = target.join(months, PARTITION, "left_semi")
+        ids = existing_ids(target)
+    return new_rows(batch, ids, file_order)
+
+
+def append_rows(new: DataFrame, target: DataFrame | None, target_path: str) -> None:
+    """Append ``new`` to the table at ``target_path`` in the table's layout: by month when
+    it is new or has the month partition, else in plain files. A table without an id column
+    gains one; its older rows then read as null ids."""
+    if target is None or PARTITION in target.columns:
+        new = new.withColumn(PARTITION, F.date_format("date", "yyyy-MM"))
+        new.write.mode("append").partitionBy(PARTITION).parquet(target_path)
+    else:
+        new.write.mode("append").parquet(target_path)
+
+
 def read_target(spark: SparkSession, target_path: str) -> DataFrame | None:
     """The target table, or None when it does not exist yet."""
     try:
-        return spark.read.parquet(target_path)
+        return spark.read.option("mergeSchema", True).parquet(target_path)
     except AnalysisException as e:
         if path_is_missing(e):
             return None

@@ -59,22 +59,27 @@ def _batch_ids(spark: SparkSession, path: str) -> list[int]:
     return sorted(out)
 
 
-def append_batch(target_path: str, dedupe_within_batch: bool = True, order: str | None = None):
+def append_batch(target_path: str, dedupe_within_batch: bool = True, order: str | None = None,
+                 prune_months: bool = False):
     """The ``foreachBatch`` function of an idempotent append to ``target_path``
-    (layout ``batch_id=<n>/month=<yyyy-MM>``). Ids are compared only with earlier batches'
-    rows of the months present in this batch (ids hash the date, so equal ids share a
-    month): partition pruning keeps the anti join proportional to the batch."""
+    (layout ``batch_id=<n>/month=<yyyy-MM>``). Ids are compared with those of all earlier
+    batches, or with ``prune_months`` of this batch's months alone (exact when every id is F7
+    of the row's own date). Rows without an id are all kept, as in the batch sink."""
     def run(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
         rows = df
         if dedupe_within_batch:
-            keep = F.min_by(F.struct(*rows.columns), F.col(order)) if order else F.first(F.struct(*rows.columns))
-            rows = rows.groupBy("transaction_id").agg(keep.alias("_r")).select("_r.*")
+            row = F.struct(*rows.columns)
+            keep = F.min_by(row, F.col(order)) if order else F.first(row)
+            alone = F.when(F.col("transaction_id").isNull(), F.monotonically_increasing_id())
+            rows = (rows.withColumn("_alone", alone).groupBy("transaction_id", "_alone")
+                    .agg(keep.alias("_r")).select("_r.*"))
         rows = rows.withColumn("month", F.date_format("date", "yyyy-MM"))
         prev = _earlier_batches(spark, target_path, batch_id)
         if prev is not None:
-            months = rows.select("month").distinct()
-            rows = new_rows(rows, prev.join(months, "month", "left_semi").select("transaction_id"))
+            if prune_months:
+                prev = prev.join(rows.select("month").distinct(), "month", "left_semi")
+            rows = new_rows(rows, prev.select("transaction_id"))
         rows.write.mode("overwrite").partitionBy("month").parquet(f"{target_path}/batch_id={batch_id}")
     return run
 

@@ -136,3 +136,26 @@ def test_monthly_summary_dense(spark):
     dense = S.monthly_summary(df, dense=True).orderBy("month").collect()
     assert [(r.month.month, r.total, r.n_txn, r.prev_total) for r in dense] == [
         (1, 10.0, 1, None), (2, 0.0, 0, 10.0), (3, 5.0, 1, 0.0)]
+
+
+def test_append_to_target_without_id_and_month(spark, tmp_path):
+    """A table in its own layout: ids of its rows are recomputed, it gains an id column."""
+    target = str(tmp_path / "t")
+    base = spark.createDataFrame([(datetime.date(2024, 1, 15), "coffee", 5.5, "chq", "Dining"),
+                                  (datetime.date(2024, 2, 15), "books", 9.0, "chq", "Fun")],
+                                 "date date, description string, amount double, account string, category string")
+    records = K.to_transactions(V.add_transaction_id(base))
+    old = records.where("name = 'coffee'").select("date", F.col("name").alias("description"), "amount", "spent_from")
+    old.write.parquet(target)
+    assert K.append_new(records, target) == 1
+    assert K.append_new(records, target) == 0
+    assert K.read_target(spark, target).count() == 2
+
+
+def test_append_compares_all_ids(spark, tmp_path):
+    target = str(tmp_path / "t")
+    schema = "date date, name string, category string, spent_from string, amount double, notes string, transaction_id string"
+    jan = spark.createDataFrame([(datetime.date(2024, 1, 15), "a", "c", "s", 1.0, "", "x"), (None, "b", "c", "s", 1.0, "", "y")], schema)
+    feb = spark.createDataFrame([(datetime.date(2024, 2, 15), "a", "c", "s", 1.0, "", "x"), (None, "b", "c", "s", 1.0, "", "y")], schema)
+    assert K.append_new(jan, target) == 2
+    assert K.append_new(feb, target) == 0

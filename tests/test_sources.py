@@ -46,7 +46,57 @@ def test_read_statements_two_layouts(spark, tmp_path):
                     (datetime.date(2024, 2, 2), "joe s best cafe inc", 1.0)]
     assert I.read_statements(spark, str(tmp_path / "a"), bad_dates="fail_file").count() == 0
     rej = I.statement_rejects(spark, [str(tmp_path / d) for d in "abc"]).collect()
-    assert len(rej) == 1 and rej[0].file_path.endswith("odd.csv")
+    assert sorted((r.file_path[-7:], r.reason, r.date_text) for r in rej) == [
+        ("jan.csv", "unreadable date", "bad-date"), ("odd.csv", "no description column", None)]
+
+
+def test_read_statements_wide_unnamed_and_multi_line(spark, tmp_path):
+    wide = [f"x{i}" for i in range(40)]
+    write(tmp_path / "wide.csv", ",".join([*wide, "Date", "Payee", "Amount"]) + "\n"
+          + ",".join(["1"] * 40 + ["2024-01-15", "WIDE", "7.5"]) + "\n")
+    write(tmp_path / "index.csv", ',Date,"Payee, ""short""",Amount\n0,2024/01/16,INDEX,2\n')
+    write(tmp_path / "lines.csv", 'Date,Payee,Amount\n2024-01-17,"TIM\nHORTONS",5.50\n\n   \n')
+    write(tmp_path / "spans.csv", 'Date,"Pay\nee",Amount\n2024-01-18,X,1\n')
+    write(tmp_path / "empty.csv", "")
+    rows = sorted((r.date.day, r.description, r.amount) for r in I.read_statements(spark, str(tmp_path)).collect())
+    assert rows == [(15, "wide", 7.5), (16, "index", 2.0), (17, "tim hortons", 5.5)]
+    rej = I.statement_rejects(spark, str(tmp_path)).collect()
+    assert [(r.file_path[-9:], r.reason) for r in rej] == [("spans.csv", "header record spans lines")]
+
+
+def test_read_statements_no_usable_file(spark, tmp_path):
+    write(tmp_path / "odd.csv", "Foo,Bar\n1,2\n")
+    assert I.read_statements(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_retries_failed_files(spark, tmp_path):
+    from spendlake.plans.pipeline import run_pipeline
+    from spendlake.sources import snapshots as SN
+    d = tmp_path / "stmts"
+    write(d / "good.csv", "Date,Description,Amount\n2024-01-15,ONE,1\n")
+    write(d / "bad.csv", "Date,Description,Amount\n2024-01-16,TWO,2\nsoon,THREE,3\n")
+    write(d / "norole.csv", "A,B\n1,2\n")
+    paths = dict(target_path=str(tmp_path / "t"), ledger_root=str(tmp_path / "l"), memory_root=str(tmp_path / "m"))
+    r = run_pipeline(spark, str(d), rejects_path=str(tmp_path / "r"), learn=False, **paths)
+    assert (r.files_processed, r.files_failed, r.rows_parsed, r.rows_appended, r.rows_rejected) == (1, 2, 1, 1, 1)
+    assert spark.read.parquet(str(tmp_path / "r")).count() == 2
+    write(d / "bad.csv", "Date,Description,Amount\n2024-01-16,TWO,2\n2024-01-15,ONE,1\n")
+    r = run_pipeline(spark, str(d), learn=False, **paths)
+    assert (r.files_processed, r.files_failed, r.rows_parsed, r.rows_appended) == (1, 1, 2, 1)
+    led = {x.file_path[-8:]: (x.row_count, x.transactions_added) for x in SN.load_latest(spark, paths["ledger_root"]).collect()}
+    assert led == {"good.csv": (1, 1), "/bad.csv": (2, 1)}
+    assert spark.read.parquet(paths["target_path"]).count() == 2
+
+
+def test_stream_append_keeps_rows_without_id(spark, tmp_path):
+    append = ST.append_batch(str(tmp_path / "t"), order="n")
+    schema = "date date, transaction_id string, n long"
+    day = datetime.date(2024, 1, 15)
+    append(spark.createDataFrame([(day, None, 1), (day, None, 2), (day, "a", 3), (day, "a", 4)], schema), 0)
+    append(spark.createDataFrame([(datetime.date(2024, 2, 1), "a", 5), (None, "b", 6), (day, None, 7)], schema), 1)
+    append(spark.createDataFrame([(None, "b", 8), (day, "c", 9)], schema), 2)
+    append(spark.createDataFrame([(None, "b", 8), (day, "c", 9)], schema), 2)   # a replay
+    assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [1, 2, 3, 6, 7, 9]
 
 
 def test_header_roles_compat_and_fixed(spark):

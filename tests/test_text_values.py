@@ -62,7 +62,11 @@ def test_parse_amount(spark, raw, expected):
 @pytest.mark.parametrize("raw,expected", [
     ("2024-01-15", datetime.date(2024, 1, 15)), ("1/5/2024", datetime.date(2024, 1, 5)),
     ("15-Jan-24", datetime.date(2024, 1, 15)), ("15-jan-98", datetime.date(1998, 1, 15)),
-    ("junk", None), (None, None),
+    ("2024/01/15", datetime.date(2024, 1, 15)), ("Jan 5, 2024", datetime.date(2024, 1, 5)),
+    ("16 January 2024", datetime.date(2024, 1, 16)), ("16-sep-2024", datetime.date(2024, 9, 16)),
+    ("2024-01-15T23:59:59.123+02:00", datetime.date(2024, 1, 15)), ("1/5/2024 3:04 PM", datetime.date(2024, 1, 5)),
+    ("13/1/2024", datetime.date(2024, 1, 13)), ("2/30/2024", None), ("20240115", None), ("Foo 5, 2024", None),
+    ("2024-01-15 25:00", None), ("junk", None), (None, None),
 ])
 def test_parse_date(spark, raw, expected):
     assert one(spark, V.parse_date("s"), raw) == expected
