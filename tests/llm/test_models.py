@@ -215,6 +215,34 @@ def test_leaks_against_brute_force(docs_of, spark):
     assert {i for i, _ in got} <= {i for i, _ in planted}
 
 
+def test_item_in_a_third_of_all_documents(docs_of, spark):
+    _, bench, _ = leak_fixture()
+    r = random.Random(6)
+    rows, want = [], set()
+    for i in range(300):
+        t = prose(i, 380).split()
+        if i % 3 == 0:  # one item in a third of the documents, every second time with some words replaced
+            w = [x if i % 2 or r.random() > 0.15 else "risor" for x in bench[0][1].split()]
+            at = r.randrange(300)
+            t[at:at] = w
+            want.add((i, 0))
+        if i % 50 == 1:  # another one in a few
+            t[40:40] = bench[7][1].split()
+            want.add((i, 7))
+        rows.append((i, " ".join(t)))
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(
+        docs_of(rows), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == want
+
+
+def test_runs_of_words_need_no_weight():
+    items = decontaminate.Items([(1, "a b c d e f g"), (2, "a b")])
+    index = decontaminate.Index(items, np.full(len(items.vocab), 1e-3, np.float32), np.eye(len(items.vocab), dtype=np.float32))
+    cells = decontaminate.Cells(["x " * 21 + "b c d e y", "a b c x d e f", "", "c d e f"], items.vocab)
+    assert index.runs(cells) == [(0, 0, int(cells.first[0]) + 1), (3, 0, int(cells.first[3]))]
+    assert index.cosine(cells.ids[3], 0, [0]) == pytest.approx(4 / math.sqrt(28), abs=1e-3)
+
+
 def test_leaks_odd_rows(docs_of, spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "?!"), (None, "a b c"), (4, prose(2, 30)), (5, prose(2, 30))], "item_id long, text string")
     rows = decontaminate.find_leaks(docs_of(odd_rows() + [(50, prose(9, 20) + " " + prose(2, 30))] * 2), bench).collect()
