@@ -243,6 +243,16 @@ def test_runs_of_words_need_no_weight():
     assert index.cosine(cells.ids[3], 0, [0]) == pytest.approx(4 / math.sqrt(28), abs=1e-3)
 
 
+def test_sample_does_not_depend_on_the_order_of_rows(docs_of):
+    rows = [(i, prose(i, 400)) for i in range(30)] + [(100, prose(100, 9000)), (101, None)]
+    vocab = {w: k for k, w in enumerate(dict.fromkeys(decontaminate.words(prose(5, 500))))}
+    one, other = ([tuple(r[0]) for r in decontaminate.sample_passages(docs_of(x, parts=n), vocab, 20).collect()]
+                  for x, n in ((rows, 2), (rows[::-1], 5)))
+    assert sorted(one) == sorted(other) and 300 < len(one) < 500
+    long = {tuple(p) for p in decontaminate.Cells([rows[30][1]], vocab).passages().tolist()}
+    assert 0.25 < sum(p in long for p in one) / len(one) < 0.6  # 562 of 1282 passages
+
+
 def test_leaks_odd_rows(docs_of, spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "?!"), (None, "a b c"), (4, prose(2, 30)), (5, prose(2, 30))], "item_id long, text string")
     rows = decontaminate.find_leaks(docs_of(odd_rows() + [(50, prose(9, 20) + " " + prose(2, 30))] * 2), bench).collect()
