@@ -4,15 +4,24 @@ Tokens are words (runs outside ``[\\x20\\x09-\\x0D]``, A-Z lower-cased) and one
 with at least 1/``SYMBOLS`` of all training tokens are symbols of their own (at most ``SYMBOLS``),
 as is the end; all other words share one symbol. The model is
 
+* a restaurant for every word (and the end) as a context, whose customers are the words that follow
+  it, all pairs counted; its base is what the levels above give the pair;
 * a context restaurant for every symbol, whose customers are the symbols that follow it; all of
   them share one parent, the restaurant of the single symbols, whose base is uniform;
 * for words without a symbol of their own, a restaurant of words below the shared symbol, with
   a uniform base over its words and one unknown word.
 
-A token's probability is its symbol's after the symbol before it (the end before the first) times,
-for the shared symbol, its word's.
+The base of a pair is its symbol's probability after the symbol before it (the end before the first)
+times, for the shared symbol, its word's. The levels above the pairs are fitted to all tokens first and
+held while the pairs are seated; tables of pairs are not fed back to them.
 
-Seating is sampled by Gibbs. The state is the number of tables of every dish in every restaurant;
+Pairs are counted, and seated, in a Spark table dealt by context. With ``x ~ Gamma(theta / d + T)`` for each
+context the tables of its pairs are independent, ``p(t | c, x) ~ S(c, t) (d x P(pair))^t``, so a sweep draws all
+of them at once; chains and samples are as below. A context of more than ``SALT`` tokens is dealt in parts by a
+hash of the follower; a part takes its own tables times the number of parts for ``T``, while the
+probabilities use the tables of all parts.
+
+Above the pairs, seating is sampled by Gibbs. The state is the number of tables of every dish in every restaurant;
 a dish's tables are drawn, given everything else, from their exact conditional
 
     p(t | c) ~ S(c, t) * P(dish)^t * prod_{k<t} (theta + d (T + k))
@@ -26,7 +35,8 @@ probabilities are averaged over the samples after burn-in of all chains.
 
 The corpus counts cover all training rows. What travels to every task is bounded: words with at
 least 1/``SENT`` of all tokens (at most ``SENT``), the end, and the symbol table (at most (SYMBOLS + 2)^2
-numbers). Other words of a text meet their counts in a join on a 64-bit hash; none of them is
+numbers). Pairs of a text meet theirs in a join on both words' hashes; unseen ones take the share that their
+context leaves to the base. Other words of a text meet their counts in a join on a 64-bit hash; none of them is
 frequent, so no key is hot.
 
 Null text counts as empty: it has one token, the end. Repeated rows get equal results. With no
@@ -48,6 +58,8 @@ from pyspark.sql import functions as F
 from spendlake.llm.common import texts_of, words_of, written
 
 SYMBOLS, SENT = 1024, 1 << 19
+#: Tokens of a context (or of a part of it) and pairs of a block that are seated together.
+SALT, BLOCK = 1 << 14, 1 << 14
 CHAINS, BURN, SAMPLES, CROWD, THETA = 4, 8, 12, 300, 1.0
 #: Distinct words that a task counts before it passes them on.
 FLUSH = 300_000
@@ -102,6 +114,94 @@ def symbol_counts(docs: DataFrame, symbol: dict[bytes, int]) -> np.ndarray:
     return out.reshape(size, size)
 
 
+class _Hashes(dict):
+    """Spark's ``xxhash64`` of words, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        h = self[word] = signed_hash(word)
+        return h
+
+
+_HASH = _Hashes()
+
+
+def chain_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens of the texts in order, an end before the first, and tokens per text:
+    neighbours in it are the pairs, as the end of a text is the context of the next one's first word."""
+    rows = [words_of(t) for t in texts]
+    flat = [END]
+    for w in rows:
+        flat += w
+        flat.append(END)
+    return np.fromiter(map(_HASH.__getitem__, flat), np.int64, len(flat)), np.array([len(w) + 1 for w in rows], np.int64)
+
+
+def distinct(*cols: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct rows of the columns, and how often each occurs."""
+    order = np.lexsort(cols[::-1])
+    cols = tuple(c[order] for c in cols)
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+    at = np.flatnonzero(new)
+    return (*(c[at] for c in cols), np.diff(np.append(at, len(order))))
+
+
+def count_pairs(docs: DataFrame, known: "Known") -> DataFrame:
+    """``u, w, salt, rare, n``: how often ``w`` follows ``u`` (hashes), the part of the context, and
+    whether the word's count does not travel with the model."""
+    def run(batches):
+        for b in batches:
+            flat, _ = chain_of(texts_of(b.column(0)))
+            u, w, n = distinct(flat[:-1], flat[1:])
+            salt = (w.view(np.uint64) % known.parts[known.at(u)].astype(np.uint64)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, w, salt, known.at(w) < 0, n)], names=["u", "w", "salt", "rare", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "u long, w long, salt int, rare boolean, n long")
+    return rows.groupBy("u", "w", "salt", "rare").agg(F.sum("n").alias("n"))
+
+
+def seat(ctx: np.ndarray, c: np.ndarray, base: np.ndarray, parts: np.ndarray, d: float, stirling: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean tables of pairs with ``c`` customers in the contexts ``ctx`` (0, 1, ..), and of the contexts, over the
+    samples of all chains. ``parts``: in how many parts each context is dealt."""
+    rng = np.random.default_rng(seed)
+    size = len(parts)
+    alone = np.bincount(ctx[c == 1], minlength=size).astype(float)
+    more = np.flatnonzero(c > 1)
+    more = more[np.argsort(c[more], kind="stable")]
+    edges = [0, *np.searchsorted(c[more], [3, 4, 6, 10, 18, 40, 100], "left"), len(more)]
+    slices = [more[a:b] for a, b in zip(edges, edges[1:]) if b > a]
+    tables = np.repeat(np.bincount(ctx, minlength=size)[None].astype(float), CHAINS, axis=0)
+    mean, mean_all = np.where(c == 1, 1.0, 0.0), np.zeros(size)
+    k = CHAINS * SAMPLES
+    fixed = []
+    for rows in slices:
+        most = int(min(CROWD, c[rows].max()))
+        fixed.append((rows, np.arange(1, most + 1), stirling[np.minimum(c[rows], most), 1:most + 1], np.log(d * base[rows])))
+    for sweep in range(BURN + SAMPLES):
+        x = np.maximum(rng.gamma(THETA / d + tables * parts), 1e-300)
+        tables = np.repeat(alone[None], CHAINS, axis=0)
+        for rows, t, s, b in fixed:
+            strength = b + np.log(x[:, ctx[rows]])
+            p = s + strength[:, :, None] * t
+            p = np.exp(p - p.max(axis=2, keepdims=True)).cumsum(axis=2)
+            drawn = 1 + (p < rng.random(strength.shape)[:, :, None] * p[:, :, -1:]).sum(axis=2)
+            drawn = np.minimum(drawn, len(t))
+            n = c[rows]
+            if n[-1] > CROWD:
+                a = np.exp(strength)
+                late = a * np.log(np.maximum(n - d * drawn + a, 1e-9) / np.maximum(CROWD - d * drawn + a, 1e-9))
+                drawn = drawn + np.where(n > CROWD, np.minimum(rng.poisson(np.where(n > CROWD, late, 0)), n - CROWD), 0)
+            for chain in range(CHAINS):
+                tables[chain] += np.bincount(ctx[rows], weights=drawn[chain], minlength=size)
+            if sweep >= BURN:
+                mean[rows] += drawn.sum(axis=0) / k
+        if sweep >= BURN:
+            mean_all += tables.sum(axis=0) / k
+    return mean, mean_all
+
+
 def log_stirling(d: float, most: int = CROWD) -> np.ndarray:
     """Logarithms of generalised Stirling numbers ``S(c, t)``, 0 <= t <= c <= most."""
     s = np.full((most + 1, most + 1), -np.inf)
@@ -226,6 +326,11 @@ class Model:
         #: probability that the shared symbol's word is a given one of its base
         self.open = (THETA + self.discount * tables) / (self.words + 1) / (THETA + self.customers)
 
+    def log_words(self, n: np.ndarray) -> np.ndarray:
+        """Base-10 logarithms of the probabilities of words of the shared symbol, by count."""
+        of, back = np.unique(n, return_inverse=True)
+        return np.array([math.log10(self.word_probability(int(k), self.mean_tables.get(_bin_of(int(k)), 1.0) if k else 0.0)) for k in of] + [0.0])[back]
+
     def word_probability(self, n: int, tables: float) -> float:
         return max(n - self.discount * tables, 0) / (THETA + self.customers) + self.open
 
@@ -234,6 +339,121 @@ def _bin_of(n: int) -> int:
     return n if n <= CROWD else CROWD + 1 + math.floor(8 * math.log2(n / CROWD))
 
 
+class Known:
+    """By hash: what travels of words to every task."""
+
+    def __init__(self, model: Model):
+        rest = len(model.symbol)
+        sent = {**model.sent, END: model.sent.get(END, 0)}
+        h = np.array([signed_hash(w) for w in sent], np.int64)
+        order = np.argsort(h)
+        n, symbol = np.array([*sent.values()], np.int64), np.array([model.symbol.get(w, rest) for w in sent], np.int64)
+        word = np.where(symbol == rest, model.log_words(n), 0.0)
+        self.h = h[order]
+        # the last entry stands for all other words
+        self.n, self.symbol, self.word = np.append(n[order], 0), np.append(symbol[order], rest), np.append(word[order], 0.0)
+        self.parts = np.maximum(1, -(-self.n // SALT))
+
+    def at(self, h: np.ndarray) -> np.ndarray:
+        i = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return np.where(self.h[i] == h, i, -1)
+
+
+def rare_words(vocab: DataFrame, model: Model) -> DataFrame:
+    """Hash and count of the words that do not travel."""
+    return vocab.filter((F.col("n") * SENT < model.tokens) & (F.col("word") != F.lit(END))).select(F.xxhash64("word").alias("h"), "n")
+
+
+def seat_pairs(docs: DataFrame, vocab: DataFrame, model: Model) -> tuple[DataFrame, DataFrame, Known]:
+    """All pairs of the training texts ``docs`` with their log-probability (``u, w, lp``), the share that each
+    context leaves to the base (``u, left``), and the words that travel."""
+    known = Known(model)
+    pairs = written(count_pairs(docs, known), "pair-counts")
+    total, ones, twos = pairs.agg(F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    d = discount(ones, twos)
+    blocks = max(1, -(-total // BLOCK))
+    stirling = log_stirling(d)
+    symbols, size = model.pairs.ravel(), len(model.pairs)
+
+    def run(rows: pa.Table) -> pa.Table:
+        order = np.lexsort((rows["w"].to_numpy(), rows["u"].to_numpy()))
+        u, w, c = (rows[x].to_numpy()[order] for x in ("u", "w", "n"))
+        rare = rows["wn"].to_numpy()[order]
+        new = np.append(True, u[1:] != u[:-1])
+        ctx, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        ku, kw = known.at(u), known.at(w)
+        base = 10 ** (symbols[known.symbol[ku] * size + known.symbol[kw]] + np.where(kw < 0, model.log_words(rare), known.word[kw]))
+        parts = known.parts[ku[first]]
+        t, all_t = seat(ctx, c, base, parts, d, stirling, int(rows["b"][0].as_py()))
+        n = np.where(parts > 1, known.n[ku[first]], np.bincount(ctx, weights=c))
+        a = np.maximum(c - d * t, 0) / (THETA + n[ctx])
+        tables = np.where(new, all_t[ctx], np.nan)
+        return pa.table({"u": u, "w": w, "a": a, "base": base, "tables": pa.array(tables, from_pandas=True), "n": n[ctx].astype(np.int64),
+                         "left": pa.array(np.where(parts > 1, np.nan, (THETA + d * all_t) / (THETA + n))[ctx], from_pandas=True)})
+
+    met = (pairs.withColumn("h", F.when(F.col("rare"), F.col("w")).otherwise(F.xxhash64("u", "w")))
+           .join(rare_words(vocab, model).withColumnRenamed("n", "wn"), "h", "left"))
+    rows = met.select(F.pmod(F.xxhash64("u", "salt"), F.lit(blocks)).alias("b"), "u", "w", "n",
+                      F.when(F.col("rare"), F.coalesce("wn", F.lit(0))).otherwise(0).cast("long").alias("wn"))
+    seated = written(rows.groupBy("b").applyInArrow(run, "u long, w long, a double, base double, tables double, n long, left double"), "pair-seats")
+    contexts = written(seated.filter("tables is not null").groupBy("u").agg(
+        ((THETA + d * F.sum("tables")) / (THETA + F.first("n"))).alias("left"), F.max(F.col("left").isNull()).alias("dealt")), "contexts")
+    dealt = contexts.filter("dealt").select("u", F.col("left").alias("shared"))  # at most SENT words are as frequent
+    whole = seated.join(F.broadcast(dealt), "u", "left")
+    lp = F.log10(F.col("a") + F.coalesce("left", "shared") * F.col("base"))
+    return whole.select("u", "w", lp.alias("lp")), contexts.select("u", "left", "dealt"), known
+
+
+def pair_scores(docs: DataFrame, vocab: DataFrame, model: Model, pairs: DataFrame, contexts: DataFrame, known: Known) -> DataFrame:
+    """``uid, score``: summed log-probabilities of each text's pairs (of equal rows together)."""
+    symbols, size = model.pairs.ravel(), len(model.pairs)
+    shares = contexts.filter("dealt").select("u", "left").collect()
+    hot = np.array(sorted((r[0], r[1]) for r in shares), dtype=[("u", np.int64), ("left", float)])
+
+    def listed(batches):
+        for b in batches:
+            texts = texts_of(b.column("text"))
+            flat, lengths = chain_of(texts)
+            doc, u, w, k = distinct(np.repeat(np.arange(len(texts)), lengths), flat[:-1], flat[1:])
+            uid = np.array([text_id(i, t) for i, t in zip(b.column("doc_id").to_pylist(), texts)], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (uid[doc], u, w, k.astype(np.int32))], names=["uid", "u", "w", "k"])
+
+    def based(batches):  # unseen pairs: the base without rare words' own part; the share of a dealt context
+        for b in batches:
+            u, w, k = (b.column(x).to_numpy() for x in ("u", "w", "k"))
+            ku, kw = known.at(u), known.at(w)
+            lp = symbols[known.symbol[ku] * size + known.symbol[kw]] + known.word[kw]
+            i = np.minimum(np.searchsorted(hot["u"], u), max(0, len(hot) - 1))
+            dealt = hot["u"][i] == u if len(hot) else np.zeros(len(u), bool)
+            if len(hot):
+                lp = lp + np.where(dealt, np.log10(hot["left"][i]), 0.0)
+            yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array(u), pa.array(w), pa.array(k), pa.array(lp), pa.array(dealt), pa.array(kw < 0)],
+                                             names=["uid", "u", "w", "k", "lp", "dealt", "rare"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(listed, "uid long, u long, w long, k int")
+    unseen = F.when(F.col("lp").isNull(), F.struct("u", "w", "k"))
+    per = written(rows.join(pairs, ["u", "w"], "left").groupBy("uid").agg(
+        F.sum(F.col("k") * F.coalesce("lp", F.lit(0.0))).alias("seen"), F.collect_list(unseen).alias("unseen")), "pair-scores")
+    open_pairs = per.select("uid", F.explode("unseen").alias("e")).select("uid", "e.*").mapInArrow(
+        based, "uid long, u long, w long, k int, lp double, dealt boolean, rare boolean")
+    own = F.xxhash64("uid", "u", "w")
+    met = (open_pairs.withColumn("cu", F.when(F.col("dealt"), own).otherwise(F.col("u"))).withColumn("h", F.when(F.col("rare"), F.col("w")).otherwise(own))
+           .join(contexts.filter("not dealt").select(F.col("u").alias("cu"), "left"), "cu", "left")
+           .join(rare_words(vocab, model), "h", "left"))
+    p = word_chance(model, F.coalesce("n", F.lit(0)))
+    one = F.col("lp") + F.coalesce(F.log10("left"), F.lit(0.0)) + F.when(F.col("rare"), F.log10(p)).otherwise(0.0)
+    return (met.select("uid", (F.col("k") * one).alias("s")).unionByName(per.select("uid", F.col("seen").alias("s")))
+            .groupBy("uid").agg(F.sum("s").alias("score")))
+
+
+def word_chance(model: Model, n: Column) -> Column:
+    """Probability of a word of the shared symbol with count ``n``."""
+    most = max([0, *model.mean_tables])
+    means = F.array(*(F.lit(float(model.mean_tables.get(i, 1.0 if i else 0.0))) for i in range(most + 1)))
+    tables = F.coalesce(F.get(means, _bin(n)), F.lit(1.0))
+    return F.greatest(n - model.discount * tables, F.lit(0.0)) / (THETA + model.customers) + model.open
+
+
 def fit(docs: DataFrame, vocab: DataFrame) -> Model:
     """Model of the training texts ``docs`` whose words are counted in ``vocab``."""
     spark = docs.sparkSession
@@ -267,67 +487,57 @@ def signed_hash(word: bytes) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def score(docs: DataFrame, vocab: DataFrame, model: Model) -> DataFrame:
+def text_id(doc, text: str) -> int:
+    return signed_hash(f"{doc}:".encode() + text.encode("utf-8", "surrogatepass"))
+
+
+def score(docs: DataFrame, vocab: DataFrame, model: Model, seated: tuple[DataFrame, DataFrame, Known]) -> DataFrame:
     """``doc_id, n_tokens, n_known, base_score, score`` per row of ``docs`` (``doc_id, text``).
 
     A task adds up what it knows of a text (words that travel with the model) and lists the other
-    words by hash; these meet their counts in one join, and the parts are added per text."""
-    rest, end = len(model.symbol), model.symbol[END]
+    words by hash; these meet their counts in one join, and the parts are added per text, as are its pairs."""
     known = {w: i for i, w in enumerate(model.sent)}
     counts = np.array([*model.sent.values(), 0], np.int64)
-    symbol = np.array([*(model.symbol.get(w, rest) for w in model.sent), rest], np.int64)
     base = model.base(counts)
-    word = np.array([0.0 if s != rest else math.log10(model.word_probability(int(n), model.mean_tables.get(_bin_of(int(n)), 1.0)))
-                     for n, s in zip(counts[:-1], symbol[:-1])] + [0.0])
-    pairs, size = model.pairs.ravel(), len(model.pairs)
     end_base, end_known = float(model.base(model.sent.get(END, 0))), int(model.sent.get(END, 0) > 0)
 
     def run(batches):
         get = known.get
         for b in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(6)]
             for doc, t in zip(b.column("doc_id").to_pylist(), texts_of(b.column("text"))):
                 w = words_of(t)
                 ids = np.fromiter(map(get, w, repeat(-1)), np.int64, len(w))
-                s = np.empty(len(w) + 2, np.int64)
-                s[0] = s[-1] = end
-                s[1:-1] = symbol[ids]
                 here = ids[ids >= 0]
                 other = Counter([w[i] for i in np.flatnonzero(ids < 0)])
-                uid = signed_hash(f"{doc}:".encode() + t.encode("utf-8", "surrogatepass"))
+                uid = text_id(doc, t)
                 for col, v in zip(cols, (uid, doc, len(w) + 1, len(here) + end_known, float(base[here].sum()) + end_base,
-                                         float(pairs[s[:-1] * size + s[1:]].sum() + word[here].sum()),
                                          [(uid, 0), *((signed_hash(x), n) for x, n in other.items())])):
                     col.append(v)
             lists = cols.pop()
             ends = pa.array(np.cumsum([0, *map(len, lists)]).astype(np.int32))
             flat = [x for r in lists for x in r]
             pair = [pa.ListArray.from_arrays(ends, pa.array([x[k] for x in flat], t)) for k, t in ((0, pa.int64()), (1, pa.int32()))]
-            types = (pa.int64(), b.column("doc_id").type, pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            types = (pa.int64(), b.column("doc_id").type, pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types)), *pair],
-                                             names=["uid", "doc_id", "n_tokens", "n_known", "base", "model", "h", "k"])
+                                             names=["uid", "doc_id", "n_tokens", "n_known", "base", "h", "k"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").mapInArrow(
-        run, f"uid long, doc_id {id_type}, n_tokens long, n_known long, base double, model double, h array<long>, k array<int>")
+        run, f"uid long, doc_id {id_type}, n_tokens long, n_known long, base double, h array<long>, k array<int>")
     rows = rows.withColumn("e", F.explode(F.arrays_zip("h", "k")))
     own = F.col("e.k") == 0  # the text's own row, dealt by its own hash
     keep = lambda c, zero: F.when(own, F.col(c)).otherwise(zero).alias(c)
     rows = rows.select("uid", F.when(own, F.col("doc_id")).alias("doc_id"), F.col("e.h").alias("h"), F.col("e.k").alias("k"),
-                       *(keep(c, F.lit(0)) for c in ("n_tokens", "n_known")), *(keep(c, F.lit(0.0)) for c in ("base", "model")))
-    others = vocab.filter((F.col("n") * SENT < model.tokens) & (F.col("word") != F.lit(END))).select(F.xxhash64("word").alias("h"), "n")
-    met = rows.join(others, "h", "left")
+                       *(keep(c, F.lit(0)) for c in ("n_tokens", "n_known")), keep("base", F.lit(0.0)))
+    met = rows.join(rare_words(vocab, model), "h", "left")
     n = F.coalesce("n", F.lit(0))
-    most = max([0, *model.mean_tables])
-    means = F.array(*(F.lit(float(model.mean_tables.get(i, 1.0))) for i in range(most + 1)))
-    tables = F.coalesce(F.get(means, _bin(n)), F.lit(1.0))
-    p = F.greatest(n - model.discount * tables, F.lit(0.0)) / (THETA + model.customers) + model.open
     b = F.log10((n + ADD) / F.lit(model.tokens + ADD * (model.types + 1)))
     added = met.groupBy("uid").agg(
         F.sum((F.col("k") == 0).cast("long")).alias("copies"), F.max("doc_id").alias("doc_id"),
         F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.when(F.col("k") > 0, F.col("k") * b).otherwise(0.0)).alias("base_score"),
-        F.sum(F.col("model") + F.when(F.col("k") > 0, F.col("k") * F.log10(p)).otherwise(0.0)).alias("score"))
+        F.sum(F.col("base") + F.when(F.col("k") > 0, F.col("k") * b).otherwise(0.0)).alias("base_score"))
+    added = added.join(pair_scores(docs, vocab, model, *seated), "uid")
     # equal rows share a hash: their sums are divided and the rows given back
     per = added.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     whole = lambda c: (F.col(c) / F.col("copies")).cast("long").alias(c)
@@ -339,7 +549,7 @@ def score_texts(docs: DataFrame, training: DataFrame) -> tuple[DataFrame, Model]
     """Scores of all ``docs`` under a model of the texts ``training``."""
     vocab = written(count_words(training), "word-counts")
     model = fit(training, vocab)
-    return score(docs, vocab, model), model
+    return score(docs, vocab, model, seat_pairs(training, vocab, model)), model
 
 
 def perplexity(scores: DataFrame) -> float | None:

@@ -70,6 +70,55 @@ def test_scores_and_base(docs_of, monkeypatch):
     assert pitman_yor.perplexity(scores) > 1
 
 
+def test_seats_of_pairs_follow_the_posterior():
+    d, theta, c, base = 0.6, pitman_yor.THETA, (3, 2, 1), (0.2, 0.05, 0.3)
+    st = pitman_yor.log_stirling(d, 6)
+    mean, norm = np.zeros(3), 0.0
+    for t in [(i, j, 1) for i in (1, 2, 3) for j in (1, 2)]:
+        p = math.prod(np.exp(st[n, k]) * b**k for n, k, b in zip(c, t, base)) * math.prod(theta + d * k for k in range(sum(t)))
+        mean, norm = mean + p * np.array(t), norm + p
+    times = 3000
+    got, all_t = pitman_yor.seat(np.repeat(np.arange(times), 3), np.array(c * times), np.array(base * times), np.ones(times, np.int64), d,
+                                 pitman_yor.log_stirling(d), 1)
+    assert got.reshape(times, 3).mean(axis=0) == pytest.approx(mean / norm, abs=0.01)
+    assert all_t.mean() == pytest.approx(sum(mean) / norm, abs=0.02)
+
+
+@pytest.mark.parametrize("salt", [1 << 14, 25])
+def test_pairs_of_rare_words_have_contexts(docs_of, monkeypatch, salt):
+    monkeypatch.setattr(pitman_yor, "SYMBOLS", 12)  # nearly all words share one symbol
+    monkeypatch.setattr(pitman_yor, "SENT", 200)
+    monkeypatch.setattr(pitman_yor, "SALT", salt)  # 25: frequent contexts are dealt in parts
+    monkeypatch.setattr(pitman_yor, "BLOCK", 100)
+    rows = [(i, prose(i, 30).replace("the", f"left{i % 20} right{i % 20}")) for i in range(80)]
+    training = docs_of(rows)
+    vocab = pitman_yor.written(pitman_yor.count_words(training), "word-counts")
+    model = pitman_yor.fit(training, vocab)
+    pairs, contexts, known = seated = pitman_yor.seat_pairs(training, vocab, model)
+    seen = {(r["u"], r["w"]): r["lp"] for r in pairs.collect()}
+    want = {x for _, t in rows for w in [[b"\n", *t.encode().lower().split(), b"\n"]] for x in zip(w, w[1:])}
+    h = pitman_yor.signed_hash
+    assert set(seen) == {(h(a), h(b)) for a, b in want}  # all pairs, whatever their words' counts
+    left = {r["u"]: r["left"] for r in contexts.collect()}
+    assert (max(known.parts) > 1) == (salt == 25) == any(r["dealt"] for r in contexts.collect())
+    words = {bytes(r["word"]): r["n"] for r in vocab.collect()}
+    rest = len(model.symbol)
+
+    def base(u, w):
+        own = 1 if w in model.symbol else model.word_probability(words.get(w, 0), model.mean_tables.get(pitman_yor._bin_of(words[w]), 1.0) if w in words else 0)
+        return 10 ** model.pairs[model.symbol.get(u, rest), model.symbol.get(w, rest)] * own
+
+    for u in words:  # all words and the unknown one add up to 1 in every context
+        p = sum(10 ** seen[h(u), h(w)] if (h(u), h(w)) in seen else left[h(u)] * base(u, w) for w in [*words, b"unknown"])
+        assert p == pytest.approx(1, abs=0.01)
+    texts = [(1, "left3 right3"), (2, "left3 right4"), (3, "new left3 new"), (4, ""), (4, "")]
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score(docs_of(texts), vocab, model, seated).collect()}
+    for i, t in texts:
+        w = [b"\n", *t.encode().split(), b"\n"]
+        assert got[i] == pytest.approx(sum(seen[h(a), h(b)] if (h(a), h(b)) in seen else math.log10(left.get(h(a), 1) * base(a, b)) for a, b in zip(w, w[1:])))
+    assert got[1] > got[2] + 0.5
+
+
 def test_without_training_rows(docs_of):
     scores, _ = pitman_yor.score_texts(docs_of([(1, "a b"), (2, None)]), docs_of([]))
     assert sorted((r["doc_id"], r["n_tokens"], r["n_known"]) for r in scores.collect()) == [(1, 3, 0), (2, 1, 0)]
