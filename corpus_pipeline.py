@@ -3,7 +3,7 @@ decontamination, tokenization.
 
 Every stage is ``(spark, docs, sf_dir) -> DataFrame`` over all documents that its predecessor
 kept. All but the last return the columns of ``documents``; when a stage changes a text, its
-``n_chars`` follows. Null ids and empty texts pass through; an empty table stays empty.
+``n_chars`` follows. Null ids (but for near copies) and empty texts pass through; an empty table stays empty.
 """
 from __future__ import annotations
 
@@ -30,10 +30,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked documents the one with the smallest id; of equal rows one."""
+    """Of every group of linked documents the one with the smallest id; of equal rows one. Rows without an
+    id are linked under a hash of their text that comes after all usual ids."""
     small_batches(spark)
-    gone = ngram_join.join(docs.select("doc_id", "text")).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    late = 1 << 62
+    keyed = docs.select(*COLUMNS, F.coalesce("doc_id", F.xxhash64("text").bitwiseAND(late - 1).bitwiseOR(late)).alias("_key"))
+    gone = ngram_join.join(keyed.select(F.col("_key").alias("doc_id"), "text")).filter("doc_id <> component_id").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(gone, "_key", "left_anti").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ one shingle, without words the set is empty and links with nothing. Two document
 
 No pair is sampled or capped: a very large group only makes more products.
 
-Null text counts as empty. Rows with a null id are left out; repeated rows give repeated results,
+Null text counts as empty. Rows with a null id are left out (``join_all`` returns them without component and links); repeated rows give repeated results,
 and rows of one id are one document: if their texts differ, all their links are its links.
 """
 from __future__ import annotations
@@ -260,3 +260,17 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int
     return (every.join(result, ["s1", "s2"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
                     F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+
+
+def join_all(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``join`` with a row for every row of ``docs``: without an id ``component_id`` and ``n_links`` are null."""
+    def sizes(batches):
+        for b in batches:
+            n = [len(shingles(t, width)) for t in texts_of(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n_shingles"])
+
+    linked = join(docs, width, percent)
+    types = {f.name: f.dataType for f in linked.schema}
+    rows = docs.select("doc_id", "text").filter("doc_id is null").mapInArrow(sizes, f"doc_id {types['doc_id'].simpleString()}, n_shingles long")
+    nothing = [F.lit(None).cast(types[c]).alias(c) for c in ("component_id", "n_links")]
+    return linked.unionByName(rows.select("doc_id", F.col("n_shingles").cast(types["n_shingles"]).alias("n_shingles"), *nothing))

@@ -123,4 +123,4 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_ngram_jaccard_join")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return ngram_join.join(table(spark, sf_dir, "documents"))
+    return ngram_join.join_all(table(spark, sf_dir, "documents"))

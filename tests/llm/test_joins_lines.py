@@ -80,6 +80,25 @@ def test_join_odd_rows(docs_of):
     assert ngram_join.join(docs_of([])).collect() == []
 
 
+def test_every_row_is_returned(docs_of):
+    rows = odd_rows() + [(None, None), (None, prose(1, 60))]
+    got = [tuple(r) for r in ngram_join.join_all(docs_of(rows)).collect()]
+    key = lambda r: [(x is not None, x or 0) for x in r]
+    assert len(got) == len(rows)
+    assert sorted((r for r in got if r[0] is None), key=key) == [(None, 0, None, None), (None, 1, None, None), (None, 57, None, None)]
+    assert sorted(r for r in got if r[0] is not None) == sorted(tuple(r) for r in ngram_join.join(docs_of(rows)).collect())
+
+
+def test_near_copies_without_an_id(spark):
+    import corpus_pipeline
+    near, other = prose(1, 120), prose(2, 120)
+    rows = [(None, near), (None, near + " end"), (None, near), (7, other), (None, other + " end"), (None, prose(3, 50)), (None, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", None, len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs.repartition(3), "").collect()]
+    assert len(got) == 5 and {(7, other), (None, prose(3, 50)), (None, None), (8, "")} <= set(got)
+    assert sum(i is None and t is not None and t.startswith(near) for i, t in got) == 1
+
+
 def test_product_counts_overlaps():
     r = np.random.default_rng(1)
     left = [np.unique(r.integers(0, 40, 20).astype(np.uint64)) for _ in range(12)]
