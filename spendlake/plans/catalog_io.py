@@ -489,7 +489,7 @@ def _messy_files(spark, sf) -> str:
               "4-NOT SPECIFIED": [day.alias("Date"), name.alias("Description")],
               "5-LOW": [F.date_format("o_orderdate", "yyyyMMdd").alias("Date"), *roles[1:]]}
     for n, (priority, cells) in enumerate(shapes.items()):
-        o.where(F.col("o_orderpriority") == priority).select(*cells).coalesce(1) \
+        o.where(F.col("o_orderpriority") == priority).select(*cells) \
             .write.option("header", True).csv(f"{root}/shape_{n}")
     return root
 
@@ -515,9 +515,11 @@ def ingest_csv_messy(spark: SparkSession, sf: str) -> DataFrame:
     "'order ' || CAST(o_orderkey AS VARCHAR) AS description, o_totalprice AS amount FROM orders WHERE o_orderpriority = '5-LOW' "
     "UNION ALL SELECT 'shape_3', 'no amount column', NULL, NULL, NULL"))
 def ingest_rejects(spark: SparkSession, sf: str) -> DataFrame:
-    """What ``ingest_csv_messy`` leaves out: rows with their date text, and files."""
+    """What ``ingest_csv_messy`` leaves out: rows with their date text, and the folders of whole files."""
     r = I.statement_rejects(spark, [f"{_messy_files(spark, sf)}/*"])
-    return r.select(F.regexp_extract("file_path", "shape_[0-9]", 0).alias("folder"), "reason", "date_text", "description", "amount")
+    cells = [F.regexp_extract("file_path", "shape_[0-9]", 0).alias("folder"), "reason", "date_text", "description", "amount"]
+    whole = F.col("row_seq").isNull()  # a folder has as many files as its write had tasks
+    return r.where(~whole).select(*cells).unionByName(r.where(whole).select(*cells).distinct())
 
 
 @query("append_sink", (

@@ -37,3 +37,15 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["category", "total", "n_txn", "average", "percent"]
     assert df.count() > 0
+
+
+def test_messy_statements_over_several_files(spark, con, tmp_path):
+    from spendlake.plans import catalog_io
+    spark.read.parquet(f"{SF}/orders.parquet").repartition(4).write.parquet(f"{tmp_path}/orders.parquet")
+    files = spark.read.text(f"{catalog_io._messy_files(spark, str(tmp_path))}/*").selectExpr("_metadata.file_path f").distinct()
+    assert files.where("f like '%/shape_3/%'").count() > 1  # files follow the tasks of the write
+    for name in ("ingest_csv_messy", "ingest_rejects"):
+        df = E.queries()[name](spark, str(tmp_path))
+        a, ac = canon(df.columns, [tuple(r) for r in df.collect()])
+        cur = con.execute(E.oracle_sql()[name])
+        assert (a, ac) == canon([d[0] for d in cur.description], cur.fetchall())
