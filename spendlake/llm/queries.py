@@ -5,7 +5,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.llm import bpe, decontaminate, fingerprints, html_blocks, line_dedup, ngram_join, pii, pitman_yor, quality, token_counts
+from spendlake.llm import (bpe, centroids, decontaminate, fingerprints, html_blocks, line_dedup, ngram_join, pii, pitman_yor, quality,
+                           token_counts, zone_search)
 from spendlake.llm.common import apply_steps, held_out, small_batches, table, text_or_empty
 
 QUERIES: dict = {}
@@ -124,3 +125,61 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return ngram_join.join_all(table(spark, sf_dir, "documents"))
+
+
+@query("op11_hard_negatives", """
+WITH kept AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS alike,
+         CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM kept a JOIN kept b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.alike
+  AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 5""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return zone_search.mine(table(spark, sf_dir, "embeddings"), label)
+
+
+CLUSTERS, CLUSTER_ROUNDS, CLUSTER_DIMS, CLUSTER_SCALE = 16, 3, 64, 64
+
+
+def clustering_sql(k: int = CLUSTERS, rounds: int = CLUSTER_ROUNDS, dims: int = CLUSTER_DIMS, scale: int = CLUSTER_SCALE) -> str:
+    """Lloyd's rounds in SQL, one pair of tables a round."""
+    sql = [f"""WITH kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = {dims}
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS cluster, v AS c FROM kept
+  QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id), v) <= {k})"""]
+    for t in range(rounds + 1):
+        sql.append(f"""d{t} AS MATERIALIZED (
+  SELECT vec_id, v, cluster, CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance
+  FROM kept CROSS JOIN c{t}),
+a{t} AS MATERIALIZED (
+  SELECT vec_id, v, min_by(cluster, distance * {k} + cluster) AS cluster, min(distance) AS distance FROM d{t} GROUP BY vec_id, v)""")
+        if t < rounds:
+            sql.append(f"""s{t} AS MATERIALIZED (
+  SELECT cluster, list(CAST(floor(total / n) AS BIGINT) ORDER BY i) AS m FROM (
+    SELECT cluster, i, CAST(sum(x) AS BIGINT) AS total, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, unnest(range({dims})) AS i FROM a{t}) GROUP BY cluster, i)
+  GROUP BY cluster),
+c{t + 1} AS MATERIALIZED (SELECT c{t}.cluster, coalesce(m, c) AS c FROM c{t} LEFT JOIN s{t} ON s{t}.cluster = c{t}.cluster)""")
+    return ",\n".join(sql) + f"""
+SELECT vec_id, CAST(a.cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.cluster = a.cluster"""
+
+
+@query("op13_centroid_clustering", clustering_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), CLUSTERS, CLUSTER_ROUNDS, CLUSTER_DIMS, CLUSTER_SCALE)
