@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.llm import (bpe, centroids, decontaminate, fingerprints, html_blocks, line_dedup, ngram_join, pii, pitman_yor, quality,
+from spendlake.llm import (bpe, centroids, decontaminate, fingerprints, html_blocks, line_dedup, minmax_dedup, ngram_join, pii, pitman_yor, quality,
                            token_counts, zone_search)
 from spendlake.llm.common import apply_steps, held_out, small_batches, table, text_or_empty
 
@@ -183,3 +183,23 @@ FROM a{rounds} a JOIN c{rounds} c ON c.cluster = a.cluster"""
 @query("op13_centroid_clustering", clustering_sql())
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"), CLUSTERS, CLUSTER_ROUNDS, CLUSTER_DIMS, CLUSTER_SCALE)
+
+
+@query("op12_minhash_near_dedup", r"""
+WITH RECURSIVE words AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words),
+shingles AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id, doc_id <= coalesce(b, doc_id) AS kept
+FROM sets LEFT JOIN least ON a = doc_id""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return minmax_dedup.dedup(table(spark, sf_dir, "documents"))

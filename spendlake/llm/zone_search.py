@@ -119,12 +119,12 @@ def ordered(rows: DataFrame, scale: int) -> tuple[DataFrame, int]:
     return written(rows.mapInArrow(run, ROWS), "hilbert-rows"), dims
 
 
-def grouped(rows: DataFrame, dims: int) -> DataFrame:
-    """Groups of the sorted rows, each with the zone maps of its blocks."""
+def grouped(rows: DataFrame, dims: int, block: int, group: int) -> DataFrame:
+    """Groups of the sorted rows, each with the zone maps of its blocks; ``g`` plus a row's place is unique."""
     def pack(g, ids, labels, vecs):
         m = np.frombuffer(b"".join(vecs), np.int32).reshape(len(ids), dims)
         ids, labels = np.array(ids, np.int64), np.array(labels, np.int64)
-        cut = np.arange(0, len(ids), BLOCK)
+        cut = np.arange(0, len(ids), block)
         zones = [f.reduceat(x, cut, axis=0) for x in (m, labels) for f in (np.minimum, np.maximum)]
         cells = [ids, labels, m, *(z.astype(np.int32) for z in zones[:2]), *zones[2:]]
         return pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cells)],
@@ -135,9 +135,9 @@ def grouped(rows: DataFrame, dims: int) -> DataFrame:
         for b in batches:
             for kept, name in zip(held, ("vec_id", "label", "vec")):
                 kept.extend(b.column(name).to_pylist())
-            while len(held[0]) >= GROUP:
-                yield pack(g, *(x[:GROUP] for x in held))
-                g, held = g + 1, tuple(x[GROUP:] for x in held)
+            while len(held[0]) >= group:
+                yield pack(g, *(x[:group] for x in held))
+                g, held = g + group, tuple(x[group:] for x in held)
         if held[0]:
             yield pack(g, *held)
 
@@ -153,7 +153,7 @@ def anchors_of(groups: DataFrame, dims: int, every: int) -> DataFrame:
                 ids, labels = np.frombuffer(ids, np.int64), np.frombuffer(labels, np.int64)
                 at = np.flatnonzero(ids % every == 0)
                 m = np.frombuffer(vecs, np.int32).reshape(len(ids), dims)[at]
-                yield pa.RecordBatch.from_arrays([pa.array(g * GROUP + at, pa.int64()), pa.array(ids[at]), pa.array(labels[at]), pa.array(np.full(len(at), g)),
+                yield pa.RecordBatch.from_arrays([pa.array(g + at, pa.int64()), pa.array(ids[at]), pa.array(labels[at]), pa.array(np.full(len(at), g)),
                                                   pa.array([r.tobytes() for r in m], pa.binary())], names=["a", "anchor_id", "anchor_label", "home", "vec"])
 
     return written(groups.select("g", "ids", "labels", "vecs").mapInArrow(run, ANCHOR), "anchors")
@@ -216,7 +216,7 @@ def _schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def best(part: Asked, group: dict, dims: int, k: int, same: bool) -> list[np.ndarray]:
+def best(part: Asked, group: dict, dims: int, k: int, same: bool, size: int) -> list[np.ndarray]:
     """Columns anchor index, slot, id, score: the first ``k`` rows of the group for every window."""
     ids, labels = (np.frombuffer(group[c], np.int64) for c in ("ids", "labels"))
     m = np.frombuffer(group["vecs"], np.int32).reshape(len(ids), dims)
@@ -226,7 +226,7 @@ def best(part: Asked, group: dict, dims: int, k: int, same: bool) -> list[np.nda
     np.minimum.at(lows, part.owner, part.low)
     np.maximum.at(highs, part.owner, part.high)
     for block in np.flatnonzero(read.any(axis=0)):
-        who, cut = np.flatnonzero(read[:, block]), slice(block * BLOCK, (block + 1) * BLOCK)
+        who, cut = np.flatnonzero(read[:, block]), slice(block * size, (block + 1) * size)
         score = (part.m[who] @ m[cut].T.astype(float)).astype(np.int64)
         alike = labels[cut] == part.labels[who][:, None]
         fits = (score >= lows[who][:, None]) & (score <= highs[who][:, None]) & ((alike & (ids[cut] != part.ids[who][:, None])) if same else ~alike)
@@ -246,7 +246,7 @@ def best(part: Asked, group: dict, dims: int, k: int, same: bool) -> list[np.nda
     return [np.concatenate(c) for c in zip(*out)]
 
 
-def read_groups(groups: DataFrame, asked: DataFrame, dims: int, k: int, same: bool) -> DataFrame:
+def read_groups(groups: DataFrame, asked: DataFrame, dims: int, k: int, same: bool, block: int) -> DataFrame:
     """``a, anchor_id, slot, vec_id, score``: for every window the first ``k`` rows of every group that its anchor reads."""
     fields = _schema(f"g long, {ANCHOR}, {SLOTS}")
     cols = [c for c in fields.names if c != "g"]
@@ -255,7 +255,7 @@ def read_groups(groups: DataFrame, asked: DataFrame, dims: int, k: int, same: bo
 
     def answer(group, rows):
         part = Asked(rows, dims)
-        o, slot, ids, score = best(part, group, dims, k, same)
+        o, slot, ids, score = best(part, group, dims, k, same, block)
         keys = (np.array([r[c] for r in rows], np.int64)[o] for c in ("a", "anchor_id"))
         return pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(slot, pa.int32()), pa.array(ids), pa.array(score)],
                                           names=["a", "anchor_id", "slot", "vec_id", "score"])
@@ -286,19 +286,19 @@ def _first(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def search(groups: DataFrame, anchors: DataFrame, dims: int, k: int, same: bool) -> DataFrame:
+def search(groups: DataFrame, anchors: DataFrame, dims: int, k: int, same: bool, block: int = BLOCK) -> DataFrame:
     """``a, anchor_id, slot, vec_id, score, rank``: the first ``k`` rows of each window of ``anchors`` (with ``slots``)."""
-    home = written(read_groups(groups, anchors.withColumn("g", F.col("home")), dims, k, same), "home-groups")
+    home = written(read_groups(groups, anchors.withColumn("g", F.col("home")), dims, k, same, block), "home-groups")
     worst = home.groupBy("a", "slot").agg(F.min("score").alias("worst"), F.count("*").alias("n")).filter(F.col("n") == k)
     seeds = worst.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("slot", "worst"))).alias("seeds"))
     raised = F.transform("slots", lambda s: F.struct(s["slot"].alias("slot"), F.coalesce(F.try_element_at("seeds", s["slot"]), s["low"]).alias("low"), s["high"].alias("high")))
     anchors = written(anchors.join(seeds, "a", "left").withColumn("slots", raised).drop("seeds"), "raised-anchors")
-    rest = read_groups(groups, to_read(groups, anchors, dims, same), dims, k, same)
+    rest = read_groups(groups, to_read(groups, anchors, dims, same), dims, k, same, block)
     return written(_first(home.unionByName(rest), k), "found")
 
 
 def mine(rows: DataFrame, label: Column | str = "label", every: int = 100, k: int = 5, floor_percent: int = 80, scale: int = 256,
-         id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+         id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """Per anchor (id divisible by ``every``), its first ``k`` positives and the first ``k`` negatives of each:
     ``anchor_id, positive_id, rank, negative_id, positive_score, negative_score``."""
     spark = rows.sparkSession
@@ -307,16 +307,16 @@ def mine(rows: DataFrame, label: Column | str = "label", every: int = 100, k: in
     rows = (rows.select(F.col(id_col).cast("long").alias("vec_id"), label.cast("long").alias("label"), F.col(vec_col).alias("v"))
             .filter("vec_id is not null and label is not null"))
     packed, dims = ordered(rows, scale)
-    groups = grouped(packed, dims)
+    groups = grouped(packed, dims, block, group)
     small_batches(spark, 16)  # from here a row can be a group of some megabytes
     anchors = anchors_of(groups, dims, every)
 
     open_ = F.array(F.struct(F.lit(0).alias("slot"), F.lit(NO_LOW).cast("long").alias("low"), F.lit(NO_HIGH).cast("long").alias("high")))
-    positives = search(groups, anchors.withColumn("slots", open_), dims, k, same=True)
+    positives = search(groups, anchors.withColumn("slots", open_), dims, k, True, block)
     windows = (positives.withColumn("low", -F.expr(f"(score * -{floor_percent} - pmod(score * -{floor_percent}, 100)) div 100"))
                .filter(F.col("low") <= F.col("score")).groupBy("a")
                .agg(F.collect_list(F.struct(F.col("rank").alias("slot"), "low", F.col("score").alias("high"))).alias("slots")))
-    negatives = search(groups, anchors.join(windows, "a"), dims, k, same=False)
+    negatives = search(groups, anchors.join(windows, "a"), dims, k, False, block)
     return (positives.select("a", F.col("rank").alias("slot"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
             .join(negatives.select("a", "slot", "anchor_id", "rank", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score")), ["a", "slot"])
             .select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score"))
