@@ -190,11 +190,19 @@ def groups_of(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Da
     first = components(edges)
     labels = written(needed.join(first, F.col("rep") == F.col("node"), "left").select("c", F.coalesce("label", "rep").alias("label")), "labels")
     more = confirmed(leftovers(buckets, sizes, labels), content, percent)
-    tree = components(edges.unionByName(more))
+    # the links found last connect labels of the first round: few are left of them
+    for end in ("a", "b"):
+        more = more.join(first, F.col(end) == F.col("node"), "left").withColumn(end, F.coalesce("label", end)).select("a", "b")
+    second = components(more).select(F.col("node").alias("component_id"), F.col("label").alias("_last"))
 
-    named = classes.select("s1", "s2", "rep").join(tree, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("label", "rep").alias("component_id"))
+    def placed(rows, node):
+        """``rows`` with the ``component_id`` of their column ``node``."""
+        found = rows.join(first, F.col(node) == F.col("node"), "left").withColumn("component_id", F.coalesce("label", node)).drop("node", "label")
+        return found.join(second, "component_id", "left").withColumn("component_id", F.coalesce("_last", "component_id")).drop("_last")
+
+    named = placed(classes.select("s1", "s2", "rep"), "rep").drop("rep")
     out = every.select("doc_id", "n", "s1", "s2")
-    alone = out.filter("n = 0").join(tree, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
+    alone = placed(out.filter("n = 0"), "doc_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.filter("n > 0").join(named, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
 
 
