@@ -11,8 +11,8 @@ Score of two strings a, b (0..100), the published token-set ratio:
 The LCS is the bit-parallel algorithm (Allison-Dix / Crochemore et al. 2001 / Hyyro 2004)
 written as an ``aggregate`` over the characters of one string with a 64-bit state, so it
 runs inside the JVM. Character masks of the pattern are computed once per keyword
-(``pattern_masks``), the small side of every join. Patterns longer than 62 characters go
-through a native dynamic-programming ``aggregate`` (no Python in the plan).
+(``pattern_masks``), the small side of every join. Longer patterns take several words per
+state (``lcs_words``); there is no Python in the plan.
 """
 from __future__ import annotations
 
@@ -97,20 +97,68 @@ def lcs_bits(text, masks, m, text_chars=None) -> Column:
     return _col(m) - F.bit_count(v)
 
 
-def lcs_dp(x, y) -> Column:
-    """LCS length by dynamic programming, row by row, as nested ``aggregate`` calls (any
-    length, O(|x|*|y|)); used only for patterns too long for one 64-bit word."""
+def lcs_words(x, y) -> Column:
+    """LCS length for patterns of any length: the bit-parallel step over words of ``MAX_BITS``
+    bits, lowest first, the carry of the addition handed from word to word. Per character of
+    ``x`` one pass over the words of ``y``."""
     x, y = _col(x), _col(y)
-    m = F.length(y)
-
-    def next_row(prev, ch):
-        def cell(acc, j):
-            v = F.when(F.substring(y, j, 1) == ch, F.element_at(prev, j) + 1).otherwise(
-                F.greatest(F.element_at(prev, j + 1), F.element_at(acc, j)))
-            return F.concat(acc, F.array(v))
-        return F.aggregate(F.sequence(F.lit(1), m), F.array(F.lit(0)), cell)
-    start = F.array_repeat(F.lit(0), m + 1)
-    return F.element_at(F.aggregate(chars(x), start, next_row), m + 1)
+    n_words = F.ceil(F.length(y) / MAX_BITS).cast("int")
+    words = F.sequence(F.lit(0), F.greatest(n_words - 1, F.lit(0)))
+    full = F.lit((1 << MAX_BITS) - 1)
+    zero = F.lit(0).cast("long")
+    # per distinct character of y, its positions as one mask per word
+    masks = F.map_from_arrays(F.array_distinct(chars(y)), F.transform(F.array_distinct(chars(y)), lambda ch: F.transform(
+        words, lambda w: F.aggregate(F.sequence(F.lit(0), F.lit(MAX_BITS - 1)), zero, lambda acc, j: acc.bitwiseOR(
+            F.when(F.substring(y, w * MAX_BITS + j + 1, 1) == ch, _bit(j)).otherwise(zero))))))
+
+    def step(state, hit):
+        def word(acc, w):
+            v = F.element_at(state["v"], w + 1)
+            u = v.bitwiseAND(F.element_at(hit, w + 1))
+            total = v + u + acc["carry"]  # v + u < 2^63 and the carry is a bit: no overflow
+            return F.struct(F.concat(acc["v"], F.array(total.bitwiseOR(v - u).bitwiseAND(full))).alias("v"),
+                            F.call_function("shiftright", total, F.lit(MAX_BITS)).alias("carry"))
+        moved = F.aggregate(words, F.struct(F.array().cast("array<bigint>").alias("v"), zero.alias("carry")), word)
+        return F.struct(moved["v"].alias("v"))
+
+    none = F.transform(words, lambda w: zero)
+    hits = F.transform(chars(x), lambda ch: F.coalesce(F.try_element_at(masks, ch), none))
+    end = F.aggregate(hits, F.struct(F.transform(words, lambda w: full).alias("v")), step)
+    # bits of the last word beyond the pattern start as ones and stay so
+    left = F.aggregate(end["v"], F.lit(0), lambda acc, v: acc + F.bit_count(v))
+    return F.when((F.length(x) == 0) | (F.length(y) == 0), F.lit(0)).otherwise(n_words * MAX_BITS - left)
+
+
+def char_bits(c) -> Column:
+    """The characters of a text as a multiset: struct(lo, hi, rest). A bit stands for the first, second
+    or third occurrence of a character (a-z three, the space two, digits and A-Z one); ``rest`` counts
+    the occurrences without a bit. The runs of the sorted characters lose one each between levels."""
+    s = _col(c)
+    level = F.array_join(F.array_sort(chars(s)), "")
+    levels = []
+    for _ in range(3):
+        levels.append(F.array_distinct(chars(level)))
+        level = F.regexp_replace(level, r"(?s)(.)(\1*)", "$2")
+
+    def word(*parts):
+        """Bits of (level, first code, last code, first bit) ranges."""
+        total = F.lit(0).cast("long")
+        for k, first, last, at in parts:
+            total = total.bitwiseOR(F.aggregate(levels[k], F.lit(0).cast("long"), lambda acc, ch: acc.bitwiseOR(
+                F.when(F.ascii(ch).between(first, last), _bit(F.ascii(ch) - (first - at))).otherwise(F.lit(0).cast("long")))))
+        return total
+    a, z = ord("a"), ord("z")
+    lo = word((0, a, z, 0), (1, a, z, 26), (0, ord("0"), ord("9"), 52), (0, 32, 32, 62))
+    hi = word((2, a, z, 0), (0, ord("A"), ord("Z"), 26), (1, 32, 32, 52))
+    return F.struct(lo.alias("lo"), hi.alias("hi"), (F.length(s) - F.bit_count(lo) - F.bit_count(hi)).alias("rest"))
+
+
+def common_bound(a_bits, b_bits) -> Column:
+    """At least the size of the common multiset of characters, hence of any common subsequence,
+    from two ``char_bits``: three bit operations in generated code."""
+    a, b = _col(a_bits), _col(b_bits)
+    return (F.bit_count(a["lo"].bitwiseAND(b["lo"])) + F.bit_count(a["hi"].bitwiseAND(b["hi"]))
+            + F.least(a["rest"], b["rest"]))
 
 
 def lcs(x, y, y_masks=None) -> Column:
@@ -120,7 +168,7 @@ def lcs(x, y, y_masks=None) -> Column:
     masks = y_masks if y_masks is not None else pattern_masks(y)
     return (F.when(ly <= MAX_BITS, lcs_bits(x, masks, ly))
             .when(lx <= MAX_BITS, lcs_bits(y, pattern_masks(x), lx))
-            .otherwise(lcs_dp(x, y)))
+            .otherwise(lcs_words(x, y)))
 
 
 def token_set_ratio_parts(a_tokens, b_tokens, b_joined=None, b_masks=None) -> Column:

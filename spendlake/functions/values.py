@@ -8,13 +8,15 @@ from pyspark.sql import types as T
 from spendlake.functions.text import merchant_name
 from spendlake.schema import require_columns
 
-# What counts as a number (pandas.to_numeric), and the date shapes the
-# statement readers meet: year first, slashes, day and month name in either order.
+# What counts as a number (pandas.to_numeric), the date shapes the
+# statement readers meet: year first, slashes, day and month name in either order, and
+# what str.strip() takes off.
 NUMERIC_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 TIME_OF_DAY = r"[T ] *(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d+)?)?(?: *[AaPp][Mm])?(?: *(?:Z|[+-]\d{2}:?\d{2}))?$"
 MONTH = ("(?=(?:jan|january|feb|february|mar|march|apr|april|may|jun|june|jul|july|aug|august|sep|sept|september|"
          "oct|october|nov|november|dec|december)\\b)([a-z]{3})[a-z]*")
 YY_PIVOT = 69                                          # 00-68 -> 20xx, 69-99 -> 19xx
+PYTHON_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 HASH_ALGORITHMS = ("sha1", "md5", "sha256")
 
 
@@ -63,15 +65,34 @@ def money_text(amount) -> Column:
 
 
 def exact_money_text(amount) -> Column:
-    """Python-exact cents text. Only rows with more than two decimals take the Arrow
-    pandas UDF; the rest stay in generated code."""
-    a = _col(amount).cast("double")
-    return F.when(a == F.round(a, 2), money_text(a)).otherwise(_py_money(a))
-
-
-@F.pandas_udf(T.StringType())
-def _py_money(s):  # pragma: no cover - executed on executors
-    return s.map(lambda x: None if x != x else f"{round(float(x), 2):.2f}")
+    """Cents text of the true value of a double, ties to the even cent, as
+    ``f"{round(x, 2):.2f}"`` gives it, in generated code. Null stays null.
+
+    Below 2^53 the fraction ``f`` of ``|x|`` is exact, and so is the error of the rounded product
+    ``p = 100 * f``: with ``f`` cut after 26 bits both parts times 100 are exact. What is left of ``p``
+    after the whole cents and that error decide together. Larger doubles are whole numbers: a long below 2^63,
+    two decimals of 63 and 53 bits below 2^116, ``format_string`` beyond."""
+    x = _col(amount).cast("double")
+    size = F.abs(x)
+    whole = F.floor(size)
+    f = size - whole.cast("double")
+    high = F.floor(f * float(1 << 26)).cast("double") / float(1 << 26)
+    p = f * 100.0
+    error = (high * 100.0 - p) + (f - high) * 100.0  # 100 * f - p
+    down = F.floor(p)
+    past = (p - down.cast("double") - 0.5) + error   # its sign is exact
+    up = (past > 0) | ((past == 0) & (down % 2 == 1))
+    cents = whole * 100 + down + F.when(up, 1).otherwise(0)
+    digits = F.concat(F.call_function("div", cents, F.lit(100)).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    top = F.floor(size / float(1 << 63))
+    low = (size - top.cast("double") * float(1 << 63)).cast("long")
+    long_digits = (top.cast("decimal(16,0)") * F.lit(str(1 << 63)).cast("decimal(19,0)") + low.cast("decimal(19,0)")).cast("string")
+    minus = F.when((x < 0) | ((x == 0) & (x.cast("string") == "-0.0")), F.lit("-")).otherwise(F.lit(""))
+    return (F.when(F.isnan(x), F.lit("nan")).when(size == float("inf"), F.concat(minus, F.lit("inf")))
+            .when(size < float(1 << 53), F.concat(minus, digits))
+            .when(size < float(1 << 63), F.concat(minus, size.cast("long").cast("string"), F.lit(".00")))
+            .when(size < float(1 << 116), F.concat(minus, long_digits, F.lit(".00")))
+            .otherwise(F.format_string("%.2f", x)))
 
 
 def _date_part(date, dtype=None) -> Column:
@@ -88,7 +109,7 @@ def id_key(date, description, amount, account=None, exact_rounding: bool = False
     desc = F.coalesce(_col(description).cast("string"), F.lit("None"))
     money = exact_money_text(amount) if exact_rounding else money_text(amount)
     acct = (F.lit("") if account is None
-            else F.coalesce(F.trim(_col(account).cast("string")), F.lit("None")))
+            else F.coalesce(F.btrim(_col(account).cast("string"), F.lit(PYTHON_SPACES)), F.lit("None")))
     return F.concat_ws("-", _date_part(date, date_type), merchant_name(desc), money, acct)
 
 

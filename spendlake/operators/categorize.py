@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlake.functions.similarity import (
-    MAX_BITS, chars, pattern_code_masks, pattern_masks, score_pairs, token_set,
+    MAX_BITS, char_bits, chars, common_bound, pattern_code_masks, pattern_masks, score_pairs, token_set,
 )
 from spendlake.functions.text import description_key, merchant_name
 from spendlake.operators.rules import MAX_INLINE_KEYWORDS, keyword_table, rules_frame
@@ -50,6 +50,7 @@ def prepared_keywords(rules: DataFrame, case_insensitive: bool = False) -> DataF
     return (kw.withColumn("k_tokens", token_set(text))
               .withColumn("k_join", F.array_join("k_tokens", " "))
               .withColumn("k_len", F.length("k_join"))
+              .withColumn("k_bits", char_bits("k_join"))
               .withColumn("k_masks", F.when(F.col("k_len") <= MAX_BITS, pattern_masks("k_join")))
               .withColumn("k_codes", F.when(F.col("k_len") <= MAX_BITS, pattern_code_masks("k_join"))))
 
@@ -68,23 +69,10 @@ def fuzzy_best(merchants: DataFrame, rules: DataFrame, threshold: int = FUZZY_TH
          .withColumn("m_join", F.array_join("m_tokens", " ")))
     # characters of the token string, split once per merchant (the LCS text whenever the
     # merchant and keyword share no token)
-    m = m.select("*", F.length("m_join").alias("m_len"), chars("m_join").alias("m_chars")).drop("m_join")
+    m = m.select("*", F.length("m_join").alias("m_len"), chars("m_join").alias("m_chars"),
+                 char_bits("m_join").alias("m_bits")).drop("m_join")
     m = m.withColumn("m_codes", F.transform("m_chars", lambda ch: F.ascii(ch)))
-    kw = prepared_keywords(rules, case_insensitive)
-    n_keywords = rules.count() if n_keywords is None else n_keywords
-    broadcast = n_keywords <= MAX_INLINE_KEYWORDS
-    if threshold > 0:
-        # exact candidate pairs by equi-joins (length band, shared token): no nested loop
-        pairs = _candidate_pairs_equi(m, kw, threshold, merchant, broadcast=broadcast)
-    else:
-        # threshold 0 accepts any positive score, which needs at least one shared character
-        # (LCS >= 1): candidates are the pairs sharing a character, by equi-join on it
-        kw_chars = kw.select(F.explode(F.array_distinct(chars("k_join"))).alias("_ch"), "ord")
-        attrs = kw
-        if broadcast:
-            kw_chars, attrs = F.broadcast(kw_chars), F.broadcast(attrs)
-        pairs = (m.withColumn("_ch", F.explode(F.array_distinct("m_chars"))).join(kw_chars, "_ch")
-                 .drop("_ch").dropDuplicates([merchant, "ord"]).join(attrs, "ord"))
+    pairs = candidate_pairs(m, prepared_keywords(rules, case_insensitive), threshold, merchant, n_keywords)
     pairs = score_pairs(pairs.select(merchant, "ord", "category", "m_tokens", "m_chars", "m_codes",
                                      "k_tokens", "k_join", "k_masks", "k_codes"),
                         "m_tokens", "k_tokens", "k_join", "k_masks", a_chars="m_chars",
@@ -100,55 +88,88 @@ def fuzzy_best(merchants: DataFrame, rules: DataFrame, threshold: int = FUZZY_TH
                        F.col("b.conf").alias("fuzzy_confidence"))
 
 
-def _candidate_pairs_equi(m: DataFrame, kw: DataFrame, threshold: int, merchant: str,
-                          broadcast: bool = True) -> DataFrame:
-    """Candidate (merchant, keyword) pairs without a nested loop, same set as ``may_reach``,
-    from one equi-join on probe keys: a merchant probes with its token-string length and
-    each of its tokens; a keyword is listed under every length inside its reachable band
-    [k*t/(2-t), k*(2-t)/t] and under each of its tokens (a shared token is the only way to
-    score high outside the band). A pair found twice is scored twice; the per-merchant max
-    does not care. Broadcasts (when the rule set is small): the (probe, keyword id) table
-    and one attribute row per keyword; merchants are read once."""
-    t = threshold / 100.0
-    lo = F.ceil(F.col("k_len") * t / (2.0 - t) - 1e-9).cast("int")
-    hi = F.floor(F.col("k_len") * (2.0 - t) / t + 1e-9).cast("int")
-    lens = F.transform(F.sequence(F.greatest(lo, F.lit(1)), F.greatest(hi, F.lit(1))),
-                       lambda n: F.concat(F.lit("L"), n.cast("string")))
-    toks = F.transform("k_tokens", lambda x: F.concat(F.lit("T"), x))
-    # probe table: (probe key, keyword id) only, a few bytes per row; the keyword attributes
-    # (tokens, masks) are attached afterwards from one row per keyword, so each broadcast is
-    # bounded by the (checked) number of keywords
-    probes_kw = kw.select(F.explode(F.array_distinct(F.concat(lens, toks))).alias("_probe"), "ord")
-    attrs = kw
-    if broadcast:
-        probes_kw, attrs = F.broadcast(probes_kw), F.broadcast(attrs)
-    probes = F.concat(F.array(F.concat(F.lit("L"), F.col("m_len").cast("string"))),
-                      F.transform("m_tokens", lambda x: F.concat(F.lit("T"), x)))
-    return (m.withColumn("_probe", F.explode(F.array_distinct(probes)))
-            .join(probes_kw, "_probe").drop("_probe")
-            .join(attrs, "ord"))
-
-
-def keyword_first(dkeys: DataFrame, rules: DataFrame, dkey: str = "_dkey",
-                  n_keywords: int | None = None, spread_input: bool = True) -> DataFrame:
+def candidate_pairs(m: DataFrame, kw: DataFrame, threshold: int, merchant: str = "_merchant",
+                    n_keywords: int | None = None) -> DataFrame:
+    """(merchant, keyword) pairs that can reach the threshold, without a nested loop, in two steps.
+
+    1. One equi-join on probe keys: a merchant probes with its token-string length and each
+       of its tokens; a keyword is listed under every length inside its reachable band
+       [k*t/(2-t), k*(2-t)/t] and under each of its tokens (a shared token is the only way to
+       score high outside the band). At threshold 0 any positive score counts, which needs a
+       shared character: merchant and keyword probe with their characters.
+    2. The bound on the common characters (``common_bound``): without a shared token the score
+       is 200 * LCS / (|x| + |y|), so pairs whose common multiset is too small go before
+       anything of them is scored.
+
+    A pair found twice is scored twice; the per-merchant max does not care. The probe table is
+    broadcast under a bound on its own rows, the keywords' attributes under one on keywords."""
+    if threshold > 0:
+        t = threshold / 100.0
+        lo = F.greatest(F.ceil(F.col("k_len") * t / (2.0 - t) - 1e-9).cast("int"), F.lit(1))
+        hi = F.greatest(F.floor(F.col("k_len") * (2.0 - t) / t + 1e-9).cast("int"), F.lit(1))
+        lens = F.transform(F.sequence(lo, hi), lambda n: F.concat(F.lit("L"), n.cast("string")))
+        listed = F.concat(lens, F.transform("k_tokens", lambda x: F.concat(F.lit("T"), x)))
+        probes = F.concat(F.array(F.concat(F.lit("L"), F.col("m_len").cast("string"))),
+                          F.transform("m_tokens", lambda x: F.concat(F.lit("T"), x)))
+    else:
+        listed, probes = chars("k_join"), F.col("m_chars")
+    listed = kw.select("ord", F.array_distinct(listed).alias("_listed"))
+    used = listed.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("_listed")), F.lit(0)).alias("probes")).first()
+    probes_kw, attrs = listed.select(F.explode("_listed").alias("_probe"), "ord"), kw
+    if used.probes <= MAX_BROADCAST_PROBES:
+        probes_kw = F.broadcast(probes_kw)
+    if used.n <= MAX_INLINE_KEYWORDS:
+        attrs = F.broadcast(attrs)
+    found = m.withColumn("_probe", F.explode(F.array_distinct(probes))).join(probes_kw, "_probe").drop("_probe")
+    if threshold <= 0:  # pairs share many characters: each is scored once
+        found = found.dropDuplicates([merchant, "ord"])
+    enough = F.lit(200.0) * common_bound("m_bits", "k_bits") >= F.lit(float(threshold)) * (F.col("m_len") + F.col("k_len")) - 1e-6
+    keep = enough | F.arrays_overlap("m_tokens", "k_tokens")
+    return found.join(attrs, "ord").where(keep)
+
+
+def grams(text, size: int) -> Column:
+    """All substrings of ``size`` characters (0: the empty one)."""
+    if size == 0:
+        return F.array(F.lit(""))
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+
+
+GRAM = 3
+
+
+def keyword_first(dkeys: DataFrame, rules: DataFrame, dkey: str = "_dkey", spread_input: bool = True) -> DataFrame:
     """C3 on distinct description keys: category of the first rule (in order) whose keyword
-    is a substring. Returns (dkey, keyword_category) for matched keys only."""
-    n_keywords = rules.count() if n_keywords is None else n_keywords
-    if n_keywords > MAX_BROADCAST_KEYWORDS:
-        raise ValueError(f"keyword rule table over {MAX_BROADCAST_KEYWORDS} rows")
-    r = rules.select(F.col("ord").alias("k_ord"), F.col("category").alias("k_cat"), "keyword")
-    # rule table size is checked above: broadcast; each distinct key meets every keyword once
+    is a substring, for any number of rules. Returns (dkey, keyword_category) for matched keys only.
+
+    Every keyword is listed under the one of its ``GRAM``-character substrings that occurs in the
+    fewest keys (a shorter keyword under itself). Keys meet keywords by an equi-join of their distinct
+    substrings with this index; ``contains`` decides, the smallest order wins. A keyword none of
+    whose substrings occurs anywhere drops out before the join."""
+    kw = (rules.groupBy("keyword").agg(F.min("ord").alias("k_ord"), F.min_by("category", "ord").alias("k_cat"))
+          .withColumn("_size", F.least(F.length("keyword"), F.lit(GRAM))))
+    sizes = sorted(r[0] for r in kw.select("_size").where("_size is not null").distinct().collect())  # at most GRAM + 1
+    if not sizes:
+        return dkeys.select(dkey, F.lit(None).cast("string").alias("keyword_category")).limit(0)
+    own = F.when(F.col("_size") == GRAM, grams(F.col("keyword"), GRAM)).otherwise(F.array("keyword"))
+    listed = kw.select("keyword", "k_ord", "k_cat", F.explode(F.array_distinct(own)).alias("_gram"))
     d = dkeys.select(dkey)
-    hits = (spread(d) if spread_input else d).join(F.broadcast(r), F.instr(F.col(dkey), F.col("keyword")) > 0)
+    d = spread(d) if spread_input else d
+    held = d.select(dkey, F.explode(F.array_distinct(F.concat(*[grams(F.col(dkey), n) for n in sizes]))).alias("_gram"))
+    common = (held.join(listed.select("_gram").distinct(), "_gram", "left_semi")
+              .groupBy("_gram").agg(F.count("*").alias("_keys")))
+    index = (listed.join(common, "_gram").groupBy("keyword", "k_ord", "k_cat")
+             .agg(F.min(F.struct("_keys", "_gram")).alias("_rarest"))
+             .select("keyword", "k_ord", "k_cat", F.col("_rarest._gram").alias("_gram")))
+    hits = held.join(index, (held["_gram"] == index["_gram"]) & F.contains(F.col(dkey), F.col("keyword")))
     return hits.groupBy(dkey).agg(F.min_by("k_cat", "k_ord").alias("keyword_category"))
 
 
 def keyword_case(dkey, rules: Mapping[str, Sequence[str]] | None = None) -> Column:
-    """C3 for an inline rule mapping as one generated CASE chain (no join, no shuffle)."""
+    """C3 for an inline rule mapping as one generated CASE chain (no join, no shuffle). For
+    mappings of up to some hundred keywords; ``keyword_first`` takes any number."""
     from spendlake.operators.rules import rule_rows, sql_string
     rows = rule_rows(rules)
-    if len(rows) > MAX_INLINE_KEYWORDS:
-        raise ValueError("rule set too large to inline; use keyword_first")
     if isinstance(dkey, str) and rows:
         # one SQL CASE parsed in the JVM (the column is referenced by name)
         col = "`" + dkey.replace("`", "``") + "`"
@@ -162,7 +183,7 @@ def keyword_case(dkey, rules: Mapping[str, Sequence[str]] | None = None) -> Colu
     return expr if expr is not None else F.lit(None).cast("string")
 
 
-MAX_BROADCAST_KEYWORDS = 200_000   # a few MB of keywords at most
+MAX_BROADCAST_PROBES = 500_000   # (probe key, keyword id) rows of some tens of bytes
 LABELS = ("category", "confidence", "matched_by")
 
 
@@ -198,7 +219,7 @@ def resolve(descs: DataFrame, rules: DataFrame, memory: DataFrame | None,
         # inline rules: one generated CASE on the (already distinct) descriptions, no join
         return out.withColumn("keyword_category", F.when(F.col("memory_category").isNull(),
                                                          keyword_case("_dkey", rules_map)))
-    kw = keyword_first(distinct_spread(open_, "_dkey"), rules, n_keywords=n_keywords, spread_input=False)
+    kw = keyword_first(distinct_spread(open_, "_dkey"), rules, spread_input=False)
     return out.join(kw, "_dkey", "left")
 
 

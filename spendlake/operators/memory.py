@@ -5,22 +5,24 @@ path (Parquet by default, or the reference's JSON object for small memories).
 """
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlake.functions.text import merchant_name
 from spendlake.schema import MEMORY, empty_frame
+from spendlake.sources.sink import path_is_missing
 
 
 def empty_memory(spark: SparkSession) -> DataFrame:
     return empty_frame(spark, MEMORY)
 
 
-def learn_batch(memory: DataFrame, pairs: DataFrame, version: str | None = None) -> DataFrame:
+def learn_batch(memory: DataFrame, pairs: DataFrame, version: str) -> DataFrame:
     """Upsert (merchant, category) pairs by normalized merchant; among several pairs
-    for one key the highest ``version`` wins (the later pair); empty keys are ignored."""
-    p = pairs.select(merchant_name("merchant").alias("merchant"), "category",
-                     (F.col(version) if version else F.lit(0)).alias("_v"))
+    for one key the highest ``version`` wins (the later pair); empty keys are ignored.
+    ``version`` names a column that orders the pairs of a key."""
+    p = pairs.select(merchant_name("merchant").alias("merchant"), "category", F.col(version).alias("_v"))
     p = p.where(F.col("merchant") != "")
     latest = p.groupBy("merchant").agg(F.max_by("category", "_v").alias("category"))
     kept = memory.join(latest.select("merchant"), "merchant", "left_anti")
@@ -69,7 +71,8 @@ def save(memory: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def load(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Read a snapshot; a missing or unreadable one gives an empty memory."""
+    """Read a snapshot; a missing one gives an empty memory, any other failure is raised (an empty
+    memory in its place would overwrite the old one with the next save)."""
     try:
         if fmt == "parquet":
             return spark.read.parquet(path).select("merchant", "category")
@@ -77,5 +80,7 @@ def load(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
             return spark.read.schema("merchant string, category string").json(path)
         raw = spark.read.text(path, wholetext=True)
         return raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("merchant", "category"))
-    except Exception:
-        return empty_memory(spark)
+    except AnalysisException as e:
+        if path_is_missing(e):
+            return empty_memory(spark)
+        raise

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlake.schema import RULES
+from spendlake.session import number_rows
 
 # The default category rules, in their semantic order.
 DEFAULT_RULES: dict[str, list[str]] = {
@@ -35,8 +36,8 @@ DEFAULT_RULES: dict[str, list[str]] = {
                            "viti wine and lager"],
 }
 
-# Rule tables up to this many keywords are inlined into expressions / broadcast.
-MAX_INLINE_KEYWORDS = 5000
+# Rule tables up to this many keywords are inlined into expressions / broadcast with their masks.
+MAX_INLINE_KEYWORDS = 1000
 
 
 def rule_rows(rules: Mapping[str, Sequence[str]]) -> list[tuple[int, str, str]]:
@@ -81,27 +82,15 @@ def replace_rules(spark: SparkSession, rules: Mapping[str, Sequence[str]]) -> Da
 
 def extend_rules(rules: DataFrame, category: str, keywords: Iterable[str]) -> DataFrame:
     """Add keywords to ``category`` (a new category goes last); keywords already listed
-    for that category are skipped; ``ord`` is renumbered densely.
-
-    The input is referenced once (one union, then windows), so chained extensions grow the
-    plan linearly. Rule tables are small by construction; the renumbering window without a
-    partition runs over that small table only."""
-    spark = rules.sparkSession
+    for that category are skipped; ``ord`` is renumbered densely (``number_rows``, so that rule
+    tables may be of any size)."""
     kws = list(dict.fromkeys(keywords))
     if not kws:
         return rules
-    add = spark.range(1).select(F.inline(F.array(*[
-        F.struct(F.lit(None).cast("int").alias("ord"), F.lit(category).alias("category"),
-                 F.lit(k).alias("keyword"), F.lit(1).alias("grp"), F.lit(i).alias("pos"))
-        for i, k in enumerate(kws)])))
-    u = rules.select("ord", "category", "keyword", F.lit(0).alias("grp"), F.col("ord").alias("pos")) \
-        .unionByName(add)
-    by_cat = Window.partitionBy("category")
-    by_kw = Window.partitionBy("category", "keyword")
-    everything = Window.partitionBy()
-    u = (u.withColumn("_listed", F.max(F.when(F.col("grp") == 0, 1)).over(by_kw))
-          .where((F.col("grp") == 0) | F.col("_listed").isNull())
-          .withColumn("_cat_ord", F.coalesce(F.min("ord").over(by_cat),
-                                              F.coalesce(F.max("ord").over(everything), F.lit(-1)) + 1)))
-    w = Window.orderBy("_cat_ord", "grp", "pos")
-    return u.select((F.row_number().over(w) - 1).cast("int").alias("ord"), "category", "keyword")
+    add = rules.sparkSession.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(category).alias("category"), F.lit(k).alias("keyword"), F.lit(1).alias("_added"), F.lit(i).alias("_pos"))
+        for i, k in enumerate(kws)]))).join(rules.select("category", "keyword"), ["category", "keyword"], "left_anti")
+    first = rules.groupBy("category").agg(F.min("ord").alias("_first"))
+    both = rules.select("category", "keyword", F.lit(0).alias("_added"), F.col("ord").alias("_pos")).unionByName(add)
+    both = both.join(first, "category", "left").withColumn("_first", F.coalesce("_first", F.lit((1 << 31) - 1)))
+    return number_rows(both, "ord", "_first", "_added", "_pos").select(F.col("ord").cast("int").alias("ord"), "category", "keyword")

@@ -136,6 +136,16 @@ def period_over_period(df: DataFrame, period: str = "year") -> DataFrame:
         .alias("pct_change"))
 
 
+def load_statuses(batch: DataFrame, existing: DataFrame, order: str) -> DataFrame:
+    """The outcome of loading every row of ``batch`` (``transaction_id``) into a target with the ids
+    ``existing``: ``status`` already_loaded, duplicate (of an earlier row in ``order``) or new."""
+    first = batch.groupBy("transaction_id").agg(F.min(order).alias("_first"))
+    known = existing.select("transaction_id").distinct().withColumn("_old", F.lit(True))
+    return (batch.join(known, "transaction_id", "left").join(first, "transaction_id", "left")
+            .withColumn("status", F.when(F.col("_old"), "already_loaded").when(F.col(order) > F.col("_first"), "duplicate").otherwise("new"))
+            .drop("_old", "_first"))
+
+
 def run_counters(statuses: DataFrame, status: str = "status") -> DataFrame:
     """How many rows ended in each status of a run (new, duplicate, already loaded...)."""
     return statuses.groupBy(status).agg(F.count("*").alias("n_rows"))

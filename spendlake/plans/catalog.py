@@ -21,7 +21,7 @@ from spendlake.plans.views import (
     txn_e, txn_l,
 )
 
-from spendlake.session import spread, spread_few_splits  # noqa: E402
+from spendlake.session import number_rows, spread, spread_few_splits  # noqa: E402
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -183,15 +183,48 @@ def keyword_category(spark: SparkSession, sf: str) -> DataFrame:
 @query("keyword_category_join",
        f"SELECT l_orderkey, l_linenumber, description, category FROM ({_KW_L_SQL}) _q")
 def keyword_category_join(spark: SparkSession, sf: str) -> DataFrame:
-    """C3 through the rules-table form: distinct description keys x broadcast rules."""
+    """C3 through the rules-table form: distinct description keys joined with the keyword index."""
     t = txn_l(spark, sf).withColumn("_dkey", X.description_key("description"))
     rules = R.rules_frame(spark, RULES_P)
-    kw = C.keyword_first(t.select("_dkey").distinct(), rules, n_keywords=len(ROWS_P))
+    kw = C.keyword_first(t.select("_dkey").distinct(), rules)
     out = t.join(kw, "_dkey", "left")
     return out.select("l_orderkey", "l_linenumber", "description",
                       F.coalesce("keyword_category", F.lit("Uncategorized")).alias("category"))
 
 
+_MANY_RULES = ("SELECT CAST(row_number() OVER (ORDER BY p_partkey, k, keyword) - 1 AS INTEGER) AS ord, category, keyword FROM ("
+               "SELECT p_partkey, 1 AS k, p_brand AS category, p_name || ' ' || CAST(p_partkey AS VARCHAR) AS keyword FROM part "
+               "UNION ALL SELECT p_partkey, 2, p_type, split_part(p_name, ' ', 2) || ' ' || CAST(p_partkey % 1000 AS VARCHAR) FROM part "
+               "UNION ALL SELECT p_partkey, 3, p_name, CAST(p_partkey AS VARCHAR) || ' ' || p_name FROM part "
+               "UNION ALL SELECT p_partkey, 4, 'Size ' || CAST(p_size AS VARCHAR), substring(p_name, 3, 6) || CAST(p_size AS VARCHAR) FROM part "
+               "UNION ALL SELECT p_partkey, 5, 'Tail ' || CAST(p_size AS VARCHAR), right(CAST(p_partkey AS VARCHAR), 2) FROM part) _r")
+
+
+def _many_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Five keywords per part (10,000 at sf0.01), some of them short, in part order."""
+    p = table(spark, sf, "part")
+    key = F.col("p_partkey").cast("string")
+    shapes = [("p_brand", F.concat_ws(" ", "p_name", key)),
+              ("p_type", F.concat_ws(" ", F.split_part("p_name", F.lit(" "), F.lit(2)), (F.col("p_partkey") % 1000).cast("string"))),
+              ("p_name", F.concat_ws(" ", key, "p_name")),
+              (F.concat(F.lit("Size "), F.col("p_size").cast("string")), F.concat(F.substring("p_name", 3, 6), F.col("p_size").cast("string"))),
+              (F.concat(F.lit("Tail "), F.col("p_size").cast("string")), F.right(key, F.lit(2)))]
+    rows = F.array(*[F.struct(F.lit(k).alias("k"), (F.col(c) if isinstance(c, str) else c).alias("category"), kw.alias("keyword"))
+                     for k, (c, kw) in enumerate(shapes, 1)])
+    return number_rows(p.select("p_partkey", F.inline(rows)), "ord", "p_partkey", "k", "keyword").select(
+        F.col("ord").cast("int").alias("ord"), "category", "keyword")
+
+
+@query("keyword_many_rules", (
+    f"WITH d AS (SELECT DISTINCT {O.f2('description')} AS dkey FROM ({TXN_L_SQL}) _l), r AS ({_MANY_RULES}) "
+    "SELECT dkey, (SELECT arg_min(category, ord) FROM r WHERE contains(dkey, keyword)) AS category FROM d"))
+def keyword_many_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """C3/J5/F10 with five rules per part, through the keyword index."""
+    d = txn_l(spark, sf).select(X.description_key("description").alias("_dkey")).distinct()
+    hits = C.keyword_first(d, _many_rules(spark, sf))
+    return d.join(hits, "_dkey", "left").select(F.col("_dkey").alias("dkey"), F.col("keyword_category").alias("category"))
+
+
 _CATSUM_SQL = (
     f"WITH per AS (SELECT category, sum(CAST(amount AS DECIMAL(18,2))) AS t, count(*) AS n_txn FROM ({_KW_L_SQL}) _k GROUP BY category) "
     "SELECT category, CAST(t AS DOUBLE) AS total, n_txn, round(CAST(t AS DOUBLE) / n_txn, 6) AS average, "
@@ -214,16 +247,37 @@ _MERCH_L_SQL = O.merchant_select(f"SELECT DISTINCT description FROM ({TXN_L_SQL}
                                  keep="description")
 
 
-@query("fuzzy_category", (
-    f"SELECT m.merchant, coalesce(f.fuzzy_category, 'Uncategorized') AS category, "
-    f"round(coalesce(f.fuzzy_confidence, 0.0), 6) AS confidence "
-    f"FROM (SELECT DISTINCT merchant FROM ({_MERCH_L_SQL}) _m) m "
-    f"LEFT JOIN ({O.fuzzy_best(_MERCH_L_SQL, ROWS_P, 80)}) f ON m.merchant = f.merchant"))
-def fuzzy_category(spark: SparkSession, sf: str) -> DataFrame:
+def _fuzzy_sql(threshold: int, rows=ROWS_P) -> str:
+    return (f"SELECT m.merchant, coalesce(f.fuzzy_category, 'Uncategorized') AS category, "
+            f"round(coalesce(f.fuzzy_confidence, 0.0), 6) AS confidence "
+            f"FROM (SELECT DISTINCT merchant FROM ({_MERCH_L_SQL}) _m) m "
+            f"LEFT JOIN ({O.fuzzy_best(_MERCH_L_SQL, rows, threshold)}) f ON m.merchant = f.merchant")
+
+
+@query("fuzzy_threshold_50", _fuzzy_sql(50))
+def fuzzy_threshold_50(spark: SparkSession, sf: str) -> DataFrame:
+    """The threshold as a parameter, halfway."""
+    return fuzzy_category(spark, sf, 50)
+
+
+@query("fuzzy_threshold_0", _fuzzy_sql(0))
+def fuzzy_threshold_0(spark: SparkSession, sf: str) -> DataFrame:
+    """Any positive score is accepted."""
+    return fuzzy_category(spark, sf, 0)
+
+
+@query("fuzzy_threshold_100", _fuzzy_sql(100))
+def fuzzy_threshold_100(spark: SparkSession, sf: str) -> DataFrame:
+    """Only full scores are accepted."""
+    return fuzzy_category(spark, sf, 100)
+
+
+@query("fuzzy_category", _fuzzy_sql(80))
+def fuzzy_category(spark: SparkSession, sf: str, threshold: int = 80) -> DataFrame:
     """Best keyword by token-set ratio for every distinct merchant."""
     d = spread(txn_l(spark, sf).select("description").distinct())  # see resolve()
     m = d.select(X.merchant_name("description").alias("_merchant")).distinct()
-    best = C.fuzzy_best(m, R.rules_frame(spark, RULES_P), 80, n_keywords=len(ROWS_P))
+    best = C.fuzzy_best(m, R.rules_frame(spark, RULES_P), threshold, n_keywords=len(ROWS_P))
     out = m.join(best, "_merchant", "left")
     return out.select(F.col("_merchant").alias("merchant"),
                       F.coalesce("fuzzy_category", F.lit("Uncategorized")).alias("category"),
@@ -313,6 +367,15 @@ def find_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return D.find_duplicates(txn_e(spark, sf), sort=False)
 
 
+@query("find_duplicates_order", (
+    f"SELECT event_id, CAST(row_number() OVER (ORDER BY date, description, event_id) - 1 AS BIGINT) AS row_no FROM ({TXN_E_SQL}) t "
+    f"WHERE (date, description) IN (SELECT (date, description) FROM ({TXN_E_SQL}) _g "
+    "WHERE date IS NOT NULL AND description IS NOT NULL GROUP BY date, description HAVING count(*) > 1)"))
+def find_duplicates_order(spark: SparkSession, sf: str) -> DataFrame:
+    """O1: the duplicates in the order of day and description, numbered."""
+    return number_rows(D.find_duplicates(txn_e(spark, sf), sort=False), "row_no", "date", "description", "event_id").select("event_id", "row_no")
+
+
 @query("find_duplicates_tolerance", (
     f"WITH c AS (SELECT *, CAST(round(amount * 100) AS BIGINT) AS cents FROM ({TXN_E_SQL}) _t "
     "WHERE date IS NOT NULL AND description IS NOT NULL), "

@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 
 from spendlake.functions import text as X
 from spendlake.functions import values as V
+from spendlake.operators import categorize as C
 from spendlake.operators import memory as M
 from spendlake.operators import rules as R
 from spendlake.plans import oracle as O
 from spendlake.plans.catalog import _KW_L_SQL, _LEARN_SQL, _categorize_sql, _keyword_labeled, _label_sql, query
 from spendlake.plans.views import RULES_E as RULES_E_MAP
 from spendlake.plans.views import MEMORY_P_SQL_SRC, TXN_E_SQL, TXN_L_SQL, memory_from_part, table, txn_e, txn_l
-from spendlake.session import scratch_path
+from spendlake.session import number_rows, scratch_path
 from spendlake.sources import ingest as I
 from spendlake.sources import ledger as L
 from spendlake.sources import lines as LN
+from spendlake.sources import records as CR
 from spendlake.sources import sink as K
 
 DATE_RE = LN.DATE_RE
@@ -67,7 +69,7 @@ def _lines(spark, sf):
     "FROM m WHERE date_text <> '' AND aall <> ''"))
 def statement_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Statement rows from text lines (the PDF text branch)."""
-    return LN.parse_lines(_lines(spark, sf), "value").drop("value")
+    return LN.parse_lines(_lines(spark, sf), "value", keep_sign=False).drop("value")
 
 
 def _cells(spark, sf):
@@ -95,7 +97,7 @@ _CELLS_SQL = (
     "amount_text, TRY_CAST(replace(amount_text, ',', '') AS DOUBLE) AS amount FROM m WHERE date_text <> '' AND aall <> ''"))
 def statement_cells(spark: SparkSession, sf: str) -> DataFrame:
     """Statement rows from table cells (the PDF table branch)."""
-    return LN.parse_cells(_cells(spark, sf), "cells").drop("cells")
+    return LN.parse_cells(_cells(spark, sf), "cells", keep_sign=False).drop("cells")
 
 
 # --------------------------------------------------------------------- tables and headers
@@ -235,10 +237,7 @@ def memory_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 def _rules_from_part(spark, sf):
     part = table(spark, sf, "part")
     pairs = part.select(F.col("p_type").alias("category"), F.col("p_name").alias("keyword")).distinct()
-    # distinct (type, name) pairs: a small table, ordered once
-    from pyspark.sql import Window
-    w = Window.orderBy("category", "keyword")
-    return pairs.select((F.row_number().over(w) - 1).cast("int").alias("ord"), "category", "keyword")
+    return number_rows(pairs, "ord", "category", "keyword").select(F.col("ord").cast("int").alias("ord"), "category", "keyword")
 
 
 _RULES_PART_SQL = ("SELECT CAST(row_number() OVER (ORDER BY category, keyword) - 1 AS INTEGER) AS ord, category, keyword "
@@ -273,6 +272,17 @@ def rules_extend(spark: SparkSession, sf: str) -> DataFrame:
     return rules
 
 
+@query("rules_replace", (
+    "SELECT l_orderkey, l_linenumber, CASE WHEN contains(d, 'ring') THEN 'Round' WHEN contains(d, 'l') THEN 'Has L' ELSE 'Uncategorized' END AS category "
+    f"FROM (SELECT l_orderkey, l_linenumber, {O.f2('description')} AS d FROM ({TXN_L_SQL}) _l) _r"))
+def rules_replace(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalog's rules replaced by others; the old ones no longer apply."""
+    rules = R.replace_rules(spark, {"Round": ["ring"], "Has L": ["l"]})
+    t = txn_l(spark, sf).withColumn("_dkey", X.description_key("description"))
+    hit = C.keyword_first(t.select("_dkey").distinct(), rules)
+    return t.join(hit, "_dkey", "left").select("l_orderkey", "l_linenumber", F.coalesce("keyword_category", F.lit("Uncategorized")).alias("category"))
+
+
 # --------------------------------------------------------------------- ids, append
 
 @query("existing_ids", f"SELECT DISTINCT transaction_id FROM ({_IDS_L}) _i")
@@ -331,11 +341,7 @@ def run_counters(spark: SparkSession, sf: str) -> DataFrame:
     from spendlake.operators import summaries as S
     b = _ids_e(spark, sf)
     target = K.existing_ids(b.where(F.col("date") <= F.lit(_CUTOFF).cast("date")))
-    first = b.groupBy("transaction_id").agg(F.min("event_id").alias("_first"))
-    s = (b.join(target.withColumn("_old", F.lit(True)), "transaction_id", "left")
-         .join(first, "transaction_id", "left")
-         .select(F.when(F.col("_old"), "already_loaded").when(F.col("event_id") > F.col("_first"), "duplicate")
-                 .otherwise("new").alias("status")))
+    s = S.load_statuses(b, target, "event_id")
     return S.run_counters(s)
 
 
@@ -419,17 +425,81 @@ def ledger_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 # --------------------------------------------------------------------- files on disk
 
-@query("classify_files")
+def _month_bodies(spark, sf) -> DataFrame:
+    """One row per order month: its orders as lines ``day order cents``, in key order."""
+    line = F.concat_ws(" ", F.date_format("o_orderdate", "yyyy-MM-dd"), F.concat(F.lit("ORDER "), F.col("o_orderkey").cast("string")),
+                       F.format_string("%.2f", "o_totalprice"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))), lambda x: x["line"])
+    return table(spark, sf, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.array_join(lines, "\n").alias("value"))
+
+
+_BODIES_SQL = ("SELECT strftime(o_orderdate, '%Y-%m') AS month, string_agg(strftime(o_orderdate, '%Y-%m-%d') || ' ORDER ' || CAST(o_orderkey AS VARCHAR) "
+               "|| ' ' || printf('%.2f', o_totalprice), chr(10) ORDER BY o_orderkey) || chr(10) AS body, count(*) AS n FROM orders GROUP BY 1")
+_MONTH_KIND = "CASE CAST(substring(month, 6) AS INTEGER) % 3 WHEN 0 THEN {} WHEN 1 THEN {} ELSE {} END"
+
+
+def _mixed_files(spark, sf) -> str:
+    """Order months as files, a third each: CSV statements, lines of text, text with a PDF header; and all as JSON."""
+    root = scratch_path(spark, "mixed")
+    bodies = _month_bodies(spark, sf).withColumn("kind", F.substring("month", 6, 2).cast("int") % 3)
+    o = table(spark, sf, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM")).where(F.substring("month", 6, 2).cast("int") % 3 == 0)
+    o.select("month", F.date_format("o_orderdate", "yyyy-MM-dd").alias("Date"), F.concat(F.lit("ORDER "), F.col("o_orderkey").cast("string")).alias("Description"),
+             F.format_string("%.2f", "o_totalprice").alias("Amount")).repartition("month").write.partitionBy("month").option("header", True).csv(f"{root}/csv")
+    bodies.where("kind = 1").select("month", "value").write.partitionBy("month").text(f"{root}/txt")
+    bodies.where("kind = 2").select("month", F.concat(F.lit("%PDF-1.4\n"), F.col("value")).alias("value")).write.partitionBy("month").text(f"{root}/pdf")
+    bodies.write.partitionBy("month").json(f"{root}/json")
+    return root
+
+
+def _file_cells():
+    return [F.regexp_extract("file_path", "/([a-z]+)/month=", 1).alias("folder"), F.regexp_extract("file_path", "/month=([0-9-]+)/", 1).alias("month")]
+
+
+@query("classify_files", (
+    "WITH m AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS month FROM orders) "
+    "SELECT month, " + _MONTH_KIND.format("'csv'", "'txt'", "'pdf'") + " AS folder, " + _MONTH_KIND.format("'csv'", "'unknown'", "'pdf'") + " AS file_type FROM m "
+    "UNION ALL SELECT month, 'json', 'unknown' FROM m"))
 def classify_files(spark: SparkSession, sf: str) -> DataFrame:
-    """S3 (rows-only): orders written as CSV, JSON and %PDF-headed text; counted by type."""
-    root = scratch_path(spark, "classify")
-    o = table(spark, sf, "orders")
-    o.write.option("header", True).csv(f"{root}/csv")
-    o.write.json(f"{root}/json")
-    o.select(F.concat(F.lit("%PDF-1.4 "), F.col("o_orderkey").cast("string")).alias("value")) \
-        .coalesce(1).write.text(f"{root}/pdf")
-    files = I.classify_files(spark, root).where(~F.col("file_path").rlike(r"/(_SUCCESS|\.[^/]*\.crc)$"))
-    return files.groupBy("file_type").agg(F.count("*").alias("n_files"))
+    """S3: order months as CSV, text, PDF-headed text and JSON files, by folder."""
+    files = I.classify_files(spark, _mixed_files(spark, sf))
+    return files.where(F.col("file_path").contains("/month=")).select(*_file_cells(), "file_type").distinct()
+
+
+_DISPATCH_CSV = ("SELECT CAST(o_orderdate AS DATE) AS date, 'order ' || CAST(o_orderkey AS VARCHAR) AS description, o_totalprice AS amount, "
+                 "strftime(o_orderdate, '%Y-%m') AS month FROM orders")
+
+
+@query("dispatch_statements", (
+    f"WITH o AS ({_DISPATCH_CSV}), m AS (SELECT DISTINCT month FROM o) "
+    "SELECT " + _MONTH_KIND.format("'csv'", "'txt'", "NULL") + " AS folder, month, date, "
+    + _MONTH_KIND.format("description", "upper(description)", "NULL") + " AS description, amount, NULL AS reason FROM o WHERE CAST(substring(month, 6) AS INTEGER) % 3 < 2 "
+    "UNION ALL SELECT 'pdf', month, NULL, NULL, NULL, 'needs a document decoder' FROM m WHERE CAST(substring(month, 6) AS INTEGER) % 3 = 2 "
+    "UNION ALL SELECT 'json', month, NULL, NULL, NULL, 'unknown file type' FROM m"))
+def dispatch_statements(spark: SparkSession, sf: str) -> DataFrame:
+    """A folder of CSV, text, PDF-headed and JSON files: rows of the first two, the others as rejects."""
+    rows, rejects = I.dispatch_statements(spark, _mixed_files(spark, sf), "chequing")
+    rejects = rejects.where(F.col("file_path").contains("/month="))
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("date", "date"), ("description", "string"), ("amount", "double"))]
+    return (rows.select(*_file_cells(), "date", "description", "amount", F.lit(None).cast("string").alias("reason"))
+            .unionByName(rejects.select(*_file_cells(), *nothing, "reason").distinct()))
+
+
+LEDGER_BLOCK = 4096
+
+
+@query("ledger_entries", (
+    f"WITH b AS ({_BODIES_SQL}), h AS (SELECT month, strlen(body) AS file_size, n, "
+    f"list_transform(range(0, greatest(CAST(ceil(strlen(body) / {LEDGER_BLOCK}) AS BIGINT), 1)), lambda i: sha256(substring(body, i * {LEDGER_BLOCK} + 1, {LEDGER_BLOCK}))) AS blocks FROM b) "
+    "SELECT month, CAST(file_size AS BIGINT) AS file_size, CASE WHEN len(blocks) = 1 THEN blocks[1] ELSE sha256(array_to_string(blocks, '')) END AS file_hash, "
+    "CAST(n AS BIGINT) AS row_count, CAST(0 AS BIGINT) AS transactions_added, 'chequing' AS account FROM h"))
+def ledger_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Ledger entries of a file per order month: size, content hash (a tree over blocks of 4 kB) and row count."""
+    root = scratch_path(spark, "ledger-files")
+    _month_bodies(spark, sf).write.partitionBy("month").text(root)
+    files = L.list_files(spark, root, recursive=True).where(F.col("file_path").contains("/month="))
+    counts = CR.lines_of(spark, root).groupBy("file_path").agg(F.count("*").alias("row_count")).withColumn("transactions_added", F.lit(0))
+    entries = L.entries_for(files, "chequing", counts, block_bytes=LEDGER_BLOCK)
+    return entries.select(F.regexp_extract("file_path", "/month=([0-9-]+)/", 1).alias("month"), "file_size", "file_hash", "row_count", "transactions_added", "account")
 
 
 def _statement_files(spark, sf, one_folder: bool = False) -> str:
@@ -522,6 +592,39 @@ def ingest_rejects(spark: SparkSession, sf: str) -> DataFrame:
     return r.where(~whole).select(*cells).unionByName(r.where(whole).select(*cells).distinct())
 
 
+@query("ingest_order", (
+    "SELECT CAST(row_number() OVER (ORDER BY k, o_orderkey) - 1 AS BIGINT) AS row_no, CAST(o_orderkey AS VARCHAR) || CASE k WHEN 1 THEN ' x' ELSE '' END AS description FROM ("
+    "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS k FROM orders) _o"))
+def ingest_order(spark: SparkSession, sf: str) -> DataFrame:
+    """O2: rows numbered in the order of file names, then of rows in their file; the statements hold order
+    keys in order, cells of one file go on over lines."""
+    root = scratch_path(spark, "ordered")
+    o = table(spark, sf, "orders")
+    for name, status, text in (("a", F.col("o_orderstatus") != "F", F.col("o_orderkey").cast("string")),
+                               ("b", F.col("o_orderstatus") == "F", F.concat(F.col("o_orderkey").cast("string"), F.lit("\nx")))):
+        rows = o.where(status).select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("Date"), text.alias("Description"), F.lit("1").alias("Amount"))
+        rows.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").drop("o_orderkey").write.option("header", True).csv(f"{root}/{name}")
+    t = I.read_statements(spark, [f"{root}/a", f"{root}/b"])
+    return number_rows(t, "row_no", "row_seq").select("row_no", "description")
+
+
+@query("ingest_csv_large", (
+    "SELECT date, description, amount, account, " + O.txn_id("date", "merchant", "amount", "account")
+    + " AS transaction_id FROM (" + O.merchant_select(
+        "SELECT CAST(o_orderdate AS DATE) AS date, 'line order ' || CAST(o_orderkey AS VARCHAR) || CASE WHEN o_orderkey % 3 = 0 THEN ' x y' ELSE '' END AS description, "
+        "o_totalprice AS amount, 'unknown' AS account FROM orders", "description") + ") _q"))
+def ingest_csv_large(spark: SparkSession, sf: str) -> DataFrame:
+    """One file per order priority with a line break in every record, split over tasks."""
+    root = scratch_path(spark, "large")
+    key = F.col("o_orderkey")
+    text = F.concat(F.lit("LINE\n"), F.lit("ORDER "), key.cast("string"), F.when(key % 3 == 0, F.lit(" \"x\"\n\n,y")).otherwise(F.lit("")))
+    table(spark, sf, "orders").repartition("o_orderpriority").select(
+        "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd").alias("Date"), text.alias("Payee"), F.format_string("%.2f", "o_totalprice").alias("Total")) \
+        .write.partitionBy("o_orderpriority").option("header", True).option("escape", '"').csv(root)
+    t = I.read_statements(spark, f"{root}/*")
+    return t.select("date", "description", "amount", "account", "transaction_id")
+
+
 @query("append_sink", (
     f"SELECT date, description AS name, category, account AS spent_from, amount, '' AS notes, transaction_id FROM ({_IDS_L}) _i"))
 def append_sink(spark: SparkSession, sf: str) -> DataFrame:
@@ -661,8 +764,7 @@ _NET_SQL = ("SELECT l.l_orderkey, l.l_linenumber, CAST(l.l_shipdate AS DATE) AS
     "SELECT l_orderkey, l_linenumber, " + O.txn_id("date", "merchant", "amount", "account") + " AS transaction_id FROM ("
     + O.merchant_select(_NET_SQL, "description") + ") _q"))
 def transaction_id_exact(spark: SparkSession, sf: str) -> DataFrame:
-    """F7 with Python-exact cent rounding on net prices (many decimals): rows with more than
-    two decimals take the Arrow UDF, the rest stay in generated code."""
+    """F7 with Python-exact cent rounding on net prices (many decimals), in generated code."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount",
                                                "l_extendedprice", "l_returnflag", "l_shipdate")
     part = table(spark, sf, "part").select("p_partkey", "p_name")

@@ -92,9 +92,25 @@ def spread_few_splits(df):
 
 
 def distinct_spread(df, col: str):
-    """Distinct values of ``col`` spread over ``cpu_parallelism`` tasks in one exchange:
-    hash-repartition by the value (a fixed partition count AQE keeps), then drop duplicates
-    inside each partition. For inputs that are already nearly distinct (derived from a
-    distinct table), where map-side pre-aggregation would gain nothing."""
-    n = cpu_parallelism(df.sparkSession)
-    return df.select(col).repartition(n, col).dropDuplicates([col])
+    """Distinct values of ``col`` spread over ``cpu_parallelism`` tasks. Values are combined
+    before the exchange, so one that most rows share costs a row per task."""
+    return spread(df.select(col).distinct())
+
+
+def number_rows(df, name: str, *order):
+    """``df`` with a dense row number from 0 in ``order``, without a one-task window: rows are
+    range-partitioned and sorted, written to the scratch folder with their place in the
+    partition, and each partition's offset is the count of the rows before it. Rows that
+    tie in ``order`` follow each other in any order; name columns that break ties."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    spark = df.sparkSession
+    path = scratch_path(spark, "numbered")
+    place = F.monotonically_increasing_id()  # the partition above 33 bits of row number
+    (df.repartitionByRange(*order).sortWithinPartitions(*order)
+     .select("*", F.shiftright(place, 33).alias("_part"), place.bitwiseAND((1 << 33) - 1).alias("_place")).write.parquet(path))
+    rows = spark.read.parquet(path)
+    held = rows.groupBy("_part").agg((F.max("_place") + 1).alias("_held"))  # one row per partition
+    before = F.sum("_held").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = held.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")

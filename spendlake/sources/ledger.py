@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlake.schema import LEDGER, SUPPORTED_EXTENSIONS, empty_frame
+from spendlake.sources import ranges
 
 
 def empty_ledger(spark: SparkSession) -> DataFrame:
@@ -82,15 +83,15 @@ def list_files(spark: SparkSession, folder: str, recursive: bool = False) -> Dat
                      F.col("modificationTime").alias("modification_time"))
 
 
-def entries_for(content: DataFrame, account, row_counts: DataFrame,
-                hash_contents: bool = True) -> DataFrame:
-    """S10 entries from a ``binaryFile`` read of the processed files: size and sha256 of
-    the contents, row and appended counts from ``row_counts`` (file_path, row_count,
+def entries_for(files: DataFrame, account, row_counts: DataFrame, hash_contents: bool = True,
+                block_bytes: int = ranges.BLOCK_BYTES) -> DataFrame:
+    """S10 entries for the processed files (a listing: file_path, file_size): size and content hash (range
+    reads and a hash tree, see ``ranges``), row and appended counts from ``row_counts`` (file_path, row_count,
     transactions_added)."""
     acct = account if isinstance(account, F.Column) else F.lit(account)
-    meta = content.select(F.col("path").alias("file_path"), F.col("length").alias("file_size"),
-                          F.sha2("content", 256).alias("file_hash") if hash_contents
-                          else F.lit("").alias("file_hash"))
+    meta = files.select("file_path", "file_size")
+    meta = (meta.join(ranges.content_hashes(meta, block_bytes), "file_path") if hash_contents
+            else meta.withColumn("file_hash", F.lit("")))
     return (meta.join(row_counts, "file_path", "left")
             .select("file_path", F.current_timestamp().alias("processed_at"), "file_size",
                     "file_hash", F.coalesce("row_count", F.lit(0)).cast("long").alias("row_count"),

@@ -26,11 +26,11 @@ def _signed(whole: Column, value: Column, keep_sign: bool) -> Column:
     return F.when(whole.startswith("-"), -value).otherwise(value)
 
 
-def parse_lines(df: DataFrame, col: str = "value", keep_sign: bool = False) -> DataFrame:
+def parse_lines(df: DataFrame, col: str = "value", keep_sign: bool = True) -> DataFrame:
     """One statement row per line having both a date and a trailing amount.
     Adds ``date_text``, ``description`` (text between the two matches, stripped of
-    " -|,"), ``amount_text`` and ``amount`` (sign dropped like the reference unless
-    ``keep_sign``; null when the number text is empty)."""
+    " -|,"), ``amount_text`` and ``amount`` (with its sign; without ``keep_sign``
+    it is dropped, as the reference does; null when the number text is empty)."""
     line = F.regexp_replace(F.col(col), r"(?U)^\s+|\s+$", "")
     d = df.withColumn("_line", line).where(F.col("_line") != "")          # W5
     dt = F.regexp_extract("_line", DATE_RE, 0)
@@ -49,7 +49,7 @@ def parse_lines(df: DataFrame, col: str = "value", keep_sign: bool = False) -> D
                     _signed(F.col("_aall"), _number(F.col("amount_text")), keep_sign).alias("amount"))
 
 
-def parse_cells(df: DataFrame, col: str = "cells", keep_sign: bool = False) -> DataFrame:
+def parse_cells(df: DataFrame, col: str = "cells", keep_sign: bool = True) -> DataFrame:
     """Table rows (array of cell texts): cells trimmed (null -> ""), joined with
     " | ", matched like S4; description = the non-empty cells that are neither the date
     text nor the amount number, joined by a space."""

@@ -1,6 +1,7 @@
 """Categorizer cases from the reference tests and worked fixtures, plus property
 tests of the fuzzy score and of learning against small sequential Python models."""
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ def test_worked_fixtures(spark, desc, cat, conf):
 
 def test_memory_wins(spark):
     mem = M.learn_batch(M.empty_memory(spark),
-                        spark.createDataFrame([("STARBUCKS", "Coffee")], "merchant string, category string"))
+                        spark.createDataFrame([("STARBUCKS", "Coffee", 1)], "merchant string, category string, v int"), version="v")
     assert label(spark, ["STARBUCKS"], memory=mem) == [("Coffee", 0.95)]
 
 
@@ -148,21 +149,24 @@ def test_learning_matches_sequential_model(spark):
 
 
 def test_equi_candidates_equal_prefilter_and_brute_force(spark):
-    """The equi-join candidate set equals the pairs allowed by the length/token bound, and
-    the fuzzy argmax over candidates equals the argmax over every pair."""
+    """Candidates lie within the length/token bound and hold every pair that reaches the
+    threshold; the fuzzy argmax over them equals the argmax over every pair."""
     rnd = random.Random(9)
-    words = ["cafe", "Cafe", "pizza", "Pizza", "hut", "gas", "station", "x", "7", "shop"]
+    words = ["cafe", "Cafe", "pizza", "Pizza", "hut", "gas", "station", "x", "7", "shop", "café", "aaaa", "a a a"]
     merchants = sorted({" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 4))) for _ in range(300)})
-    rules = {"A": ["cafe", "pizza hut", "gas station"], "B": ["7 shop", "x"], "C": ["pizza", "station"]}
+    rules = {"A": ["cafe", "pizza hut", "gas station"], "B": ["7 shop", "x", "aaaaa é"], "C": ["pizza", "station"]}
     m = spark.createDataFrame([(x,) for x in merchants], "_merchant string")
     kw = C.prepared_keywords(R.rules_frame(spark, rules))
-    mm = m.withColumn("m_tokens", S.token_set("_merchant")).withColumn(
-        "m_len", F.length(F.array_join("m_tokens", " ")))
-    for thr in (50, 80, 95):
-        equi = {(r._merchant, r.ord) for r in C._candidate_pairs_equi(mm, kw, thr, "_merchant").collect()}
-        cond = S.may_reach(F.col("m_len"), F.col("k_len"), F.col("m_tokens"), F.col("k_tokens"), thr)
-        allowed = {(r._merchant, r.ord) for r in mm.crossJoin(kw).where(cond).collect()}
-        assert equi == allowed
+    joined = F.array_join("m_tokens", " ")
+    mm = m.withColumn("m_tokens", S.token_set("_merchant")).withColumns(
+        {"m_len": F.length(joined), "m_chars": S.chars(joined), "m_bits": S.char_bits(joined)})
+    for thr in (0, 1, 50, 80, 95, 100):
+        equi = {(r._merchant, r.ord) for r in C.candidate_pairs(mm, kw, thr).collect()}
+        if thr:
+            cond = S.may_reach(F.col("m_len"), F.col("k_len"), F.col("m_tokens"), F.col("k_tokens"), thr)
+            assert equi <= {(r._merchant, r.ord) for r in mm.crossJoin(kw).where(cond).collect()}
+        ords = {k: min(o for o, _, q in R.rule_rows(rules) if q == k) for _, _, k in R.rule_rows(rules)}
+        assert {(x, o) for x in merchants for k, o in ords.items() if py_token_set_ratio(x, k) >= max(thr, 1e-9)} <= equi
         got = {r._merchant: (r.fuzzy_category, round(r.fuzzy_confidence, 9))
                for r in C.fuzzy_best(m, R.rules_frame(spark, rules), thr).collect()}
         kws = {}
@@ -180,6 +184,59 @@ def test_equi_candidates_equal_prefilter_and_brute_force(spark):
         assert got == want
 
 
+def test_common_bound_is_at_least_the_lcs(spark):
+    rnd = random.Random(4)
+    text = lambda: "".join(rnd.choice("aaabbcdez AZ09é~") for _ in range(rnd.randint(0, 40)))
+    rows = [(text(), text()) for _ in range(300)]
+    df = spark.createDataFrame(rows, "a string, b string").select("a", "b", S.common_bound(S.char_bits("a"), S.char_bits("b")).alias("bound"))
+    for r in df.collect():
+        common = sum((Counter(r.a) & Counter(r.b)).values())
+        assert r.bound >= common >= py_lcs(r.a, r.b)
+        if max(Counter(r.a + r.b).values(), default=0) < 3 and not set(r.a + r.b) & set("é~"):
+            assert r.bound == common
+
+
+def test_long_patterns(spark):
+    """F9 with patterns of 63 to 400 characters: several words, carries between them."""
+    rnd = random.Random(6)
+    text = lambda n: "".join(rnd.choice("ab cdé") for _ in range(n))
+    rows = [(text(rnd.randint(1, 420)), text(n)) for n in (63, 64, 124, 125, 186, 187, 250, 311, 400) for _ in range(2)]
+    rows += [("a" * 130, "a" * 125), (text(200),) * 2, ("", text(70)), (text(70), "")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert [r.n for r in df.select(S.lcs_words("a", "b").alias("n")).collect()] == [py_lcs(a, b) for a, b in rows]
+    got = df.select(F.round(S.token_set_ratio("a", "b"), 9).alias("s")).collect()
+    assert [r.s for r in got] == [round(py_token_set_ratio(a, b), 9) for a, b in rows]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_keyword_index_equals_first_substring(spark, seed):
+    rnd = random.Random(seed)
+    text = lambda n: "".join(rnd.choice("abc é") for _ in range(n))
+    keys = sorted({text(rnd.randint(0, 12)) for _ in range(400)} | {"", "a"})
+    rules = [(i, f"c{i % 7}", text(rnd.randint(1, 6))) for i in range(60)]  # short ones, repeated ones, two orders of one keyword
+    rules += [(60, "none", "zzzz")] + ([(61, "all", "")] if seed == 2 else [])
+    got = C.keyword_first(spark.createDataFrame([(k,) for k in keys], "_dkey string"), spark.createDataFrame(rules, R.RULES))
+    want = {k: next((c for _, c, w in rules if w in k), None) for k in keys}
+    assert {r._dkey: r.keyword_category for r in got.collect()} == {k: v for k, v in want.items() if v is not None}
+    empty = C.keyword_first(spark.createDataFrame([("a",)], "_dkey string"), spark.createDataFrame([], R.RULES))
+    assert empty.collect() == []
+
+
+def test_keyword_index_has_no_nested_loop(spark):
+    d = spark.range(100).select(F.concat(F.lit("key "), "id").alias("_dkey"))
+    rules = spark.range(3000).select(F.col("id").cast("int").alias("ord"), F.lit("c").alias("category"), F.concat(F.lit("y "), "id").alias("keyword"))
+    out = C.keyword_first(d, rules)
+    out.collect()
+    assert "NestedLoop" not in out._jdf.queryExecution().toString() and "Cartesian" not in out._jdf.queryExecution().toString()
+
+
+def test_number_rows(spark):
+    from spendlake.session import number_rows
+    df = spark.range(0, 1000, 1, 7).select(((F.col("id") * 37) % 1000).alias("k"))
+    assert [(r.k, r.n) for r in number_rows(df, "n", "k").orderBy("k").collect()] == [(i, i) for i in range(1000)]
+    assert number_rows(df.limit(0), "n", "k").collect() == []
+
+
 def test_rule_text_with_quotes_and_backslashes(spark):
     rules = {"It's \\ odd": ["joe's", "a\\b", "100%"], "Plain": ["x"]}
     got = [tuple(r) for r in R.rules_frame(spark, rules).orderBy("ord").collect()]

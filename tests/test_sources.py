@@ -1,6 +1,7 @@
 """S1-S11, S4/S5 and T1-T4 on small files written by the tests."""
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from spendlake.sources import ingest as I
@@ -223,8 +224,8 @@ def test_parse_statements_dispatch(spark, tmp_path):
 def test_fixed_roles_read_and_table_options(spark, tmp_path):
     # Q1: "Transaction Date" also matches the amount patterns; D1 picks CAD$ instead
     write(tmp_path / "q1" / "s.csv", "Transaction Date,Description,CAD$\n2024-03-01,COFFEE,\"$1,250.00\"\n")
-    ref = I.read_statements(spark, str(tmp_path / "q1")).first()
-    fixed = I.read_statements(spark, str(tmp_path / "q1"), compat=False).first()
+    ref = I.read_statements(spark, str(tmp_path / "q1"), compat=True).first()
+    fixed = I.read_statements(spark, str(tmp_path / "q1")).first()
     assert (ref.amount, fixed.amount) == (0.0, 1250.0)
     t = spark.createDataFrame([("2024-03-01", "Coffee Shop", "$1,250.00")], "Date string, Payee string, Amount string")
     assert I.normalize_table(t, "chq").first().amount == 0.0                      # spreadsheet branch (Q16)
@@ -270,3 +271,123 @@ def test_stream_learning_equals_batch_over_many_micro_batches(spark, tmp_path):
     batch, _ = categorize_learn(batch_df, "event_id", rules)
     key = lambda r: (r.event_id, r.category, round(r.confidence, 9), r.matched_by)
     assert sorted(map(key, streamed.collect())) == sorted(map(key, batch.collect()))
+
+
+@pytest.mark.parametrize("block", [400, 100_000])
+def test_quoted_line_breaks_cut_in_parallel(spark, tmp_path, block):
+    """Records over many lines and many blocks, against pandas; files are split over tasks."""
+    import random
+
+    import pandas as pd
+    rnd = random.Random(block)
+    word = lambda: rnd.choice(["coffee", "a b", 'say ""hi""', "x,y", "line\nbreak", "\n", "two\n\nbreaks " + "long " * 30, "é"])
+    for f in range(3):
+        rows = [f'2024-01-{rnd.randrange(1, 28):02d},"{word()} {word()}",{rnd.randrange(100)}.{rnd.randrange(10, 99)},"{word() if f % 2 else "n"}"' for _ in range(25)]
+        if f == 2:
+            rows = [x.replace('"', "").replace("\n", " ").replace("x,y", "xy") for x in rows]  # a file without quotes
+        rows[5:5] = ["", "   "]
+        write(tmp_path / "s" / f"f{f}.csv", "\nDate,Payee,Amount,Note\n" + "\n".join(rows) + ("\n" if f else ""))
+    write(tmp_path / "s" / "open.csv", 'Date,Payee,Amount\n2024-01-17,"never closed,5.50\n2024-01-18,X,1\n')
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        probe = I.probe_files(spark, str(tmp_path / "s"))
+        got = sorted((r.file_path[-6:], str(r.date), r.description, r.amount) for r in I.read_statements(spark, str(tmp_path / "s"), probe=probe).collect())
+        rejects = [(r.file_path[-8:], r.reason) for r in I.statement_rejects(spark, str(tmp_path / "s"), probe=probe).collect()]
+        n_blocks = probe.blocks.count()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    want = []
+    for f in range(3):
+        t = pd.read_csv(tmp_path / "s" / f"f{f}.csv", dtype=str, keep_default_na=False)
+        t = t[t["Date"].str.strip() != ""]
+        want += [(f"f{f}.csv", d, " ".join("".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in p.lower()).split()), float(a))
+                 for d, p, a in zip(t["Date"], t["Payee"], t["Amount"])]
+    assert got == sorted(want)
+    assert rejects == [("open.csv", "unclosed quote")]
+    assert n_blocks > 5 or block == 100_000
+
+
+def test_content_hashes_by_range_and_tree(spark, tmp_path):
+    import hashlib
+
+    from spendlake.sources import ranges
+    bodies = {"one": b"x" * 10, "edge": b"ab" * 8, "odd name+%20.bin": bytes(range(256)) * 3, "many": bytes(k % 251 for k in range(16 * 300 + 5))}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+
+    def root(body, block=16, fan=4):
+        nodes = [hashlib.sha256(body[k:k + block]).hexdigest() for k in range(0, max(1, len(body)), block)]
+        while len(nodes) > 1:
+            nodes = [hashlib.sha256("".join(nodes[k:k + fan]).encode()).hexdigest() if len(nodes) > 1 else nodes[0] for k in range(0, len(nodes), fan)]
+        return nodes[0]
+    files = L.list_files(spark, str(tmp_path))
+    got = {r.file_path.rsplit("/", 1)[1]: r.file_hash for r in ranges.content_hashes(files, 16, 4).collect()}
+    assert got == {name: root(body) for name, body in bodies.items()}
+    plain = {r.file_path.rsplit("/", 1)[1]: r.file_hash for r in ranges.content_hashes(files).collect()}
+    assert plain == {name: hashlib.sha256(body).hexdigest() for name, body in bodies.items()}
+    assert "content:binary" not in L.entries_for(files, "a", files.limit(0).selectExpr("file_path", "1 row_count", "1 transactions_added"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dispatch_of_mixed_files(spark, tmp_path):
+    write(tmp_path / "in" / "a b+c.CSV", "Date,Description,Amount\n2024-01-15,STARBUCKS COFFEE #12,5.50\nsoon,X,1\n")
+    write(tmp_path / "in" / "sub" / "b.txt", "2024-01-16 TIM HORTONS #3 -$2.00\n99/99/2024 BAD DAY 3.00\nnot a row\n")
+    write(tmp_path / "in" / "c.xlsx", "binary")
+    write(tmp_path / "in" / "d.txt", "%PDF-1.4\n2024-01-16 HIDDEN 2.00\n")
+    write(tmp_path / "in" / "e.dat", "%PDF-1.4")
+    write(tmp_path / "in" / "f.dat", "?")
+    write(tmp_path / "in" / "g.csv", "A,B\n1,2\n")
+    rows, rejects = I.dispatch_statements(spark, str(tmp_path / "in"), "chq")
+    assert sorted((r.date.isoformat(), r.description, r.amount, r.account) for r in rows.collect()) == [
+        ("2024-01-15", "starbucks coffee 12", 5.5, "chq"), ("2024-01-16", "TIM HORTONS #3", -2.0, "chq")]
+    assert sorted((r.file_path.rsplit("/", 1)[1], r.reason, r.date_text) for r in rejects.collect()) == [
+        ("a b+c.CSV", "unreadable date", "soon"), ("b.txt", "unreadable date", "99/99/2024"), ("c.xlsx", "needs a document decoder", None),
+        ("d.txt", "needs a document decoder", None), ("e.dat", "needs a document decoder", None), ("f.dat", "unknown file type", None),
+        ("g.csv", "no description column", None)]
+
+
+def test_pipeline_in_batches_of_files(spark, tmp_path):
+    from spendlake.plans.pipeline import run_pipeline
+    from spendlake.sources import snapshots as SN
+    for k in range(5):
+        write(tmp_path / "in" / f"jan {k}.csv", f"Date,Description,Amount\n2024-01-1{k},\"SHOP\n{k}\",{k}\n2024-01-20,SAME,1\n")
+    paths = dict(target_path=str(tmp_path / "t"), ledger_root=str(tmp_path / "l"), memory_root=str(tmp_path / "m"))
+    r = run_pipeline(spark, str(tmp_path / "in"), files_per_batch=2, **paths)
+    assert (r.files_processed, r.rows_parsed, r.rows_appended, r.files_failed) == (5, 10, 6, 0)
+    assert SN.versions(spark, paths["ledger_root"]) == [1, 2, 3]
+    assert sorted(x.transactions_added for x in SN.load_latest(spark, paths["ledger_root"]).collect()) == [1, 1, 1, 1, 2]
+    r = run_pipeline(spark, str(tmp_path / "in"), files_per_batch=2, **paths)
+    assert (r.files_processed, r.rows_appended) == (0, 0)
+
+
+def test_two_snapshot_writers_cannot_tear(spark, tmp_path):
+    from spendlake.sources import snapshots as SN
+    root = str(tmp_path / "snap")
+    one, two = spark.createDataFrame([(1,)], "n int"), spark.createDataFrame([(2,)], "n int")
+    assert SN.load_latest(spark, root) is None
+    assert SN.save_next(one, root, base=0) == 1
+    with pytest.raises(SN.ConflictError):
+        SN.save_next(two, root, base=0)   # both saw no version
+    assert [r.n for r in SN.load_latest(spark, root).collect()] == [1]
+    tried = []
+
+    def change(latest):
+        tried.append(latest.first().n)
+        if len(tried) == 1:
+            SN.save_next(two, root)        # another writer comes first
+        return latest.unionByName(spark.createDataFrame([(9,)], "n int"))
+    assert SN.update(spark, root, change) == 3
+    assert tried == [1, 2] and sorted(r.n for r in SN.load_latest(spark, root).collect()) == [2, 9]
+    one.write.parquet(f"{tmp_path}/old/version=1")  # the older layout
+    assert SN.save_next(two, f"{tmp_path}/old") == 2 and SN.load_latest(spark, f"{tmp_path}/old").first().n == 2
+
+
+def test_memory_load_raises_on_a_damaged_file(spark, tmp_path):
+    from spendlake.operators import memory as M
+    assert M.load(spark, str(tmp_path / "none")).collect() == []
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        M.load(spark, str(tmp_path / "bad")).collect()

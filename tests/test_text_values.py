@@ -1,5 +1,8 @@
 """F1-F8: exact strings from the reference's unit tests and worked fixtures."""
 import datetime
+import hashlib
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,3 +109,25 @@ def test_exact_rounding(spark):
     df = spark.createDataFrame([(2.675,), (0.125,), (1.005,), (5.5,)], "a double")
     got = [r.r for r in df.select(V.exact_money_text("a").alias("r")).collect()]
     assert got == [f"{round(x, 2):.2f}" for x in (2.675, 0.125, 1.005, 5.5)]
+
+
+def test_exact_rounding_of_many_doubles(spark):
+    """Ties and near ties of every size, against Python."""
+    r = random.Random(3)
+    xs = [0.0, -0.0, 0.005, 0.015, 0.025, -0.005, -0.001, 1e-9, 5e-324, 2.0 ** 53, 2.0 ** 53 - 1, 9007199254740993.0, 1e18, 2.0 ** 62, 2.0 ** 63, 1e22, 1e30,
+          2.0 ** 115, -1e25, float("inf"), float("-inf"), float("nan"), 0.994999999999999, 0.995, 0.9949999999999999999, 99.995, 1.0 - 2.0 ** -53]
+    for _ in range(20000):
+        x = r.choice((r.random(), r.randrange(10 ** 7) / 1000, r.randrange(10 ** 9) / 8, r.uniform(-1e6, 1e6), r.randrange(1000) + r.randrange(200) / 200, r.uniform(0, 2.0 ** r.randrange(60))))
+        xs += [x, math.nextafter(x, math.inf), -math.nextafter(x, 0)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i long, a double")
+    got = {r.i: r.r for r in df.select("i", V.exact_money_text("a").alias("r")).collect()}
+    assert got == {i: f"{round(x, 2):.2f}" for i, x in enumerate(xs)}
+    plan = V.add_transaction_id(df.selectExpr("current_date() date", "'x' description", "a amount"), exact_rounding=True)._jdf.queryExecution().toString()
+    assert "Python" not in plan
+
+
+def test_account_is_stripped_like_python(spark):
+    accounts = [" a ", "\ta\n", "\xa0a\u2003", "\x1ca", "a b", "", "\n"]
+    df = spark.createDataFrame([(a,) for a in accounts], "account string").selectExpr("date'2024-01-15' date", "'x' description", "1.0D amount", "account")
+    got = [r.transaction_id for r in V.add_transaction_id(df).collect()]
+    assert got == [hashlib.sha1(f"2024-01-15-X-1.00-{a.strip()}".encode()).hexdigest() for a in accounts]
