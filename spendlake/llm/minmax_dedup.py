@@ -161,6 +161,15 @@ def leftovers(buckets: DataFrame, sizes: DataFrame, labels: DataFrame) -> DataFr
     return left.unionByName(right)
 
 
+def thinned(edges: DataFrame) -> DataFrame:
+    """Edges that connect the same nodes: of every node the one to its smallest neighbour, and that neighbour's to the others.
+    Nodes of a group share their few centres, so most of the latter are the same."""
+    edges = written(edges.distinct(), "confirmed-edges")
+    least = edges.groupBy("a").agg(F.min("b").alias("least"))
+    between = edges.join(least, "a").filter("b <> least").select(F.col("least").alias("a"), "b").distinct()
+    return least.select("a", F.col("least").alias("b")).unionByName(between)
+
+
 def groups_of(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per document with an id: ``doc_id, n_shingles, component_id``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
@@ -187,7 +196,7 @@ def groups_of(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Da
     two = two.filter("min_s1 <> max_s1 or min_s2 <> max_s2").select("doc_id")
     ids = every.join(two, "doc_id", "left_semi").join(classes.select("s1", "s2", "rep"), ["s1", "s2"])
     edges = confirmed(stars(buckets, sizes), content, percent).unionByName(written(ids.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "same-ids"))
-    first = components(edges)
+    first = components(thinned(edges))
     labels = written(needed.join(first, F.col("rep") == F.col("node"), "left").select("c", F.coalesce("label", "rep").alias("label")), "labels")
     more = confirmed(leftovers(buckets, sizes, labels), content, percent)
     # the links found last connect labels of the first round: few are left of them
