@@ -13,7 +13,7 @@ one shingle, without words the set is empty and links with nothing. Two document
    asked again among the rest, then sets with a common first shingle and like size are
    joined to the smallest of them (a star, never all pairs). The connected groups of these stars are
    the diagonal blocks of the incidence matrix outside of which no two sets can link.
-3. A group of more than ``BLOCK`` shingles is cut into bands of set sizes, so wide that linked sets
+3. A group of more than ``BLOCK`` shingles or ``BLOCK_SETS`` sets is cut into bands of set sizes, so wide that linked sets
    lie in the same or in neighbouring bands, and bands into blocks of about ``BLOCK`` shingles. For every pair of
    blocks of a group in the same or neighbouring bands one product of the documents-by-shingles matrix
    with the other's transpose accumulates the overlaps, and pairs below the bound that their sizes
@@ -25,7 +25,7 @@ one shingle, without words the set is empty and links with nothing. Two document
 No pair is sampled or capped: a very large group only makes more products.
 
 Null text counts as empty. Rows with a null id are left out (``join_all`` returns them without component and links); repeated rows give repeated results,
-and rows of one id are one document: if their texts differ, all their links are its links.
+and rows of one id are one document: if their texts differ, they have one component; links are counted by text.
 """
 from __future__ import annotations
 
@@ -40,8 +40,8 @@ from spendlake.llm.common import texts_of, words_of, written
 from spendlake.llm.components import components
 
 WIDTH, PERCENT = 4, 85
-#: Shingles of a block.
-BLOCK = 2_000_000
+#: Shingles and sets of a block.
+BLOCK, BLOCK_SETS = 2_000_000, 2048
 
 
 class _Hashes(dict):
@@ -213,11 +213,12 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int
     members = written(classes.join(groups, F.col("s1") == F.col("node")).select("rep", "s1", "s2", "n", "copies", F.col("label").alias("g")), "group-members")
 
     banded = members.withColumn("band", size_band(percent))
-    sizes = banded.groupBy("g", "band").agg(F.sum("n").alias("held")).withColumn("parts", F.ceil(F.col("held") / block).cast("int"))
-    whole = sizes.groupBy("g").agg((F.sum("held") <= block).alias("whole"))
+    sizes = banded.groupBy("g", "band").agg(F.sum("n").alias("held"), F.count("*").alias("sets"))
+    sizes = sizes.withColumn("parts", F.ceil(F.greatest(F.col("held") / block, F.col("sets") / BLOCK_SETS)).cast("int"))
+    whole = sizes.groupBy("g").agg(((F.sum("held") <= block) & (F.sum("sets") <= BLOCK_SETS)).alias("whole"))
     near = (sizes.join(sizes.select("g", (F.col("band") + 1).alias("band"), F.col("parts").alias("below")), ["g", "band"], "left")
             .join(sizes.select("g", (F.col("band") - 1).alias("band"), F.col("parts").alias("above")), ["g", "band"], "left").join(whole, "g"))
-    near = written(near.fillna(0, ["below", "above"]).drop("held"), "bands")
+    near = written(near.fillna(0, ["below", "above"]).drop("held", "sets"), "bands")
     # a group that fits into one block is one block, without bands
     one = lambda c, n: F.when(F.col("whole"), F.lit(n)).otherwise(F.col(c)).alias(c)
     placed = (banded.join(near, ["g", "band"]).select(*members.columns, one("band", 0), one("parts", 1), one("below", 0), one("above", 0))
@@ -252,14 +253,17 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int
     blocks = dealt.join(content, keys).select(F.col("rep").alias("doc"), "g", "copies", "low", "i", "j", "side",
                                                (F.col("same") & (F.col("i") == F.col("j"))).alias("same"), F.col("same").alias("own_band"), "shingles")
     found = written(blocks.groupBy("g", "low", "own_band", "i", "j").applyInPandas(_links(percent), "doc long, root long, links long"), "links")
-    tree = components(found.select(F.col("doc").alias("a"), F.col("root").alias("b")))
+    # an id with several sets connects their classes
+    several = every.groupBy("doc_id").agg(*(f(c).alias(k + c) for c in ("s1", "s2") for k, f in (("x", F.min), ("y", F.max)))).filter("xs1 <> ys1 or xs2 <> ys2")
+    same = every.join(several.select("doc_id"), "doc_id", "left_semi").join(classes.select("s1", "s2", "rep"), ["s1", "s2"])
+    tree = components(found.select(F.col("doc").alias("a"), F.col("root").alias("b")).unionByName(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
     links = found.groupBy("doc").agg(F.sum("links").alias("links"))
     result = classes.join(tree, F.col("rep") == F.col("node"), "left").select("s1", "s2", "copies", "rep", F.coalesce("label", "rep").alias("component_id"))
     result = written(result.join(links, F.col("rep") == F.col("doc"), "left")
                      .select("s1", "s2", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "join-classes")
-    return (every.join(result, ["s1", "s2"], "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
-                    F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    of_words = every.filter("n > 0").join(result, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("n_links").cast("long").alias("n_links"))
+    empty = every.filter("n = 0").join(tree, F.col("doc_id") == F.col("node"), "left")
+    return of_words.unionByName(empty.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def join_all(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

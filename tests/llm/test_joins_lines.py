@@ -11,16 +11,16 @@ from spendlake.llm.components import components
 from tests.llm.conftest import DOCS, odd_rows, prose
 
 
-def sets_of(rows):
+def sets_of(rows, width=4):
     out = {}
     for i, t in rows:
         w = (t or "").encode().lower().split()
-        out[i] = {tuple(w[k:k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())
+        out[i] = {tuple(w[k:k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
     return out
 
 
-def brute(rows, percent=85):
-    s = sets_of(rows)
+def brute(rows, percent=85, width=4):
+    s = sets_of(rows, width)
     root, links = {i: i for i in s}, defaultdict(int)
 
     def find(i):
@@ -72,6 +72,20 @@ def test_join_at_the_bound(docs_of):
     assert got[1] == 2
 
 
+def test_ids_with_two_texts_connect_them(docs_of):
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(1, a), (5, a), (5, b), (2, b), (7, ""), (7, c), (6, c)]
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in ngram_join.join(docs_of(rows)).collect()}
+    assert got == {(1, 57): 1, (5, 57): 1, (2, 57): 1, (7, 0): 6, (7, 57): 6, (6, 57): 6}
+
+
+def test_groups_cut_by_sets(docs_of, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 7)
+    rows = corpus(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.join(docs_of(rows)).collect()}
+    assert got == brute(rows)
+
+
 def test_join_odd_rows(docs_of):
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.join(docs_of(odd_rows())).collect())
     assert got[0] == (1, 0, 1, 0) and got[1] == (2, 0, 2, 0) and got[2] == (3, 0, 3, 0)

@@ -35,7 +35,7 @@ def expected(rows, bad, leaks):
     docs = [(i, t) for i, t in rows if i not in bad]
     keys = Counter(k for _, t in docs for k in {x.strip(" \t\n\v\f\r").lower() for x in t.split("\n")})
     docs = [(i, "\n".join(x for x in t.split("\n") if not (y := x.strip(" \t\n\v\f\r").lower()) or keys[y] < 10)) for i, t in docs]
-    groups = brute(docs)
+    groups = brute(docs, 80, 5)
     docs = [(i, t) for i, t in docs if groups[i][1] == i and i not in leaks]
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     out = {}
@@ -46,6 +46,30 @@ def expected(rows, bad, leaks):
     return out
 
 
+def rows_of(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+
+def test_near_copies_are_dropped_by_row(spark):
+    a, b, c, d = (prose(k, 80) for k in (1, 2, 3, 4))
+    near = " ".join(d.split()[:72])  # 68 of 76 shingles
+    rows = [(1, a), (5, a), (5, c), (None, b), (9, b), (None, near), (None, d), (3, ""), (4, ""), (3, "")]
+    assert rows_of(corpus_pipeline.drop_near_copies(spark, frame(spark, rows), "")) in (
+        sorted([(1, a), (5, c), (9, b), (None, x), (3, ""), (4, "")], key=repr) for x in (d, near))
+    assert rows_of(corpus_pipeline.drop_near_copies(spark, frame(spark, []), "")) == []
+
+
+def test_leaks_are_dropped_by_row(spark, sf_dir):
+    item, clean, other = prose(21, 60), prose(22, 80), prose(23, 80)
+    at = sf_dir(benchmark=spark.createDataFrame([(1, item), (None, prose(24, 60))], "item_id long, text string"))
+    rows = [(1, clean + " " + item), (None, item), (2, clean), (2, item + " " + other), (None, other)]
+    assert rows_of(corpus_pipeline.drop_leaks(spark, frame(spark, rows), at)) == sorted([(2, clean), (None, other)], key=repr)
+
+
 def test_pipeline_against_brute_force(spark, sf_dir):
     rows, bench, bad, leaks = corpus()
     odd = [(i + ODD if i is not None else None, t) for i, t in odd_rows()]
