@@ -3,7 +3,9 @@ decontamination, tokenization.
 
 Every stage is ``(spark, docs, sf_dir) -> DataFrame`` over all documents that its predecessor
 kept. All but the last return the columns of ``documents``; when a stage changes a text, its
-``n_chars`` follows. Null ids (but for near copies) and empty texts pass through; an empty table stays empty.
+``n_chars`` follows. Stages that look for groups or leaks judge rows, not ids: rows without an id and
+the texts of an id that has several are linked, dropped and kept each for itself. Empty texts pass
+through; an empty table stays empty.
 """
 from __future__ import annotations
 
@@ -29,21 +31,39 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+#: Near copies: shingles of five words, similarity of 0.8 or more.
+COPY_WIDTH, COPY_PERCENT = 5, 80
+LATE = 1 << 62  # after all usual ids
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a ``_key`` per text of an id: the id itself, or, for rows without an id and all
+    but one text of an id with several, a hash of id and text that comes after all usual ids."""
+    h = F.xxhash64("doc_id", "text")
+    several = written(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(h).alias("_least"), F.max(h).alias("_most"))
+                      .filter("_least <> _most").select("doc_id", "_least"), "ids-with-texts")
+    late = h.bitwiseAND(LATE - 1).bitwiseOR(LATE)
+    if several.isEmpty():
+        return docs.withColumn("_key", F.coalesce("doc_id", late))
+    other = F.col("doc_id").isNull() | (F.col("_least") != h)
+    return docs.join(several, "doc_id", "left").withColumn("_key", F.when(other, late).otherwise(F.col("doc_id"))).drop("_least")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked documents the one with the smallest id; of equal rows one. Rows without an
-    id are linked under a hash of their text that comes after all usual ids."""
+    """Of every group of linked documents the one with the smallest id; of equal rows one."""
     small_batches(spark)
-    late = 1 << 62
-    keyed = docs.select(*COLUMNS, F.coalesce("doc_id", F.xxhash64("text").bitwiseAND(late - 1).bitwiseOR(late)).alias("_key"))
-    gone = ngram_join.join(keyed.select(F.col("_key").alias("doc_id"), "text")).filter("doc_id <> component_id").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(gone, "_key", "left_anti").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    docs = keyed(docs.select(*COLUMNS))
+    linked = ngram_join.join(docs.select(F.col("_key").alias("doc_id"), "text"), COPY_WIDTH, COPY_PERCENT)
+    gone = linked.filter("doc_id <> component_id").select(F.col("doc_id").alias("_key")).distinct()
+    return docs.join(gone, "_key", "left_anti").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark."""
     small_batches(spark)
-    leaks = decontaminate.find_leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    docs = keyed(docs.select(*COLUMNS))
+    leaks = decontaminate.find_leaks(docs.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return docs.join(leaks.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
