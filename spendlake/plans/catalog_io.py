@@ -643,11 +643,17 @@ def append_sink(spark: SparkSession, sf: str) -> DataFrame:
 _EVENT_CSV_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double"
 
 
-def _event_files(spark, sf) -> str:
-    root = scratch_path(spark, "events-csv")
-    table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value") \
-        .write.option("header", True).csv(root)
-    return root
+BATCHES = 4
+
+
+def _event_batches(spark, sf, folder: str):
+    """Appends the events to ``folder`` as CSV files, a ``BATCHES``-th of the event ids at a time; yields after each."""
+    ev = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    ids = ev.agg(F.min("event_id").alias("a"), F.max("event_id").alias("z")).first()
+    part = F.floor((F.col("event_id") - ids.a) * BATCHES / (ids.z - ids.a + 1))
+    for k in range(BATCHES):
+        ev.where(part == k).write.mode("append").option("header", True).csv(folder)
+        yield k
 
 
 def _event_txn(df: DataFrame) -> DataFrame:
@@ -659,25 +665,29 @@ def _event_txn(df: DataFrame) -> DataFrame:
 @query("stream_ingest_append", (
     f"SELECT DISTINCT transaction_id, date, amount, account FROM ({_IDS_E}) _i"))
 def stream_ingest_append(spark: SparkSession, sf: str) -> DataFrame:
-    """Events exported as CSV, read as a file stream (availableNow), appended
-    through an idempotent foreachBatch with id anti join; the target read back."""
+    """Events arriving as CSV in several batches, read as a file stream (availableNow), appended
+    through an idempotent foreachBatch with id anti join, the last batch replayed; the target read back."""
     from spendlake.streaming import stream as ST
-    src = _event_files(spark, sf)
-    target = scratch_path(spark, "stream-target")
-    s = ST.statement_stream(spark, src, _EVENT_CSV_SCHEMA, lambda d: V.add_transaction_id(_event_txn(d)))
-    ST.run_available(s, ST.append_batch(target, order="event_id"), scratch_path(spark, "stream-ckpt"))
+    src, target, ckpt = (scratch_path(spark, f"stream-{x}") for x in ("in", "target", "ckpt"))
+    append, last = ST.append_batch(target, order="event_id"), {}
+
+    def run(df, batch_id):
+        append(df, batch_id)
+        last["id"], last["rows"] = batch_id, df.count()
+    for _ in _event_batches(spark, sf, src):
+        ST.run_available(ST.statement_stream(spark, src, _EVENT_CSV_SCHEMA, lambda d: V.add_transaction_id(_event_txn(d))), run, ckpt)
+    again = spark.read.schema(_EVENT_CSV_SCHEMA).option("header", True).csv(src)
+    append(V.add_transaction_id(_event_txn(again)), last["id"])  # a replay of the last batch, with all rows
     return spark.read.parquet(target).select("transaction_id", "date", "amount", "account")
 
 
 @query("stream_learn", _LEARN_SQL)
 def stream_learn(spark: SparkSession, sf: str) -> DataFrame:
-    """T4: categorization with learning over a file stream (memory carried by snapshots)."""
+    """T4: categorization with learning over a file stream of several batches (each adds what it learns)."""
     from spendlake.streaming import stream as ST
-    src = _event_files(spark, sf)
-    labels, mem = scratch_path(spark, "stream-labels"), scratch_path(spark, "stream-memory")
-    s = ST.statement_stream(spark, src, _EVENT_CSV_SCHEMA, _event_txn)
-    ST.run_available(s, ST.learn_batch(labels, mem, "event_id", RULES_E_MAP, 80),
-                     scratch_path(spark, "stream-ckpt"))
+    src, labels, mem, ckpt = (scratch_path(spark, f"stream-{x}") for x in ("in", "labels", "memory", "ckpt"))
+    for _ in _event_batches(spark, sf, src):
+        ST.run_available(ST.statement_stream(spark, src, _EVENT_CSV_SCHEMA, _event_txn), ST.learn_batch(labels, mem, "event_id", RULES_E_MAP, 80), ckpt)
     out = spark.read.parquet(labels)
     return out.select("event_id", F.round("confidence", 6).alias("confidence"), "category", "matched_by")
 
@@ -778,15 +788,49 @@ def transaction_id_exact(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("stream_dedupe", f"SELECT DISTINCT transaction_id, date, amount, account FROM ({_IDS_E}) _i")
 def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    """File stream deduplicated by id within a watermark horizon (30 days covers the
+    """File stream of several batches deduplicated by id within a watermark horizon (30 days covers the
     whole event month), written through foreachBatch and read back."""
     from spendlake.streaming import stream as ST
-    src = _event_files(spark, sf)
-    out = scratch_path(spark, "stream-dedupe")
-    s = ST.statement_stream(spark, src, _EVENT_CSV_SCHEMA, lambda d: V.add_transaction_id(_event_txn(d)))
-    s = ST.dedupe_stream(s, "date", "30 days")
+    src, out, ckpt = (scratch_path(spark, f"stream-{x}") for x in ("in", "dedupe", "ckpt"))
 
     def write(df, batch_id):
         df.drop("_event_ts").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-    ST.run_available(s, write, scratch_path(spark, "stream-ckpt"))
+    for _ in _event_batches(spark, sf, src):
+        s = ST.statement_stream(spark, src, _EVENT_CSV_SCHEMA, lambda d: V.add_transaction_id(_event_txn(d)))
+        ST.run_available(ST.dedupe_stream(s, "date", "30 days"), write, ckpt)
     return spark.read.parquet(out).select("transaction_id", "date", "amount", "account")
+
+
+_COARSE_SQL = ("SELECT event_id, CAST(ts AS DATE) AS date, upper(event_type) AS description, floor(value / 50) * 50 AS amount, 'all' AS account FROM events")
+
+
+def _coarse_txn(df: DataFrame) -> DataFrame:
+    """Events by day, type and amount in steps of 50: many rows of one id."""
+    return df.select("event_id", F.to_date("ts").alias("date"), F.upper("event_type").alias("description"),
+                     (F.floor(F.col("value") / 50) * 50.0).alias("amount"), F.lit("all").alias("account"))
+
+
+@query("stream_dedupe_first", (
+    "SELECT transaction_id, min(event_id) AS event_id FROM (SELECT event_id, " + O.txn_id("date", "merchant", "amount", "account") + " AS transaction_id FROM ("
+    + O.merchant_select(_COARSE_SQL, "description") + ") _m) _i GROUP BY transaction_id"))
+def stream_dedupe_first(spark: SparkSession, sf: str) -> DataFrame:
+    """T3, first wins: events arriving in several batches, the later ids first; one row far ahead ends the
+    stream, so that the watermark passes all others."""
+    from spendlake.streaming import stream as ST
+    src, out, ckpt = (scratch_path(spark, f"stream-{x}") for x in ("in", "first", "ckpt"))
+
+    def write(df, batch_id):
+        df.select("transaction_id", "event_id").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    def run():
+        s = ST.statement_stream(spark, src, _EVENT_CSV_SCHEMA, lambda d: V.add_transaction_id(_coarse_txn(d)))
+        ST.run_available(ST.first_by_id(s, "date", "event_id", "40 days"), write, ckpt)
+    ev = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    for k in reversed(range(BATCHES)):  # rows of one id come in several batches, the smallest event id often last
+        ev.where(F.pmod(F.col("event_id"), F.lit(BATCHES)) == k).write.mode("append").option("header", True).csv(src)
+        run()
+    end = table(spark, sf, "events").agg(F.max("ts").alias("ts")).select(
+        F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("interval 1000 days")).alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"))
+    end.write.mode("append").option("header", True).csv(src)
+    run()
+    return spark.read.parquet(out).where("event_id >= 0").select("transaction_id", "event_id")

@@ -5,11 +5,13 @@ T1 file ingest: ``readStream`` CSV with a fixed schema; the stream checkpoint is
 T2 idempotent append: ``foreachBatch`` writes the unseen rows of each micro-batch to
    ``<target>/batch_id=<n>`` with overwrite, so a replayed batch replaces its own output and
    never duplicates it; the anti join only looks at earlier batches.
-T3 dedupe by id: ``dropDuplicatesWithinWatermark`` on the id with a stated horizon (the
-   exact variant is T2's anti join).
-T4 learning: ``foreachBatch`` runs the batch learner with the memory snapshot left by the
-   previous batch and writes the next snapshot (``<memory>/batch_id=<n>``); replays read
-   the snapshot of the batch before, so batch and stream agree on the same input order.
+T3 dedupe by id: ``dropDuplicatesWithinWatermark`` on the id with a stated horizon, any row of an id
+   survives; ``first_by_id`` keeps the smallest row of an id in state until the watermark
+   has passed it (the exact variant without a horizon is T2's anti join).
+T4 learning: ``foreachBatch`` runs the batch learner with what earlier batches have learned and
+   writes what this one adds (``<memory>/batch_id=<n>``): a merchant is learned once, so the parts
+   are disjoint and a batch writes no more than it learns. A replay reads the batches before it,
+   so batch and stream agree on the same input order.
 """
 from __future__ import annotations
 
@@ -89,16 +91,20 @@ def learn_batch(labels_path: str, memory_path: str, order: str, rules=None,
     """T4: the ``foreachBatch`` function of categorization with learning across batches."""
     def run(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        # the snapshot of the latest earlier batch, found by listing (no data scanned)
-        earlier = [b for b in _batch_ids(spark, memory_path) if b < batch_id]
-        memory = (spark.read.parquet(f"{memory_path}/batch_id={earlier[-1]}").select("merchant", "category")
-                  if earlier else None)
-        labeled, new_mem = categorize_learn(df, order, rules, memory, threshold, description)
+        memory = learned(spark, memory_path, batch_id)
+        labeled, all_mem = categorize_learn(df, order, rules, memory, threshold, description)
+        added = all_mem if memory is None else all_mem.join(memory.select("merchant"), "merchant", "left_anti")
         labeled.write.mode("overwrite").parquet(f"{labels_path}/batch_id={batch_id}")
-        new_mem.write.mode("overwrite").parquet(f"{memory_path}/batch_id={batch_id}")
+        added.write.mode("overwrite").parquet(f"{memory_path}/batch_id={batch_id}")
     return run
 
 
+def learned(spark: SparkSession, memory_path: str, before: int | None = None) -> DataFrame | None:
+    """What the batches (before a given one) have learned: (merchant, category); None if there are none."""
+    parts = [f"{memory_path}/batch_id={b}" for b in _batch_ids(spark, memory_path) if before is None or b < before]
+    return spark.read.parquet(*parts).select("merchant", "category") if parts else None
+
+
 def run_available(stream: DataFrame, fn, checkpoint: str) -> None:
     """Process everything available now, then stop (``trigger(availableNow=True)``)."""
     q = (stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
@@ -113,3 +119,15 @@ def dedupe_stream(df: DataFrame, event_time: str | Column, horizon: str = "7 day
             .withWatermark("_event_ts", horizon)
             .dropDuplicatesWithinWatermark(["transaction_id"]))
 
+
+
+def first_by_id(df: DataFrame, event_time: str | Column, order: str, horizon: str = "7 days") -> DataFrame:
+    """T3, first wins: of the rows of an id that come within ``horizon`` of each other (in event time, in whatever
+    order they arrive) the one with the smallest ``order``. State holds that row per id; it is
+    emitted, once, when the watermark (``horizon`` behind the latest event) has passed the last of them
+    by ``horizon``, so at the end of a stream the youngest ids are still held. Rows without an id are grouped as one id is."""
+    columns = df.columns
+    ts = (F.col(event_time) if isinstance(event_time, str) else event_time).cast("timestamp")
+    rows = df.withColumn("_event_ts", ts).withWatermark("_event_ts", horizon)
+    kept = rows.groupBy("transaction_id", F.session_window("_event_ts", horizon)).agg(F.min_by(F.struct(*columns), order).alias("_row"))
+    return kept.select("_row.*")
