@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spendlake.functions import text as X
 from spendlake.functions import values as V
+from spendlake.functions.similarity import score_pairs, token_set
 from spendlake.operators import categorize as C
 from spendlake.operators import dedupe as D
 from spendlake.operators import rules as R
@@ -284,6 +285,34 @@ def fuzzy_category(spark: SparkSession, sf: str, threshold: int = 80) -> DataFra
                       r6(F.coalesce("fuzzy_confidence", F.lit(0.0))).alias("confidence"))
 
 
+_LONG_TEXTS = [(1, 7), (3, 11)]  # start and step of the walk over nations that makes a text
+
+
+def _long_sql(k: int) -> str:
+    a, b = _LONG_TEXTS[k]
+    return (f"SELECT s_suppkey, string_agg(n_name || ' ' || CAST(s_suppkey % (i + {a}) AS VARCHAR), ' ' ORDER BY i) AS t FROM "
+            f"(SELECT s_suppkey, s_nationkey, unnest(range(7 + s_suppkey % 25)) AS i FROM supplier) _s "
+            f"JOIN nation ON n_nationkey = (s_nationkey * {a} + i * {b}) % 25 GROUP BY s_suppkey")
+
+
+@query("fuzzy_long_keywords", (
+    f"WITH p AS (SELECT a.s_suppkey, {O.tokens('a.t')} AS a, {O.tokens('b.t')} AS b FROM ({_long_sql(0)}) a JOIN ({_long_sql(1)}) b ON a.s_suppkey = b.s_suppkey) "
+    f"SELECT s_suppkey, length(y) AS pattern, round({O.token_set_score('a', 'b')}, 6) AS score FROM ({O.token_set_prep('SELECT * FROM p', 'a', 'b', O.long_lcs)}) _l"))
+def fuzzy_long_keywords(spark: SparkSession, sf: str) -> DataFrame:
+    """F9 between two long texts per supplier; patterns of up to 400 characters and more take several words."""
+    nation = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("n"), "n_name")
+    pairs = None
+    for name, (a, b) in zip("ab", _LONG_TEXTS):
+        walk = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", F.explode(F.sequence(F.lit(0), (F.col("s_suppkey") % 25 + 6).cast("int"))).alias("i"))
+        piece = F.concat_ws(" ", "n_name", (F.col("s_suppkey") % (F.col("i") + a)).cast("string"))
+        text = (walk.withColumn("n", ((F.col("s_nationkey") * a + F.col("i") * b) % 25).cast("long")).join(nation, "n").groupBy("s_suppkey")
+                .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", piece.alias("p")))), lambda x: x["p"]), " ").alias(name)))
+        pairs = text if pairs is None else pairs.join(text, "s_suppkey")
+    pairs = pairs.select("s_suppkey", token_set("a").alias("a"), token_set("b").alias("b"))
+    pattern = F.length(F.array_join(F.array_except("b", "a"), " "))
+    return score_pairs(pairs.withColumn("pattern", pattern.cast("long")), "a", "b").select("s_suppkey", "pattern", r6(F.col("score")).alias("score"))
+
+
 def _categorize_sql(base_sql: str, rows, threshold: int, memory_sql: str | None, cols: str) -> str:
     """SQL twin of categorize(): returns base columns + mem/fuzzy/keyword results."""
     keyed = O.merchant_select(base_sql, "description", out="merchant")
@@ -311,7 +340,7 @@ def _label_sql(src: str, cols: str) -> str:
             f"WHEN keyword_category IS NOT NULL THEN 'keyword' ELSE 'default' END AS matched_by FROM ({src}) _lb")
 
 
-_MEM_P_SQL = ("SELECT merchant, 'Hardware ' || max(p_brand) AS category FROM ("
+_MEM_P_SQL = ("SELECT merchant, max(c) AS category FROM ("
               + O.merchant_select(MEMORY_P_SQL_SRC, "p_name") + ") _mp GROUP BY merchant")
 
 

@@ -193,19 +193,19 @@ def export_projection(spark: SparkSession, sf: str) -> DataFrame:
 
 # --------------------------------------------------------------------- memory and rules
 
-_UPSERT_PAIRS = O.merchant_select("SELECT p_name, p_type, p_partkey FROM part", "p_name")
-_MEMP = ("SELECT merchant, 'Hardware ' || max(p_brand) AS category FROM ("
+_UPSERT_PAIRS = O.merchant_select("SELECT p_name || CASE WHEN p_name LIKE '%t' THEN ' extra' ELSE '' END AS p_name, p_type, p_partkey FROM part", "p_name")
+_MEMP = ("SELECT merchant, max(c) AS category FROM ("
          + O.merchant_select(MEMORY_P_SQL_SRC, "p_name") + ") _mp GROUP BY merchant")
 _UPSERT_SQL = (f"WITH n AS (SELECT merchant, arg_max(p_type, p_partkey) AS category FROM ({_UPSERT_PAIRS}) _u "
-               f"WHERE merchant <> '' AND merchant NOT LIKE '%t' GROUP BY merchant) "
+               f"WHERE merchant <> '' GROUP BY merchant) "
                f"SELECT merchant, category FROM ({_MEMP}) _o WHERE merchant NOT IN (SELECT merchant FROM n) "
                "UNION ALL SELECT merchant, category FROM n")
 
 
 def _upserted(spark, sf):
     part = table(spark, sf, "part")
-    pairs = part.select(F.col("p_name").alias("merchant"), F.col("p_type").alias("category"), "p_partkey")
-    pairs = pairs.where(~X.merchant_name("merchant").endswith("t"))
+    name = F.when(F.col("p_name").endswith("t"), F.concat("p_name", F.lit(" extra"))).otherwise(F.col("p_name"))  # new keys beside the old
+    pairs = part.select(name.alias("merchant"), F.col("p_type").alias("category"), "p_partkey")
     return M.learn_batch(memory_from_part(spark, sf), pairs, version="p_partkey")
 
 

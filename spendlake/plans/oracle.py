@@ -55,7 +55,15 @@ def token_set_score(a: str, b: str) -> str:
             f"WHEN s = 0 THEN {r1} ELSE greatest({r1}, {rab}, {rba}) END")
 
 
-def token_set_prep(src: str, a: str, b: str) -> str:
+def long_lcs(x: str, y: str) -> str:
+    """LCS of texts of any length by the classical table, a row per character of ``x``: the running maximum
+    of a row is the last row's value plus one where characters match, or what stands left of it."""
+    row = (f"list_reduce(range(1, length({y}) + 1), lambda acc, j: list_append(acc, greatest(acc[len(acc)], prev[j + 1], "
+           f"CASE WHEN {y}[j] = c THEN prev[j] + 1 ELSE 0 END)), [0::BIGINT])")
+    return (f"list_reduce(string_split({x}, ''), lambda prev, c: {row}, list_transform(range(length({y}) + 1), lambda q: 0::BIGINT))[length({y}) + 1]")
+
+
+def token_set_prep(src: str, a: str, b: str, lcs=lcs) -> str:
     """Adds inter, xa, yb, x, y, s, sep, lcs_len to ``src`` (which has list columns a, b)."""
     step1 = (f"SELECT *, list_filter({a}, lambda t: list_contains({b}, t)) AS inter, "
              f"list_filter({a}, lambda t: NOT list_contains({b}, t)) AS xa, "

@@ -69,11 +69,10 @@ BUDGETS = {"Jewelry": 1_000_000.0, "Tools": 5_000_000.0, "Goods": 2_500_000.0,
 
 
 def memory_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Learned merchants derived from part: rods and bolts, category from the brand."""
-    part = table(spark, sf_dir, "part")
-    hw = part.where(F.col("p_name").endswith(" rod") | F.col("p_name").endswith(" bolt"))
-    return (hw.groupBy(merchant_name("p_name").alias("merchant"))
-            .agg(F.concat(F.lit("Hardware "), F.max("p_brand")).alias("category")))
+    """Learned merchants derived from part: a category from the brand for rods and bolts, none (empty) for the others."""
+    hardware = F.col("p_name").endswith(" rod") | F.col("p_name").endswith(" bolt")
+    category = F.when(hardware, F.concat(F.lit("Hardware "), "p_brand")).otherwise("")
+    return table(spark, sf_dir, "part").groupBy(merchant_name("p_name").alias("merchant")).agg(F.max(category).alias("category"))
 
 
-MEMORY_P_SQL_SRC = ("SELECT p_name, p_brand FROM part WHERE p_name LIKE '% rod' OR p_name LIKE '% bolt'")
+MEMORY_P_SQL_SRC = ("SELECT p_name, CASE WHEN p_name LIKE '% rod' OR p_name LIKE '% bolt' THEN 'Hardware ' || p_brand ELSE '' END AS c FROM part")

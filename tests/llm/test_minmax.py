@@ -40,7 +40,7 @@ def got(df):
     return sorted((tuple(r) for r in df.select("doc_id", "n_shingles", "component_id", "kept").collect()), key=repr)
 
 
-@pytest.mark.parametrize("seed,sets", [(1, M.SETS), (2, 3), (3, 7)])
+@pytest.mark.parametrize("seed,sets", [(1, M.SETS), (2, 3)])
 def test_groups_equal_all_pairs(docs_of, monkeypatch, seed, sets):
     monkeypatch.setattr(M, "SETS", sets)
     rows = corpus(seed)
