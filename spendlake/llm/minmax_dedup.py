@@ -161,13 +161,18 @@ def leftovers(buckets: DataFrame, sizes: DataFrame, labels: DataFrame) -> DataFr
     return left.unionByName(right)
 
 
-def thinned(edges: DataFrame) -> DataFrame:
-    """Edges that connect the same nodes: of every node the one to its smallest neighbour, and that neighbour's to the others.
-    Nodes of a group share their few centres, so most of the latter are the same."""
-    edges = written(edges.distinct(), "confirmed-edges")
-    least = edges.groupBy("a").agg(F.min("b").alias("least"))
-    between = edges.join(least, "a").filter("b <> least").select(F.col("least").alias("a"), "b").distinct()
-    return least.select("a", F.col("least").alias("b")).unionByName(between)
+def connected(edges: DataFrame) -> DataFrame:
+    """``node, label`` (smallest node that can be reached) of edges ``a, b`` with ``b < a``. Every node hangs on its
+    smallest neighbour, and that neighbour is joined to the node's others; most nodes are no one's
+    neighbour, so only the few centres go through the rounds of ``components``, and the others take their centre's label."""
+    edges = written(edges.filter("b < a").distinct(), "confirmed-edges")
+    least = written(edges.groupBy("a").agg(F.min("b").alias("least")), "smallest-neighbours")
+    between = edges.join(least, "a").filter("b <> least").select(F.col("least").alias("a"), "b")
+    centres = edges.select(F.col("b").alias("a")).distinct()
+    inner = least.join(centres, "a", "left_semi").select("a", F.col("least").alias("b"))
+    core = components(between.unionByName(inner).distinct()).withColumnRenamed("node", "least")
+    hung = least.join(centres, "a", "left_anti").select(F.col("a").alias("node"), "least").unionByName(centres.select(F.col("a").alias("node"), F.col("a").alias("least")))
+    return written(hung.join(core, "least", "left").select("node", F.coalesce("label", "least").alias("label")), "connected")
 
 
 def groups_of(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -196,7 +201,7 @@ def groups_of(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Da
     two = two.filter("min_s1 <> max_s1 or min_s2 <> max_s2").select("doc_id")
     ids = every.join(two, "doc_id", "left_semi").join(classes.select("s1", "s2", "rep"), ["s1", "s2"])
     edges = confirmed(stars(buckets, sizes), content, percent).unionByName(written(ids.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "same-ids"))
-    first = components(thinned(edges))
+    first = connected(edges)
     labels = written(needed.join(first, F.col("rep") == F.col("node"), "left").select("c", F.coalesce("label", "rep").alias("label")), "labels")
     more = confirmed(leftovers(buckets, sizes, labels), content, percent)
     # the links found last connect labels of the first round: few are left of them
