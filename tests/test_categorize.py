@@ -200,8 +200,8 @@ def test_long_patterns(spark):
     """F9 with patterns of 63 to 400 characters: several words, carries between them."""
     rnd = random.Random(6)
     text = lambda n: "".join(rnd.choice("ab cdé") for _ in range(n))
-    rows = [(text(rnd.randint(1, 420)), text(n)) for n in (63, 64, 124, 125, 186, 187, 250, 311, 400) for _ in range(2)]
-    rows += [("a" * 130, "a" * 125), (text(200),) * 2, ("", text(70)), (text(70), "")]
+    rows = [(text(rnd.randint(1, 150)), text(n)) for n in (63, 64, 124, 125, 187, 400)]
+    rows += [("a" * 130, "a" * 125), (text(90),) * 2, ("", text(70)), (text(70), "")]
     df = spark.createDataFrame(rows, "a string, b string")
     assert [r.n for r in df.select(S.lcs_words("a", "b").alias("n")).collect()] == [py_lcs(a, b) for a, b in rows]
     got = df.select(F.round(S.token_set_ratio("a", "b"), 9).alias("s")).collect()

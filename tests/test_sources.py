@@ -15,7 +15,7 @@ def test_statement_lines(spark):
              "Statement date 2024-01-15", "2024-01-15 Y 12.345", "2024-01-15 NOTHING", "no date 5.00", "   "]
     df = spark.createDataFrame([(i, s) for i, s in enumerate(lines)], "i int, value string")
     got = [(r.date_text, r.description, r.amount_text, r.amount)
-           for r in LN.parse_lines(df).orderBy("i").collect()]
+           for r in LN.parse_lines(df, keep_sign=False).orderBy("i").collect()]
     assert got == [("2024-01-15", "COFFEE SHOP", "5.50", 5.5), ("01/15/2024", "REFUND", "1,234.56", 1234.56),
                    ("15-Jan-24", "ATM", "20", 20.0), ("2024-01-15", "", "15", 15.0),
                    ("2024-01-15", "Y 12.", "345", 345.0)]
@@ -234,8 +234,8 @@ def test_fixed_roles_read_and_table_options(spark, tmp_path):
 
 def test_cells_keep_sign(spark):
     df = spark.createDataFrame([(["2024-01-15", "REFUND", "-$12.50"],)], "cells array<string>")
-    assert LN.parse_cells(df).first().amount == 12.5
-    assert LN.parse_cells(df, keep_sign=True).first().amount == -12.5
+    assert LN.parse_cells(df, keep_sign=False).first().amount == 12.5
+    assert LN.parse_cells(df).first().amount == -12.5
 
 
 def test_stream_learning_equals_batch_over_many_micro_batches(spark, tmp_path):
