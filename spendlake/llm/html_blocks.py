@@ -7,7 +7,7 @@ written in numpy, reads the page's whole sequence of vectors and labels every bl
 text or not, so that a block is judged with what stands before and after it.
 
 The network is trained on a bounded sample of pages (``max_pages``, the first by a hash of
-the url and id; a documented bound). Its teacher is the pages' own markup: blocks under
+url, id and html; a documented bound). Its teacher is the pages' own markup: blocks under
 elements or class names that stand for navigation, adverts, forms, comments and the like
 (``ASIDE``) are not main text; blocks under ``article`` or ``main`` are, and elsewhere
 paragraphs, headings, list items, quotes, code and cells are. Scripts, styles and the head
@@ -20,6 +20,7 @@ Repeated rows get equal results; columns of the input named ``text`` are replace
 """
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 import zlib
@@ -36,7 +37,13 @@ MAX_PAGES, EPOCHS, HIDDEN, RATE = 600, 6, 16, 0.02
 PATH_DIM, WORD_DIM = 48, 32
 
 #: Elements whose content is no page text.
-SILENT = frozenset("script style noscript template head svg math iframe object select textarea canvas audio video".split())
+SILENT = frozenset("script style noscript template head title svg math iframe object select textarea canvas audio video".split())
+#: Elements that may stand in the head; any other ends it.
+HEAD_TAGS = frozenset("html head title meta link script style base noscript template".split())
+#: Elements of page text: each ends an open drawing, formula or choice list.
+BREAKS_OUT = frozenset("article aside b big blockquote body br center code dd div dl dt em footer form h1 h2 h3 h4 h5 h6 header hr i img "
+                       "li main menu nav ol p pre s section small span strike strong sub sup table tt u ul".split())
+ENDED_BY_TEXT = frozenset("svg math select".split())
 #: Elements that do not end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s "
                    "samp small span strike strong sub sup time tt u var wbr".split())
@@ -57,35 +64,101 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 ENDS_P = frozenset("address article aside blockquote details dialog div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr "
                    "main menu nav ol p pre section table ul".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)(?:>|\Z)", re.S)
+_ASIDE = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_STOP = re.compile(r"=\s*([\"'])|>")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe")}
 _BLANK = re.compile(r"[ \t\n\r\f\v  -     　 \x85]+")
 
 
+def tag_end(page: str, at: int, last: dict[str, int]) -> tuple[int, int]:
+    """End of a tag's attributes and of the tag. A ``>`` in a quoted value does not end the tag,
+    unless the value's second quote is missing: none follows, or the next one opens the value of
+    a later tag or stands inside a word. ``last`` has the last place of each quote in the page."""
+    while True:
+        m = _STOP.search(page, at)
+        if m is None:
+            return len(page), len(page)
+        if m[1] is None:
+            return m.start(), m.end()
+        begin = m.end()
+        close = page.find(m[1], begin) if begin <= last[m[1]] else -1
+        inner = page.find(">", begin, close if close >= 0 else len(page))
+        if inner >= 0 and (close < 0 or page[close + 1:close + 2] not in ("", " ", "\t", "\n", "\r", "\f", "/", ">")
+                           or page[begin:close].rstrip().endswith("=")):
+            return inner, inner + 1
+        if close < 0:
+            return len(page), len(page)
+        at = close + 1
+
+
+class Place:
+    """What stands open around a block, made from the place outside it and one more element: a
+    deep stack costs no more than a flat one. ``seen`` holds the slots of all names and marks as
+    bits, ``near`` the last two names that end blocks."""
+    __slots__ = ("seen", "near", "kinds", "marked")
+
+    def __init__(self, seen: int = 0, near: tuple = (), kinds: int = 0, marked: bool = False):
+        self.seen, self.near, self.kinds, self.marked = seen, near, kinds, marked
+
+    def inside(self, name: str, marks: str) -> "Place":
+        seen, kinds, marked = _element(name, marks)
+        if not seen and not marked and name in INLINE:
+            return self
+        near = self.near if name in INLINE else (*self.near[-1:], name)
+        return Place(self.seen | seen, near, self.kinds | kinds, self.marked or marked)
+
+
+ASIDE_KIND, HEADER_KIND, MAIN_KIND, TEXT_KIND = 1, 2, 4, 8
+
+
+@functools.lru_cache(maxsize=100_000)
+def _element(name: str, marks: str) -> tuple[int, int, bool]:
+    """Slots, kinds and an aside word of one element."""
+    seen = kinds = 0
+    if name not in INLINE:
+        seen |= 1 << _slot("tag", name, PATH_DIM)
+        kinds = (ASIDE_KIND * (name in ASIDE_TAGS and name != "header") | HEADER_KIND * (name == "header")
+                 | MAIN_KIND * (name in MAIN_TAGS) | TEXT_KIND * (name in TEXT_TAGS))
+    for w in re.split(r"[^A-Za-z0-9]+", marks.lower()):
+        if w:
+            seen |= 1 << _slot("mark", w, PATH_DIM)
+    return seen, kinds, ASIDE_WORDS.search(marks) is not None
+
+
 class Block:
-    __slots__ = ("path", "marks", "text", "link", "parts", "linked")
+    __slots__ = ("place", "text", "link", "parts", "linked")
 
-    def __init__(self, path, marks):
-        self.path, self.marks, self.parts, self.linked, self.text, self.link = path, marks, [], 0, "", 0.0
+    def __init__(self, place):
+        self.place, self.parts, self.linked, self.text, self.link = place, [], 0, "", 0.0
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Leaf blocks of a page in order, tolerant of unclosed and unmatched tags."""
-    stack: list[tuple[str, str]] = []  # open elements: name, class/id/role words
+    """Leaf blocks of a page in order, tolerant of unclosed and unmatched tags, as browsers are:
+    a head without an end tag ends at the first element or text of the body, drawings, formulas
+    and choice lists at the first element of page text. Open elements are found by name, so that
+    time grows with the length of the page, however broken."""
+    stack: list[tuple[str, Place]] = []  # open elements and what they make of their content
+    where: dict[str, list[int]] = {}  # name -> its places in the stack
+    solid: list[int] = []  # places of the elements that end a block
     silent = links = 0
     out: list[Block] = []
     now: Block | None = None
     at, size = 0, len(page)
+    last = {q: page.rfind(q) for q in "\"'"}
+    outside = Place()
 
     def text(raw: str) -> None:
         nonlocal now
-        if silent or not raw:
+        if not raw or now is None and raw.isspace():
+            return
+        if stack and stack[-1][0] == "head":
+            pop(len(stack) - 1)
+        if silent:
             return
         if now is None:
-            if raw.isspace():
-                return
-            now = Block(tuple(n for n, _ in stack if n not in INLINE), " ".join(m for _, m in stack if m))
+            now = Block(stack[-1][1] if stack else outside)
         raw = entities.unescape(raw) if "&" in raw else raw
         now.parts.append(raw)
         if links:
@@ -103,55 +176,55 @@ def blocks_of(page: str) -> list[Block]:
     def pop(to: int) -> None:
         nonlocal silent, links
         for n, _ in stack[to:]:
+            where[n].pop()
             silent -= n in SILENT
             links -= n == "a"
+        while solid and solid[-1] >= to:
+            solid.pop()
         del stack[to:]
 
+    def top(names) -> int:
+        """Place of the innermost open element of these names, -1 without one."""
+        return max((where[n][-1] for n in names if where.get(n)), default=-1)
+
     while at < size:
         lt = page.find("<", at)
         if lt < 0:
             text(page[at:])
             break
-        m = _TOKEN.match(page, lt)
-        if m is None:  # a bare "<" is text
-            text(page[at:lt + 1])
-            at = lt + 1
+        m = _NAME.match(page, lt)
+        if m is None:
+            note = _ASIDE.match(page, lt)
+            text(page[at:lt] if note else page[at:lt + 1])  # a bare "<" is text
+            at = note.end() if note else lt + 1
             continue
         text(page[at:lt])
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            continue
+        name = m[2].lower()
+        stop, at = tag_end(page, m.end(), last)
         if name not in INLINE:
             end()
         elif name == "br":
             text(" ")
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop(k)
-                    break
+            if where.get(name):
+                pop(where[name][-1])
             continue
-        if name in VOID or m[4]:
+        if name not in HEAD_TAGS and where.get("head"):
+            pop(where["head"][-1])
+        if silent and name in BREAKS_OUT and (k := top(ENDED_BY_TEXT)) > top(("foreignobject", "desc")):
+            pop(k)
+        if name in VOID or page[stop - 1] == "/" and stop > m.end():
             continue
-        if name in ENDS_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    pop(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        if name in CLOSES:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in CLOSES[name]:
-                    pop(k)
-                    break
-                if stack[k][0] in ("ul", "ol", "dl", "table", "tbody", "select"):
-                    break
-        if name == "body":  # a head left open ends here
-            pop(0)
-        marks = " ".join(a or b or c for _, a, b, c in _ATTR.findall(m[3])) if m[3] else ""
-        stack.append((name, marks))
+        if name in ENDS_P and solid and stack[solid[-1]][0] == "p":
+            pop(solid[-1])
+        if name in CLOSES and (k := top(CLOSES[name])) > top(("ul", "ol", "dl", "table", "tbody", "select")):
+            pop(k)
+        marks = " ".join(a or b or c for _, a, b, c in _ATTR.findall(page, m.end(), stop)) if stop > m.end() else ""
+        place = (stack[-1][1] if stack else outside).inside(name, marks)
+        where.setdefault(name, []).append(len(stack))
+        if name not in INLINE:
+            solid.append(len(stack))
+        stack.append((name, place))
         silent += name in SILENT
         links += name == "a"
         if name in _RAW_END:
@@ -163,12 +236,10 @@ def blocks_of(page: str) -> list[Block]:
 
 def teacher(b: Block) -> int:
     """Label that the markup itself suggests."""
-    inside = set(b.path)
-    if inside & ASIDE_TAGS and not ("header" in inside and inside & MAIN_TAGS and not inside & (ASIDE_TAGS - {"header"})):
-        return 0
-    if ASIDE_WORDS.search(b.marks):
+    kinds = b.place.kinds
+    if kinds & ASIDE_KIND or kinds & HEADER_KIND and not kinds & MAIN_KIND or b.place.marked:
         return 0
-    return int(bool(inside & MAIN_TAGS) or bool(inside & TEXT_TAGS))
+    return int(bool(kinds & (MAIN_KIND | TEXT_KIND)))
 
 
 def _slot(kind: str, value: str, dim: int) -> int:
@@ -186,19 +257,14 @@ class Features:
         self.words: dict = {}
 
     def path(self, b: Block) -> np.ndarray:
-        key = (b.path, b.marks)
+        key = (b.place.seen, b.place.near)
         v = self.paths.get(key)
         if v is None:
-            v = np.zeros(PATH_DIM, np.float32)
-            for n in b.path:
-                v[_slot("tag", n, PATH_DIM)] = 1
-            for n in b.path[-2:]:
-                v[_slot("near", n, PATH_DIM)] = 1
-            v[_slot("leaf", b.path[-1] if b.path else "", PATH_DIM)] = 1
-            for w in re.split(r"[^A-Za-z0-9]+", b.marks.lower()):
-                if w:
-                    v[_slot("mark", w, PATH_DIM)] = 1
-            self.paths[key] = v
+            bits = b.place.seen
+            for n in b.place.near:
+                bits |= 1 << _slot("near", n, PATH_DIM)
+            bits |= 1 << _slot("leaf", b.place.near[-1] if b.place.near else "", PATH_DIM)
+            v = self.paths[key] = np.array([bits >> k & 1 for k in range(PATH_DIM)], np.float32)
         return v
 
     def slots(self, words: list[str]) -> list[int]:
@@ -330,12 +396,16 @@ def pad(rows):
 
 
 def fit(pages: DataFrame, max_pages: int = MAX_PAGES) -> BiLstm:
-    """Train on at most ``max_pages`` pages (``page_id, url, html``), chosen by hash. The sample
-    reaches the driver as raw pages: a bounded number."""
-    rows = (pages.filter(F.length("html") > 0).orderBy(F.xxhash64("page_id", "url"), "page_id").limit(max_pages)
-            .select("html").collect())
+    """Train on at most ``max_pages`` distinct pages (``page_id, url, html``) with the smallest
+    hashes. Only pages under a mark, set by the number of different pages so that about twice
+    as many as wanted are left, go further: what reaches the driver does not grow."""
+    pages = pages.filter(F.length("html") > 0).select("html", F.xxhash64("page_id", "url", "html").alias("h"))
+    total = pages.agg(F.approx_count_distinct("h")).first()[0]
+    least, span = -(1 << 63), 1 << 64
+    mark = least + min(span - 1, span * 2 * max_pages // max(1, total))
+    rows = pages.filter(F.col("h") <= mark).dropDuplicates(["h"]).orderBy("h").limit(max_pages).collect()
     f, data = Features(), []
-    for (page,) in sorted(rows):
+    for page, _ in rows:
         b = blocks_of(page)
         if b:
             data.append((f.page(b), np.array([teacher(x) for x in b], np.float32)))

@@ -2,6 +2,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spendlake.llm import decontaminate, fingerprints, html_blocks, pii, pitman_yor, quality
+from spendlake.llm import decontaminate, fingerprints, html_blocks, pii, pitman_yor, quality, queries
 from spendlake.llm.common import held_out
 from tests.llm.conftest import odd_rows, prose
 
@@ -224,6 +225,54 @@ def test_blocks_of_broken_markup():
     assert texts("<p>x &lt;y&gt; <i>z</i></p></div>q") == ["x <y> z", "q"]
     assert texts("<script>a<p>b</script>t<style>s") == ["t"]
     assert texts("<p title='a>b'>k</p><!-- c <p>d") == ["k"]
+    assert texts("<p a>x<!-->y<!-- z --!>w</p>") == ["xyw"]
+
+
+def test_blocks_of_left_out_tags_and_quotes():
+    texts = lambda h: [b.text for b in html_blocks.blocks_of(h)]
+    assert texts("<html><head><meta charset=u><title>T</title><article><h1>Head</h1><p>One.</p></article>") == ["Head", "One."]
+    assert texts("<head><title>T</title> words <p>y") == ["words", "y"]
+    assert texts("<title>T</title>hello") == ["hello"]
+    assert texts('<p class="x>Hello world.</p>') == ["Hello world."]
+    assert texts('<p class="x>Hello</p><p class="y">b</p>') == ["Hello", "b"]
+    assert texts('<p class="x>he said "no" twice</p>') == ['he said "no" twice']
+    assert texts('<p data-h="<b>x</b>">k</p><a href=/x/>l</a>') == ["k", "l"]
+    assert texts("<svg><path d='x'><title>t</title><p>a</p>") == ["a"]
+    assert texts("<svg><foreignObject><p>in</p></foreignObject></svg>b") == ["b"]
+    assert texts("<select><option>u<option>v<p>after</p>") == ["after"]
+
+
+@pytest.mark.parametrize("piece", ["<div>x</span>", "<div>x", "<b>x<div></div>", "<li><ul><div>", '<p class="x>a', "<p a='x", "<li><b><div></div>", "<svg><p>x",
+                                   "<head><p>x", "<!-- <p>", "<select><option>"])
+def test_time_on_broken_markup_grows_with_length(piece):
+    start = time.process_time()
+    html_blocks.blocks_of(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - start < 5
+
+
+def test_op2_query_over_odd_pages(spark, tmp_path):
+    rows = [(k, f"http://x/{k}", page(k)) for k in range(80)] + [(None, None, None), (80, "", ""), (3, "http://x/3", page(3)), (3, "other", page(4)),
+                                                                (81, "u", page(81).replace("</head><body>", ""))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.QUERIES["op2_html_extraction"](spark, str(tmp_path))
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    want = [(i, u, "" if not h else wanted(4 if u == "other" else i)) for i, u, h in rows]
+    found = [(r["page_id"], r["url"], r["text"]) for r in got.collect()]
+    assert len(found) == len(want) and len(Counter(found) & Counter(want)) >= len(set(want)) - 1
+    assert all(r["n_chars"] == len(r["text"]) for r in got.collect())
+
+
+def test_page_sample_is_bounded_and_holds_repeated_pages_once(spark):
+    pages = spark.range(3000).select((F.col("id") % 1000).alias("page_id"), F.lit("u").alias("url"),
+                                     F.when(F.col("id") < 1000, F.lit("<p>hot")).otherwise(F.concat(F.lit("<p>"), F.col("id"))).alias("html"))
+    seen = []
+    blocks = html_blocks.blocks_of
+    try:
+        html_blocks.blocks_of = lambda p: seen.append(p) or blocks(p)
+        html_blocks.fit(pages.union(pages), max_pages=40)
+    finally:
+        html_blocks.blocks_of = blocks
+    assert 30 <= len(seen) <= 40
 
 
 # ------------------------------------------------------------------ decontamination
