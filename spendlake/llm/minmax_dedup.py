@@ -146,7 +146,7 @@ def leftovers(buckets: DataFrame, sizes: DataFrame, labels: DataFrame) -> DataFr
     labelled = buckets.select("key", "c").join(labels, "c")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min("c").alias("centre")).filter("least <> most")
     rest = written(labelled.join(mixed.select("key", "centre"), "key").select("c", "label", "centre").distinct(), "mixed-buckets")
-    groups = components(rest.select(F.col("c").alias("a"), F.col("centre").alias("b"))).select(F.col("node").alias("c"), F.col("label").alias("u"))
+    groups = connected(rest.select(F.col("c").alias("a"), F.col("centre").alias("b"))).select(F.col("node").alias("c"), F.col("label").alias("u"))
     member = written(rest.select("c", "label").distinct().join(groups, "c").join(sizes, "c"), "mixed-groups")
     usual = (member.groupBy("u", "label").agg(F.count("*").alias("k")).groupBy("u").agg(F.max_by("label", F.struct("k", "label")).alias("usual")))
     member = member.join(usual, "u").withColumn("odd", F.col("label") != F.col("usual"))
