@@ -4,9 +4,10 @@ Documents are read as passages of two neighbouring cells of ``CELL`` words (word
 ASCII punctuation taken as white space). Terms are the benchmark's words, weighted by the
 inverse of how many cells of the whole corpus hold them; no weight is 0, as an item that leaks into
 many documents makes its own words frequent. A randomised SVD of the TF-IDF rows of
-the benchmark's own passages (each ``OWN_WEIGHT`` times) and of a bounded, documented sample of corpus passages gives a
-latent space of ``RANK`` dimensions: every power iteration is a Spark job in which tasks add up
-their share of ``A'(A B)``, a table as long as the benchmark's vocabulary.
+the benchmark's own passages (each ``OWN_WEIGHT`` times) and of all passages of the corpus gives a latent space of
+``RANK`` dimensions. Tasks add up their share of the terms-by-terms table ``A'A`` once, in parts of at most
+``TABLE`` numbers; every power iteration is a Spark job over these shares that gives a table as long as the
+benchmark's vocabulary. Texts are cut into words once per block of items and read as word ids from then on.
 
 Then every passage of every document is compared with every benchmark passage by the cosine of
 their latent vectors; ``COSINE`` or more makes a candidate. So does, whatever the weights, a run of ``GRAM``
@@ -35,6 +36,8 @@ from spendlake.llm.common import UPPER, LOWER, texts_of, written
 
 CELL, RANK, EXTRA, POWER, BINS = 16, 288, 16, 2, 12
 SAMPLE_DOCS, BLOCK, OWN_WEIGHT = 600, 512, 12
+#: Numbers of ``A'A`` that a task holds, and that a row of its share holds.
+TABLE, PIECE = 1 << 23, 1 << 17
 MASS, COSINE, SHARE, LOOSE, ANSWER_WORDS, GRAM = 0.45, 0.45, 0.6, 0.45, 3, 4
 
 _PLAIN = bytes.maketrans(UPPER.encode() + b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", LOWER.encode() + b" " * 32)
@@ -67,13 +70,27 @@ class Items:
         return out, np.array(own, np.int64)
 
 
+def word_ids(texts: list[str], vocab: dict[bytes, int]) -> list[np.ndarray]:
+    """Word ids of texts (-1: not a benchmark word)."""
+    rows = [words(t) for t in texts]
+    return [np.fromiter(map(vocab.get, w, repeat(-1)), np.int32, len(w)) for w in rows]
+
+
 class Cells:
-    """A batch of texts as word ids (-1: not a benchmark word), in cells that end with their text."""
+    """A batch of texts as word ids, in cells that end with their text."""
 
     def __init__(self, texts: list[str], vocab: dict[bytes, int]):
-        get = vocab.get
-        rows = [words(t) for t in texts]
-        self.ids = [np.fromiter(map(get, w, repeat(-1)), np.int32, len(w)) for w in rows]
+        self._lay(word_ids(texts, vocab))
+
+    @classmethod
+    def of(cls, ids: pa.Array) -> "Cells":
+        """From a column that ``encoded`` wrote."""
+        out = cls.__new__(cls)
+        out._lay([np.frombuffer(x, np.int32) for x in ids.to_pylist()])
+        return out
+
+    def _lay(self, rows: list[np.ndarray]) -> None:
+        self.ids = rows
         counts = np.array([-(-len(w) // CELL) for w in rows], np.int64)
         self.first = np.concatenate([[0], np.cumsum(counts)])
         self.n = int(self.first[-1])
@@ -93,14 +110,23 @@ class Cells:
         return np.concatenate([self.table[self.keep], self.table[nxt[self.keep]]], axis=1)
 
 
-def cell_counts(docs: DataFrame, vocab: dict[bytes, int]) -> tuple[np.ndarray, int]:
-    """In how many cells of the corpus each term occurs, and the number of cells."""
-    size = len(vocab)
+def encoded(docs: DataFrame, vocab: dict[bytes, int], id_col: str = "doc_id") -> DataFrame:
+    """``id_col, ids``: word ids of every text as 32-bit integers, written to the shared folder."""
+    def run(batches):
+        for b in batches:
+            ids = [x.tobytes() for x in word_ids(texts_of(b.column("text")), vocab)]
+            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(ids, pa.binary())], names=[id_col, "ids"])
 
+    kind = docs.schema[id_col].dataType.simpleString()
+    return written(docs.select(id_col, "text").mapInArrow(run, f"{id_col} {kind}, ids binary"), "leak-word-ids")
+
+
+def cell_counts(texts: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """In how many cells of the corpus (``ids``) each of ``size`` terms occurs, and the number of cells."""
     def count(batches):
         df, n = np.zeros(size, np.int64), 0
         for b in batches:
-            c = Cells(texts_of(b.column(0)), vocab)
+            c = Cells.of(b.column(0))
             own, at = c.table[:c.n], np.arange(c.n)[:, None]
             found = np.unique((at * size + own)[own >= 0])
             df += np.bincount(found % size, minlength=size)
@@ -108,39 +134,97 @@ def cell_counts(docs: DataFrame, vocab: dict[bytes, int]) -> tuple[np.ndarray, i
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), pa.array(np.append(df, n))], names=["term", "n"])
 
     got = np.zeros(size + 1, np.int64)
-    for t, n in docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
+    for t, n in texts.select("ids").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
         got[t] = n
     return got[:size], int(got[size])
 
 
-def rows_of(passages, weight: np.ndarray) -> np.ndarray:
-    """Dense TF-IDF rows of unit length."""
-    a = np.zeros((len(passages), len(weight)), np.float32)
-    for r, p in zip(a, passages):
-        p = p[p >= 0]
-        np.add.at(r, p, weight[p])
-    return a / np.maximum(1e-9, np.linalg.norm(a, axis=1, keepdims=True))
+def row_starts(size: int) -> np.ndarray:
+    """Where column 0 of each row would stand if rows of the upper triangle follow each other (row ``i`` begins
+    with column ``i``)."""
+    i = np.arange(size, dtype=np.int64)
+    return i * size - i * (i + 1) // 2
+
+
+def add_pairs(total: np.ndarray, begin: int, passages: np.ndarray, weight: np.ndarray) -> None:
+    """Adds to ``total``, numbers ``begin`` and on of the upper triangle of ``A'A`` (without the weights of its two
+    terms; the diagonal halved), what ``passages`` give. Unlisted words are the last term, of weight 0."""
+    rest = len(weight) - 1
+    start = row_starts(rest + 1)
+    whole = len(total) == (rest + 1) * (rest + 2) // 2
+    p = np.sort(np.where(passages < 0, rest, passages), axis=1)  # unlisted words come last
+    new = np.ones(p.shape, bool)
+    new[:, 1:] = p[:, 1:] != p[:, :-1]
+    runs = np.diff(np.append(np.flatnonzero(new.ravel()), p.size))
+    times = np.repeat(runs, runs).reshape(p.shape)
+    square = (times * weight[p].astype(float) ** 2).sum(axis=1)
+    count = (p < rest).sum(axis=1)
+    order = np.argsort(-count, kind="stable")
+    p, count, share = np.ascontiguousarray(p[order].T, np.int64), count[order], 1 / np.maximum(1e-18, square[order])
+    row = start[p] - begin
+    for j in range(int(count[0]) if len(count) else 0):
+        n = int(np.searchsorted(-count, -j, side="left"))  # passages with more than j listed words
+        for k in range(j + 1):
+            at, v = row[k, :n] + p[j, :n], share[:n] / 2 if k == j else share[:n]
+            if not whole:
+                inside = (at >= 0) & (at < len(total))
+                at, v = at[inside], v[inside]
+            np.add.at(total, at, v)
+
+
+def pair_sums(texts: DataFrame, weight: np.ndarray) -> DataFrame:
+    """``at, share``: for every task its share of ``A'A`` of all passages of ``texts`` (``ids``), in pieces that begin
+    with number ``at`` of the upper triangle. As many tasks as cores, each with one table of ``TABLE`` numbers."""
+    weight = np.append(weight, 0)
+    numbers = len(weight) * (len(weight) + 1) // 2
+    few = texts.select("ids").coalesce(texts.sparkSession.sparkContext.defaultParallelism)
+    out = None
+    for begin in range(0, numbers, TABLE):
+        def run(batches, begin=begin):
+            total = np.zeros(min(TABLE, numbers - begin))
+            for b in batches:
+                add_pairs(total, begin, Cells.of(b.column(0)).passages(), weight)
+            for lo in range(0, len(total), PIECE):
+                part = total[lo:lo + PIECE]
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([begin + lo]), pa.array([part.astype(np.float32).tobytes()], pa.binary())], names=["at", "share"])
+
+        got = written(few.mapInArrow(run, "at long, share binary"), "leak-pair-sums")
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
-def randomised_svd(passages: DataFrame, weight: np.ndarray, rank: int = RANK, seed: int = 11) -> np.ndarray:
-    """Leading right singular vectors (terms x rank) of the TF-IDF rows of ``passages`` (``ids``).
-    The sample's few tasks each send a table of vocabulary x (rank + EXTRA) numbers."""
+def randomised_svd(sums: DataFrame, weight: np.ndarray, rank: int = RANK, seed: int = 11) -> np.ndarray:
+    """Leading right singular vectors (terms x rank) of the TF-IDF rows whose ``A'A`` has the shares
+    ``sums`` (``pair_sums``). A task sends a table of vocabulary x (rank + EXTRA) numbers."""
     size = len(weight)
     width = min(size, rank + EXTRA)
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, width)))[0]
+    few = sums.coalesce(sums.sparkSession.sparkContext.defaultParallelism)
 
     def gram(q: np.ndarray) -> np.ndarray:
+        q = np.append(weight[:, None] * q, np.zeros((1, width)), axis=0).astype(np.float32)  # the last term: unlisted words
+
         def part(batches):
-            total = np.zeros((size, width))
+            start = row_starts(size + 1)
+            total = np.zeros((size + 1, width))
             for b in batches:
-                a = rows_of([np.array(p) for p in b.column("ids").to_pylist()], weight)
-                total += a.T @ (a @ q)
-            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["share"])
+                for at, share in zip(b.column("at").to_pylist(), b.column("share").to_pylist()):
+                    x = np.frombuffer(share, np.float32)
+                    ends = start + size + 1
+                    lo, hi = np.searchsorted(ends, [at, at + len(x) - 1], "right")
+                    rows = np.zeros((hi - lo + 1, size + 1 - lo), np.float32)
+                    for r in range(lo, hi + 1):
+                        a, z = max(at, start[r] + r), min(at + len(x), ends[r])
+                        rows[r - lo, a - start[r] - lo:z - start[r] - lo] = x[a - at:z - at]
+                    total[lo:hi + 1] += rows @ q[lo:]
+                    total[lo:] += rows.T @ q[lo:hi + 1]
+            yield pa.RecordBatch.from_arrays([pa.array([total[:size].astype(np.float32).tobytes()], pa.binary())], names=["share"])
 
         out = np.zeros((size, width))
-        for r in passages.mapInArrow(part, "share binary").toLocalIterator():  # one task's table at a time
+        for r in few.mapInArrow(part, "share binary").toLocalIterator():  # one task's table at a time
             out += np.frombuffer(r[0], np.float32).reshape(size, width)
-        return out
+        return weight[:, None] * out
 
     for _ in range(POWER):
         basis = np.linalg.qr(gram(basis))[0]
@@ -308,11 +392,11 @@ class Index:
 RESULT = "doc_id long, item_id long, cosine double, share double, answer boolean"
 
 
-def search(docs: DataFrame, index: Index, id_col: str = "doc_id") -> DataFrame:
-    """Contaminated pairs ``doc_id, item_id, cosine, share, answer``."""
+def search(texts: DataFrame, index: Index, id_col: str = "doc_id") -> DataFrame:
+    """Contaminated pairs ``doc_id, item_id, cosine, share, answer`` of encoded texts."""
     def run(batches):
         for b in batches:
-            cells = Cells(texts_of(b.column("text")), index.items.vocab)
+            cells = Cells.of(b.column("ids"))
             found = []
             for (t, k), (cos, at) in index.candidates(cells).items():
                 share, answer = index.check(cells.ids[t], k, [(c - int(cells.first[t])) * CELL for c in at])
@@ -325,11 +409,11 @@ def search(docs: DataFrame, index: Index, id_col: str = "doc_id") -> DataFrame:
                 [b.column(id_col).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.float64()),
                  pa.array(rows[3], pa.float64()), pa.array(rows[4], pa.bool_())], names=["doc_id", "item_id", "cosine", "share", "answer"])
 
-    return docs.select(id_col, "text").mapInArrow(run, RESULT)
+    return texts.select(id_col, "ids").mapInArrow(run, RESULT)
 
 
 def sample_passages(docs: DataFrame, vocab: dict[bytes, int], sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """Passages (``ids``) of the documents that a hash of the id picks, ``sample_docs`` to twice as many (all, if
+    """For trials on part of a corpus (``find_leaks`` takes all of it): passages (``ids``) of the documents that a hash of the id picks, ``sample_docs`` to twice as many (all, if
     fewer). Of more than 20 a document, a hash of id, text and cell number keeps about 20 * ``sample_docs``,
     so that neither the order of tasks nor a few long documents decide."""
     def sample(batches):
@@ -349,17 +433,12 @@ def sample_passages(docs: DataFrame, vocab: dict[bytes, int], sample_docs: int =
     return found.select("ids")
 
 
-def build(docs: DataFrame, rows: list[tuple[int, str]], sample_docs: int = SAMPLE_DOCS) -> Index | None:
-    """Index of one block of items: corpus statistics over all documents, SVD on the sample."""
-    items = Items(rows)
-    if not items.ids:
-        return None
-    count, cells = cell_counts(docs, items.vocab)
+def build(texts: DataFrame, items: Items) -> Index:
+    """Index of one block of items: corpus statistics and SVD over all encoded texts."""
+    count, cells = cell_counts(texts, len(items.vocab))
     weight = np.log((1 + cells) / (1 + np.minimum(count, cells))).astype(np.float32) + 0.05
-    chosen = sample_passages(docs, items.vocab, sample_docs)
-    own = docs.sparkSession.createDataFrame([([int(x) for x in p],) for p in items.passages()[0]] * OWN_WEIGHT, "ids array<int>")
-    latent = randomised_svd(written(chosen.unionByName(own).repartition(6), "svd-sample"), weight)
-    return Index(items, weight, latent)
+    own = texts.sparkSession.createDataFrame([(p.astype(np.int32).tobytes(),) for p in items.passages()[0]] * OWN_WEIGHT, "ids binary")
+    return Index(items, weight, randomised_svd(pair_sums(texts.select("ids").unionByName(own), weight), weight))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -370,7 +449,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> Dat
     out = docs.sparkSession.createDataFrame([], RESULT)
     for k in range(blocks):
         own = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else bench
-        index = build(docs, sorted((r[0], r[1] or "") for r in own.collect()))
-        if index is not None:
-            out = out.unionByName(search(docs, index))
+        items = Items(sorted((r[0], r[1] or "") for r in own.collect()))
+        if items.ids:
+            texts = encoded(docs, items.vocab)
+            out = out.unionByName(search(texts, build(texts, items)))
     return out

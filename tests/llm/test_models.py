@@ -351,6 +351,28 @@ def test_sample_does_not_depend_on_the_order_of_rows(docs_of):
     assert 0.25 < sum(p in long for p in one) / len(one) < 0.6  # 562 of 1282 passages
 
 
+def test_latent_space_is_fitted_to_all_passages(docs_of, monkeypatch):
+    rows = [(i, prose(i, 3 + 13 * i)) for i in range(40)] + [(90, None), (91, "unlisted words only"), (5, prose(5, 68))]
+    items = decontaminate.Items([(1, prose(50, 60)), (2, prose(51, 20) + " " + prose(52, 20))])
+    size = len(items.vocab)
+    weight = np.linspace(0.1, 2, size).astype(np.float32)
+    texts = decontaminate.encoded(docs_of(rows), items.vocab)
+    p = decontaminate.Cells([t or "" for _, t in rows], items.vocab).passages()
+    a = np.zeros((len(p), size))
+    for r, ids in zip(a, p):
+        np.add.at(r, ids[ids >= 0], weight[ids[ids >= 0]])
+    a /= np.maximum(1e-9, np.linalg.norm(a, axis=1, keepdims=True))
+    value, vector = np.linalg.eigh(a.T @ a)
+    want = (vector * value) @ vector.T
+    for held in (1 << 23, 700):  # in one table, in parts
+        monkeypatch.setattr(decontaminate, "TABLE", held)
+        monkeypatch.setattr(decontaminate, "PIECE", 300)
+        basis = decontaminate.randomised_svd(decontaminate.pair_sums(texts, weight), weight).astype(float)
+        assert basis.shape == (size, size)
+        got = np.diag(basis.T @ want @ basis)
+        assert got == pytest.approx(value[::-1], abs=1e-3)
+
+
 def test_leaks_odd_rows(docs_of, spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "?!"), (None, "a b c"), (4, prose(2, 30)), (5, prose(2, 30))], "item_id long, text string")
     rows = decontaminate.find_leaks(docs_of(odd_rows() + [(50, prose(9, 20) + " " + prose(2, 30))] * 2), bench).collect()
