@@ -135,33 +135,45 @@ def grams(text, size: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
-GRAM = 3
+#: Lengths of the substrings that keywords are listed under.
+GRAMS = (4, 8, 16, 32)
 
 
-def keyword_first(dkeys: DataFrame, rules: DataFrame, dkey: str = "_dkey", spread_input: bool = True) -> DataFrame:
-    """C3 on distinct description keys: category of the first rule (in order) whose keyword
-    is a substring, for any number of rules. Returns (dkey, keyword_category) for matched keys only.
+def keyword_pairs(dkeys: DataFrame, rules: DataFrame, dkey: str = "_dkey", spread_input: bool = True) -> DataFrame:
+    """(dkey, keyword, k_ord, k_cat) pairs among which are all whose keyword is a substring of the key.
 
-    Every keyword is listed under the one of its ``GRAM``-character substrings that occurs in the
-    fewest keys (a shorter keyword under itself). Keys meet keywords by an equi-join of their distinct
-    substrings with this index; ``contains`` decides, the smallest order wins. A keyword none of
-    whose substrings occurs anywhere drops out before the join."""
+    Every keyword is listed under the one of its substrings that occurs in the fewest keys, these being as long as
+    the largest of ``GRAMS`` that fits (a shorter keyword under itself): short substrings of long keywords would be
+    shared by ever more keys and keywords as both grow. Keys meet keywords by an equi-join of the hashes of their
+    distinct substrings with this index. A keyword none of whose substrings occurs anywhere drops out before the join."""
+    size = F.length("keyword")
+    for n in GRAMS:
+        size = F.when(F.length("keyword") >= n, F.lit(n)).otherwise(size)
     kw = (rules.groupBy("keyword").agg(F.min("ord").alias("k_ord"), F.min_by("category", "ord").alias("k_cat"))
-          .withColumn("_size", F.least(F.length("keyword"), F.lit(GRAM))))
-    sizes = sorted(r[0] for r in kw.select("_size").where("_size is not null").distinct().collect())  # at most GRAM + 1
+          .withColumn("_size", size))
+    sizes = sorted(r[0] for r in kw.select("_size").where("_size is not null").distinct().collect())  # at most GRAMS[0] + len(GRAMS)
     if not sizes:
-        return dkeys.select(dkey, F.lit(None).cast("string").alias("keyword_category")).limit(0)
-    own = F.when(F.col("_size") == GRAM, grams(F.col("keyword"), GRAM)).otherwise(F.array("keyword"))
-    listed = kw.select("keyword", "k_ord", "k_cat", F.explode(F.array_distinct(own)).alias("_gram"))
+        return dkeys.select(dkey).crossJoin(kw.drop("_size").limit(0))
+    own = F.array("keyword")
+    for n in GRAMS:
+        own = F.when(F.col("_size") == n, grams(F.col("keyword"), n)).otherwise(own)
     d = dkeys.select(dkey)
     d = spread(d) if spread_input else d
-    held = d.select(dkey, F.explode(F.array_distinct(F.concat(*[grams(F.col(dkey), n) for n in sizes]))).alias("_gram"))
-    common = (held.join(listed.select("_gram").distinct(), "_gram", "left_semi")
-              .groupBy("_gram").agg(F.count("*").alias("_keys")))
+    hashed = F.xxhash64("_gram").alias("_gram")
+    listed = kw.select("keyword", "k_ord", "k_cat", F.explode(F.array_distinct(own)).alias("_gram")).select("keyword", "k_ord", "k_cat", hashed)
+    held = d.select(dkey, F.explode(F.array_distinct(F.concat(*[grams(F.col(dkey), n) for n in sizes]))).alias("_gram")).select(dkey, hashed)
+    common = held.groupBy("_gram").agg(F.count("*").alias("_keys")).join(listed.select("_gram").distinct(), "_gram", "left_semi")
     index = (listed.join(common, "_gram").groupBy("keyword", "k_ord", "k_cat")
              .agg(F.min(F.struct("_keys", "_gram")).alias("_rarest"))
              .select("keyword", "k_ord", "k_cat", F.col("_rarest._gram").alias("_gram")))
-    hits = held.join(index, (held["_gram"] == index["_gram"]) & F.contains(F.col(dkey), F.col("keyword")))
+    return held.join(index, "_gram").drop("_gram")
+
+
+def keyword_first(dkeys: DataFrame, rules: DataFrame, dkey: str = "_dkey", spread_input: bool = True) -> DataFrame:
+    """C3 on distinct description keys: category of the first rule (in order) whose keyword
+    is a substring, for any number of rules. Returns (dkey, keyword_category) for matched keys only.
+    Of the ``keyword_pairs``, ``contains`` decides and the smallest order wins."""
+    hits = keyword_pairs(dkeys, rules, dkey, spread_input).where(F.contains(F.col(dkey), F.col("keyword")))
     return hits.groupBy(dkey).agg(F.min_by("k_cat", "k_ord").alias("keyword_category"))
 
 

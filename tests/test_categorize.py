@@ -270,3 +270,23 @@ def test_threshold_zero_matches_brute_force(spark):
         if cat is not None:
             want[x] = cat
     assert got == want
+
+
+def test_keywords_of_all_lengths_against_brute_force(spark):
+    text = "the quick brown fox 0123456789 jumps over a lazy dog and runs on"
+    keys = [text, text[3:40], text[10:], "fox", "", "qu", "01234567 89"]
+    rules = [(k, f"c{k}", w) for k, w in enumerate(
+        [text[a:a + n] for n in (33, 32, 31, 17, 16, 15, 9, 8, 7, 5, 4, 3, 2, 1) for a in (0, 5, 22)] + ["zzzz", "fox 1", None])]
+    got = dict(C.keyword_first(spark.createDataFrame([(k,) for k in keys], "_dkey string"),
+                               spark.createDataFrame(rules, "ord int, category string, keyword string")).collect())
+    want = {k: next((c for _, c, w in rules if w is not None and w in k), None) for k in keys}
+    assert got == {k: c for k, c in want.items() if c is not None}
+    assert C.keyword_first(spark.createDataFrame([("a",)], "_dkey string"), spark.createDataFrame([], "ord int, category string, keyword string")).collect() == []
+
+
+def test_keyword_pairs_grow_with_the_input(spark):
+    def pairs(n):  # every keyword shares its short substrings with many keys
+        keys = spark.range(n).selectExpr("concat('large anvil ', 10000 + id) AS _dkey")
+        rules = spark.range(n).selectExpr("cast(id AS int) AS ord", "'c' AS category", "concat('large anvil ', 10000 + id) AS keyword")
+        return C.keyword_pairs(keys, rules).count()
+    assert pairs(4000) <= 5 * pairs(1000)
