@@ -135,9 +135,12 @@ def unseen(batch: DataFrame, target: DataFrame | None, file_order: str | None =
 def append_rows(new: DataFrame, target: DataFrame | None, target_path: str) -> None:
     """Append ``new`` to the table at ``target_path`` in the table's layout: by month when
     it is new or has the month partition, else in plain files. A table without an id column
-    gains one; its older rows then read as null ids."""
+    gains one; its older rows then read as null ids.
+
+    Rows are brought together by month first, large months in several parts, so that the number of files follows
+    the size of the months and not the number of tasks times months."""
     if target is None or PARTITION in target.columns:
-        new = new.withColumn(PARTITION, F.date_format("date", "yyyy-MM"))
+        new = new.withColumn(PARTITION, F.date_format("date", "yyyy-MM")).hint("rebalance", F.col(PARTITION))
         new.write.mode("append").partitionBy(PARTITION).parquet(target_path)
     else:
         new.write.mode("append").parquet(target_path)

@@ -159,3 +159,12 @@ def test_append_compares_all_ids(spark, tmp_path):
     feb = spark.createDataFrame([(datetime.date(2024, 2, 15), "a", "c", "s", 1.0, "", "x"), (None, "b", "c", "s", 1.0, "", "y")], schema)
     assert K.append_new(jan, target) == 2
     assert K.append_new(feb, target) == 0
+
+
+def test_files_of_an_append_follow_the_months(spark, tmp_path):
+    rows = spark.range(4800).repartition(40).selectExpr(
+        "date_add(date'2024-01-01', cast(id % 360 as int)) AS date", "'n' AS name", "'c' AS category", "'a' AS spent_from",
+        "cast(id AS double) AS amount", "'' AS notes", "cast(id AS string) AS transaction_id")
+    K.append_rows(rows, None, str(tmp_path / "t"))
+    assert len(list(tmp_path.glob("t/month=*/*.parquet"))) <= 24  # 40 tasks of 12 months before
+    assert spark.read.parquet(str(tmp_path / "t")).drop(K.PARTITION).exceptAll(rows).isEmpty()
