@@ -168,3 +168,20 @@ def test_files_of_an_append_follow_the_months(spark, tmp_path):
     K.append_rows(rows, None, str(tmp_path / "t"))
     assert len(list(tmp_path.glob("t/month=*/*.parquet"))) <= 24  # 40 tasks of 12 months before
     assert spark.read.parquet(str(tmp_path / "t")).drop(K.PARTITION).exceptAll(rows).isEmpty()
+
+
+def test_first_append_joins_with_nothing(spark, tmp_path):
+    batch = spark.createDataFrame([(D1, "A", "c", "a", 1.0, "", i) for i in ("x", "x", None)],
+                                  "date date, name string, category string, spent_from string, amount double, notes string, transaction_id string")
+    plan = K.unseen(batch, None)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    target = str(tmp_path / "t")
+    with pytest.raises(ValueError):
+        K.append_new(batch.limit(0), target)
+    assert not (tmp_path / "t").exists()
+    assert K.append_new(batch, target) == 3 and K.append_new(batch, target) == 1  # rows without an id are always kept
+    with pytest.raises(ValueError):
+        K.append_new(batch.limit(0), target)
+    with pytest.raises(ValueError):
+        K.append_new(batch.where("name = 'B'"), target)
+    assert spark.read.parquet(target).count() == 4
