@@ -113,7 +113,7 @@ def append_new(batch: DataFrame, target_path: str, file_order: str | None = None
     # one pass: the appended count is an observed metric of the write itself
     obs = Observation("appended")
     new = unseen(batch, target, file_order, prune_months).select(*[f.name for f in TARGET.fields])
-    append_rows(new.observe(obs, F.count(F.lit(1)).alias("n")), target, target_path)
+    append_rows(new, target, target_path, obs)
     return int(obs.get["n"])
 
 
@@ -131,18 +131,21 @@ def unseen(batch: DataFrame, target: DataFrame | None, file_order: str | None =
     return new_rows(batch, existing_ids(target), file_order)
 
 
-def append_rows(new: DataFrame, target: DataFrame | None, target_path: str) -> None:
+def append_rows(new: DataFrame, target: DataFrame | None, target_path: str, obs: Observation | None = None) -> None:
     """Append ``new`` to the table at ``target_path`` in the table's layout: by month when
     it is new or has the month partition, else in plain files. A table without an id column
     gains one; its older rows then read as null ids.
 
     Rows are brought together by month first, large months in several parts, so that the number of files follows
-    the size of the months and not the number of tasks times months."""
-    if target is None or PARTITION in target.columns:
+    the size of the months and not the number of tasks times months. ``obs`` counts them as ``n``, after that shuffle:
+    below it the metric would go with an empty stage."""
+    by_month = target is None or PARTITION in target.columns
+    if by_month:
         new = new.withColumn(PARTITION, F.date_format("date", "yyyy-MM")).hint("rebalance", F.col(PARTITION))
-        new.write.mode("append").partitionBy(PARTITION).parquet(target_path)
-    else:
-        new.write.mode("append").parquet(target_path)
+    if obs is not None:
+        new = new.observe(obs, F.count(F.lit(1)).alias("n"))
+    out = new.write.mode("append")
+    (out.partitionBy(PARTITION) if by_month else out).parquet(target_path)
 
 
 def read_target(spark: SparkSession, target_path: str) -> DataFrame | None:
