@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlake.llm.common import UPPER, LOWER, texts_of, written
+from spendlake.llm.common import UPPER, LOWER, remembers, texts_of, written
 
 CELL, RANK, EXTRA, POWER, BINS = 16, 288, 16, 2, 12
 SAMPLE_DOCS, BLOCK, OWN_WEIGHT = 600, 512, 12
@@ -113,6 +113,7 @@ class Cells:
 def encoded(docs: DataFrame, vocab: dict[bytes, int], id_col: str = "doc_id") -> DataFrame:
     """``id_col, ids``: word ids of every text as 32-bit integers, written to the shared folder."""
     def run(batches):
+        remembers("leaks")
         for b in batches:
             ids = [x.tobytes() for x in word_ids(texts_of(b.column("text")), vocab)]
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(ids, pa.binary())], names=[id_col, "ids"])

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendlake.llm.common import texts_of, words_of, written
+from spendlake.llm.common import remembers, texts_of, words_of, written
 from spendlake.llm.components import components
 
 WIDTH, PERCENT = 4, 85
@@ -93,6 +93,7 @@ def documents_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``doc_id, n, s1, s2, first`` of every document: size and signature of its set, and its first
     shingles (smallest hashes). Written once; later steps read the columns that they need."""
     def run(batches):
+        remembers("shingles", _WORDS.clear)
         for b in batches:
             sets = [shingles(t, width) for t in texts_of(b.column("text"))]
             sig = [signature(s) for s in sets]
@@ -241,6 +242,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int
     dealt = placed.select(*keys, "g", "copies", F.explode(F.concat(within, above, below)).alias("c")).select(*keys, "g", "copies", "c.*")
 
     def sets(batches):
+        remembers("shingles", _WORDS.clear)
         for b in batches:
             found = [shingles(t, width) for t in texts_of(b.column("text"))]
             sig = [signature(s) for s in found]
