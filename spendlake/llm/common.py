@@ -50,18 +50,6 @@ def held_out(mod: int, id_col: str = "doc_id") -> Column:
     return F.coalesce(rest == 0, F.lit(False))
 
 
-_REMEMBERED: dict[str, Callable[[], object]] = {}
-
-
-def remembers(owner: str, forget: Callable[[], object] | None = None) -> None:
-    """A Python worker serves one stage after another: drops what other operators than ``owner`` remembered in it.
-    ``forget`` drops what ``owner`` remembers between batches."""
-    for other in [k for k in _REMEMBERED if k != owner]:
-        _REMEMBERED.pop(other)()
-    if forget is not None:
-        _REMEMBERED[owner] = forget
-
-
 def words_of(text: str) -> list[bytes]:
     """Lower-cased words of a text: runs outside [\\x20\\x09-\\x0D]. ``bytes.lower`` and
     ``bytes.split`` treat exactly A-Z and these six characters."""
