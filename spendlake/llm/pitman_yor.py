@@ -35,9 +35,12 @@ probabilities are averaged over the samples after burn-in of all chains.
 
 The corpus counts cover all training rows. What travels to every task is bounded: words with at
 least 1/``SENT`` of all tokens (at most ``SENT``), the end, and the symbol table (at most (SYMBOLS + 2)^2
-numbers). Pairs of a text meet theirs in a join on both words' hashes; unseen ones take the share that their
-context leaves to the base. Other words of a text meet their counts in a join on a 64-bit hash; none of them is
-frequent, so no key is hot.
+numbers). Pairs are dealt to groups of about ``SPLIT * HELD`` tokens by context, counted, seated and met by the pairs of the
+texts there; words travel in them as places among the words that every task has, others as 64-bit hashes, in
+compressed columns (see ``packed``), a row for a group and some ``CHUNK`` tokens of texts. Unseen pairs take the
+share that their context leaves to the base; a rare word's count is kept beside its pairs, and only those of
+unseen pairs are joined with the counts, on a 64-bit hash; none of them is frequent, so no key is hot. Shuffle
+files are given up when the table that they led to is written.
 
 Null text counts as empty: it has one token, the end. Repeated rows get equal results. With no
 training rows every probability is the base's. Other columns than ``doc_id`` and the text are
@@ -46,46 +49,102 @@ not carried.
 from __future__ import annotations
 
 import math
-from collections import Counter
+import struct
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendlake.llm.common import texts_of, words_of, written
+from spendlake.llm import common
+from spendlake.llm.common import texts_of
 
 SYMBOLS, SENT = 1024, 1 << 19
 #: Tokens of a context (or of a part of it) and pairs of a block that are seated together.
 SALT, BLOCK = 1 << 14, 1 << 14
 CHAINS, BURN, SAMPLES, CROWD, THETA = 4, 8, 12, 300, 1.0
-#: Distinct words that a task counts before it passes them on.
-FLUSH = 300_000
+#: Blocks whose draws a task works out side by side.
+TOGETHER = 32
+#: Tokens of the contexts whose pairs are held at a time, how many of these make a group that a task gets, and tokens of the
+#: texts whose pairs a task deals at a time.
+HELD, SPLIT, CHUNK = 1 << 19, 8, 1 << 20
+#: Words that a task counts before it passes them on.
+FLUSH = 1 << 22
+#: Spark's settings while a table is written: shuffle files go when the query that wrote them ends, and long records travel
+#: to Python in few.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
 #: The end token; no word contains white space.
 END = b"\n"
 #: The base of ``base_score``: added to every count.
 ADD = 0.1
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """As ``common.written``; the shuffle files behind the table are given up with it."""
+    conf = df.sparkSession.conf
+    before = {k: conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        conf.set(k, v)
+    try:
+        return common.written(df, name)
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
+
+
+def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts, one after the other, and how many each text has: as ``words_of``, for a column."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy())
+    real = pc.greater(pc.binary_length(words), 0)  # white space at the ends of a text leaves empty ones
+    before = np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))
+    return words.filter(real), np.diff(before[np.append(0, ends)])
+
+
+def bytes_of(words: pa.Array) -> list[bytes]:
+    _, ends, data = words.cast(pa.large_binary()).buffers()
+    if not len(words):
+        return []
+    ends, data = np.frombuffer(ends, np.int64)[words.offset:words.offset + len(words) + 1].tolist(), data.to_pybytes() if data else b""
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def hashes_of(words: pa.Array) -> np.ndarray:
+    """Spark's ``xxhash64`` of words."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, bytes_of(words), repeat(42)), np.uint64, len(words)).view(np.int64)
+
+
+def chained(codes: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
+    """The words' codes with the end's before the first text and after each: neighbours are the pairs, as
+    the end of a text is the context of the next one's first word."""
+    flat = np.full(len(codes) + len(lengths) + 1, end, np.int64)
+    word = np.ones(len(flat), bool)
+    word[np.append(0, np.cumsum(lengths + 1))] = False
+    flat[word] = codes
+    return flat
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """``word`` (bytes), ``n``: all tokens of the texts, ends included."""
-    def run(batches):
-        c: Counter = Counter()
-
-        def flush():
-            batch = pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
-            c.clear()
-            return batch
+    def counted(held, texts):
+        found = pc.value_counts(pa.concat_arrays(held))
+        words = pa.concat_arrays([found.field("values").cast(pa.binary()), pa.array([END], pa.binary())])
+        return pa.RecordBatch.from_arrays([words, pa.concat_arrays([found.field("counts"), pa.array([texts])])], names=["word", "n"])
 
+    def run(batches):
+        held, tokens, texts = [], 0, 0
         for b in batches:
-            for t in texts_of(b.column(0)):
-                c.update(words_of(t))
-                if len(c) > FLUSH:
-                    yield flush()
-            c[END] += b.num_rows
-        yield flush()
+            held.append(tokens_of(b.column(0))[0])
+            tokens += len(held[-1])
+            texts += b.num_rows
+            if tokens >= FLUSH:
+                yield counted(held, texts)
+                held, tokens, texts = [], 0, 0
+        if texts:
+            yield counted(held, texts)
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -96,15 +155,11 @@ def symbol_counts(docs: DataFrame, symbol: dict[bytes, int]) -> np.ndarray:
     end = symbol[END]
 
     def run(batches):
-        total = np.zeros(size * size, np.int64)
-        get = symbol.get
+        total, listed = np.zeros(size * size, np.int64), pa.array([*symbol], pa.binary())
         for b in batches:
-            for t in texts_of(b.column(0)):
-                w = words_of(t)
-                s = np.empty(len(w) + 2, np.int64)
-                s[0] = s[-1] = end
-                s[1:-1] = np.fromiter(map(get, w, repeat(rest)), np.int64, len(w))
-                np.add.at(total, s[:-1] * size + s[1:], 1)
+            words, lengths = tokens_of(b.column(0))
+            s = chained(pc.index_in(words.cast(pa.binary()), listed).fill_null(rest).to_numpy(), lengths, end)
+            np.add.at(total, s[:-1] * size + s[1:], 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
 
@@ -114,91 +169,235 @@ def symbol_counts(docs: DataFrame, symbol: dict[bytes, int]) -> np.ndarray:
     return out.reshape(size, size)
 
 
-class _Hashes(dict):
-    """Spark's ``xxhash64`` of words, remembered."""
+#: Columns of a record of pairs and of their seats.
+PAIRS, SEATS = ("u", "u_other", "n", "w", "w_other", "k", "text"), ("tables", "left", "rare")
+COLUMN = struct.Struct("<cBII")
+
+
+def packed(**columns: np.ndarray) -> bytes:
+    """Columns of any lengths in one record, each in the smallest type and compressed."""
+    out = [bytes([len(columns)])]
+    for x in columns.values():
+        if x.dtype.kind == "i" and len(x) and x.min() >= 0:
+            x = x.astype(np.min_scalar_type(x.max()))
+        raw = x.tobytes()
+        small = pa.compress(raw, "zstd", asbytes=True) if len(raw) > 64 else raw
+        small = small if len(small) < len(raw) else raw
+        out += [COLUMN.pack(x.dtype.kind.encode(), x.dtype.itemsize, len(x), len(small)), small]
+    return b"".join(out)
+
+
+def unpacked(record: pa.Scalar, names: tuple[str, ...] = PAIRS) -> dict[str, np.ndarray]:
+    data, at, out = record.as_py(), 1, {}
+    for name in names[:data[0]]:
+        kind, width, length, size = COLUMN.unpack_from(data, at)
+        at += COLUMN.size + size
+        raw = data[at - size:at]
+        if size < length * width:
+            raw = pa.decompress(raw, length * width, "zstd", asbytes=True)
+        x = np.frombuffer(raw, f"{kind.decode()}{width}")
+        out[name] = x if x.dtype.kind == "f" else x.astype(np.int64)
+    return out
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = self[word] = signed_hash(word)
-        return h
 
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal values begin, and their lengths."""
+    at = np.flatnonzero(np.append(True, x[1:] != x[:-1])[:len(x)])
+    return at, np.diff(np.append(at, len(x)))
+
+
+def distinct(columns: list[np.ndarray], sizes: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of columns with values under ``sizes``, in order, and how often each occurs."""
+    if math.prod(sizes) < 1 << 62:
+        key = columns[0]
+        for x, size in zip(columns[1:], sizes[1:]):
+            key = key * size + x
+        key = np.sort(key)
+        at, k = runs(key)
+        key, out = key[at], []
+        for size in sizes[:0:-1]:
+            key, x = np.divmod(key, size)
+            out.append(x)
+        return [key, *out[::-1]], k
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.logical_or.reduce([np.append(True, c[1:] != c[:-1]) for c in columns])
+    at = np.flatnonzero(new)
+    return [c[at] for c in columns], np.diff(np.append(at, len(order)))
 
-_HASH = _Hashes()
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x165667B19E3779F9)
+    return h ^ (h >> np.uint64(32))
 
-def chain_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens of the texts in order, an end before the first, and tokens per text:
-    neighbours in it are the pairs, as the end of a text is the context of the next one's first word."""
-    rows = [words_of(t) for t in texts]
-    flat = [END]
-    for w in rows:
-        flat += w
-        flat.append(END)
-    return np.fromiter(map(_HASH.__getitem__, flat), np.int64, len(flat)), np.array([len(w) + 1 for w in rows], np.int64)
 
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
 
-def distinct(*cols: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct rows of the columns, and how often each occurs."""
-    order = np.lexsort(cols[::-1])
-    cols = tuple(c[order] for c in cols)
-    new = np.ones(len(order), bool)
-    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
-    at = np.flatnonzero(new)
-    return (*(c[at] for c in cols), np.diff(np.append(at, len(order))))
 
+def context_hash(u: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64(u, salt)`` of a long and an int."""
+    p1, p2, p3 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+    p4, p5 = np.uint64(0x85EBCA77C2B2AE63), 0x27D4EB2F165667C5
+    h = np.uint64(42 + 8 + p5) ^ (_turned(u.view(np.uint64) * p2, 31) * p1)
+    h = _mixed(_turned(h, 27) * p1 + p4)
+    h = (h + np.uint64(p5 + 4)) ^ (salt.astype(np.uint64) * p1)
+    return _mixed(_turned(h, 23) * p2 + p3).view(np.int64)
+
+
+def deal(docs: DataFrame, known: "Known", by_text: bool) -> DataFrame:
+    """``g, pairs, uid``: how often a word follows another in some texts (``by_text``: in each of them, ``uid``), for each
+    group of contexts; ``pairs`` has a packed record for each of its ``SPLIT`` shares."""
+    end = signed_hash(END)
+
+    def rows(held):
+        words, lengths, uid = (list(x) for x in zip(*held))
+        coded = pa.concat_arrays(words).dictionary_encode()
+        h = np.append(hashes_of(coded.dictionary), end)
+        order = np.argsort(h)
+        rank = np.empty(len(h), np.int64)
+        rank[order] = np.arange(len(h))
+        h = h[order]
+        lengths, uid = np.concatenate(lengths), np.concatenate(uid)
+        flat = chained(rank[coded.indices.to_numpy()], lengths, rank[-1])
+        if by_text:
+            (u, w, text), k = distinct([flat[:-1], flat[1:], np.repeat(np.arange(len(uid)), lengths + 1)], [len(h), len(h), len(uid)])
+        else:
+            (u, w), k = distinct([flat[:-1], flat[1:]], [len(h), len(h)])
+        at = known.at(h)
+        share = known.dealt(h, at, u, h[w]) % known.shares
+        order = np.argsort(share.astype(np.min_scalar_type(known.shares)), kind="stable")
+        spans = {int(share[order[i]]): order[i:i + n] for i, n in zip(*runs(share[order]))}
+        groups = sorted({i // SPLIT for i in spans})
+        records, uids = [], []
+        for g in groups:
+            here = [spans.get(i, order[:0]) for i in range(g * SPLIT, g * SPLIT + SPLIT)]
+            used = np.zeros(len(uid), bool)
+            if by_text:
+                for i in here:
+                    used[text[i]] = True
+            place = np.cumsum(used) - 1
+            records.append([packed(**known.coded(h[u[i]], h[w[i]], at[u[i]], at[w[i]]), k=k[i], **({"text": place[text[i]]} if by_text else {}))
+                            if len(i) else None for i in here])
+            uids.append(uid[used])
+        return pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array(records, pa.list_(pa.binary())), pa.array(uids, pa.list_(pa.int64()))],
+                                          names=["g", "pairs", "uid"])
 
-def count_pairs(docs: DataFrame, known: "Known") -> DataFrame:
-    """``u, w, salt, rare, n``: how often ``w`` follows ``u`` (hashes), the part of the context, and
-    whether the word's count does not travel with the model."""
     def run(batches):
+        held, tokens = [], 0
         for b in batches:
-            flat, _ = chain_of(texts_of(b.column(0)))
-            u, w, n = distinct(flat[:-1], flat[1:])
-            salt = (w.view(np.uint64) % known.parts[known.at(u)].astype(np.uint64)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, w, salt, known.at(w) < 0, n)], names=["u", "w", "salt", "rare", "n"])
+            text = b.column("text")
+            words, lengths = tokens_of(text)
+            ids = [text_id(i, t) for i, t in zip(b.column("doc_id").to_pylist(), texts_of(text))] if by_text else [0] * len(text)
+            if len(lengths):
+                held.append((words, lengths, np.array(ids, np.int64)))
+            tokens += len(words) + len(lengths)
+            if tokens >= CHUNK:
+                yield rows(held)
+                held, tokens = [], 0
+        if held:
+            yield rows(held)
 
-    rows = docs.select("text").mapInArrow(run, "u long, w long, salt int, rare boolean, n long")
-    return rows.groupBy("u", "w", "salt", "rare").agg(F.sum("n").alias("n"))
+    return docs.select(*["doc_id"] * by_text, "text").mapInArrow(run, "g int, pairs array<binary>, uid array<long>")
 
 
-def seat(ctx: np.ndarray, c: np.ndarray, base: np.ndarray, parts: np.ndarray, d: float, stirling: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def count_pairs(docs: DataFrame, known: "Known") -> DataFrame:
+    """A row per share of a group of contexts: ``g, share``, its pairs in order with their counts, packed, how many these are,
+    and how many have one and two customers."""
+    def counted(cells: list[pa.Scalar]) -> tuple[bytes, np.ndarray]:
+        all_u, all_w, all_k = [], [], []
+        for record in cells:
+            x = unpacked(record)
+            u, n, w = known.decoded(x)
+            all_u.append(np.repeat(u, n))
+            all_w.append(w)
+            all_k.append(x["k"])
+        u, w, k = (np.concatenate(x) for x in (all_u, all_w, all_k))
+        order = np.lexsort((w, u))
+        u, w = u[order], w[order]
+        first = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])))
+        c = np.add.reduceat(k[order], first)
+        return packed(**known.coded(u[first], w[first]), k=c), c
+
+    def run(cells: pa.Table) -> pa.Table:
+        rows = []
+        for i in range(SPLIT):
+            if here := [r for x in cells["pairs"] if (r := x.values[i]).is_valid]:
+                record, c = counted(here)
+                rows.append({"g": cells["g"][0].as_py(), "share": i, "pairs": record, "total": len(c), "ones": int((c == 1).sum()), "twos": int((c == 2).sum())})
+        return pa.Table.from_pylist(rows, pa.schema([("g", pa.int32()), ("share", pa.int32()), ("pairs", pa.binary()), ("total", pa.int64()),
+                                                     ("ones", pa.int64()), ("twos", pa.int64())]))
+
+    return deal(docs, known, False).groupBy("g").applyInArrow(run, "g int, share int, pairs binary, total long, ones long, twos long")
+
+
+def seat(ctx: np.ndarray, c: np.ndarray, base: np.ndarray, parts: np.ndarray, d: float, stirling: np.ndarray, seed,
+         starts: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Mean tables of pairs with ``c`` customers in the contexts ``ctx`` (0, 1, ..), and of the contexts, over the
-    samples of all chains. ``parts``: in how many parts each context is dealt."""
-    rng = np.random.default_rng(seed)
-    size = len(parts)
+    samples of all chains. ``parts``: in how many parts each context is dealt. Blocks of pairs that draw with a
+    ``seed`` each may be given together: ``starts`` are their first pairs and their first contexts."""
+    row_at, ctx_at = starts or (np.zeros(1, np.int64), np.zeros(1, np.int64))
+    rngs = [np.random.default_rng(int(x)) for x in np.atleast_1d(seed)]
+    size, k = len(parts), CHAINS * SAMPLES
+    ctx_ends = np.append(ctx_at[1:], size)
     alone = np.bincount(ctx[c == 1], minlength=size).astype(float)
     more = np.flatnonzero(c > 1)
-    more = more[np.argsort(c[more], kind="stable")]
-    edges = [0, *np.searchsorted(c[more], [3, 4, 6, 10, 18, 40, 100], "left"), len(more)]
-    slices = [more[a:b] for a, b in zip(edges, edges[1:]) if b > a]
+    block = np.searchsorted(row_at, more, "right") - 1
+    order = np.lexsort((c[more], block))
+    more, block = more[order], block[order]
+    # a block draws for its pairs by their number of customers, in slices, chain after chain
+    edges = [3, 4, 6, 10, 18, 40, 100]
+    slices, n = runs(block * (len(edges) + 1) + np.searchsorted(edges, c[more], "right"))
+    first, width = np.repeat(slices, n), np.repeat(n, n)
+    place = CHAINS * first + (np.arange(len(more)) - first) + np.arange(CHAINS)[:, None] * width
+    draws = np.bincount(block, minlength=len(rngs)) * CHAINS
+    order = np.argsort(c[more], kind="stable")
+    rows, place, block = more[order], place[:, order], block[order]
+    n, at, strength = c[rows], ctx[rows], d * base[rows]
+    cells = (at + size * np.arange(CHAINS)[:, None]).ravel()
+    alike = [(int(n[i]), slice(i, i + m)) for i, m in zip(*runs(n)) if n[i] < 18]
+    wide = []
+    widths = [18, 24, 31, 40, 55, 75, 100, 150, 220]
+    for low, high in zip(widths, [*widths[1:], None]):
+        here = slice(np.searchsorted(n, low), len(n) if high is None else np.searchsorted(n, high))
+        if here.start < here.stop:
+            most = int(min(CROWD, n[here].max()))
+            wide.append((here, np.arange(1, most + 1), stirling[np.minimum(n[here], most), 1:most + 1]))
+    crowded = np.flatnonzero(n > CROWD)
+    crowds = [(rngs[i], crowded[block[crowded] == i]) for i in np.unique(block[crowded])]
     tables = np.repeat(np.bincount(ctx, minlength=size)[None].astype(float), CHAINS, axis=0)
-    mean, mean_all = np.where(c == 1, 1.0, 0.0), np.zeros(size)
-    k = CHAINS * SAMPLES
-    fixed = []
-    for rows in slices:
-        most = int(min(CROWD, c[rows].max()))
-        fixed.append((rows, np.arange(1, most + 1), stirling[np.minimum(c[rows], most), 1:most + 1], np.log(d * base[rows])))
+    drawn, sums, mean_all = np.ones((CHAINS, len(rows))), np.zeros(len(rows)), np.zeros(size)
     for sweep in range(BURN + SAMPLES):
-        x = np.maximum(rng.gamma(THETA / d + tables * parts), 1e-300)
-        tables = np.repeat(alone[None], CHAINS, axis=0)
-        for rows, t, s, b in fixed:
-            strength = b + np.log(x[:, ctx[rows]])
-            p = s + strength[:, :, None] * t
-            p = np.exp(p - p.max(axis=2, keepdims=True)).cumsum(axis=2)
-            drawn = 1 + (p < rng.random(strength.shape)[:, :, None] * p[:, :, -1:]).sum(axis=2)
-            drawn = np.minimum(drawn, len(t))
-            n = c[rows]
-            if n[-1] > CROWD:
-                a = np.exp(strength)
-                late = a * np.log(np.maximum(n - d * drawn + a, 1e-9) / np.maximum(CROWD - d * drawn + a, 1e-9))
-                drawn = drawn + np.where(n > CROWD, np.minimum(rng.poisson(np.where(n > CROWD, late, 0)), n - CROWD), 0)
-            for chain in range(CHAINS):
-                tables[chain] += np.bincount(ctx[rows], weights=drawn[chain], minlength=size)
-            if sweep >= BURN:
-                mean[rows] += drawn.sum(axis=0) / k
+        shape = THETA / d + tables * parts
+        x, r = [], []
+        for rng, i, j, m in zip(rngs, ctx_at, ctx_ends, draws):
+            x.append(rng.gamma(shape[:, i:j]))
+            r.append(rng.random(m))
+        a = strength * np.maximum(np.concatenate(x, axis=1), 1e-300)[:, at]
+        r = np.concatenate(r)[place]
+        for most, here in alike:  # in the chances' own scale: powers of so few tables stay small
+            s, power, upto = np.exp(stirling[most, 1:most + 1] - stirling[most, 1]), a[:, here], [1.0]
+            for t in range(1, most):
+                upto.append(upto[-1] + s[t] * power)
+                power = power * a[:, here]
+            y = r[:, here] * upto.pop()
+            drawn[:, here] = 1 + sum((z < y).astype(float) for z in upto)
+        for here, t, s in wide:
+            p = np.log(a[:, here])[:, :, None] * t
+            p += s
+            p -= p.max(axis=2, keepdims=True)
+            p = np.cumsum(np.exp(p, out=p), axis=2, out=p)
+            drawn[:, here] = np.minimum(1 + (p < r[:, here, None] * p[:, :, -1:]).sum(axis=2), len(t))
+        for rng, i in crowds:
+            late = a[:, i] * np.log(np.maximum(n[i] - d * drawn[:, i] + a[:, i], 1e-9) / np.maximum(CROWD - d * drawn[:, i] + a[:, i], 1e-9))
+            drawn[:, i] += np.minimum(rng.poisson(late), n[i] - CROWD)
+        tables = alone + np.bincount(cells, weights=drawn.ravel(), minlength=CHAINS * size).reshape(CHAINS, size)
         if sweep >= BURN:
+            sums += drawn.sum(axis=0)
             mean_all += tables.sum(axis=0) / k
+    mean = np.where(c == 1, 1.0, 0.0)
+    mean[rows] = sums / k
     return mean, mean_all
 
 
@@ -353,97 +552,253 @@ class Known:
         # the last entry stands for all other words
         self.n, self.symbol, self.word = np.append(n[order], 0), np.append(symbol[order], rest), np.append(word[order], 0.0)
         self.parts = np.maximum(1, -(-self.n // SALT))
+        self.shares = max(1, -(-model.tokens // HELD))
 
     def at(self, h: np.ndarray) -> np.ndarray:
         i = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
         return np.where(self.h[i] == h, i, -1)
 
+    def dealt(self, h: np.ndarray, at: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What pairs are dealt by: a hash of the context and, if it is dealt in parts, of its part. ``u``: places in
+        the hashes ``h``, ``at`` theirs among the words that travel; ``w``: hashes of the followers."""
+        out = context_hash(h, np.zeros(len(h), np.int64))[u]
+        parts = self.parts[at]
+        more = np.flatnonzero(parts[u] > 1)
+        salt = w[more].view(np.uint64) % parts[u[more]].astype(np.uint64)
+        out[more] = context_hash(h[u[more]], salt)
+        return out
+
+    def coded(self, u: np.ndarray, w: np.ndarray, ku: np.ndarray | None = None, kw: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Columns of pairs (hashes) whose contexts stand together: the places of words that travel (``ku, kw``), from 1,
+        and the hashes of the others (0)."""
+        first, n = runs(u)
+        u = u[first]
+        ku, kw = self.at(u) if ku is None else ku[first], self.at(w) if kw is None else kw
+        return {"u": ku + 1, "u_other": u[ku < 0], "n": n, "w": kw + 1, "w_other": w[kw < 0]}
+
+    def decoded(self, x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Contexts (hashes), how many pairs each has, and the words of the pairs."""
+        out = []
+        for name in "uw":
+            h = self.h[x[name] - 1]
+            h[x[name] == 0] = x[f"{name}_other"]
+            out.append(h)
+        return out[0], x["n"], out[1]
+
 
 def rare_words(vocab: DataFrame, model: Model) -> DataFrame:
     """Hash and count of the words that do not travel."""
     return vocab.filter((F.col("n") * SENT < model.tokens) & (F.col("word") != F.lit(END))).select(F.xxhash64("word").alias("h"), "n")
 
 
-def seat_pairs(docs: DataFrame, vocab: DataFrame, model: Model) -> tuple[DataFrame, DataFrame, Known]:
-    """All pairs of the training texts ``docs`` with their log-probability (``u, w, lp``), the share that each
-    context leaves to the base (``u, left``), and the words that travel."""
+class Seated:
+    """The seated pairs of the training texts. Unpacks to all pairs with their log-probability (``u, w, lp``), the share
+    that each context leaves to the base (``u, left, dealt``), and the words that travel."""
+
+    def __init__(self, rows: DataFrame, known: Known, model: Model, discount: float, hot: list[tuple[int, float]]):
+        #: ``g, share, pairs, seats``: for each share of a group of contexts a row with its pairs and one with their seats
+        self.rows, self.known, self.discount = rows, known, discount
+        self.symbols, self.size, self.log_words = model.pairs.ravel(), len(model.pairs), model.log_words
+        hot = sorted(hot)
+        #: contexts dealt in parts (at most SENT words are as frequent), and what they leave to the base
+        self.hot, self.hot_left = np.array([u for u, _ in hot], np.int64), np.array([x for _, x in hot], float)
+
+    def __getstate__(self):
+        return self.__dict__ | {"rows": None}
+
+    def __iter__(self):
+        return iter((self.pairs(), self.contexts(), self.known))
+
+    def log_symbols(self, ku: np.ndarray, kw: np.ndarray) -> np.ndarray:
+        """Base-10 logarithms of what the levels above give pairs, without rare words' own part."""
+        return self.symbols[self.known.symbol[ku] * self.size + self.known.symbol[kw]] + self.known.word[kw]
+
+    def log_base(self, ku: np.ndarray, kw: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        """The same with it; ``rare``: counts of the words that do not travel, in order."""
+        out = self.log_symbols(ku, kw)
+        out[kw < 0] += self.log_words(rare)
+        return out
+
+    def opened(self, pairs: pa.Scalar, seats: pa.Scalar) -> tuple[np.ndarray, ...]:
+        """Contexts of a share, how many pairs each has, and what it leaves to the base; the pairs' words, log-probabilities
+        and (of rare words) counts."""
+        x, y = unpacked(pairs), unpacked(seats, SEATS)
+        u, n, w = self.known.decoded(x)
+        ku, kw = self.known.at(u), self.known.at(w)
+        first = np.cumsum(n) - n
+        left, several = y["left"].copy(), np.isnan(y["left"])
+        left[several] = self.hot_left[np.searchsorted(self.hot, u[several])]
+        customers = np.where(several, self.known.n[ku], np.add.reduceat(x["k"], first))
+        a = np.maximum(x["k"] - self.discount * (y["tables"] / (CHAINS * SAMPLES)), 0) / (THETA + np.repeat(customers, n))
+        lp = np.log10(a + np.repeat(left, n) * 10 ** self.log_base(np.repeat(ku, n), kw, y["rare"]))
+        rare = np.zeros(len(w), np.int64)
+        rare[kw < 0] = y["rare"]
+        return u, n, left, several, w, lp, rare
+
+    def _unpacked(self, of, schema: str) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                for pairs, seats in zip(b.column("pairs"), b.column("seats")):
+                    yield pa.RecordBatch.from_pydict(of(self.opened(pairs, seats)))
+
+        return self.rows.groupBy("g", "share").agg(F.max("pairs").alias("pairs"), F.max("seats").alias("seats")).select("pairs", "seats").mapInArrow(run, schema)
+
+    def pairs(self) -> DataFrame:
+        return self._unpacked(lambda x: {"u": np.repeat(x[0], x[1]), "w": x[4], "lp": x[5]}, "u long, w long, lp double")
+
+    def contexts(self) -> DataFrame:
+        return self._unpacked(lambda x: {"u": x[0], "left": x[2], "dealt": x[3]}, "u long, left double, dealt boolean").distinct()
+
+
+def seat_pairs(docs: DataFrame, vocab: DataFrame, model: Model) -> Seated:
+    """All pairs of the training texts ``docs``, seated."""
     known = Known(model)
-    pairs = written(count_pairs(docs, known), "pair-counts")
-    total, ones, twos = pairs.agg(F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    d = discount(ones, twos)
-    blocks = max(1, -(-total // BLOCK))
+    counted = written(count_pairs(docs, known), "pair-counts")
+    total, ones, twos = counted.agg(F.sum("total"), F.sum("ones"), F.sum("twos")).first()
+    d = discount(ones or 0, twos or 0)
+    # a block of pairs that are seated together lies in one share
+    blocks = known.shares * max(1, -(-(total or 0) // (BLOCK * known.shares)))
     stirling = log_stirling(d)
-    symbols, size = model.pairs.ravel(), len(model.pairs)
-
-    def run(rows: pa.Table) -> pa.Table:
-        order = np.lexsort((rows["w"].to_numpy(), rows["u"].to_numpy()))
-        u, w, c = (rows[x].to_numpy()[order] for x in ("u", "w", "n"))
-        rare = rows["wn"].to_numpy()[order]
-        new = np.append(True, u[1:] != u[:-1])
-        ctx, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    base_of = Seated(counted, known, model, d, [])
+
+    def others(batches):
+        group, held = None, []
+
+        def listed():
+            w = np.unique(np.concatenate(held))
+            return pa.RecordBatch.from_pydict({"g": pa.array([group] * len(w), pa.int32()), "h": w})
+
+        for b in batches:  # the shares of a group follow each other
+            for g, record in zip(b.column("g").to_pylist(), b.column("pairs")):
+                if held and g != group:
+                    yield listed()
+                    held = []
+                group = g
+                held.append(unpacked(record)["w_other"])
+        if held:
+            yield listed()
+
+    def seated(record: pa.Scalar, h: np.ndarray, found: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+        x = unpacked(record)
+        first_u, n, w = known.decoded(x)
+        c, u = x["k"], np.repeat(first_u, n)
         ku, kw = known.at(u), known.at(w)
-        base = 10 ** (symbols[known.symbol[ku] * size + known.symbol[kw]] + np.where(kw < 0, model.log_words(rare), known.word[kw]))
-        parts = known.parts[ku[first]]
-        t, all_t = seat(ctx, c, base, parts, d, stirling, int(rows["b"][0].as_py()))
-        n = np.where(parts > 1, known.n[ku[first]], np.bincount(ctx, weights=c))
-        a = np.maximum(c - d * t, 0) / (THETA + n[ctx])
-        tables = np.where(new, all_t[ctx], np.nan)
-        return pa.table({"u": u, "w": w, "a": a, "base": base, "tables": pa.array(tables, from_pandas=True), "n": n[ctx].astype(np.int64),
-                         "left": pa.array(np.where(parts > 1, np.nan, (THETA + d * all_t) / (THETA + n))[ctx], from_pandas=True)})
-
-    met = (pairs.withColumn("h", F.when(F.col("rare"), F.col("w")).otherwise(F.xxhash64("u", "w")))
-           .join(rare_words(vocab, model).withColumnRenamed("n", "wn"), "h", "left"))
-    rows = met.select(F.pmod(F.xxhash64("u", "salt"), F.lit(blocks)).alias("b"), "u", "w", "n",
-                      F.when(F.col("rare"), F.coalesce("wn", F.lit(0))).otherwise(0).cast("long").alias("wn"))
-    seated = written(rows.groupBy("b").applyInArrow(run, "u long, w long, a double, base double, tables double, n long, left double"), "pair-seats")
-    contexts = written(seated.filter("tables is not null").groupBy("u").agg(
-        ((THETA + d * F.sum("tables")) / (THETA + F.first("n"))).alias("left"), F.max(F.col("left").isNull()).alias("dealt")), "contexts")
-    dealt = contexts.filter("dealt").select("u", F.col("left").alias("shared"))  # at most SENT words are as frequent
-    whole = seated.join(F.broadcast(dealt), "u", "left")
-    lp = F.log10(F.col("a") + F.coalesce("left", "shared") * F.col("base"))
-    return whole.select("u", "w", lp.alias("lp")), contexts.select("u", "left", "dealt"), known
-
-
-def pair_scores(docs: DataFrame, vocab: DataFrame, model: Model, pairs: DataFrame, contexts: DataFrame, known: Known) -> DataFrame:
-    """``uid, score``: summed log-probabilities of each text's pairs (of equal rows together)."""
-    symbols, size = model.pairs.ravel(), len(model.pairs)
-    shares = contexts.filter("dealt").select("u", "left").collect()
-    hot = np.array(sorted((r[0], r[1]) for r in shares), dtype=[("u", np.int64), ("left", float)])
-
-    def listed(batches):
-        for b in batches:
-            texts = texts_of(b.column("text"))
-            flat, lengths = chain_of(texts)
-            doc, u, w, k = distinct(np.repeat(np.arange(len(texts)), lengths), flat[:-1], flat[1:])
-            uid = np.array([text_id(i, t) for i, t in zip(b.column("doc_id").to_pylist(), texts)], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (uid[doc], u, w, k.astype(np.int32))], names=["uid", "u", "w", "k"])
-
-    def based(batches):  # unseen pairs: the base without rare words' own part; the share of a dealt context
-        for b in batches:
-            u, w, k = (b.column(x).to_numpy() for x in ("u", "w", "k"))
-            ku, kw = known.at(u), known.at(w)
-            lp = symbols[known.symbol[ku] * size + known.symbol[kw]] + known.word[kw]
-            i = np.minimum(np.searchsorted(hot["u"], u), max(0, len(hot) - 1))
-            dealt = hot["u"][i] == u if len(hot) else np.zeros(len(u), bool)
-            if len(hot):
-                lp = lp + np.where(dealt, np.log10(hot["left"][i]), 0.0)
-            yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array(u), pa.array(w), pa.array(k), pa.array(lp), pa.array(dealt), pa.array(kw < 0)],
-                                             names=["uid", "u", "w", "k", "lp", "dealt", "rare"])
-
-    rows = docs.select("doc_id", "text").mapInArrow(listed, "uid long, u long, w long, k int")
-    unseen = F.when(F.col("lp").isNull(), F.struct("u", "w", "k"))
-    per = written(rows.join(pairs, ["u", "w"], "left").groupBy("uid").agg(
-        F.sum(F.col("k") * F.coalesce("lp", F.lit(0.0))).alias("seen"), F.collect_list(unseen).alias("unseen")), "pair-scores")
-    open_pairs = per.select("uid", F.explode("unseen").alias("e")).select("uid", "e.*").mapInArrow(
-        based, "uid long, u long, w long, k int, lp double, dealt boolean, rare boolean")
-    own = F.xxhash64("uid", "u", "w")
-    met = (open_pairs.withColumn("cu", F.when(F.col("dealt"), own).otherwise(F.col("u"))).withColumn("h", F.when(F.col("rare"), F.col("w")).otherwise(own))
-           .join(contexts.filter("not dealt").select(F.col("u").alias("cu"), "left"), "cu", "left")
-           .join(rare_words(vocab, model), "h", "left"))
-    p = word_chance(model, F.coalesce("n", F.lit(0)))
-    one = F.col("lp") + F.coalesce(F.log10("left"), F.lit(0.0)) + F.when(F.col("rare"), F.log10(p)).otherwise(0.0)
-    return (met.select("uid", (F.col("k") * one).alias("s")).unionByName(per.select("uid", F.col("seen").alias("s")))
-            .groupBy("uid").agg(F.sum("s").alias("score")))
+        at = np.minimum(np.searchsorted(h[:-1], w[kw < 0]), len(h) - 1)
+        rare = np.where(h[at] == w[kw < 0], found[at], 0)
+        base = 10 ** base_of.log_base(ku, kw, rare)
+        starts, place = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+        block = known.dealt(first_u, ku[starts], place, w) % blocks
+        order = np.argsort(block, kind="stable")
+        tables, all_tables = np.zeros(len(c), np.int64), np.zeros(len(n))
+        at, sizes = runs(block[order])
+        for i in range(0, len(at), TOGETHER):
+            here = order[at[i]:at[i:i + TOGETHER][-1] + sizes[i:i + TOGETHER][-1]]
+            inside = at[i:i + TOGETHER] - at[i]
+            new = np.append(True, u[here][1:] != u[here][:-1])
+            new[inside] = True
+            first, ctx = np.flatnonzero(new), np.cumsum(new) - 1
+            t, all_t = seat(ctx, c[here], base[here], known.parts[ku[here[first]]], d, stirling, block[here[inside]], (inside, ctx[inside]))
+            tables[here] = np.rint(t * (CHAINS * SAMPLES))
+            np.add.at(all_tables, place[here[first]], all_t)
+        several = known.parts[ku[starts]] > 1
+        left = (THETA + d * all_tables) / (THETA + np.add.reduceat(c, starts))
+        return packed(tables=tables, left=np.where(several, np.nan, left), rare=rare), first_u[several], all_tables[several]
+
+    def run(pairs: pa.Table, words: pa.Table) -> pa.Table:
+        h, found = words["h"].to_numpy(), words["n"].to_numpy()
+        order = np.argsort(h)
+        h, found = np.append(h[order], 0), np.append(found[order], 0)
+        record, dealt, tables = zip(*(seated(r, h, found) for r in pairs["pairs"]))
+        return pa.table({"g": pairs["g"], "share": pairs["share"], "seats": pa.array(record, pa.binary()), "dealt": pa.array(dealt, pa.list_(pa.int64())),
+                         "tables": pa.array(tables, pa.list_(pa.float64()))})
+
+    words = counted.select("g", "pairs").mapInArrow(others, "g int, h long").join(rare_words(vocab, model), "h")
+    seats = written(counted.select("g", "share", "pairs").groupBy("g").cogroup(words.groupBy("g"))
+                    .applyInArrow(run, "g int, share int, seats binary, dealt array<long>, tables array<double>"), "pair-seats")
+    dealt = seats.select(F.explode(F.arrays_zip("dealt", "tables")).alias("x")).groupBy("x.dealt").agg(F.sum("x.tables")).collect()
+    hot = [(u, (THETA + d * t) / (THETA + float(known.n[known.at(np.array([u]))][0]))) for u, t in dealt]
+    rows = counted.select("g", "share", "pairs").unionByName(seats.select("g", "share", "seats"), allowMissingColumns=True)
+    return Seated(rows, known, model, d, hot)
+
+
+def pair_scores(docs: DataFrame, vocab: DataFrame, model: Model, seated: Seated) -> DataFrame:
+    """``uid, score, base, known``: summed log-probabilities of each text's pairs, and of their words by the base, and how
+    many of these are known (of equal rows together)."""
+    known = seated.known
+    none = np.zeros(0, np.int64)
+    word_base, word_known = model.base(known.n), known.n > 0
+
+    def met(pairs: pa.Scalar | None, seats: pa.Scalar | None, cells: list[tuple[pa.Scalar, np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, ...]]:
+        """Adds the pairs of one share to the texts' sums; text, word and number of the pairs whose words' counts are elsewhere."""
+        u, left, w, lp, rare, keys = none, np.zeros(0), none, np.zeros(0), none, none
+        if pairs is not None:
+            u, n, left, _, w, lp, rare = seated.opened(pairs, seats)
+            words, w = np.unique(w, return_inverse=True)
+            keys = np.repeat(np.arange(len(n)), n) * len(words) + w
+            traveling = np.minimum(np.searchsorted(words, known.h), len(words) - 1)
+        rare_base, out = model.base(rare), []
+        for record, uid, sums in cells:
+            x = unpacked(record)
+            cu, n, cw = known.decoded(x)
+            k, text = x["k"], x["text"]
+            ku, kw = x["u"] - 1, x["w"] - 1
+            share = np.ones(len(cu))
+            i = np.searchsorted(seated.hot, cu)
+            hot = (i < len(seated.hot)) & (np.append(seated.hot, 0)[i] == cu)
+            share[hot] = seated.hot_left[i[hot]]
+            seen, at = np.zeros(len(cw), bool), np.zeros(len(cw), np.int64)
+            if len(keys):
+                i = np.minimum(np.searchsorted(u, cu), len(u) - 1)
+                same = (u[i] == cu) & ~hot
+                share[same] = left[i[same]]
+                j = traveling[kw]
+                j[kw < 0] = np.minimum(np.searchsorted(words, cw[kw < 0]), len(words) - 1)
+                key = np.repeat(i, n) * len(words) + j
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                seen = np.repeat(u[i] == cu, n) & (words[j] == cw) & (keys[at] == key)
+            own, unseen = kw < 0, ~seen
+            s = np.empty(len(cw))
+            s[seen] = lp[at[seen]]
+            s[unseen] = seated.log_symbols(np.repeat(ku, n)[unseen], kw[unseen]) + np.log10(np.repeat(share, n)[unseen])
+            base, found = word_base[kw], word_known[kw]
+            base[own], found[own] = 0.0, False
+            both = own & seen
+            base[both], found[both] = rare_base[at[both]], True
+            sums += [np.bincount(text, k * y, len(uid)) for y in (s, base, found)]
+            rows = np.flatnonzero(own & unseen)
+            out.append((uid[text[rows]], cw[rows], k[rows]))
+        return out
+
+    def run(pairs: pa.Table, cells: pa.Table) -> pa.Table:
+        texts = [(x.values, uid, np.zeros((3, len(uid)))) for x, uid in zip(cells["pairs"], (y.values.to_numpy() for y in cells["uid"]))]
+        out = [(none, none, none)]
+        have: list[dict] = [{}, {}]
+        for i, *records in zip(pairs["share"].to_pylist(), pairs["pairs"], pairs["seats"]):
+            for known_by, record in zip(have, records):
+                if record.is_valid:
+                    known_by[i] = record
+        for i in range(SPLIT) if texts else ():
+            if here := [(x[i], uid, sums) for x, uid, sums in texts if x[i].is_valid]:
+                out += met(have[0].get(i), have[1].get(i), here)
+        uid, h, k = (np.concatenate(x) for x in zip(*out))
+        score, base, found = np.concatenate([sums for *_, sums in texts], axis=1) if texts else np.zeros((3, 0))
+        nil = np.zeros(len(uid))
+        nought = np.zeros(len(score), np.int64)
+        pa.default_memory_pool().release_unused()
+        return pa.table({"uid": np.concatenate([*(x for _, x, _ in texts), uid]), "score": np.append(score, nil), "base": np.append(base, nil),
+                         "known": np.append(found, nil).astype(np.int64), "h": np.append(nought, h), "k": np.append(nought, k)})
+
+    cells = deal(docs, known, True)
+    parts = written(seated.rows.groupBy("g").cogroup(cells.groupBy("g"))
+                    .applyInArrow(run, "uid long, score double, base double, known long, h long, k long"), "pair-scores")
+    n = F.coalesce("n", F.lit(0))
+    base = F.log10((n + ADD) / F.lit(model.tokens + ADD * (model.types + 1)))
+    sums = ("uid", "score", "base", "known")
+    unseen = parts.filter("k > 0").select("uid", "h", "k").join(rare_words(vocab, model), "h", "left").select(
+        "uid", (F.col("k") * F.log10(word_chance(model, n))).alias("score"), (F.col("k") * base).alias("base"),
+        F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0).alias("known"))
+    return (parts.filter("k = 0").select(*sums).unionByName(unseen).groupBy("uid")
+            .agg(*(F.sum(c).alias(c) for c in sums[1:])))
 
 
 def word_chance(model: Model, n: Column) -> Column:
@@ -491,58 +846,22 @@ def text_id(doc, text: str) -> int:
     return signed_hash(f"{doc}:".encode() + text.encode("utf-8", "surrogatepass"))
 
 
-def score(docs: DataFrame, vocab: DataFrame, model: Model, seated: tuple[DataFrame, DataFrame, Known]) -> DataFrame:
-    """``doc_id, n_tokens, n_known, base_score, score`` per row of ``docs`` (``doc_id, text``).
-
-    A task adds up what it knows of a text (words that travel with the model) and lists the other
-    words by hash; these meet their counts in one join, and the parts are added per text, as are its pairs."""
-    known = {w: i for i, w in enumerate(model.sent)}
-    counts = np.array([*model.sent.values(), 0], np.int64)
-    base = model.base(counts)
-    end_base, end_known = float(model.base(model.sent.get(END, 0))), int(model.sent.get(END, 0) > 0)
-
+def score(docs: DataFrame, vocab: DataFrame, model: Model, seated: Seated) -> DataFrame:
+    """``doc_id, n_tokens, n_known, base_score, score`` per row of ``docs`` (``doc_id, text``)."""
     def run(batches):
-        get = known.get
         for b in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            for doc, t in zip(b.column("doc_id").to_pylist(), texts_of(b.column("text"))):
-                w = words_of(t)
-                ids = np.fromiter(map(get, w, repeat(-1)), np.int64, len(w))
-                here = ids[ids >= 0]
-                other = Counter([w[i] for i in np.flatnonzero(ids < 0)])
-                uid = text_id(doc, t)
-                for col, v in zip(cols, (uid, doc, len(w) + 1, len(here) + end_known, float(base[here].sum()) + end_base,
-                                         [(uid, 0), *((signed_hash(x), n) for x, n in other.items())])):
-                    col.append(v)
-            lists = cols.pop()
-            ends = pa.array(np.cumsum([0, *map(len, lists)]).astype(np.int32))
-            flat = [x for r in lists for x in r]
-            pair = [pa.ListArray.from_arrays(ends, pa.array([x[k] for x in flat], t)) for k, t in ((0, pa.int64()), (1, pa.int32()))]
-            types = (pa.int64(), b.column("doc_id").type, pa.int64(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types)), *pair],
-                                             names=["uid", "doc_id", "n_tokens", "n_known", "base", "h", "k"])
+            doc, text = b.column("doc_id"), b.column("text")
+            uid = [text_id(i, t) for i, t in zip(doc.to_pylist(), texts_of(text))]
+            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), doc, pa.array(tokens_of(text)[1] + 1)], names=["uid", "doc_id", "n_tokens"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").mapInArrow(
-        run, f"uid long, doc_id {id_type}, n_tokens long, n_known long, base double, h array<long>, k array<int>")
-    rows = rows.withColumn("e", F.explode(F.arrays_zip("h", "k")))
-    own = F.col("e.k") == 0  # the text's own row, dealt by its own hash
-    keep = lambda c, zero: F.when(own, F.col(c)).otherwise(zero).alias(c)
-    rows = rows.select("uid", F.when(own, F.col("doc_id")).alias("doc_id"), F.col("e.h").alias("h"), F.col("e.k").alias("k"),
-                       *(keep(c, F.lit(0)) for c in ("n_tokens", "n_known")), keep("base", F.lit(0.0)))
-    met = rows.join(rare_words(vocab, model), "h", "left")
-    n = F.coalesce("n", F.lit(0))
-    b = F.log10((n + ADD) / F.lit(model.tokens + ADD * (model.types + 1)))
-    added = met.groupBy("uid").agg(
-        F.sum((F.col("k") == 0).cast("long")).alias("copies"), F.max("doc_id").alias("doc_id"),
-        F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.when(F.col("k") > 0, F.col("k") * b).otherwise(0.0)).alias("base_score"))
-    added = added.join(pair_scores(docs, vocab, model, *seated), "uid")
+    rows = docs.select("doc_id", "text").mapInArrow(run, f"uid long, doc_id {id_type}, n_tokens long")
     # equal rows share a hash: their sums are divided and the rows given back
-    per = added.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    whole = lambda c: (F.col(c) / F.col("copies")).cast("long").alias(c)
-    return per.select("doc_id", whole("n_tokens"), whole("n_known"), (F.col("base_score") / F.col("copies")).alias("base_score"),
-                      (F.col("score") / F.col("copies")).alias("score"))
+    texts = rows.groupBy("uid").agg(F.count("*").alias("copies"), F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"))
+    per = (texts.join(pair_scores(docs, vocab, model, seated), "uid")
+           .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))))
+    return per.select("doc_id", "n_tokens", (F.col("known") / F.col("copies")).cast("long").alias("n_known"),
+                      (F.col("base") / F.col("copies")).alias("base_score"), (F.col("score") / F.col("copies")).alias("score"))
 
 
 def score_texts(docs: DataFrame, training: DataFrame) -> tuple[DataFrame, Model]:

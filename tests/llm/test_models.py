@@ -1,5 +1,6 @@
 """Language model, classifier, page labeller, decontamination, personal data, fingerprints."""
 import math
+import os
 import random
 import re
 import time
@@ -7,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +122,46 @@ def test_pairs_of_rare_words_have_contexts(docs_of, monkeypatch, salt):
     assert got[1] > got[2] + 0.5
 
 
+def test_pairs_take_few_bytes_on_disk(docs_of, spark):
+    r = random.Random(5)
+    words = [f"{r.choice('bcdfgh')}{i:x}" for i in range(3000)]
+    rows = [(i, " ".join(words[int(3000 * r.random() ** 3)] for _ in range(250))) for i in range(400)]
+    docs = docs_of(rows).repartition(2).localCheckpoint()
+
+    def held():  # shuffle files of this session
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return sum(os.path.getsize(f) for f in files if "shuffle" in os.path.basename(f) and os.path.exists(f))
+
+    before = held()
+    pitman_yor.score_texts(docs, docs)[0].collect()
+    pairs = sum(len(t.split()) + 1 for _, t in rows)
+    assert held() - before < 14 * pairs
+
+
+def test_records_hold_columns_of_any_size():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        cols = {n: rng.integers(-(2**63), 2**63 - 1, rng.integers(0, 40)) if "other" in n else rng.integers(0, 10 ** rng.integers(1, 12), rng.integers(0, 300))
+                for n in pitman_yor.PAIRS}
+        got = pitman_yor.unpacked(pa.scalar(pitman_yor.packed(**cols), pa.binary()))
+        assert all(np.array_equal(got[n], x) for n, x in cols.items())
+
+
+def test_shares_of_contexts_change_no_score(docs_of, monkeypatch):
+    rows = [(i, prose(i, 60) + f" rare{i} rare{i % 7}") for i in range(80)] + [(90, None), (91, "Unseen WORDS only")]
+    docs = docs_of(rows + [(5, rows[5][1])])
+    monkeypatch.setattr(pitman_yor, "SENT", 60)
+    got = []
+    for held, chunk in ((1 << 19, 1 << 20), (150, 300)):  # one share, and some in several groups, met by many batches of texts
+        monkeypatch.setattr(pitman_yor, "HELD", held)
+        monkeypatch.setattr(pitman_yor, "CHUNK", chunk)
+        scores, model = pitman_yor.score_texts(docs, docs.filter(~held_out(10)))
+        got.append(sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in scores.collect()))
+    assert model.tokens > 8 * 2 * 150
+    for a, b in zip(*got):
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3]) and a[4] == pytest.approx(b[4], rel=0.02)  # blocks draw anew
+
+
 def test_without_training_rows(docs_of):
     scores, _ = pitman_yor.score_texts(docs_of([(1, "a b"), (2, None)]), docs_of([]))
     assert sorted((r["doc_id"], r["n_tokens"], r["n_known"]) for r in scores.collect()) == [(1, 3, 0), (2, 1, 0)]
