@@ -48,6 +48,7 @@ not carried.
 """
 from __future__ import annotations
 
+import ctypes
 import math
 import struct
 from itertools import repeat
@@ -70,9 +71,9 @@ CHAINS, BURN, SAMPLES, CROWD, THETA = 4, 8, 12, 300, 1.0
 TOGETHER = 32
 #: Tokens of the contexts whose pairs are held at a time, how many of these make a group that a task gets, and tokens of the
 #: texts whose pairs a task deals at a time.
-HELD, SPLIT, CHUNK = 1 << 19, 8, 1 << 20
+HELD, SPLIT, CHUNK = 1 << 19, 8, 1 << 19
 #: Words that a task counts before it passes them on.
-FLUSH = 1 << 22
+FLUSH = 1 << 21
 #: Spark's settings while a table is written: shuffle files go when the query that wrote them ends, and long records travel
 #: to Python in few.
 WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
@@ -95,6 +96,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
             conf.unset(k) if v is None else conf.set(k, v)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker lives on beside the next stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words of all texts, one after the other, and how many each text has: as ``words_of``, for a column."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
@@ -145,6 +153,8 @@ def count_words(docs: DataFrame) -> DataFrame:
                 held, tokens, texts = [], 0, 0
         if texts:
             yield counted(held, texts)
+        held.clear()
+        give_back()
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -169,8 +179,8 @@ def symbol_counts(docs: DataFrame, symbol: dict[bytes, int]) -> np.ndarray:
     return out.reshape(size, size)
 
 
-#: Columns of a record of pairs and of their seats.
-PAIRS, SEATS = ("u", "u_other", "n", "w", "w_other", "k", "text"), ("tables", "left", "rare")
+#: Columns of a record of pairs, of their seats, and of what texts sum up to.
+PAIRS, SEATS, SUMS = ("u", "u_other", "n", "w", "w_other", "k", "text"), ("tables", "left", "rare"), ("uid", "score", "base", "known")
 COLUMN = struct.Struct("<cBII")
 
 
@@ -296,8 +306,11 @@ def deal(docs: DataFrame, known: "Known", by_text: bool) -> DataFrame:
             if tokens >= CHUNK:
                 yield rows(held)
                 held, tokens = [], 0
+                give_back()
         if held:
             yield rows(held)
+        held.clear()
+        give_back()
 
     return docs.select(*["doc_id"] * by_text, "text").mapInArrow(run, "g int, pairs array<binary>, uid array<long>")
 
@@ -325,6 +338,7 @@ def count_pairs(docs: DataFrame, known: "Known") -> DataFrame:
         for i in range(SPLIT):
             if here := [r for x in cells["pairs"] if (r := x.values[i]).is_valid]:
                 record, c = counted(here)
+                give_back()
                 rows.append({"g": cells["g"][0].as_py(), "share": i, "pairs": record, "total": len(c), "ones": int((c == 1).sum()), "twos": int((c == 2).sum())})
         return pa.Table.from_pylist(rows, pa.schema([("g", pa.int32()), ("share", pa.int32()), ("pairs", pa.binary()), ("total", pa.int64()),
                                                      ("ones", pa.int64()), ("twos", pa.int64())]))
@@ -553,6 +567,7 @@ class Known:
         self.n, self.symbol, self.word = np.append(n[order], 0), np.append(symbol[order], rest), np.append(word[order], 0.0)
         self.parts = np.maximum(1, -(-self.n // SALT))
         self.shares = max(1, -(-model.tokens // HELD))
+        self.groups = -(-self.shares // SPLIT)
 
     def at(self, h: np.ndarray) -> np.ndarray:
         i = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
@@ -709,6 +724,7 @@ def seat_pairs(docs: DataFrame, vocab: DataFrame, model: Model) -> Seated:
         order = np.argsort(h)
         h, found = np.append(h[order], 0), np.append(found[order], 0)
         record, dealt, tables = zip(*(seated(r, h, found) for r in pairs["pairs"]))
+        give_back()
         return pa.table({"g": pairs["g"], "share": pairs["share"], "seats": pa.array(record, pa.binary()), "dealt": pa.array(dealt, pa.list_(pa.int64())),
                          "tables": pa.array(tables, pa.list_(pa.float64()))})
 
@@ -780,25 +796,40 @@ def pair_scores(docs: DataFrame, vocab: DataFrame, model: Model, seated: Seated)
         for i in range(SPLIT) if texts else ():
             if here := [(x[i], uid, sums) for x, uid, sums in texts if x[i].is_valid]:
                 out += met(have[0].get(i), have[1].get(i), here)
+                give_back()
         uid, h, k = (np.concatenate(x) for x in zip(*out))
-        score, base, found = np.concatenate([sums for *_, sums in texts], axis=1) if texts else np.zeros((3, 0))
-        nil = np.zeros(len(uid))
-        nought = np.zeros(len(score), np.int64)
-        pa.default_memory_pool().release_unused()
-        return pa.table({"uid": np.concatenate([*(x for _, x, _ in texts), uid]), "score": np.append(score, nil), "base": np.append(base, nil),
-                         "known": np.append(found, nil).astype(np.int64), "h": np.append(nought, h), "k": np.append(nought, k)})
-
+        rows = [{"uid": uid, "h": h, "k": k}]
+        if texts:
+            sums = added(np.concatenate([x for _, x, _ in texts]), np.concatenate([x for *_, x in texts], axis=1))
+            dealt = sums["uid"] % deals
+            order = np.argsort(dealt, kind="stable")
+            at, n = runs(dealt[order])
+            rows.append({"deal": dealt[order][at], "sums": pa.array([packed(**{c: x[order[i:i + m]] for c, x in sums.items()}) for i, m in zip(at, n)], pa.binary())})
+        schema = pa.schema([("deal", pa.int64()), ("sums", pa.binary()), ("uid", pa.int64()), ("h", pa.int64()), ("k", pa.int64())])
+        return pa.concat_tables([schema.empty_table(), *map(pa.table, rows)], promote_options="default")
+
+    def added(uid: np.ndarray, sums: np.ndarray) -> dict[str, np.ndarray]:
+        uid, back = np.unique(uid, return_inverse=True)
+        score, base, found = (np.bincount(back, x, len(uid)) for x in sums)
+        return {"uid": uid, "score": score, "base": base, "known": np.rint(found).astype(np.int64)}
+
+    def total(parts: pa.Table) -> pa.Table:
+        found = [unpacked(r, SUMS) for r in parts["sums"]]
+        out = added(np.concatenate([x["uid"] for x in found]), np.concatenate([[x[c] for c in SUMS[1:]] for x in found], axis=1))
+        give_back()
+        return pa.table(out)
+
+    deals = known.groups
     cells = deal(docs, known, True)
     parts = written(seated.rows.groupBy("g").cogroup(cells.groupBy("g"))
-                    .applyInArrow(run, "uid long, score double, base double, known long, h long, k long"), "pair-scores")
+                    .applyInArrow(run, "deal long, sums binary, uid long, h long, k long"), "pair-scores")
     n = F.coalesce("n", F.lit(0))
     base = F.log10((n + ADD) / F.lit(model.tokens + ADD * (model.types + 1)))
-    sums = ("uid", "score", "base", "known")
-    unseen = parts.filter("k > 0").select("uid", "h", "k").join(rare_words(vocab, model), "h", "left").select(
+    unseen = parts.filter("sums is null").select("uid", "h", "k").join(rare_words(vocab, model), "h", "left").select(
         "uid", (F.col("k") * F.log10(word_chance(model, n))).alias("score"), (F.col("k") * base).alias("base"),
         F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0).alias("known"))
-    return (parts.filter("k = 0").select(*sums).unionByName(unseen).groupBy("uid")
-            .agg(*(F.sum(c).alias(c) for c in sums[1:])))
+    whole = parts.filter("sums is not null").groupBy("deal").applyInArrow(total, "uid long, score double, base double, known long")
+    return whole.unionByName(unseen).groupBy("uid").agg(*(F.sum(c).alias(c) for c in SUMS[1:]))
 
 
 def word_chance(model: Model, n: Column) -> Column:
