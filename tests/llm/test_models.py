@@ -135,7 +135,7 @@ def test_pairs_take_few_bytes_on_disk(docs_of, spark):
     before = held()
     pitman_yor.score_texts(docs, docs)[0].collect()
     pairs = sum(len(t.split()) + 1 for _, t in rows)
-    assert held() - before < 14 * pairs
+    assert held() - before < 1.1 * pairs  # 1.37 while single pairs were shuffled
 
 
 def test_records_hold_columns_of_any_size():
