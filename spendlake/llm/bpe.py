@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from spendlake.llm.common import Step, apply_steps, texts_of
+from spendlake.llm.common import Step, apply_steps, takes_over, texts_of
 
 #: Fixed value: how byte-level BPE splits a text into words.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -214,8 +214,13 @@ class MergeAutomaton:
 _BUILT: dict[str, MergeAutomaton] = {}
 
 
+def _forget_built() -> None:
+    _BUILT.clear()
+
+
 def automaton(spec: str) -> MergeAutomaton:
     """The worker's automaton for a tokenizer file's text, compiled once per process."""
+    takes_over("bpe", _forget_built)
     key = hashlib.sha1(spec.encode()).hexdigest()
     if key not in _BUILT:
         _BUILT.clear()

@@ -1,6 +1,7 @@
 """Helpers shared by the operators: table access, written intermediates, Arrow steps."""
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -56,6 +57,40 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+_HELD: dict[str, Callable[[], object]] = {}
+
+
+def takes_over(owner: str, forget: Callable[[], object] | None = None) -> None:
+    """A Python worker serves one stage after another: drops what other operators than ``owner`` remembered in it.
+    ``forget`` drops what ``owner`` remembers between batches. It and its callers reach the worker by name, so
+    it must be a function of a module: what a nested function holds is a copy."""
+    others = [k for k in _HELD if k != owner]
+    for other in others:
+        _HELD.pop(other)()
+    if forget is not None:
+        _HELD[owner] = forget
+    if others:
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker lives on beside the next stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """``run``, an Arrow function over a task's batches, that gives freed memory back when the task ends."""
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 class Step:
     """One Arrow kernel: ``fn(get) -> list of arrays`` for the columns ``fields``; ``get``
     returns a column of the batch (or of an earlier step) by name."""
@@ -80,7 +115,7 @@ def apply_steps(df: DataFrame, steps: list[Step], drop: tuple[str, ...] = ()) ->
                 cols.update(zip((n for n, _ in s.fields), s.fn(cols.__getitem__)))
             yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
 
-    return df.mapInArrow(run, out)
+    return df.mapInArrow(lean(run), out)
 
 
 def texts_of(col: pa.Array) -> list[str]:

@@ -29,10 +29,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.llm.common import UPPER, LOWER, texts_of, written
+from spendlake.llm.common import UPPER, LOWER, lean, takes_over, texts_of, written
 
 CELL, RANK, EXTRA, POWER, BINS = 16, 288, 16, 2, 12
 SAMPLE_DOCS, BLOCK, OWN_WEIGHT = 600, 512, 12
@@ -113,12 +113,13 @@ class Cells:
 def encoded(docs: DataFrame, vocab: dict[bytes, int], id_col: str = "doc_id") -> DataFrame:
     """``id_col, ids``: word ids of every text as 32-bit integers, written to the shared folder."""
     def run(batches):
+        takes_over("leaks")
         for b in batches:
             ids = [x.tobytes() for x in word_ids(texts_of(b.column("text")), vocab)]
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(ids, pa.binary())], names=[id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return written(docs.select(id_col, "text").mapInArrow(run, f"{id_col} {kind}, ids binary"), "leak-word-ids")
+    return written(docs.select(id_col, "text").mapInArrow(lean(run), f"{id_col} {kind}, ids binary"), "leak-word-ids")
 
 
 def cell_counts(texts: DataFrame, size: int) -> tuple[np.ndarray, int]:
@@ -134,7 +135,7 @@ def cell_counts(texts: DataFrame, size: int) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), pa.array(np.append(df, n))], names=["term", "n"])
 
     got = np.zeros(size + 1, np.int64)
-    for t, n in texts.select("ids").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
+    for t, n in texts.select("ids").mapInArrow(lean(count), "term long, n long").groupBy("term").agg(F.sum("n")).collect():
         got[t] = n
     return got[:size], int(got[size])
 
@@ -189,7 +190,7 @@ def pair_sums(texts: DataFrame, weight: np.ndarray) -> DataFrame:
                 if part.any():
                     yield pa.RecordBatch.from_arrays([pa.array([begin + lo]), pa.array([part.astype(np.float32).tobytes()], pa.binary())], names=["at", "share"])
 
-        got = written(few.mapInArrow(run, "at long, share binary"), "leak-pair-sums")
+        got = written(few.mapInArrow(lean(run), "at long, share binary"), "leak-pair-sums")
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -222,7 +223,7 @@ def randomised_svd(sums: DataFrame, weight: np.ndarray, rank: int = RANK, seed:
             yield pa.RecordBatch.from_arrays([pa.array([total[:size].astype(np.float32).tobytes()], pa.binary())], names=["share"])
 
         out = np.zeros((size, width))
-        for r in few.mapInArrow(part, "share binary").toLocalIterator():  # one task's table at a time
+        for r in few.mapInArrow(lean(part), "share binary").toLocalIterator():  # one task's table at a time
             out += np.frombuffer(r[0], np.float32).reshape(size, width)
         return weight[:, None] * out
 
@@ -409,7 +410,7 @@ def search(texts: DataFrame, index: Index, id_col: str = "doc_id") -> DataFrame:
                 [b.column(id_col).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.float64()),
                  pa.array(rows[3], pa.float64()), pa.array(rows[4], pa.bool_())], names=["doc_id", "item_id", "cosine", "share", "answer"])
 
-    return texts.select(id_col, "ids").mapInArrow(run, RESULT)
+    return texts.select(id_col, "ids").mapInArrow(lean(run), RESULT)
 
 
 def sample_passages(docs: DataFrame, vocab: dict[bytes, int], sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -433,11 +434,18 @@ def sample_passages(docs: DataFrame, vocab: dict[bytes, int], sample_docs: int =
     return found.select("ids")
 
 
+def own_passages(spark: SparkSession, items: Items) -> DataFrame:
+    """``ids`` of the items' passages, ``OWN_WEIGHT`` times. An Arrow table: rows from a Python list would
+    start a second set of Python workers on every executor, which stay."""
+    rows = [p.astype(np.int32).tobytes() for p in items.passages()[0]] * OWN_WEIGHT
+    return spark.createDataFrame(pa.table({"ids": pa.array(rows, pa.binary())}))
+
+
 def build(texts: DataFrame, items: Items) -> Index:
     """Index of one block of items: corpus statistics and SVD over all encoded texts."""
     count, cells = cell_counts(texts, len(items.vocab))
     weight = np.log((1 + cells) / (1 + np.minimum(count, cells))).astype(np.float32) + 0.05
-    own = texts.sparkSession.createDataFrame([(p.astype(np.int32).tobytes(),) for p in items.passages()[0]] * OWN_WEIGHT, "ids binary")
+    own = own_passages(texts.sparkSession, items)
     return Index(items, weight, randomised_svd(pair_sums(texts.select("ids").unionByName(own), weight), weight))
 
 
@@ -446,11 +454,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> Dat
     are left out: a pair could not name them."""
     bench = benchmark.select("item_id", "text").filter("item_id is not null")
     blocks = max(1, -(-bench.count() // block))
-    out = docs.sparkSession.createDataFrame([], RESULT)
+    out = None
     for k in range(blocks):
         own = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else bench
         items = Items(sorted((r[0], r[1] or "") for r in own.collect()))
         if items.ids:
             texts = encoded(docs, items.vocab)
-            out = out.unionByName(search(texts, build(texts, items)))
-    return out
+            found = search(texts, build(texts, items))
+            out = found if out is None else out.unionByName(found)
+    return docs.sparkSession.createDataFrame([], RESULT) if out is None else out

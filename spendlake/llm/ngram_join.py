@@ -36,12 +36,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendlake.llm.common import texts_of, words_of, written
+from spendlake.llm.common import give_back, lean, takes_over, texts_of, words_of, written
 from spendlake.llm.components import components
 
 WIDTH, PERCENT = 4, 85
 #: Shingles and sets of a block.
 BLOCK, BLOCK_SETS = 2_000_000, 2048
+#: Shingles of a product after which the worker gives its memory back.
+LARGE = 500_000
 
 
 class _Hashes(dict):
@@ -57,6 +59,10 @@ class _Hashes(dict):
 _WORDS = _Hashes()
 
 
+def _forget_words() -> None:
+    _WORDS.clear()
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -93,6 +99,7 @@ def documents_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``doc_id, n, s1, s2, first`` of every document: size and signature of its set, and its first
     shingles (smallest hashes). Written once; later steps read the columns that they need."""
     def run(batches):
+        takes_over("shingles", _forget_words)
         for b in batches:
             sets = [shingles(t, width) for t in texts_of(b.column("text"))]
             sig = [signature(s) for s in sets]
@@ -101,7 +108,7 @@ def documents_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in sig], pa.int64()),
                  pa.array([y for _, y in sig], pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "n", "s1", "s2", "first"])
 
-    return written(docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, first array<long>"), "shingle-sets")
+    return written(docs.mapInArrow(lean(run), "doc_id long, n long, s1 long, s2 long, first array<long>"), "shingle-sets")
 
 
 def _shared(entries: DataFrame, key: list[str]) -> DataFrame:
@@ -196,6 +203,8 @@ def _links(percent: int):
                 met = np.unique(label[np.append(found, i)])
                 if len(met) > 1:
                     label[np.isin(label, met)] = met[0]
+        if sum(map(len, sets)) > LARGE:
+            give_back()
         keep = np.flatnonzero(links > 0)
         return pd.DataFrame({"doc": docs[keep], "root": docs[label[keep]], "links": links[keep]})
 
@@ -241,6 +250,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int
     dealt = placed.select(*keys, "g", "copies", F.explode(F.concat(within, above, below)).alias("c")).select(*keys, "g", "copies", "c.*")
 
     def sets(batches):
+        takes_over("shingles", _forget_words)
         for b in batches:
             found = [shingles(t, width) for t in texts_of(b.column("text"))]
             sig = [signature(s) for s in found]
@@ -249,7 +259,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int
 
     # the members grow with the documents: they are never broadcast, and the long side is not sorted
     needed = docs.join(members.select("rep").hint("shuffle_hash"), F.col("doc_id") == F.col("rep"), "left_semi")
-    content = written(needed.mapInArrow(sets, "rep long, s1 long, s2 long, shingles binary"), "group-sets").dropDuplicates(keys)
+    content = written(needed.mapInArrow(lean(sets), "rep long, s1 long, s2 long, shingles binary"), "group-sets").dropDuplicates(keys)
     blocks = dealt.join(content, keys).select(F.col("rep").alias("doc"), "g", "copies", "low", "i", "j", "side",
                                                (F.col("same") & (F.col("i") == F.col("j"))).alias("same"), F.col("same").alias("own_band"), "shingles")
     found = written(blocks.groupBy("g", "low", "own_band", "i", "j").applyInPandas(_links(percent), "doc long, root long, links long"), "links")

@@ -48,7 +48,6 @@ not carried.
 """
 from __future__ import annotations
 
-import ctypes
 import math
 import struct
 from itertools import repeat
@@ -61,7 +60,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlake.llm import common
-from spendlake.llm.common import texts_of
+from spendlake.llm.common import give_back, texts_of
 
 SYMBOLS, SENT = 1024, 1 << 19
 #: Tokens of a context (or of a part of it) and pairs of a block that are seated together.
@@ -96,13 +95,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
             conf.unset(k) if v is None else conf.set(k, v)
 
 
-def give_back() -> None:
-    """Returns freed memory to the system: a Python worker lives on beside the next stages."""
-    pa.default_memory_pool().release_unused()
-    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-        libc.malloc_trim(0)
-
-
 def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words of all texts, one after the other, and how many each text has: as ``words_of``, for a column."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendlake.llm.common import Step, apply_steps, texts_of
+from spendlake.llm.common import Step, apply_steps, takes_over, texts_of
 
 MAX_ROWS = 12_000
 TREES, DEPTH, BINS, RATE, L2, MIN_ROWS = 60, 4, 64, 0.15, 1.0, 8
@@ -68,6 +68,7 @@ def statistics(text: str) -> list[float]:
 
 
 def matrix(texts: list[str]) -> np.ndarray:
+    takes_over("quality")
     return np.array([statistics(t) for t in texts], np.float64).reshape(len(texts), len(FEATURES))
 
 

@@ -83,3 +83,45 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     assert leaks and len(want) < len(rows) - len(bad) - len(leaks)
     assert set(got) == set(want)
     assert got == want
+
+
+def test_workers_drop_what_other_operators_remember():
+    from pyspark import cloudpickle
+    from spendlake.llm import bpe, common, ngram_join, quality, queries
+
+    for forget in (ngram_join._forget_words, bpe._forget_built):  # a worker gets the function, not a copy of what it holds
+        assert cloudpickle.loads(cloudpickle.dumps(forget)) is forget
+    ngram_join.shingles("some words to remember")
+    common.takes_over("shingles", ngram_join._forget_words)
+    assert len(ngram_join._WORDS) >= 4
+    spec = bpe.read_spec(queries.BPE_FILE)
+    kept = bpe.automaton(spec)
+    assert not ngram_join._WORDS and bpe.automaton(spec) is kept
+    quality.matrix(["another stage"])
+    assert not bpe._BUILT
+
+
+def test_a_task_gives_memory_back_when_it_ends(monkeypatch):
+    from spendlake.llm import common
+
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    assert list(common.lean(lambda batches: (x + 1 for x in batches))([1, 2])) == [2, 3] and given == [1]
+    task = common.lean(lambda batches: (x for x in batches))([1, 2])
+    next(task)
+    task.close()
+    assert given == [1, 1]
+
+
+def test_leak_search_needs_no_second_set_of_workers(spark):
+    from spendlake.llm import decontaminate
+
+    items = decontaminate.Items([(1, prose(1, 60)), (2, prose(2, 20))])
+    own = decontaminate.own_passages(spark, items)
+    want = [p.astype(np.int32).tobytes() for p in items.passages()[0]] * decontaminate.OWN_WEIGHT
+    assert sorted(bytes(r[0]) for r in own.collect()) == sorted(want)
+    docs = decontaminate.written(spark.createDataFrame([(1, prose(1, 60))], "doc_id long, text string"), "leak-docs")
+    leaks = decontaminate.find_leaks(docs, docs.toDF("item_id", "text"))
+    for df in (own, leaks):  # rows of a Python list are an RDD that Python workers write
+        assert "ExistingRDD" not in df._jdf.queryExecution().toString()
+    assert [r["doc_id"] for r in leaks.collect()] == [1]
