@@ -290,3 +290,25 @@ def test_keyword_pairs_grow_with_the_input(spark):
         rules = spark.range(n).selectExpr("cast(id AS int) AS ord", "'c' AS category", "concat('large anvil ', 10000 + id) AS keyword")
         return C.keyword_pairs(keys, rules).count()
     assert pairs(4000) <= 5 * pairs(1000)
+
+
+def broadcast_rows(df):
+    """Rows of each table that was broadcast for ``df``."""
+    def walk(p):
+        name = p.nodeName()
+        if name == "BroadcastExchange":
+            yield p.metrics().apply("numOutputRows").value()
+        kids = [p.executedPlan()] if name == "AdaptiveSparkPlan" else [p.plan()] if name.endswith("QueryStage") else [p.children().apply(i) for i in range(p.children().size())]
+        for kid in kids:
+            yield from walk(kid)
+    df.collect()
+    return list(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_many_keywords_are_met_without_broadcasting_substrings(spark):
+    keys = spark.range(3000).selectExpr("concat('large anvil ', 10000 + id) AS _dkey")
+    rules = spark.range(1500).selectExpr("cast(id AS int) AS ord", "concat('c', id) AS category", "concat('anvil ', 10000 + 2 * id) AS keyword")
+    out = C.keyword_first(keys, rules)
+    assert {r._dkey: r.keyword_category for r in out.collect()} == {f"large anvil {10000 + 2 * i}": f"c{i}" for i in range(1500)}
+    rows = broadcast_rows(C.keyword_first(keys, rules))
+    assert max(rows, default=0) <= 1500  # keys and keywords have some 30 000 and 12 000 substrings
