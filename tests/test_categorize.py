@@ -312,3 +312,23 @@ def test_many_keywords_are_met_without_broadcasting_substrings(spark):
     assert {r._dkey: r.keyword_category for r in out.collect()} == {f"large anvil {10000 + 2 * i}": f"c{i}" for i in range(1500)}
     rows = broadcast_rows(C.keyword_first(keys, rules))
     assert max(rows, default=0) <= 1500  # keys and keywords have some 30 000 and 12 000 substrings
+
+
+@pytest.fixture(scope="module")
+def purchases(spark, tmp_path_factory):
+    """A folder with lineitem and part of 2 000 descriptions, some in two rows, and (key, line, description) of its rows."""
+    names = [f"{c} {n}" for c in ("small", "large", "hot", "cold", "red", "blue", "new", "odd") for n in ("ring", "bolt", "plate", "gizmo", "rod")]
+    lines = [(k, i, p, s) for k, (p, s) in enumerate((p, s) for p in range(40) for s in range(10_000, 10_050)) for i in range(1 + k % 2)]
+    path = str(tmp_path_factory.mktemp("purchases"))
+    spark.createDataFrame([*enumerate(names)], "p_partkey long, p_name string").write.parquet(f"{path}/part.parquet")
+    spark.createDataFrame([(*x, 1.0, "A", None) for x in lines], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, "
+                          "l_extendedprice double, l_returnflag string, l_shipdate timestamp").write.parquet(f"{path}/lineitem.parquet")
+    return path, [(k, i, f"{names[p]} #{s}") for k, i, p, s in lines]
+
+
+def test_replaced_rules_are_met_without_broadcasting_substrings(spark, purchases):
+    from spendlake.plans import catalog_io
+    path, rows = purchases
+    got = {(r.l_orderkey, r.l_linenumber): r.category for r in catalog_io.rules_replace(spark, path).collect()}
+    assert got == {(k, i): "Round" if "ring" in d else "Has L" if "l" in d else "Uncategorized" for k, i, d in rows}
+    assert max(broadcast_rows(catalog_io.rules_replace(spark, path)), default=0) <= 2000  # labels of keys; the keys have some 46 000 substrings
