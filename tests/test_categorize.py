@@ -332,3 +332,13 @@ def test_replaced_rules_are_met_without_broadcasting_substrings(spark, purchases
     got = {(r.l_orderkey, r.l_linenumber): r.category for r in catalog_io.rules_replace(spark, path).collect()}
     assert got == {(k, i): "Round" if "ring" in d else "Has L" if "l" in d else "Uncategorized" for k, i, d in rows}
     assert max(broadcast_rows(catalog_io.rules_replace(spark, path)), default=0) <= 2000  # labels of keys; the keys have some 46 000 substrings
+
+
+def test_joined_rules_are_met_without_broadcasting_substrings(spark, purchases):
+    from spendlake.plans import catalog
+    from spendlake.plans.views import RULES_P
+    path, rows = purchases
+    first = lambda d: next((c for _, c, k in R.rule_rows(RULES_P) if k in d), "Uncategorized")
+    got = {(r.l_orderkey, r.l_linenumber): (r.description, r.category) for r in catalog.keyword_category_join(spark, path).collect()}
+    assert got == {(k, i): (d, first(d.replace("#", ""))) for k, i, d in rows}
+    assert max(broadcast_rows(catalog.keyword_category_join(spark, path)), default=0) <= 2000  # labels of keys
