@@ -138,6 +138,9 @@ def grams(text, size: int) -> Column:
 #: Lengths of the substrings that keywords are listed under.
 GRAMS = (4, 8, 16, 32)
 
+#: Characters of keywords and categories whose index is broadcast: it has as many substrings at most.
+MAX_BROADCAST_CHARS = 100_000
+
 #: 64-bit words of the bitmap of indexed substrings, a power of two: some MB whatever the number of keywords.
 BITMAP_WORDS = 1 << 18
 
@@ -150,15 +153,18 @@ def keyword_pairs(dkeys: DataFrame, rules: DataFrame, dkey: str = "_dkey", sprea
     shared by ever more keys and keywords as both grow. Keys meet keywords by an equi-join of the hashes of their
     distinct substrings with this index. A keyword none of whose substrings occurs anywhere drops out before the join.
 
-    Spark takes a table of substrings to have as many rows as there are keys or keywords, and would broadcast it
-    through the driver. So joins are merge joins, which split a substring that many keys have; before the last one a
-    bitmap of a fixed size drops most of the keys' substrings that the index lacks."""
+    Spark takes a table of substrings to have as many rows as there are keys or keywords, and would broadcast that of
+    the keys through the driver. So the joins are told what to do: the keywords' side is broadcast under a bound on its
+    characters. Beyond it they are merge joins, which split a substring that many keys have; before the last one a bitmap
+    of a fixed size drops most of the keys' substrings that the index lacks."""
     size = F.length("keyword")
     for n in GRAMS:
         size = F.when(F.length("keyword") >= n, F.lit(n)).otherwise(size)
     kw = (rules.where("keyword is not null").groupBy("keyword")  # the filter that a join adds: both uses of the index below are one plan
           .agg(F.min("ord").alias("k_ord"), F.min_by("category", "ord").alias("k_cat")).withColumn("_size", size))
-    sizes = sorted(r[0] for r in kw.select("_size").distinct().collect())  # at most GRAMS[0] + len(GRAMS)
+    text = F.length("keyword") + F.coalesce(F.length("k_cat"), F.lit(0)) + 1
+    used = kw.groupBy("_size").agg(F.sum(text).alias("chars")).collect()  # at most GRAMS[0] + len(GRAMS) rows
+    sizes, few = sorted(r._size for r in used), sum(r.chars for r in used) <= MAX_BROADCAST_CHARS
     if not sizes:
         return dkeys.select(dkey).crossJoin(kw.drop("_size").limit(0))
     own = F.array("keyword")
@@ -169,14 +175,17 @@ def keyword_pairs(dkeys: DataFrame, rules: DataFrame, dkey: str = "_dkey", sprea
     hashed = F.xxhash64("_gram").alias("_gram")
     listed = kw.select("keyword", "k_ord", "k_cat", F.explode(F.array_distinct(own)).alias("_gram")).select("keyword", "k_ord", "k_cat", hashed)
     held = d.select(dkey, F.explode(F.array_distinct(F.concat(*[grams(F.col(dkey), n) for n in sizes]))).alias("_gram")).select(dkey, hashed)
-    common = held.groupBy("_gram").agg(F.count("*").alias("_keys")).join(listed.select("_gram").distinct().hint("merge"), "_gram", "left_semi")
-    index = (listed.join(common.hint("merge"), "_gram").groupBy("keyword", "k_ord", "k_cat")
+    how = "broadcast" if few else "merge"
+    common = held.groupBy("_gram").agg(F.count("*").alias("_keys")).join(listed.select("_gram").distinct().hint(how), "_gram", "left_semi")
+    index = (listed.join(common.hint(how), "_gram").groupBy("keyword", "k_ord", "k_cat")
              .agg(F.min(F.struct("_keys", "_gram")).alias("_rarest"))
              .select("keyword", "k_ord", "k_cat", F.col("_rarest._gram").alias("_gram")))
+    if few:
+        return held.join(index.hint(how), "_gram").drop("_gram")
     word, bit = F.expr(f"shiftrightunsigned(_gram, 6) & {BITMAP_WORDS - 1}L"), F.expr("shiftleft(1L, cast(_gram & 63 AS int))")
     bitmap = index.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
     held = held.withColumn("_word", word).join(F.broadcast(bitmap), "_word").where(F.col("_bits").bitwiseAND(bit) != 0)
-    return held.select(dkey, "_gram").join(index.hint("merge"), "_gram").drop("_gram")
+    return held.select(dkey, "_gram").join(index.hint(how), "_gram").drop("_gram")
 
 
 def keyword_first(dkeys: DataFrame, rules: DataFrame, dkey: str = "_dkey", spread_input: bool = True) -> DataFrame:

@@ -305,13 +305,15 @@ def broadcast_rows(df):
     return list(walk(df._jdf.queryExecution().executedPlan()))
 
 
-def test_many_keywords_are_met_without_broadcasting_substrings(spark):
+@pytest.mark.parametrize("chars", [0, 100_000])  # of keywords, beyond which their index is not broadcast
+def test_many_keywords_are_met_without_broadcasting_substrings(spark, monkeypatch, chars):
+    monkeypatch.setattr(C, "MAX_BROADCAST_CHARS", chars, raising=False)
     keys = spark.range(3000).selectExpr("concat('large anvil ', 10000 + id) AS _dkey")
     rules = spark.range(1500).selectExpr("cast(id AS int) AS ord", "concat('c', id) AS category", "concat('anvil ', 10000 + 2 * id) AS keyword")
     out = C.keyword_first(keys, rules)
     assert {r._dkey: r.keyword_category for r in out.collect()} == {f"large anvil {10000 + 2 * i}": f"c{i}" for i in range(1500)}
     rows = broadcast_rows(C.keyword_first(keys, rules))
-    assert max(rows, default=0) <= 1500  # keys and keywords have some 30 000 and 12 000 substrings
+    assert max(rows, default=0) <= (2000 if chars else 1500)  # the keys have some 30 000 substrings, the keywords 1 833
 
 
 @pytest.fixture(scope="module")
